@@ -121,14 +121,14 @@ class Sequence:
         if self.cut:
             last = F.max_by(packed, F.struct(*self.order)).alias("_last")
             carry = self._per_slice(last)
-            self._attach(carry.select(*self.keys, "_slice", F.lag("_last").over(self._slices).alias("_prev")))
+            self._attach(carry.select(*self.keys, "_slice", F.lag("_last").over(self._slices).alias("_carried")))
         local = F.lag(packed).over(self._window)
         if self.cut:
-            local = F.coalesce(local, F.col("_prev"))
+            local = F.coalesce(local, F.col("_carried"))
         self._df = self._df.withColumn("_before", local)
         for out in columns:
             self._df = self._df.withColumn(out, F.col(f"_before.{out}"))
-        self._df = self._df.drop("_before", "_prev")
+        self._df = self._df.drop("_before", "_carried")
         return self
 
     def fill_forward(self, **columns: Column) -> Sequence:

@@ -294,7 +294,7 @@ def prefer_promo_near_best(spark, sf):
     return B.prefer_promo_near_best(hits, "key")
 
 
-@add("promo_swap", f"""with lines as (select recipe_id * 1000000000000 + ord as line_id, product_id, category,
+@add("promo_swap", f"""with lines as (select recipe_id * 1000000000000 + i.ord as line_id, product_id, category,
             split_part(name, ' ', 2) as head_word, cast(supplier % 4 as int) as head_score
         from {{ingredient}} i join {{catalogue}} c using (product_id)),
     keys as (select distinct product_id, category, head_word,
@@ -317,7 +317,6 @@ def promo_swap(spark, sf):
     catalogue = view(spark, sf, "catalogue")
     chosen = (
         view(spark, sf, "ingredient")
-        .drop("ord_c")
         .join(catalogue.select("product_id", "category", "name"), "product_id")
         .select(
             (F.col("recipe_id") * 1000000000000 + F.col("ord")).alias("line_id"),

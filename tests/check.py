@@ -27,15 +27,15 @@ def main() -> int:
 
             picked += list(importlib.import_module(f"aislewise.plans.{a[5:]}").REGISTRY.queries)
     picked = picked or list(todo)
-    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g"})
-    spark.sparkContext.setLogLevel("ERROR")
+    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g", "spark.ui.showConsoleProgress": "false"})
+    spark.sparkContext.setLogLevel("OFF")
     con, bad = connect(sf), 0
     for key in picked:
         t0 = time.time()
         try:
             got = todo[key](spark, sf).toPandas()
         except Exception as e:  # noqa: BLE001
-            print(f"FAIL {key}: {str(e)[:1500]}")
+            print(f"FAIL {key}: {str(e)[:600]}")
             bad += 1
             continue
         t1 = time.time()
@@ -45,7 +45,7 @@ def main() -> int:
         try:
             want = con.execute(sql[key]).df()
         except Exception as e:  # noqa: BLE001
-            print(f"FAIL {key} (sql): {str(e)[:1500]}")
+            print(f"FAIL {key} (sql): {str(e)[:600]}")
             bad += 1
             continue
         t2 = time.time()
