@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def rounded(value: Column | str, places: int = 4) -> Column:
-    """Half-up decimal rounding without negative zero."""
+    """Decimal rounding for reports.  The tiny shift keeps exact ties from depending on the
+    order in which a sum was built; adding zero turns a negative zero into zero."""
     col = F.col(value) if isinstance(value, str) else value
-    return F.round(col, places) + F.lit(0.0)
+    return F.round(col + F.lit(1e-9), places) + F.lit(0.0)
 
 
 def parse_price(text: Column) -> Column:

@@ -155,4 +155,4 @@ class Registry:
 
 
 def sql_round(expr: str, places: int = 4) -> str:
-    return f"(round({expr}, {places}) + 0e0)"
+    return f"(round(({expr}) + 1e-9, {places}) + 0e0)"
