@@ -20,3 +20,8 @@ def parse_price(text: Column) -> Column:
 
 def planar(dx: Column, dz: Column) -> Column:
     return F.sqrt(dx * dx + dz * dz)
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), 0)

@@ -82,6 +82,9 @@ def similar_words(query_words: DataFrame, target_words: DataFrame) -> DataFrame:
         .select("q", "t")
         .distinct()
         .filter("q <> t")
+    )
+    close = (
+        _spread(close, "t")
         .withColumn("ratio", sequence_ratio("q", "t"))
         .filter("ratio >= 0.8")
     )
@@ -361,23 +364,38 @@ def _processed(text: Column) -> Column:
     return squeeze(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", " "))
 
 
-def token_set_pairs(left: DataFrame, right: DataFrame, floor: float) -> DataFrame:
-    """(left text, right text, score >= floor) for distinct texts.
+def _spread(pairs: DataFrame, by: str) -> DataFrame:
+    """Scoring is costlier than the pairs are wide; keep one task per shuffle partition."""
+    return pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
+
+
+def token_set_pairs(left: DataFrame, right: DataFrame, floor: float, letters: bool = False) -> DataFrame:
+    """(left text a, right text b, score >= floor) for distinct texts.
 
     Sides meet on shared words and on letter pairs that are adjacent or one apart in the
-    sorted words: an alignment good enough for ``floor`` >= 50 always has one such pair
-    once the two texts have seven letters together.
+    sorted words; short texts also on single letters.  An alignment worth ``floor`` >= 65
+    always leaves such a piece.  For lower floors pass ``letters``: any two texts with a
+    score above zero share a letter.
     """
+    if floor < 65.0 and not letters:
+        raise ValueError("floors below 65 need letters=True")
 
     def keys(text: Column) -> Column:
         joined = F.array_join(F.array_sort(F.split(text, " ")), " ")
         size = F.length(joined)
         spots = F.sequence(F.lit(1), F.greatest(size, F.lit(1)))
+        single = F.transform(spots, lambda i: F.substring(joined, i, F.lit(1)))
+        if letters:
+            return F.array_distinct(F.filter(single, lambda g: g != " "))
         near = F.transform(spots, lambda i: F.substring(joined, i, F.lit(2)))
         apart = F.transform(
             spots, lambda i: F.concat(F.substring(joined, i, F.lit(1)), F.substring(joined, i + 2, F.lit(1)))
         )
-        return F.array_distinct(F.filter(F.concat(F.split(text, " "), near, apart), lambda g: F.length(g) >= 1))
+        made = F.concat(
+            F.split(text, " "), F.filter(F.concat(near, apart), lambda g: F.length(g) == 2), F.when(size <= 6, single)
+            .otherwise(F.array().cast("array<string>"))
+        )
+        return F.array_distinct(F.filter(made, lambda g: F.length(g) >= 1))
 
     a = left.select(_processed(F.col("text")).alias("a")).distinct().filter("a <> ''")
     b = right.select(_processed(F.col("text")).alias("b")).distinct().filter("b <> ''")
@@ -387,20 +405,31 @@ def token_set_pairs(left: DataFrame, right: DataFrame, floor: float) -> DataFram
         .select("a", "b")
         .distinct()
     )
-    return met.withColumn("score", token_set_ratio("a", "b")).filter(F.col("score") >= floor)
+    return _spread(met, "b").withColumn("score", token_set_ratio("a", "b")).filter(F.col("score") >= floor)
 
 
 def short_search(queries: DataFrame, catalogue: DataFrame, floor: float = 40.0, n: int = 5) -> DataFrame:
-    """Token-set search over name, brand and tags; ``direct`` marks a best hit of 75 or more."""
+    """Token-set search over name, brand and tags; ``direct`` marks a best hit of 75 or more.
+
+    Most queries fill their ``n`` places with hits of 65 and more.  Only the others are
+    compared again, against every text that shares a letter with them.
+    """
     texts = catalogue.withColumn("text", _processed(F.concat_ws(" ", "name", "brand", "category")))
     asked = queries.select("query_id", _processed(F.col("query")).alias("a"))
-    pairs = token_set_pairs(asked.select(F.col("a").alias("text")), texts, floor)
-    firsts = top_per_group(texts.select("text", "product_id", "ord"), ["text"], ["ord"], n)
-    hits = pairs.join(firsts.withColumnRenamed("text", "b"), "b")
-    top = top_per_group(hits, ["a"], [F.desc("score"), "ord"], n, rank="rank")
+    asks = asked.select(F.col("a").alias("text")).distinct()
+    firsts = top_per_group(texts.select("text", "product_id", "ord"), ["text"], ["ord"], n).withColumnRenamed("text", "b")
+
+    def best(pairs: DataFrame) -> DataFrame:
+        return top_per_group(pairs.join(firsts, "b"), ["a"], [F.desc("score"), "ord"], n, rank="rank")
+
+    good = best(token_set_pairs(asks, texts, 65.0))
+    full = good.groupBy("a").count().filter(F.col("count") >= n).select(F.col("a").alias("text"))
+    rest = asks.join(full, "text", "left_anti")
+    wide = best(token_set_pairs(rest, texts, floor, letters=True))
+    top = good.join(full.withColumnRenamed("text", "a"), "a", "left_semi").unionByName(wide)
     out = asked.join(top, "a")
-    best = out.groupBy("query_id").agg((F.max("score") >= 75).alias("direct"))
-    return out.join(best, "query_id").select("query_id", "product_id", "score", "rank", "direct")
+    direct = out.groupBy("query_id").agg((F.max("score") >= 75).alias("direct"))
+    return out.join(direct, "query_id").select("query_id", "product_id", "score", "rank", "direct")
 
 
 def brand_in_query(queries: DataFrame, brands: DataFrame) -> DataFrame:
@@ -476,31 +505,45 @@ def _fuzzy_tier(rest: DataFrame, rows: DataFrame, min_score: float) -> DataFrame
     for rank, (term, field) in enumerate((("qn", "_norm"), ("q", "_plain"))):
         ask = rest.select("query_id", "brand", _processed(F.col(term)).alias("a"))
         text = rows.select("product_id", "ord", "_brand", _processed(F.col(field)).alias("b"))
-        pairs = token_set_pairs(ask.select(F.col("a").alias("text")), text.select(F.col("b").alias("text")), 50.0)
-        by_brand = text.groupBy("b", "_brand").agg(F.min(F.struct("ord", "product_id")).alias("_p"))
+        pairs = token_set_pairs(
+            ask.select(F.col("a").alias("text")), text.select(F.col("b").alias("text")), min_score
+        )
+        firsts = text.groupBy("b", "_brand").agg(F.min(F.struct("ord", "product_id")).alias("_p"))
         sides.append(
             ask.join(pairs, "a")
-            .join(by_brand, "b")
+            .join(firsts, "b")
             .select("query_id", "brand", "_brand", "score", "_p", F.lit(-rank).alias("_side"))
         )
     hits = sides[0].unionByName(sides[1])
     place = F.struct("score", "_side", (-F.col("_p.ord")).alias("o"))
-    best = (
-        hits.filter(F.col("score") >= min_score)
-        .groupBy("query_id")
-        .agg(F.max_by(F.struct("brand", "_brand", "score", "_p"), place).alias("_b"))
-    )
-    same = F.contains("_brand", F.col("brand"))
-    branded = (
-        hits.filter((F.col("_side") == 0) & F.col("brand").isNotNull() & same)
+    best = hits.groupBy("query_id").agg(F.max_by(F.struct("brand", "_brand", "score", "_p"), place).alias("_b"))
+    # Wrong brand: score the texts of the brand that was asked for, found by brand.
+    wrong = best.filter(F.col("_b.brand").isNotNull() & ~F.contains("_b._brand", F.col("_b.brand")))
+    asks = wrong.select("query_id", F.col("_b.brand").alias("brand")).join(
+        rest.select("query_id", _processed(F.col("qn")).alias("a")), "query_id"
+    )
+    named = rows.groupBy("_brand", _processed(F.col("_norm")).alias("b")).agg(
+        F.min(F.struct("ord", "product_id")).alias("_p")
+    )
+    known = named.select(F.col("_brand").alias("text")).distinct()
+    inside = containment_pairs(asks.select(F.col("brand").alias("term")), known)
+    candidates = (
+        inside.join(named, inside["text"] == named["_brand"])
+        .join(asks, F.col("term") == F.col("brand"))
+        .select("query_id", "a", "b", "_p")
+    )
+    repaired = (
+        _spread(candidates, "b")
+        .withColumn("score", token_set_ratio("a", "b"))
+        .filter("score >= 50")
         .groupBy("query_id")
-        .agg(F.max_by(F.struct("score", "_p"), place).alias("_r"))
+        .agg(F.max_by(F.struct("score", "_p"), F.struct("score", (-F.col("_p.ord")).alias("o"))).alias("_r"))
     )
-    wrong = F.col("_b.brand").isNotNull() & ~F.contains("_b._brand", F.col("_b.brand")) & F.col("_r").isNotNull()
-    return best.join(branded, "query_id", "left").select(
+    chosen = best.join(repaired, "query_id", "left")
+    return chosen.select(
         "query_id",
-        F.when(wrong, F.col("_r._p.product_id")).otherwise(F.col("_b._p.product_id")).alias("_t3"),
-        F.round(F.when(wrong, F.col("_r.score")).otherwise(F.col("_b.score"))).alias("_s3"),
+        F.coalesce("_r._p.product_id", "_b._p.product_id").alias("_t3"),
+        F.round(F.coalesce("_r.score", "_b.score")).alias("_s3"),
     )
 
 
@@ -567,3 +610,15 @@ def intent_search(rules: DataFrame, catalogue: DataFrame) -> DataFrame:
         .filter(wanted & ~barred & (F.col("brand").isNull() | (F.col("brand") == F.col("_b"))))
         .select("rule_id", "product_id")
     )
+
+
+def brand_match(names: DataFrame, brands: DataFrame, floor: float = 78.0) -> DataFrame:
+    """First word of each name whose best brand similarity reaches ``floor``, with the score."""
+    words = names.select("name", F.posexplode(F.split(_processed(F.col("name")), " ")).alias("place", "a"))
+    pairs = token_set_pairs(words.select(F.col("a").alias("text")), brands.select(F.col("brand").alias("text")), floor)
+    best = pairs.groupBy("a").agg(F.max(F.struct("score", "b")).alias("_m"))
+    hits = words.join(best, "a")
+    first = hits.groupBy("name").agg(F.min_by(F.struct("a", "_m"), "place").alias("_f"))
+    return first.select(
+        "name", F.col("_f.a").alias("word"), F.col("_f._m.b").alias("brand"), F.col("_f._m.score").alias("score")
+    )
