@@ -33,22 +33,29 @@ def indel(a: str, b: str) -> float:
     return 100.0 if total == 0 else 200.0 * common_subsequence(a, b) / total
 
 
-def token_set(a: str, b: str) -> float:
+def token_set(left: frozenset, right: frozenset) -> float:
     """0..100: best of the shared words against each side, and of both sides with them."""
-    left, right = set(a.split()), set(b.split())
     if not left or not right:
         return 0.0
-    shared = " ".join(sorted(left & right))
-    only_a, only_b = " ".join(sorted(left - right)), " ".join(sorted(right - left))
-    if shared and (not only_a or not only_b):
+    both = left & right
+    if both and (len(both) == len(left) or len(both) == len(right)):
         return 100.0
-    full_a, full_b = f"{shared} {only_a}".strip(), f"{shared} {only_b}".strip()
-    scores = [indel(full_a, full_b)]
-    if shared:
-        scores += [indel(shared, full_a), indel(shared, full_b)]
-    return max(scores)
+    shared = " ".join(sorted(both))
+    full_a = f"{shared} {' '.join(sorted(left - both))}".strip()
+    full_b = f"{shared} {' '.join(sorted(right - both))}".strip()
+    best = indel(full_a, full_b)
+    for full in (full_a, full_b) if both else ():
+        # The shared words start the full text, so all of them are matched.
+        best = max(best, 200.0 * len(shared) / (len(shared) + len(full)))
+    return best
 
 
 @F.pandas_udf(DoubleType())
 def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([token_set(x, y) for x, y in zip(a, b)], dtype="float64")
+    words = {text: frozenset(text.split()) for text in {*a, *b}}
+    return pd.Series([token_set(words[x], words[y]) for x, y in zip(a, b)], dtype="float64")
+
+
+# Evaluated once per pair: never copied into a filter below its own projection.
+sequence_ratio = sequence_ratio.asNondeterministic()
+token_set_ratio = token_set_ratio.asNondeterministic()

@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aislewise.functions.lexicon import Lexicon
+from aislewise.functions.numeric import let
 from aislewise.functions.similarity import sequence_ratio, token_set_ratio
 from aislewise.functions.text import main_category, normalise, squeeze, tokens, word_match
 from aislewise.operators.ordered import top_per_group
+from aislewise.session import cut_lineage
 
 
 def _grams(text: Column, size: int) -> Column:
@@ -208,12 +210,16 @@ def boosted_score(score: Column, words: Column, query: Column, name: Column, cat
     category_word = F.exists(
         words, lambda w: (F.length(w) >= 3) & F.exists(cat_words, lambda c: F.startswith(c, w))
     )
-    out = score + primary_hits * 15
-    out = out - F.when(secondary & ~primary & ~specific, 30).otherwise(0)
-    out = out + F.when(~primary & ~secondary & ~non_food & (out > 0) & category_word, 8).otherwise(0)
-    out = out + F.when(any_in(name, listed(lex.common_sizes)), 2).otherwise(0)
-    out = out - F.when(non_food & (out >= 40), 30).otherwise(0)
-    return out - F.when(excluded & (out >= 40), 40).otherwise(0)
+    first = score + primary_hits * 15 - F.when(secondary & ~primary & ~specific, 30).otherwise(0)
+    plain = ~primary & ~secondary & ~non_food & category_word
+    size = F.when(any_in(name, listed(lex.common_sizes)), 2).otherwise(0)
+    return let(
+        let(
+            let(first, lambda s: s + F.when(plain & (s > 0), 8).otherwise(0) + size),
+            lambda s: s - F.when(non_food & (s >= 40), 30).otherwise(0),
+        ),
+        lambda s: s - F.when(excluded & (s >= 40), 40).otherwise(0),
+    )
 
 
 def fuzzy_search(
@@ -422,7 +428,7 @@ def short_search(queries: DataFrame, catalogue: DataFrame, floor: float = 40.0,
     def best(pairs: DataFrame) -> DataFrame:
         return top_per_group(pairs.join(firsts, "b"), ["a"], [F.desc("score"), "ord"], n, rank="rank")
 
-    good = best(token_set_pairs(asks, texts, 65.0))
+    good = cut_lineage(best(token_set_pairs(asks, texts, 65.0)))
     full = good.groupBy("a").count().filter(F.col("count") >= n).select(F.col("a").alias("text"))
     rest = asks.join(full, "text", "left_anti")
     wide = best(token_set_pairs(rest, texts, floor, letters=True))
@@ -480,6 +486,7 @@ def lookup_cascade(queries: DataFrame, catalogue: DataFrame, min_score: float =
     out = asked.join(tier1, "q", "left").join(tier2, "qn", "left").join(named, "query_id", "left")
     out = out.join(brand_first, "brand", "left")
     if fuzzy:
+        out = cut_lineage(out)
         rest = out.filter("_t1 is null and _t2 is null").select("query_id", "q", "qn", "brand")
         out = out.join(_fuzzy_tier(rest, rows, min_score), "query_id", "left")
     else:
@@ -517,6 +524,7 @@ def _fuzzy_tier(rest: DataFrame, rows: DataFrame, min_score: float) -> DataFrame
     hits = sides[0].unionByName(sides[1])
     place = F.struct("score", "_side", (-F.col("_p.ord")).alias("o"))
     best = hits.groupBy("query_id").agg(F.max_by(F.struct("brand", "_brand", "score", "_p"), place).alias("_b"))
+    best = cut_lineage(best)
     # Wrong brand: score the texts of the brand that was asked for, found by brand.
     wrong = best.filter(F.col("_b.brand").isNotNull() & ~F.contains("_b._brand", F.col("_b.brand")))
     asks = wrong.select("query_id", F.col("_b.brand").alias("brand")).join(

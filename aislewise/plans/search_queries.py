@@ -122,11 +122,19 @@ def search_boosts(spark, sf):
     return scored.select("query", "product_id", rounded(boosted).alias("score")).filter("score >= 40")
 
 
-@add("recipe_match_index", FUZZY_SQL + """,
-   best as (select query, product_id, max(score) as score from h where rank <= 12 group by 1, 2),
-   top as (select query, product_id, cast(row_number() over (partition by query order by round(score + 1e-9, 1) desc, product_id) as int) as rank from best),
-   lines as (select distinct recipe_id, c.name as query from {ingredient} i join {catalogue} c using (product_id))
-   select recipe_id, query as term, product_id from lines join top using (query) where rank = 1""")
+INDEX_SQL = FUZZY_SQL.replace(
+    ID_SQL,
+    """asked as (select distinct query from (select p_name as query from {part} union all
+     select split_part(p_name, ' ', 2) from {part}))""",
+)
+
+
+@add("recipe_match_index", INDEX_SQL + """,
+   best as (select n.name, product_id, max(round(score + 1e-9, 1)) as score from (select distinct name from {catalogue}) n
+      join h on h.query = n.name or h.query = split_part(n.name, ' ', 2) where rank <= 12 group by 1, 2),
+   top as (select name, product_id, row_number() over (partition by name order by score desc, product_id) as rn from best),
+   lines as (select distinct recipe_id, c.name from {ingredient} i join {catalogue} c using (product_id))
+   select recipe_id, name as term, product_id from lines join top using (name) where rn = 1""")
 def recipe_match_index(spark, sf):
     from aislewise.operators.recipe_search import match_index
 
