@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aislewise.operators.ordered import Sequence
+from aislewise.session import cut_lineage
 
 BLOCK = 20_000
 SRC, DST = ("sx", "sy", "sz"), ("dx", "dy", "dz")
@@ -117,7 +118,7 @@ def ransac_rigid(
             rotation, shift = solve(cross, sm, dm)
             yield pd.DataFrame({key: pdf[key], "h": pdf["h"], "transform": flat(rotation, shift)})
 
-    models = triples.mapInPandas(solve_triples, f"`{key}` {kind}, h int, transform array<double>")
+    models = cut_lineage(triples.mapInPandas(solve_triples, f"`{key}` {kind}, h int, transform array<double>"))
     parts = sizes.withColumn("_parts", F.ceil(F.col("n") / block).cast("int"))
     left = rows.join(parts.select(key, "_parts"), key).select(
         key, *SRC, *DST, (F.col("_i") % F.col("_parts")).cast("int").alias("_b")
@@ -146,7 +147,7 @@ def ransac_rigid(
     best = counted.groupBy(key).agg(F.max(F.struct("inliers", (-F.col("h")).alias("neg"))).alias("_b")).select(
         key, (-F.col("_b.neg")).alias("h"), F.col("_b.inliers").alias("inliers")
     )
-    chosen = best.join(models, [key, "h"]).select(key, "inliers", "transform")
+    chosen = cut_lineage(best.join(models, [key, "h"]).select(key, "inliers", "transform"))
     inside = _with_error(rows, chosen.drop("inliers"), key).filter(F.col("_err") < threshold)
     refit = rigid_fit(inside.select(key, *SRC, *DST), key).select(key, F.col("transform").alias("_refit"))
     fitted = chosen.join(refit, key, "left").select(
