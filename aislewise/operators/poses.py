@@ -5,7 +5,6 @@ The camera frame is +X right, +Y up, +Z backwards.
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -269,4 +268,62 @@ def calibration_quality(mean_error: Column) -> Column:
     )
 
 
-HALF_TURN = math.pi
+
+
+def shelf_position(x: Column, z: Column, yaw: Column, ahead: Column) -> tuple[Column, Column]:
+    """Place ``ahead`` metres in front; unchanged without a usable depth."""
+    usable = F.coalesce(ahead, F.lit(0.0)) > 0.1
+    return F.when(usable, x + ahead * F.sin(yaw)).otherwise(x), F.when(usable, z + ahead * F.cos(yaw)).otherwise(z)
+
+
+def drift_corrected(
+    x: Column, z: Column, yaw: Column, left: Column, right: Column, ahead: Column
+) -> tuple[Column, Column, Column]:
+    """Corrected x and z with a precision level: parallel to the shelf, depth only, or neither."""
+    left, right, ahead = (F.coalesce(c, F.lit(0.0)) for c in (left, right, ahead))
+    parallel = (left > 0.1) & (right > 0.1) & (F.abs(left - right) < 0.3) & (ahead > 0.1)
+    reach = F.least(left, right, ahead)
+    level = F.when(parallel, "hög").when(ahead > 0.1, "medium").otherwise("låg")
+    return (
+        F.when(parallel, x + reach * F.sin(yaw)).otherwise(x),
+        F.when(parallel, z + reach * F.cos(yaw)).otherwise(z),
+        level,
+    )
+
+
+def fit_homography(rows: DataFrame, key: str) -> DataFrame:
+    """Least-squares perspective map per key from four or more points (x, y) -> (u, v).
+
+    The 8 x 8 normal equations are Spark sums; one row per key is solved with NumPy.
+    """
+    import numpy as np
+    import pandas as pd
+
+    x, y, u, v = (F.col(c) for c in ("x", "y", "u", "v"))
+    one, zero = F.lit(1.0), F.lit(0.0)
+    first = [x, y, one, zero, zero, zero, -u * x, -u * y]
+    second = [zero, zero, zero, x, y, one, -v * x, -v * y]
+    sums = [
+        F.sum(first[i] * first[j] + second[i] * second[j]).alias(f"m{i}{j}") for i in range(8) for j in range(i, 8)
+    ]
+    sums += [F.sum(first[i] * u + second[i] * v).alias(f"b{i}") for i in range(8)]
+    kind = rows.schema[key].dataType.simpleString()
+
+    def solve(batches):
+        for pdf in batches:
+            out = []
+            for _, r in pdf.iterrows():
+                m = np.array([[r[f"m{min(i, j)}{max(i, j)}"] for j in range(8)] for i in range(8)], dtype=float)
+                b = np.array([r[f"b{i}"] for i in range(8)], dtype=float)
+                out.append([*np.linalg.lstsq(m, b, rcond=None)[0].tolist(), 1.0])
+            yield pd.DataFrame({key: pdf[key], "n": pdf["n"], "matrix": out})
+
+    grouped = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *sums).filter("n >= 4")
+    return grouped.mapInPandas(solve, f"`{key}` {kind}, n bigint, matrix array<double>")
+
+
+def calibration_error(rows: DataFrame, key: str) -> DataFrame:
+    """Mean and largest distance between predicted (pu, pv) and marked (u, v) pixels, with a band."""
+    miss = F.hypot(F.col("pu") - F.col("u"), F.col("pv") - F.col("v"))
+    out = rows.groupBy(key).agg(F.avg(miss).alias("mean_error"), F.max(miss).alias("max_error"))
+    return out.withColumn("quality", calibration_quality(F.col("mean_error")))

@@ -204,7 +204,7 @@ def simplify_routes(spark, sf):
 
 @add("shelf_rectangles")
 def shelf_rectangles(spark, sf):
-    out = G.shelf_rectangles(points(spark, sf), "map_id", cell=0.5, more_than=8)
+    out = G.shelf_rectangles(points(spark, sf), "map_id", cell=1.0, more_than=8)
     return out.select("map_id", *[rounded(c).alias(c) for c in ("x", "z", "width", "depth")])
 
 
