@@ -1,9 +1,59 @@
-"""Structured Streaming jobs; every one has a batch twin with the same result."""
+"""Structured Streaming jobs; every one has a batch twin with the same result.
+
+Event time, watermarks and the late-row rule are additions of this library: rows later than
+the watermark are dropped by Spark.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from aislewise.operators.fusion import consolidate_products
+from aislewise.operators.gates import FRESH, GATE_DDL, run_gate
+from aislewise.sources.sinks import append_table, scratch_path
+
+
+def file_stream(spark: SparkSession, folder: str, schema, glob: str = "*.parquet", files_per_batch: int = 1) -> DataFrame:
+    return (
+        spark.readStream.schema(schema)
+        .option("pathGlobFilter", glob)
+        .option("maxFilesPerTrigger", files_per_batch)
+        .parquet(folder)
+    )
+
+
+def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Run everything available now and return all emitted rows with their batch number."""
+    spark = stream.sparkSession
+    out = scratch_path(spark, "drained")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    query = (
+        stream.writeStream.outputMode(mode)
+        .option("checkpointLocation", scratch_path(spark, "offsets"))
+        .foreachBatch(keep)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return spark.read.schema(f"{_ddl(stream)}, batch bigint").option("basePath", out).parquet(f"{out}/batch=*")
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def last_update(drained: DataFrame, keys: list[str]) -> DataFrame:
+    """Final value per key of an update-mode stream."""
+    rest = [c for c in drained.columns if c not in (*keys, "batch")]
+    return drained.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_l")).select(*keys, "_l.*")
 
 
 def flag_windows(flags: DataFrame, needed: int = 3, size: str = "24 hours", slide: str = "1 hour") -> DataFrame:
@@ -14,3 +64,108 @@ def flag_windows(flags: DataFrame, needed: int = 3, size: str = "24 hours", slid
         .filter(F.col("reports") >= needed)
         .select("product_id", F.col("_w.start").alias("window_start"), "reports")
     )
+
+
+def assemble_session(batches: DataFrame, late: str = "2 hours") -> DataFrame:
+    """Uploads of one scan become one numbered track.
+
+    Stream: session, batch_no, is_last, ts, x, z (one row per frame).  Frames are numbered on
+    across uploads as they arrive; the row that closes the session carries ``complete``.  The
+    state is two counters, so a very long scan does not grow it.  Sessions that go silent for
+    ``late`` of event time are closed and their counters dropped.
+    """
+    schema = "session bigint, frame bigint, x double, z double, complete boolean"
+
+    def number(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        (count,) = state.get if state.exists else (0,)
+        done = False
+        for pdf in chunks:
+            pdf = pdf.sort_values(["batch_no", "ts", "x", "z"], kind="stable")
+            last = pdf["is_last"].to_numpy()
+            frame = range(count, count + len(pdf))
+            count += len(pdf)
+            done = done or bool(last.any())
+            yield pd.DataFrame(
+                {"session": key[0], "frame": frame, "x": pdf["x"].to_numpy(), "z": pdf["z"].to_numpy(), "complete": last}
+            )
+        if done:
+            state.remove()
+        else:
+            state.update((count,))
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + 2 * 3600 * 1000)
+
+    return (
+        batches.withWatermark("ts", late)
+        .groupBy("session")
+        .applyInPandasWithState(number, schema, "count bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    )
+
+
+def recalibration_stream(rows: DataFrame) -> DataFrame:
+    """Stream twin of the recalibration gate: device, event_id, at, kind, t, inliers, tracking."""
+
+    def gate(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        import json
+
+        now = json.loads(state.get[0]) if state.exists else FRESH
+        data = pd.concat(list(chunks)).sort_values(["at", "event_id"], kind="stable")
+        made, now = run_gate(data, now)
+        state.update((json.dumps(now),))
+        head = data[["event_id"]].copy()
+        head.insert(0, "device", key[0])
+        yield pd.concat([head, made], axis=1)
+
+    return rows.groupBy("device").applyInPandasWithState(
+        gate, f"device bigint, event_id bigint, {GATE_DDL}", "packed string", "append", GroupStateTimeout.NoTimeout
+    )
+
+
+def latest_per_key(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Latest row per key; on a stream use update mode.  One row of state per key."""
+    rest = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_l")).select(key, "_l.*")
+
+
+def append_sightings(sightings: DataFrame, table: str, checkpoint: str, place):
+    """Place each micro-batch of label readings with ``place(batch)`` and append the sightings."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        append_table(place(batch).withColumn("batch", F.lit(number).cast("long")), table)
+
+    return (
+        sightings.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def consolidate_stream(
+    sightings: DataFrame, log: str, snapshot: str, checkpoint: str, keys: tuple[str, ...] = ("map_id", "product_id")
+):
+    """Append new sightings to ``log`` and recompute only the partitions of products they touch.
+
+    The snapshot is partitioned by map and a product bucket; a batch reads the log of its own
+    buckets and replaces those partitions.
+    """
+    buckets = 64
+
+    def write(batch: DataFrame, number: int) -> None:
+        bucketed = batch.withColumn("bucket", F.pmod(F.xxhash64(keys[1]), F.lit(buckets)).cast("int"))
+        whole = append_table(bucketed, log, (keys[0], "bucket"))
+        touched = bucketed.select(keys[0], "bucket").distinct()
+        rows = whole.join(F.broadcast(touched), [keys[0], "bucket"])
+        merged = consolidate_products(rows, [keys[0], "bucket", keys[1]])
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(keys[0], "bucket").parquet(
+            snapshot
+        )
+
+    return (
+        sightings.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
