@@ -231,11 +231,10 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, cell: float = 128.0) ->
     hits = spots.join(spread.select("box_id", "frame", "x1", "x2", "y1", "y2", "_cu", "_cv"), ["frame", "_cu", "_cv"]).filter(
         F.col("u").between(F.col("x1"), F.col("x2")) & F.col("v").between(F.col("y1"), F.col("y2"))
     )
-    counts = hits.groupBy("box_id").agg(F.count(F.lit(1)).alias("hits"))
-    medians = quantiles(hits.select("box_id", "depth"), ["box_id"], "depth", {"mid": 0.5})
+    medians = quantiles(hits.select("box_id", "depth"), ["box_id"], "depth", {"mid": 0.5}, count_as="hits")
     frames = frame_median_depth(points)
     good = (F.col("hits") >= 3) & (F.col("mid") > 0.2) & (F.col("mid") < 10.0)
-    joined = boxes.join(counts, "box_id", "left").join(medians, "box_id", "left").join(frames, "frame", "left")
+    joined = boxes.join(medians, "box_id", "left").join(frames, "frame", "left")
     return joined.select(
         "box_id",
         "frame",

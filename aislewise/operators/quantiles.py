@@ -9,13 +9,23 @@ from aislewise.operators.ordered import ROWS_PER_SLICE, Sequence
 
 
 def quantiles(
-    df: DataFrame, keys: list[str], value: str, wanted: dict[str, float], rows_per_slice: int = ROWS_PER_SLICE
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    wanted: dict[str, float],
+    rows_per_slice: int = ROWS_PER_SLICE,
+    count_as: str | None = None,
 ) -> DataFrame:
-    """One row per key with a column per wanted share (0..1).
+    """One row per key with a column per wanted share (0..1), and the count of values if asked.
 
-    Equal values are counted first; a running count then finds the rows holding the two
+    Input measured to be smaller than one slice uses the built-in exact percentile.  Beyond
+    that, equal values are counted first and a running count finds the rows holding the two
     ranks around each share, so a huge group is spread over value ranges.
     """
+    extra = [F.count(value).alias(count_as)] if count_as else []
+    if df.count() <= rows_per_slice:
+        shares = [F.percentile(F.col(value).cast("double"), F.lit(p)).alias(n) for n, p in wanted.items()]
+        return df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(*shares, *extra)
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(
         F.count(F.lit(1)).alias("_c")
     )
@@ -30,8 +40,11 @@ def quantiles(
             aggs.append(F.max(F.when(inside, F.col("_v"))).alias(f"_{name}_{part}"))
         aggs.append(F.max(spot - F.floor(spot)).alias(f"_{name}_w"))
     found = rows.groupBy(*keys).agg(*aggs)
+    if count_as:
+        found = found.join(sizes.withColumnRenamed("_n", count_as), keys)
     return found.select(
         *keys,
+        *([count_as] if count_as else []),
         *[
             (F.col(f"_{n}_lo") + (F.col(f"_{n}_hi") - F.col(f"_{n}_lo")) * F.col(f"_{n}_w")).alias(n)
             for n in wanted

@@ -17,6 +17,7 @@ from aislewise.operators.poses import (
     yaw_only_map,
 )
 from aislewise.operators.search import fuzzy_match_top1
+from aislewise.session import cut_lineage
 
 
 def _lens(name: str):
@@ -52,9 +53,9 @@ def shelf_scan(
     unique = top_per_group(named, ["frame", "name"], ["box_id"], 1)
     names = unique.select(F.col("name").alias("query_id"), F.col("name").alias("query")).distinct()
     matches = fuzzy_match_top1(names, catalogue, lex, min_score).withColumnRenamed("query_id", "name")
-    matched = unique.join(matches, "name")
+    matched = cut_lineage(unique.join(matches, "name"))
     depths = points_in_boxes(
-        project_points(points, cameras), matched.select("box_id", "frame", "x1", "y1", "x2", "y2")
+        cut_lineage(project_points(points, cameras)), matched.select("box_id", "frame", "x1", "y1", "x2", "y2")
     ).drop("frame")
     rows = matched.join(depths, "box_id").join(cameras, "frame")
     rows = rows.withColumn("cam", F.struct("fx", "fy", "cx", "cy", "height"))

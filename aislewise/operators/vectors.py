@@ -125,9 +125,14 @@ def _against_pivots(
         left = asks.join(crowd, ["pivot", "slot"]).withColumn(
             "chunk", F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int")
         )
-        right = homes.join(crowd, ["pivot", "slot"]).withColumn(
-            "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+        left = left.drop("chunks")
+        copies = crowd.select(
+            F.col("pivot").alias("pivot"),
+            F.col("slot").alias("slot"),
+            F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
         )
+        right = homes.join(copies, ["pivot", "slot"])
+        right = right.select(*[F.col(c).alias(c) for c in right.columns])
         keys = ["pivot", "slot", "chunk"]
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
 
