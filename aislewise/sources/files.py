@@ -38,5 +38,5 @@ def read_catalogue(spark: SparkSession, path: str, kind: str = "csv") -> DataFra
         parse_price(F.col("promo_price")).alias("promo_price"),
         "promo_text",
         "image",
-        F.filter(F.transform(F.split("tags", ","), F.trim), lambda t: t != "").alias("tags"),
+        F.filter(F.transform(F.split("tags", ","), lambda t: F.trim(t)), lambda t: t != "").alias("tags"),
     )
