@@ -8,6 +8,7 @@ from aislewise.functions import text as X
 from aislewise.functions.numeric import parse_price, rounded
 from aislewise.operators import catalogue as K
 from aislewise.plans.views import Registry, sql_round as r, view
+from aislewise.session import widen
 
 REGISTRY = Registry()
 add = REGISTRY.add
@@ -207,13 +208,13 @@ def assortment_lines(spark, sf):
 @add("normalise_sv", """select doc_id, md5(regexp_replace(replace(replace(replace(replace(replace(lower(text),
      'å', 'a'), 'ä', 'a'), 'ö', 'o'), 'é', 'e'), 'ú', 'u'), '^\\s+|\\s+$', '', 'g')) as digest from {documents}""")
 def normalise_sv(spark, sf):
-    return view(spark, sf, "documents").select("doc_id", F.md5(X.normalise(F.col("text"))).alias("digest"))
+    return widen(view(spark, sf, "documents")).select("doc_id", F.md5(X.normalise(F.col("text"))).alias("digest"))
 
 
 @add("slug", """select doc_id, md5(regexp_replace(regexp_replace(replace(replace(replace(lower(text),
      'å', 'a'), 'ä', 'a'), 'ö', 'o'), '[^\\p{L}\\p{N}]', '-', 'g'), '^-+|-+$', '', 'g')) as digest from {documents}""")
 def slug(spark, sf):
-    return view(spark, sf, "documents").select("doc_id", F.md5(X.slug(F.col("text"))).alias("digest"))
+    return widen(view(spark, sf, "documents")).select("doc_id", F.md5(X.slug(F.col("text"))).alias("digest"))
 
 
 @add("clean_label_text", """select p_partkey, case when p_size % 2 = 0
@@ -231,7 +232,7 @@ def clean_label_text(spark, sf):
         lambda x: length(x) > 1) as w from {documents})
      select doc_id, len(w) as n, len(list_distinct(w)) as n_distinct from w""")
 def tokens(spark, sf):
-    words = view(spark, sf, "documents").select("doc_id", X.tokens(F.col("text")).alias("w"))
+    words = widen(view(spark, sf, "documents")).select("doc_id", X.tokens(F.col("text")).alias("w"))
     return words.select(
         "doc_id", F.size("w").cast("long").alias("n"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct")
     )
@@ -239,7 +240,7 @@ def tokens(spark, sf):
 
 @add("normalise_query", """select doc_id, md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) as digest from {documents}""")
 def normalise_query(spark, sf):
-    return view(spark, sf, "documents").select("doc_id", F.md5(X.normalise_query(F.col("text"))).alias("digest"))
+    return widen(view(spark, sf, "documents")).select("doc_id", F.md5(X.normalise_query(F.col("text"))).alias("digest"))
 
 
 @add("main_category", "select product_id, lower(category) as main from {catalogue}")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from aislewise.functions.numeric import rounded
 from aislewise.plans.views import Registry, sql_round as r, view
+from aislewise.session import widen
 from aislewise.sources import shop_api as A
 from aislewise.sources import web as W
 
@@ -49,7 +50,7 @@ def pages_to_records(spark, sf):
     )
     script = F.lit('<script type="application/ld+json">')
     second = F.when(F.col("page_id") % 8 == 3, F.concat(script, recipe, F.lit("</script>"))).otherwise("")
-    pages = view(spark, sf, "pages").select(
+    pages = widen(view(spark, sf, "pages")).select(
         "page_id", "url", F.concat("html", script, body, F.lit("</script>"), second).alias("html")
     )
     out = W.recipes_from_pages(pages)

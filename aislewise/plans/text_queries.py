@@ -12,6 +12,7 @@ from aislewise.functions.numeric import rounded
 from aislewise.functions.similarity import sequence_ratio, token_set_ratio
 from aislewise.operators import labels as L
 from aislewise.plans.views import Registry, sql_round as r, view
+from aislewise.session import widen
 
 REGISTRY = Registry()
 add = REGISTRY.add
@@ -23,7 +24,7 @@ LINE_SQL = """select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
 def lines(spark, sf):
     part = view(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type", "p_size")
     rows = view(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    return rows.join(part, "l_partkey").withColumn("qty", F.col("l_quantity").cast("int").cast("string"))
+    return widen(rows).join(part, "l_partkey").withColumn("qty", F.col("l_quantity").cast("int").cast("string"))
 
 
 def case4(values, selector="l_linenumber"):
@@ -73,13 +74,12 @@ def paren_alternatives(spark, sf):
 @add("search_terms", f"""with l as ({LINE_SQL}) select l_orderkey, l_linenumber, l_partkey,
      p_name || ' eller ' || lower(p_type) || '|' || p_name || '|' || lower(p_type) as terms from l""")
 def search_terms(spark, sf):
+    # Every distinct text is taken apart once; the lines then look their terms up.
     text = F.concat("qty", F.lit(" dl "), "p_name", F.lit(" eller "), F.lower("p_type"))
-    return lines(spark, sf).select(
-        "l_orderkey",
-        "l_linenumber",
-        "l_partkey",
-        F.array_join(X.search_terms(text, Lexicon().states), "|").alias("terms"),
-    )
+    rows = lines(spark, sf).select("l_orderkey", "l_linenumber", "l_partkey", text.alias("text"))
+    terms = F.array_join(X.search_terms(F.col("text"), Lexicon().states), "|")
+    known = rows.select("text").distinct().select("text", terms.alias("terms"))
+    return rows.join(known, "text").drop("text")
 
 
 @add("head_word", "select p_partkey, split_part(p_name, ' ', 2) as head from {part}")
@@ -367,7 +367,7 @@ def parse_label_lines(spark, sf):
         F.lit('\n{"namn": " Mjölk ", "bbox": ['), (F.col("turn") + 9).cast("string"), F.lit(", 4, 3, 8]},\n1234 .")
     )
     rows = (
-        view(spark, sf, "conversations")
+        widen(view(spark, sf, "conversations"))
         .filter("role = 'assistant'")
         .select("conv_id", "turn", F.concat("text", extra).alias("response"), F.lit(2.0).alias("scale"))
     )

@@ -50,3 +50,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(checkpoint_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def widen(scan: DataFrame) -> DataFrame:
+    """Spread a plain scan stored in fewer splits than there are cores, for costly row work.
+
+    A large table has more splits than cores and comes back unchanged, without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
