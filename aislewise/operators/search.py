@@ -379,37 +379,48 @@ def token_set_pairs(left: DataFrame, right: DataFrame, floor: float, letters: bo
     """(left text a, right text b, score >= floor) for distinct texts.
 
     Sides meet on shared words and on letter pairs that are adjacent or one apart in the
-    sorted words; short texts also on single letters.  An alignment worth ``floor`` >= 65
-    always leaves such a piece.  For lower floors pass ``letters``: any two texts with a
-    score above zero share a letter.
+    sorted words (single letters for short texts, and with ``letters``).  Without a shared
+    word an alignment of M letters out of T has at least 2M - T/2 - 1 such pairs in common,
+    so only pairs with that many common pieces are scored.  The bound needs a floor of 65 or
+    more; below that ``letters`` counts single characters, of which M must be in common.
     """
     if floor < 65.0 and not letters:
         raise ValueError("floors below 65 need letters=True")
 
-    def keys(text: Column) -> Column:
-        joined = F.array_join(F.array_sort(F.split(text, " ")), " ")
-        size = F.length(joined)
-        spots = F.sequence(F.lit(1), F.greatest(size, F.lit(1)))
-        single = F.transform(spots, lambda i: F.substring(joined, i, F.lit(1)))
+    def pieces(df: DataFrame, side: str) -> DataFrame:
+        texts = df.select(_processed(F.col("text")).alias(side)).distinct().filter(F.col(side) != "")
+        sorted_words = F.array_join(F.array_sort(F.array_distinct(F.split(side, " "))), " ")
+        rows = texts.withColumn("_s", sorted_words).withColumn(f"_n{side}", F.length("_s"))
+        spots = F.sequence(F.lit(1), F.greatest(F.length("_s"), F.lit(1)))
+        single = F.transform(spots, lambda i: F.substring(F.col("_s"), i, F.lit(1)))
         if letters:
-            return F.array_distinct(F.filter(single, lambda g: g != " "))
-        near = F.transform(spots, lambda i: F.substring(joined, i, F.lit(2)))
-        apart = F.transform(
-            spots, lambda i: F.concat(F.substring(joined, i, F.lit(1)), F.substring(joined, i + 2, F.lit(1)))
-        )
-        made = F.concat(
-            F.split(text, " "), F.filter(F.concat(near, apart), lambda g: F.length(g) == 2), F.when(size <= 6, single)
-            .otherwise(F.array().cast("array<string>"))
+            made = single
+        else:
+            near = F.transform(spots, lambda i: F.substring(F.col("_s"), i, F.lit(2)))
+            apart = F.transform(
+                spots,
+                lambda i: F.concat(F.substring(F.col("_s"), i, F.lit(1)), F.substring(F.col("_s"), i + 2, F.lit(1))),
+            )
+            none = F.array().cast("array<string>")
+            short = F.when(F.length("_s") <= 6, single).otherwise(none)
+            made = F.concat(F.filter(F.concat(near, apart), lambda g: F.length(g) == 2), short)
+        words = F.transform(F.array_distinct(F.split(side, " ")), lambda w: F.concat(F.lit("="), w))
+        return (
+            rows.select(side, f"_n{side}", F.explode(F.concat(made, words)).alias("_g"))
+            .groupBy(side, f"_n{side}", "_g")
+            .agg(F.count(F.lit(1)).alias(f"_c{side}"))
         )
-        return F.array_distinct(F.filter(made, lambda g: F.length(g) >= 1))
 
-    a = left.select(_processed(F.col("text")).alias("a")).distinct().filter("a <> ''")
-    b = right.select(_processed(F.col("text")).alias("b")).distinct().filter("b <> ''")
+    word = F.startswith("_g", F.lit("=")) & (F.length("_g") > 1)
+    total = F.col("_na") + F.col("_nb")
+    needed = total * (floor / 200.0) if letters else total * (floor / 100.0 - 0.5) - 1.0
     met = (
-        a.withColumn("_g", F.explode(keys(F.col("a"))))
-        .join(b.withColumn("_g", F.explode(keys(F.col("b")))), "_g")
+        pieces(left, "a")
+        .join(pieces(right, "b"), "_g")
+        .groupBy("a", "b", "_na", "_nb")
+        .agg(F.max(word).alias("_word"), F.sum(F.when(~word, F.least("_ca", "_cb"))).alias("_common"))
+        .filter(F.col("_word") | (F.coalesce("_common", F.lit(0)) >= needed - 1e-9))
         .select("a", "b")
-        .distinct()
     )
     return _spread(met, "b").withColumn("score", token_set_ratio("a", "b")).filter(F.col("score") >= floor)
 
