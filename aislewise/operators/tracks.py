@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aislewise.functions.numeric import planar
-from aislewise.operators.ordered import ROWS_PER_SLICE, Sequence
+from aislewise.operators.ordered import ROWS_PER_SLICE, Sequence, top_per_group
 
 
 def path_length(track: DataFrame, key: str = "session", order: str = "frame", rows_per_slice: int = ROWS_PER_SLICE):
@@ -94,6 +94,11 @@ def stride_sample(
     return rows.filter(pick).drop("_i", "_n")
 
 
+def downsample(points: DataFrame, key: str, point: str, most: int, seed: int = 0) -> DataFrame:
+    """At most ``most`` points per key, picked by a repeatable hash order."""
+    return top_per_group(points, [key], [F.xxhash64(F.lit(seed), F.col(point)), F.col(point)], most)
+
+
 def nearest_frame(track: DataFrame, requests: DataFrame, key: str = "session", frame: str = "frame") -> DataFrame:
     """Closest frame of the same track for each (request_id, key, wanted); the lower frame
     wins ties.  One union and two forward fills instead of pairing rows."""

@@ -196,3 +196,8 @@ def mean_camera_height(spark, sf):
     return per_session.groupBy("map_id").agg(
         rounded(F.coalesce(F.max_by("h", F.struct("ended", "session")), F.lit(0.0))).alias("height")
     )
+
+
+@add("downsample_random")
+def downsample_random(spark, sf):
+    return T.downsample(view(spark, sf, "point"), "map_id", "point_id", 1000, seed=7).select("map_id", "point_id", "x", "y", "z")

@@ -95,6 +95,8 @@ VIEWS["session"] = """
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")  # times are stored without a zone
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

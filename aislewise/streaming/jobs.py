@@ -15,7 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from aislewise.operators.fusion import consolidate_products
 from aislewise.operators.gates import FRESH, GATE_DDL, run_gate
-from aislewise.sources.sinks import append_table, scratch_path
+from aislewise.sources.sinks import replace_table, scratch_path
 
 
 def file_stream(spark: SparkSession, folder: str, schema, glob: str = "*.parquet", files_per_batch: int = 1) -> DataFrame:
@@ -130,10 +130,11 @@ def latest_per_key(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def append_sightings(sightings: DataFrame, table: str, checkpoint: str, place):
-    """Place each micro-batch of label readings with ``place(batch)`` and append the sightings."""
+    """Place each micro-batch of label readings with ``place(batch)`` and add the sightings."""
 
     def write(batch: DataFrame, number: int) -> None:
-        append_table(place(batch).withColumn("batch", F.lit(number).cast("long")), table)
+        # One partition per batch: a repeated batch replaces itself instead of adding rows.
+        replace_table(place(batch).withColumn("batch", F.lit(number).cast("long")), table, ("batch",))
 
     return (
         sightings.writeStream.foreachBatch(write)
@@ -146,7 +147,7 @@ def append_sightings(sightings: DataFrame, table: str, checkpoint: str, place):
 def consolidate_stream(
     sightings: DataFrame, log: str, snapshot: str, checkpoint: str, keys: tuple[str, ...] = ("map_id", "product_id")
 ):
-    """Append new sightings to ``log`` and recompute only the partitions of products they touch.
+    """Add new sightings to ``log`` and recompute only the partitions of products they touch.
 
     The snapshot is partitioned by map and a product bucket; a batch reads the log of its own
     buckets and replaces those partitions.
@@ -154,10 +155,13 @@ def consolidate_stream(
     buckets = 64
 
     def write(batch: DataFrame, number: int) -> None:
-        bucketed = batch.withColumn("bucket", F.pmod(F.xxhash64(keys[1]), F.lit(buckets)).cast("int"))
-        whole = append_table(bucketed, log, (keys[0], "bucket"))
+        bucketed = batch.withColumn("bucket", F.pmod(F.xxhash64(keys[1]), F.lit(buckets)).cast("int")).withColumn(
+            "batch", F.lit(number).cast("long")
+        )
+        # The batch number is a partition of the log, so a repeated batch replaces itself.
+        whole = replace_table(bucketed, log, (keys[0], "bucket", "batch")).drop("batch")
         touched = bucketed.select(keys[0], "bucket").distinct()
-        rows = whole.join(F.broadcast(touched), [keys[0], "bucket"])
+        rows = whole.join(touched, [keys[0], "bucket"], "left_semi")
         merged = consolidate_products(rows, [keys[0], "bucket", keys[1]])
         merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(keys[0], "bucket").parquet(
             snapshot
