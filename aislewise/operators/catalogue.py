@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aislewise.operators.ordered import ROWS_PER_SLICE, top_per_group
+from aislewise.operators.frontier import BLOCK, best_against, frontier
+from aislewise.operators.ordered import top_per_group
 
 
 def similar_products(catalogue: DataFrame, n: int = 5) -> DataFrame:
@@ -53,7 +54,7 @@ def similar_products(catalogue: DataFrame, n: int = 5) -> DataFrame:
     )
 
 
-def healthier_products(catalogue: DataFrame, n: int = 5, block: int = ROWS_PER_SLICE) -> DataFrame:
+def healthier_products(catalogue: DataFrame, n: int = 5, block: int = BLOCK) -> DataFrame:
     """Same category and better: 3 per gram sugar, 2 per gram fat, 0.1 per kcal less, counted
     only where better; first ``n``.
 
@@ -61,15 +62,13 @@ def healthier_products(catalogue: DataFrame, n: int = 5, block: int = ROWS_PER_S
     appear in a list, so the catalogue is first reduced to those (``frontier``) and products
     then look at the reduced set, one distinct value triple at a time.
     """
-    from aislewise.operators.frontier import best_against, frontier
-
     axes = ["sugar", "fat", "kcal"]
     rows = catalogue.select("product_id", "ord", "category", *[F.col(a).cast("double").alias(a) for a in axes])
-    offers = frontier(rows, "category", axes, n)
+    offers = frontier(rows, "category", axes, n, block)
     asks = rows.filter(" or ".join(f"{a} is not null" for a in axes)).groupBy("category", *axes).agg(
         F.min("product_id").alias("ask_id")
     )
-    found = best_against(asks, offers, "category", axes, (3.0, 2.0, 0.1), n)
+    found = best_against(asks, offers, "category", axes, (3.0, 2.0, 0.1), n, block)
     same = [rows[a].eqNullSafe(asks[a]) for a in axes]
     members = rows.join(asks, [rows["category"] == asks["category"], *same]).select(rows["product_id"], "ask_id")
     return members.join(found, "ask_id").select("product_id", "better_id", "score", "rank")
