@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from aislewise.llm.common import read
 from aislewise.llm.telephony import telephony
+from aislewise.llm.tokenstore import token_store
+from aislewise.llm.warc import archive_pages
 from aislewise.plans.views import Registry
 
 REGISTRY = Registry()
@@ -16,3 +18,29 @@ add = REGISTRY.add
 @add("op1_telephony")
 def op1_telephony(spark, sf):
     return telephony(read(spark, sf, "documents"))
+
+
+OP2_SQL = """
+    with p as (select page_id, lower(coalesce(url, '')) as url, coalesce(html, '') as html from pages),
+    k as (select *, sha1(html) as h, regexp_replace(url, '^[a-z][a-z0-9+.-]*://(?:[^/@]*@)?|#.*$', '', 'g') as bare from p),
+    n as (select *, regexp_extract(bare, '^[^/?]*') as host, max(page_id) over (partition by h) as winner from k),
+    u as (select *, array_to_string(list_reverse(string_split(regexp_replace(host, ':[0-9]*$', ''), '.')), ',') || ')'
+                    || substr(bare, length(host) + 1) as url_key,
+                 strftime(make_timestamp((1600000000 + page_id % 1073741824) * 1000000), '%Y-%m-%dT%H:%M:%SZ') as ts from n)
+    select page_id, octet_length(encode(html)) as payload_bytes,
+           array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               ((('0x' || substr(h, 5 * (i // 4) + 1, 5))::bigint >> (15 - 5 * (i % 4))) & 31)::int + 1, 1)), '') as payload_digest,
+           case when page_id = winner then 'response' else 'revisit' end as record_type,
+           case when page_id <> winner then winner end as refers_to,
+           url_key, ts, row_number() over (order by url_key, ts, page_id) - 1 as position
+    from u"""
+
+
+@add("op2_warc", OP2_SQL)
+def op2_warc(spark, sf):
+    return archive_pages(read(spark, sf, "pages"))
+
+
+@add("op6_token_store")
+def op6_token_store(spark, sf):
+    return token_store(read(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
