@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from aislewise.llm.common import read
+from aislewise.llm.packing import pack_documents
 from aislewise.llm.telephony import telephony
 from aislewise.llm.tokenstore import token_store
 from aislewise.llm.warc import archive_pages
@@ -44,3 +45,8 @@ def op2_warc(spark, sf):
 @add("op6_token_store")
 def op6_token_store(spark, sf):
     return token_store(read(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+@add("op3_bm25_packing")
+def op3_bm25_packing(spark, sf):
+    return pack_documents(read(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
