@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from aislewise.llm.common import read
+from aislewise.llm.langid import label_languages, learn_languages
 from aislewise.llm.packing import pack_documents
+from aislewise.llm.rules import held_out, learn_quality, score_quality
 from aislewise.llm.telephony import telephony
 from aislewise.llm.tokenstore import token_store
 from aislewise.llm.warc import archive_pages
@@ -50,3 +52,15 @@ def op6_token_store(spark, sf):
 @add("op3_bm25_packing")
 def op3_bm25_packing(spark, sf):
     return pack_documents(read(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
+
+
+@add("op4_crf_language")
+def op4_crf_language(spark, sf):
+    docs = read(spark, sf, "documents")
+    return label_languages(docs, learn_languages(docs)).withColumn("held_out", held_out(F.col("doc_id")))
+
+
+@add("op10_rule_quality")
+def op10_rule_quality(spark, sf):
+    docs = read(spark, sf, "documents")
+    return score_quality(docs, learn_quality(docs, read(spark, sf, "labels")))
