@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from aislewise.session import checkpoint_dir
 
 U64 = np.uint64
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 32 << 20
 WORD_CACHE = 400_000  # words a worker keeps hashed; later words are hashed each time they occur
 
 
@@ -48,6 +49,10 @@ def parts_for(df: DataFrame, size: str, per_part: int) -> int:
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` with batches bounded in bytes as well as rows, for very long texts."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_CONF, None) in (None, "-1", str((1 << 31) - 1)):
+        conf.set(BATCH_CONF, str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
 
 

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from aislewise.llm.common import read
+from aislewise.llm.jaccardjoin import jaccard_components
 from aislewise.llm.langid import label_languages, learn_languages
 from aislewise.llm.packing import pack_documents
 from aislewise.llm.rules import held_out, learn_quality, score_quality
@@ -64,3 +65,8 @@ def op4_crf_language(spark, sf):
 def op10_rule_quality(spark, sf):
     docs = read(spark, sf, "documents")
     return score_quality(docs, learn_quality(docs, read(spark, sf, "labels")))
+
+
+@add("op9_jaccard_join")
+def op9_jaccard_join(spark, sf):
+    return jaccard_components(read(spark, sf, "documents"))
