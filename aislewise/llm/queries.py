@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from aislewise.llm.common import read
 from aislewise.llm.jaccardjoin import jaccard_components
 from aislewise.llm.langid import label_languages, learn_languages
+from aislewise.llm.linededup import dedup_lines
 from aislewise.llm.packing import pack_documents
 from aislewise.llm.rules import held_out, learn_quality, score_quality
 from aislewise.llm.telephony import telephony
@@ -70,3 +71,31 @@ def op10_rule_quality(spark, sf):
 @add("op9_jaccard_join")
 def op9_jaccard_join(spark, sf):
     return jaccard_components(read(spark, sf, "documents"))
+
+
+OP8_SQL = """
+    with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+                      generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 as line_no from documents),
+    t as (select *, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(line), '[ \\t]+'), lambda w: w <> ''))) as toks
+          from l),
+    c as (select toks, min((doc_id, line_no)) as first from t where len(toks) > 0 group by toks),
+    f as (select tok, count(*) as df from (select unnest(toks) as tok from c) group by tok),
+    o as (select c.first, len(c.toks) as n, tok, row_number() over (partition by c.first order by df, tok) as k
+          from (select first, toks, unnest(toks) as tok from c) c join f using (tok)),
+    p as (select * from o where k <= n - ((n * 4 + 4) // 5) + 1),
+    q as (select distinct x.first as x, y.first as y from p x join p y using (tok)
+          where y.first < x.first and 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)),
+    m as (select distinct q.x from q join c a on a.first = q.x join c b on b.first = q.y
+          where 5 * len(list_intersect(a.toks, b.toks)) >=
+                4 * (len(a.toks) + len(b.toks) - len(list_intersect(a.toks, b.toks)))),
+    g as (select t.doc_id, t.line_no, t.line,
+                 coalesce((t.doc_id, t.line_no) > c.first or m.x is not null, false) as gone
+          from t left join c on c.toks = t.toks left join m on m.x = c.first)
+    select doc_id, count(*) as n_lines, count(*) filter (gone) as n_removed,
+           coalesce(string_agg(line, chr(10) order by line_no) filter (not gone), '') as text
+    from g group by doc_id"""
+
+
+@add("op8_line_dedup", OP8_SQL)
+def op8_line_dedup(spark, sf):
+    return dedup_lines(read(spark, sf, "documents"))
