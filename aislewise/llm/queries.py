@@ -10,6 +10,7 @@ from aislewise.llm.jaccardjoin import jaccard_components
 from aislewise.llm.langid import label_languages, learn_languages
 from aislewise.llm.linededup import dedup_lines
 from aislewise.llm.packing import pack_documents
+from aislewise.llm.repeats import remove_repeats
 from aislewise.llm.rules import held_out, learn_quality, score_quality
 from aislewise.llm.telephony import telephony
 from aislewise.llm.tokenstore import token_store
@@ -99,3 +100,8 @@ OP8_SQL = """
 @add("op8_line_dedup", OP8_SQL)
 def op8_line_dedup(spark, sf):
     return dedup_lines(read(spark, sf, "documents"))
+
+
+@add("op7_repeated_strings")
+def op7_repeated_strings(spark, sf):
+    return remove_repeats(read(spark, sf, "documents")).drop("kept")
