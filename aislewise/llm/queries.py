@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from aislewise.llm.common import read
+from aislewise.llm.decontam import benchmark_matches
 from aislewise.llm.jaccardjoin import jaccard_components
 from aislewise.llm.langid import label_languages, learn_languages
 from aislewise.llm.linededup import dedup_lines
@@ -105,3 +106,8 @@ def op8_line_dedup(spark, sf):
 @add("op7_repeated_strings")
 def op7_repeated_strings(spark, sf):
     return remove_repeats(read(spark, sf, "documents")).drop("kept")
+
+
+@add("op5_benchmark_matches")
+def op5_benchmark_matches(spark, sf):
+    return benchmark_matches(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
