@@ -48,7 +48,7 @@ def parts_for(df: DataFrame, size: str, per_part: int) -> int:
     return max(1, -(-int(total) // per_part))
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema) -> DataFrame:
     """``mapInArrow`` with batches bounded in bytes as well as rows, for very long texts."""
     conf = df.sparkSession.conf
     if conf.get(BATCH_CONF, None) in (None, "-1", str((1 << 31) - 1)):
@@ -118,3 +118,14 @@ def shingles(h: np.ndarray, width: int) -> np.ndarray:
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
+
+
+def keep_rows(df: DataFrame, keep: Callable[[pa.RecordBatch], list[bool]], size: int = 4 << 20) -> DataFrame:
+    """The rows of ``df``, all columns untouched, for which ``keep`` says so; it sees batches with ``text``."""
+
+    def run(batches):
+        for whole in batches:
+            for batch in slices(whole, "text", size):
+                yield batch.filter(pa.array(keep(batch), pa.bool_()))
+
+    return map_batches(df, run, df.schema)

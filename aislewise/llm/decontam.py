@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aislewise.llm.common import U64, map_batches, mix, record, slices, texts, word_hashes
+from aislewise.llm.common import U64, keep_rows, map_batches, mix, record, slices, texts, word_hashes
 
 WORD = re.compile(r"[^\W_]+")
 SAMPLES = 3  # steps a signature reads
@@ -156,41 +156,62 @@ def best_match(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
 MATCHES = "doc_id long, item_id long, distance long, item_words long, end_word long"
 
 
-def _scan(docs: DataFrame, items: list[tuple[int, np.ndarray]], percent: int) -> DataFrame:
-    words_of = [w for _, w in items]
-    classes = size_classes(words_of)
-    short: dict[bytes, list[int]] = {}
-    for i, w in enumerate(words_of):
-        if 0 < len(w) < SHORTEST:
-            short.setdefault(w.tobytes(), []).append(i)
+class Matcher:
+    """A block of items, ready to be looked for in batches of texts."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]], percent: int) -> None:
+        self.ids, self.words, self.percent = [i for i, _ in items], [w for _, w in items], percent
+        self.classes = size_classes(self.words)
+        self.short: dict[bytes, list[int]] = {}
+        for i, w in enumerate(self.words):
+            if 0 < len(w) < SHORTEST:
+                self.short.setdefault(w.tobytes(), []).append(i)
+
+    def find(self, many: list[str]) -> list[tuple[int, int, int, int]]:
+        """(text, item, distance, end) of each text's items, at their best place."""
+        split = [hashes(t) for t in many]
+        sizes = np.array([len(s) for s in split], np.int64)
+        flat, begins = np.concatenate([*split, np.empty(0, U64)]), np.cumsum(sizes) - sizes
+        best: dict[tuple[int, int], tuple[int, int]] = {}
+        for cls in self.classes:
+            for d, i, at in candidates(cls, flat, begins, sizes):
+                item = self.words[i]
+                slack = len(item) - -(-len(item) * self.percent // 100)
+                low = max(0, at - slack)
+                distance, end = best_match(item, split[d][low : at + len(item) + slack])
+                if distance <= slack:
+                    best[d, i] = min(best.get((d, i), (distance, low + end)), (distance, low + end))
+        for d, words in enumerate(split):
+            if 0 < len(words) < SHORTEST:
+                best.update({(d, i): (0, len(words)) for i in self.short.get(words.tobytes(), ())})
+        return [(d, i, *found) for (d, i), found in sorted(best.items())]
+
+
+def matchers(items: DataFrame, percent: int) -> list[Matcher]:
+    """Items in blocks of about ITEM_BLOCK, each small enough to travel with a task."""
+    listed = items.select(F.col("item_id").cast("long"), "text").filter("text is not null")
+    blocks = max(1, -(-listed.count() // ITEM_BLOCK))
+    out = []
+    for k in range(blocks):
+        part = listed.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+        rows = [(r["item_id"], hashes(r["text"])) for r in part.toLocalIterator()]
+        out.append(Matcher(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1].tobytes())), percent))
+    return out
 
+
+def _scan(docs: DataFrame, block: Matcher) -> DataFrame:
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text", 4 << 20):
-                split = [hashes(t) for t in texts(batch.column("text"))]
-                sizes = np.array([len(s) for s in split])
-                flat, begins = np.concatenate([*split, np.empty(0, U64)]), np.cumsum(sizes) - sizes
-                best: dict[tuple[int, int], tuple[int, int]] = {}
-                for cls in classes:
-                    for d, i, at in candidates(cls, flat, begins, sizes):
-                        item = words_of[i]
-                        slack = len(item) - -(-len(item) * percent // 100)
-                        low = max(0, at - slack)
-                        distance, end = best_match(item, split[d][low : at + len(item) + slack])
-                        if distance <= slack:
-                            best[d, i] = min(best.get((d, i), (distance, low + end)), (distance, low + end))
-                for d, words in enumerate(split):
-                    if 0 < len(words) < SHORTEST:
-                        best.update({(d, i): (0, len(words)) for i in short.get(words.tobytes(), ())})
                 ids = batch.column("doc_id").to_pylist()
-                rows = sorted(best.items())
+                rows = block.find(texts(batch.column("text")))
                 yield record(
                     {
-                        "doc_id": ([ids[d] for (d, _), _ in rows], pa.int64()),
-                        "item_id": ([items[i][0] for (_, i), _ in rows], pa.int64()),
-                        "distance": ([x for _, (x, _) in rows], pa.int64()),
-                        "item_words": ([len(words_of[i]) for (_, i), _ in rows], pa.int64()),
-                        "end_word": ([e for _, (_, e) in rows], pa.int64()),
+                        "doc_id": ([ids[d] for d, _, _, _ in rows], pa.int64()),
+                        "item_id": ([block.ids[i] for _, i, _, _ in rows], pa.int64()),
+                        "distance": ([x for _, _, x, _ in rows], pa.int64()),
+                        "item_words": ([len(block.words[i]) for _, i, _, _ in rows], pa.int64()),
+                        "end_word": ([e for _, _, _, e in rows], pa.int64()),
                     }
                 )
 
@@ -207,14 +228,9 @@ def benchmark_matches(docs: DataFrame, items: DataFrame, percent: int = 80) -> D
     stay null; an empty table gives no row; further columns are ignored.  Exact occurrences are
     always found; see ``sampled_recall`` for edited ones.
     """
-    listed = items.select(F.col("item_id").cast("long"), "text").filter("text is not null")
-    blocks = max(1, -(-listed.count() // ITEM_BLOCK))
     out = None
-    for k in range(blocks):
-        part = listed.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else listed
-        rows = [(r["item_id"], hashes(r["text"])) for r in part.toLocalIterator()]
-        rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1].tobytes()))
-        found = _scan(docs, rows, percent)
+    for block in matchers(items, percent):
+        found = _scan(docs, block)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -242,8 +258,13 @@ def sampled_recall(size: int, edits: int, trials: int = 200, seed: int = 5) -> f
     return found / trials
 
 
-def without_matches(docs: DataFrame, matches: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose id has a match."""
-    hit = matches.select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["hit_id"]), "left_anti")
+def without_matches(docs: DataFrame, items: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that hold no item, by the rule of ``benchmark_matches``; all columns stay."""
+    for block in matchers(items, percent):
+
+        def keep(batch, block=block):
+            hit = {d for d, _, _, _ in block.find(texts(batch.column("text")))}
+            return [d not in hit for d in range(batch.num_rows)]
 
+        docs = keep_rows(docs, keep)
+    return docs

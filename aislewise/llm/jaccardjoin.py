@@ -29,6 +29,7 @@ from aislewise.llm.common import (
 )
 from aislewise.operators.graph import components
 
+NO_ID = -(1 << 63)  # stands for a null id, so that such rows join
 BUCKET_BITS = 20  # counts of n-grams are kept for 2**20 buckets, whatever the corpus
 BLOCK = 4096  # buckets a row of counts
 
@@ -48,7 +49,12 @@ def set_id(grams: np.ndarray) -> int:
     return int(np.array([xxhash.xxh3_64_intdigest(grams.tobytes())], U64).view(np.int64)[0])
 
 
-SCAN = "doc_id long, n long, sid long, block int, counts binary"
+def row_of(text: str) -> Column:
+    """Tells rows of one id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+SCAN = "doc_id long, row long, n long, sid long, block int, counts binary"
 
 
 def scan_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -64,6 +70,7 @@ def scan_sets(docs: DataFrame, width: int) -> DataFrame:
                 yield record(
                     {
                         "doc_id": (batch.column("doc_id"), pa.int64()),
+                        "row": (batch.column("row"), pa.int64()),
                         "n": ([len(s) for s in sets], pa.int64()),
                         "sid": ([set_id(s) if len(s) else None for s in sets], pa.int64()),
                         "block": (none, pa.int32()),
@@ -75,6 +82,7 @@ def scan_sets(docs: DataFrame, width: int) -> DataFrame:
         yield record(
             {
                 "doc_id": (none, pa.int64()),
+                "row": (none, pa.int64()),
                 "n": (none, pa.int64()),
                 "sid": (none, pa.int64()),
                 "block": ([b for b, _ in blocks], pa.int32()),
@@ -82,7 +90,8 @@ def scan_sets(docs: DataFrame, width: int) -> DataFrame:
             }
         )
 
-    return stored(map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, SCAN), "join-sets")
+    rows = docs.select(F.col("doc_id").cast("long"), row_of("text").alias("row"), "text")
+    return stored(map_batches(rows, run, SCAN), "join-sets")
 
 
 def crowding(scan: DataFrame) -> np.ndarray:
@@ -233,7 +242,7 @@ def remaining_pairs(members: DataFrame, labels: DataFrame, answers: DataFrame, p
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row.
+    """(doc_id, row, n_shingles, component_id) of every row; ``row`` is a hash of the text.
 
     Texts link when 100 * intersection >= percent * union of their n-gram sets.  Null, empty and wordless
     texts have an empty set and link with nothing.  Repeated rows are one class; a null id stays null
@@ -266,10 +275,19 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
         labels = _labels(edges.unionByName(found))
     release(spark)
     rows = (
-        scan.filter("block is null").select("doc_id", "n", "sid").join(labels, "sid", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "sid").alias("label"))
+        scan.filter("block is null").select("doc_id", "row", "n", "sid").join(labels, "sid", "left")
+        .select("doc_id", "row", F.col("n").alias("n_shingles"), F.coalesce("label", "sid").alias("label"))
     )
     names = rows.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("named"))
     return rows.join(names, "label", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("label").isNotNull(), F.col("named")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", "row", "n_shingles", F.when(F.col("label").isNotNull(), F.col("named")).otherwise(F.col("doc_id")).alias("component_id")
     )
+
+
+def one_of_each(docs: DataFrame, joined: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that name their component in ``joined``; of rows equal in id and text, one."""
+    named = joined.filter(F.col("component_id").eqNullSafe(F.col("doc_id")))
+    keys = named.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("kept_id"), F.col("row").alias("kept_row")).distinct()
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    hit = (key == F.col("kept_id")) & (row_of("text") == F.col("kept_row"))
+    return docs.join(keys, hit, "left_semi").dropDuplicates(["doc_id", "text"])

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aislewise.llm.common import U64, map_batches, mix, record, slices, texts
+from aislewise.llm.common import U64, keep_rows, map_batches, mix, record, slices, texts
 from aislewise.llm.rules import held_out
 
 DOCS_PER_LABEL = 250  # whole documents of each language that the model is fitted on, at most
@@ -251,6 +251,14 @@ def learn_languages(docs: DataFrame, per_label: int = DOCS_PER_LABEL) -> Crf | N
     return fit_crf([(text, lang) for _, text, lang in found])
 
 
+def label(model: Crf | None, post: np.ndarray) -> tuple[str, float, int]:
+    """Language, its mean probability, and number of switches of a document's word posteriors."""
+    if not len(post):
+        return UNKNOWN, 0.0, 0
+    share = post.mean(0)
+    return model.labels[int(share.argmax())], min(1.0, float(share.max())), int(np.count_nonzero(np.diff(post.argmax(1))))
+
+
 LABELLED = "doc_id long, lang_pred string, score double, n_words long, n_switches long"
 
 
@@ -267,26 +275,25 @@ def label_languages(docs: DataFrame, model: Crf | None) -> DataFrame:
         for whole in batches:
             for batch in slices(whole, "text", 4 << 20):
                 split = [words_of(t) for t in texts(batch.column("text"))]
-                langs, scores, switches = [], [], []
-                for post in model.posteriors(split) if model else [np.empty((0, 1))] * len(split):
-                    if len(post):
-                        share = post.mean(0)
-                        best = post.argmax(1)
-                        langs.append(model.labels[int(share.argmax())])
-                        scores.append(min(1.0, float(share.max())))
-                        switches.append(int(np.count_nonzero(np.diff(best))))
-                    else:
-                        langs.append(UNKNOWN)
-                        scores.append(0.0)
-                        switches.append(0)
+                labels = [label(model, post) for post in (model.posteriors(split) if model else [()] * len(split))]
                 yield record(
                     {
                         "doc_id": (batch.column("doc_id"), pa.int64()),
-                        "lang_pred": (langs, pa.string()),
-                        "score": (scores, pa.float64()),
+                        "lang_pred": ([x[0] for x in labels], pa.string()),
+                        "score": ([x[1] for x in labels], pa.float64()),
                         "n_words": ([len(s) for s in split], pa.int64()),
-                        "n_switches": (switches, pa.int64()),
+                        "n_switches": ([x[2] for x in labels], pa.int64()),
                     }
                 )
 
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, LABELLED)
+
+
+def keep_languages(docs: DataFrame, model: Crf | None, least: float) -> DataFrame:
+    """The rows whose text has a language with a mean probability of ``least`` or more; all columns stay."""
+
+    def keep(batch):
+        split = [words_of(t) for t in texts(batch.column("text"))]
+        return [label(model, post)[1] >= least for post in (model.posteriors(split) if model else [()] * len(split))]
+
+    return keep_rows(docs, keep)

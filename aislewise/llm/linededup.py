@@ -26,11 +26,11 @@ BUCKETS = 8192  # counts of words are kept for so many buckets, whatever the cor
 LINE = ["doc_id", "row", "line_no"]  # a line's place; in this order lines are earlier or later
 
 
-def with_row(docs: DataFrame) -> DataFrame:
+def with_row(docs: DataFrame, *carried: Column) -> DataFrame:
     """(doc_id, row, text): ``row`` tells rows of one id apart; rows equal in both are one document."""
     text = F.coalesce("text", F.lit(""))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id")
-    return docs.select(key, F.xxhash64(text).alias("row"), text.alias("text"))
+    return docs.select(key, F.xxhash64(text).alias("row"), text.alias("text"), *carried)
 
 
 def word_hashes(line: Column) -> Column:
@@ -150,8 +150,9 @@ def later_matches(members: DataFrame, tokens: DataFrame, percent: int) -> DataFr
     return stored(done.unionByName(more).distinct(), "line-later")
 
 
-def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
+def dedup_lines(docs: DataFrame, percent: int = 80, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_lines, n_removed, text) of every row: its text without lines that match an earlier line.
+    Columns named in ``carry`` come along in a struct of that name.
 
     Two lines match when 100 * intersection >= percent * union of their sets of lower-cased words, cut at
     blanks and tabs.  Earlier means a smaller (doc_id, hash of the text, line number); a null id is
@@ -182,9 +183,11 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     by_row = marked.groupBy("doc_id", "row").agg(flags.alias("gone")).filter(F.exists("gone", lambda g: g))
     split = F.split("text", "\n")
     kept = F.filter(split, lambda _, i: ~F.get("gone", i))
-    return rows.join(by_row, ["doc_id", "row"], "left").select(
+    whole = with_row(docs, F.struct(*carry).alias("carry")) if carry else rows
+    return whole.join(by_row, ["doc_id", "row"], "left").select(
         F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"),
         F.size(split).cast("long").alias("n_lines"),
         F.when(F.col("gone").isNull(), 0).otherwise(F.size(split) - F.size(kept)).cast("long").alias("n_removed"),
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
+        *(["carry"] if carry else []),
     )

@@ -72,7 +72,7 @@ def op10_rule_quality(spark, sf):
 
 @add("op9_jaccard_join")
 def op9_jaccard_join(spark, sf):
-    return jaccard_components(read(spark, sf, "documents"))
+    return jaccard_components(read(spark, sf, "documents")).drop("row")
 
 
 OP8_SQL = """
