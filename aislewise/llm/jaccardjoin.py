@@ -289,5 +289,5 @@ def one_of_each(docs: DataFrame, joined: DataFrame) -> DataFrame:
     named = joined.filter(F.col("component_id").eqNullSafe(F.col("doc_id")))
     keys = named.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("kept_id"), F.col("row").alias("kept_row")).distinct()
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    hit = (key == F.col("kept_id")) & (row_of("text") == F.col("kept_row"))
+    hit = (key == keys["kept_id"]) & (row_of("text") == keys["kept_row"])
     return docs.join(keys, hit, "left_semi").dropDuplicates(["doc_id", "text"])
