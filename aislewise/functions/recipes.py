@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from aislewise.functions.lexicon import Lexicon
-from aislewise.functions.text import LETTERS, clean_ingredient, contains_any, strip, words_of
+from aislewise.functions.text import clean_ingredient, contains_any, strip, words_of
 
 
 def _blank(col: Column) -> Column:
@@ -15,7 +15,7 @@ def _blank(col: Column) -> Column:
 
 def is_pantry(name: Column, lex: Lexicon) -> Column:
     known = (*lex.pantry, *lex.not_food)
-    return strip(F.lower(_blank(name))).isin(*known) | clean_ingredient(name).isin(*known)
+    return strip(F.lower(_blank(name))).isin(*known) | clean_ingredient(name, lex).isin(*known)
 
 
 def is_organic(name: Column, category: Column, tags: Column, lex: Lexicon) -> Column:
@@ -40,16 +40,27 @@ def is_derived_form(name: Column, category: Column, ingredient: Column, lex: Lex
     return ~explicit & veto
 
 
+def _has_dairy(text: Column, lex: Lexicon) -> Column:
+    """A dairy term anywhere, once words that only look like one are cut out."""
+    plain = text
+    for word in lex.dairy_lookalikes:
+        plain = F.replace(plain, F.lit(word), F.lit(" "))
+    return contains_any(plain, lex.dairy_inside)
+
+
+def _forbidden(text: Column, vegan: Column, lex: Lexicon) -> Column:
+    """The text names something that the vegan, or else the vegetarian, diet rules out."""
+    strict = contains_any(text, lex.animal, True) | _has_dairy(text, lex)
+    return contains_any(text, lex.embedded_fish) | F.when(vegan, strict).otherwise(contains_any(text, lex.meat_fish, True))
+
+
 def product_breaks_diet(name: Column, category: Column, diet: Column, lex: Lexicon) -> Column:
     text = F.lower(F.concat_ws(" ", _blank(name), _blank(category)))
     vegan = diet == "veganskt"
-    shared = contains_any(text, lex.embedded_fish) | contains_any(text, lex.english_meat)
-    strict = (
-        contains_any(text, lex.animal, True)
-        | F.regexp_like(text, F.lit("(?<!r)ost"))
-        | (F.contains(text, F.lit("majonnäs")) & ~F.contains(text, F.lit("vegan")))
-    )
-    breaks = shared | F.when(vegan, strict).otherwise(contains_any(text, lex.meat_fish, True))
+    unexcused = F.lit(False)
+    for term, excuse in lex.excused:
+        unexcused = unexcused | (F.contains(text, F.lit(term)) & ~F.contains(text, F.lit(excuse)))
+    breaks = _forbidden(text, vegan, lex) | contains_any(text, lex.english_meat) | (vegan & unexcused)
     return F.coalesce(diet.isNotNull() & breaks, F.lit(False))
 
 
@@ -64,15 +75,29 @@ def valid_candidate(
     )
 
 
-_VEGO = rf"(?:växtbasera[\p{{L}}\p{{N}}_]*|vegansk[\p{{L}}\p{{N}}_]*|vegan|vego)[\s-]*[{LETTERS}]*"
+def without_imitations(text: Column, lex: Lexicon) -> Column:
+    """Text without imitation words; one that is an adjective or stands alone takes the next word with it."""
+    words = F.split(F.regexp_replace(text, "-", " "), r"\s+")
+
+    def describes(word: Column) -> Column:
+        adjective = F.lit(False)
+        for start in lex.imitations:
+            adjective = adjective | F.startswith(word, F.lit(start))
+        return F.coalesce(adjective | word.isin(*lex.imitation_words), F.lit(False))
+
+    def compound(word: Column) -> Column:
+        out = F.lit(False)
+        for start in lex.imitation_words:
+            out = out | F.startswith(word, F.lit(start))
+        return out
+
+    real = F.filter(words, lambda w, i: ~describes(w) & ~compound(w) & ~describes(F.get(words, i - 1)))
+    return F.array_join(real, " ")
 
 
 def word_veto(text: Column, diet: Column, lex: Lexicon) -> Column:
-    """The recipe text names something the diet forbids; imitation phrases are cut out first."""
-    plain = F.regexp_replace(F.lower(_blank(text)), _VEGO, " ")
-    strict = contains_any(plain, lex.animal, True) | F.regexp_like(plain, F.lit("(?<!r)ost"))
-    mild = contains_any(plain, lex.meat_fish, True)
-    return contains_any(plain, lex.embedded_fish) | F.when(diet == "veganskt", strict).otherwise(mild)
+    """The recipe text names something the diet forbids; imitations are cut out first."""
+    return _forbidden(without_imitations(F.lower(_blank(text)), lex), diet == "veganskt", lex)
 
 
 def diet_match(tag: Column, text: Column, diet: Column, lex: Lexicon) -> Column:

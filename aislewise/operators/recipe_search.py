@@ -25,7 +25,7 @@ def match_index(lines: DataFrame, catalogue: DataFrame, lex: Lexicon, n: int = 1
     Each distinct raw name is turned into search terms once, each distinct term searched once,
     and the short candidate lists joined back to the lines.
     """
-    names = lines.select("name").distinct().withColumn("term", F.explode(search_terms(F.col("name"), lex.states)))
+    names = lines.select("name").distinct().withColumn("term", F.explode(search_terms(F.col("name"), lex)))
     terms = names.select(F.col("term").alias("query_id"), F.col("term").alias("query")).distinct()
     hits = fuzzy_search(terms, catalogue, lex, n=n).withColumnRenamed("query_id", "term")
     scores = names.join(hits, "term").select("name", "product_id", "score")

@@ -67,7 +67,7 @@ def paren_alternatives(spark, sf):
         "l_orderkey",
         "l_linenumber",
         "l_partkey",
-        F.array_join(X.paren_alternatives(inside, Lexicon().states), ",").alias("alternatives"),
+        F.array_join(X.paren_alternatives(inside), ",").alias("alternatives"),
     )
 
 
@@ -77,7 +77,7 @@ def search_terms(spark, sf):
     # Every distinct text is taken apart once; the lines then look their terms up.
     text = F.concat("qty", F.lit(" dl "), "p_name", F.lit(" eller "), F.lower("p_type"))
     rows = lines(spark, sf).select("l_orderkey", "l_linenumber", "l_partkey", text.alias("text"))
-    terms = F.array_join(X.search_terms(F.col("text"), Lexicon().states), "|")
+    terms = F.array_join(X.search_terms(F.col("text")), "|")
     known = rows.select("text").distinct().select("text", terms.alias("terms"))
     return rows.join(known, "text").drop("text")
 
@@ -288,8 +288,8 @@ def is_non_meal(spark, sf):
     )
 
 
-@add("protein_source", RECIPE_TEXT + """ select o_orderkey, case o_orderkey % 5 when 0 then 'kyckling' when 1 then 'fisk'
-     when 2 then 'vego' else 'övrigt' end as source from t""")
+@add("protein_source", RECIPE_TEXT + """ select o_orderkey, case o_orderkey % 5 when 0 then 'fågel' when 1 then 'fisk'
+     when 2 then 'växter' else 'övrigt' end as source from t""")
 def protein_source(spark, sf):
     return recipe_text(spark, sf).select("o_orderkey", P.protein_source(F.col("name"), Lexicon()).alias("source"))
 
@@ -360,7 +360,7 @@ TEXT_LINES = """select conv_id, turn, text, string_split(text || chr(10) || '{"n
             case when starts_with(line, chr(123)) then 3e0 / 2 end as x1 from f)
      select conv_id, turn, line_no, name, x1 from t
      where name <> '' and (x1 is not null or (not regexp_matches(lower(name),
-        'per kilo|per kg|jmf|/förp|förp|klubb|the price|the product|reads:|visible|image')
+        '{"|".join(Lexicon().label_noise)}')
         and not regexp_full_match(regexp_replace(name, '[ .,:-]', '', 'g'), '\\d+')))""")
 def parse_label_lines(spark, sf):
     extra = F.concat(
