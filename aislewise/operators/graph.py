@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from aislewise.session import cut_lineage
 
-MAX_ROUNDS = 200
-
 
 def components(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     """(key, node, label) with label = lowest node of the component.
@@ -19,7 +17,7 @@ def components(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     both = edges.select(key, "a", "b").unionByName(edges.select(key, F.col("b").alias("a"), F.col("a").alias("b")))
     both = cut_lineage(both.filter("a <> b").distinct())
     labels = cut_lineage(nodes.select(key, "node", F.col("node").alias("label")))
-    for _ in range(MAX_ROUNDS):
+    while True:  # labels only fall, so this ends
         offers = (
             both.join(labels.select(key, F.col("node").alias("b"), "label"), [key, "b"])
             .groupBy(key, F.col("a").alias("node"))
@@ -35,4 +33,3 @@ def components(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
         labels = jumped.drop("old")
         if jumped.filter("label < old").isEmpty():
             return labels
-    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

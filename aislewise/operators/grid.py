@@ -19,7 +19,6 @@ from aislewise.operators.quantiles import quantiles
 from aislewise.session import cut_lineage
 
 TILE = 32
-MAX_CELLS = 50_000_000
 _STEPS = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i, j) != (0, 0)]
 
 
@@ -67,10 +66,16 @@ def map_bounds(points: DataFrame, key: str, margin: float = 1.0) -> DataFrame:
 
 
 def occupancy_grid(
-    points: DataFrame, key: str, cell: float = 0.10, margin: float = 1.0, min_points: int = 100, **band
+    points: DataFrame,
+    key: str,
+    cell: float = 0.10,
+    margin: float = 1.0,
+    min_points: int = 100,
+    max_cells: int | None = None,
+    **band,
 ) -> tuple[DataFrame, DataFrame]:
-    """(obstacle cells, one meta row per map).  Maps with too few points or an unreasonable
-    extent have ``ok`` false and no cells."""
+    """(obstacle cells, one meta row per map).  Maps with too few points, or above ``max_cells``
+    where that is asked for, have ``ok`` false and no cells."""
     bounds = map_bounds(points, key, margin).join(height_bounds(points, key, **band), key)
     meta = (
         bounds.withColumn("nx", F.ceil((F.col("x_max") - F.col("x_min")) / cell).cast("int"))
@@ -80,7 +85,7 @@ def occupancy_grid(
             (F.col("n_points") >= min_points)
             & (F.col("nx") > 0)
             & (F.col("nz") > 0)
-            & (F.col("nx").cast("long") * F.col("nz") <= MAX_CELLS),
+            & (F.lit(True) if max_cells is None else F.col("nx").cast("long") * F.col("nz") <= max_cells),
         )
     )
     rows = points.select(key, "x", "y", "z").join(meta.filter("ok"), key)
@@ -335,46 +340,75 @@ def free_components(walls: DataFrame, meta: DataFrame, key: str) -> DataFrame:
     return cells.join(largest, key).withColumn("walkable", F.col("label") == F.col("_main")).drop("_main")
 
 
-def snap_to_free(asks: DataFrame, cells: DataFrame, key: str, reach: int = 50) -> DataFrame:
-    """Nearest walkable cell for each (key, ix, iz), ring by ring; any free cell as fallback.
+RINGS = (1, 6, 18, 50)  # searched around a cell before the search goes on by tiles
+_OFFSET = ["ix", "iz"]
 
-    Equal rings are searched by rising x offset, then z offset.  Only the distinct cells that
-    are still unresolved go on to the next, wider batch of rings.
+
+def _nearest(todo: DataFrame, targets: DataFrame, key: str) -> DataFrame:
+    """(key, ix, iz, to_ix, to_iz, r) of the nearest target of each distinct cell whose map has one.
+
+    Rings first; cells with nothing near look for the nearest tile that holds a target, by the same search
+    on tiles, and then through the tiles of that ring and the next, where the nearest cell must be.
     """
-    todo = cut_lineage(asks.select(key, "ix", "iz").distinct())
-    found: DataFrame | None = None
-    for only_main in (True, False):
-        targets = cells.filter("walkable") if only_main else cells
-        targets = targets.select(key, F.col("ix").alias("to_ix"), F.col("iz").alias("to_iz"))
-        low = 0
-        for high in (1, 6, 18, reach):
-            low, high = min(low, reach), min(high, reach)
-            if todo.isEmpty():
-                break
-            span = F.sequence(F.lit(-high), F.lit(high))
-            tried = todo.withColumn("_a", F.explode(span)).withColumn("_b", F.explode(span))
-            ring = F.greatest(F.abs("_a"), F.abs("_b"))
-            tried = tried.withColumn("_r", ring).filter(F.col("_r") >= low)
-            tried = tried.withColumn("to_ix", F.col("ix") + F.col("_a")).withColumn("to_iz", F.col("iz") + F.col("_b"))
-            best = (
-                tried.join(targets, [key, "to_ix", "to_iz"])
-                .groupBy(key, "ix", "iz")
-                .agg(F.min(F.struct("_r", "_a", "_b")).alias("_s"))
-                .select(
-                    key,
-                    "ix",
-                    "iz",
-                    (F.col("ix") + F.col("_s._a")).alias("to_ix"),
-                    (F.col("iz") + F.col("_s._b")).alias("to_iz"),
-                )
-            )
-            best = cut_lineage(best)
-            found = best if found is None else found.unionByName(best)
-            todo = cut_lineage(todo.join(best, [key, "ix", "iz"], "left_anti"))
-            low = high + 1
-    if found is None:
-        return todo.select(key, "ix", "iz", F.col("ix").alias("to_ix"), F.col("iz").alias("to_iz"))
-    return found
+    todo = cut_lineage(todo.join(targets.select(key).distinct(), key, "left_semi"))
+    out: DataFrame | None = None
+    low = 0
+    for high in RINGS:
+        if todo.isEmpty():
+            break
+        span = F.sequence(F.lit(-high), F.lit(high))
+        tried = todo.withColumn("_a", F.explode(span)).withColumn("_b", F.explode(span))
+        tried = tried.withColumn("_r", F.greatest(F.abs("_a"), F.abs("_b"))).filter(F.col("_r") >= low)
+        tried = tried.withColumn("to_ix", F.col("ix") + F.col("_a")).withColumn("to_iz", F.col("iz") + F.col("_b"))
+        best = cut_lineage(_closest(tried.join(targets, [key, "to_ix", "to_iz"]), key))
+        out = best if out is None else out.unionByName(best)
+        todo = cut_lineage(todo.join(best, [key, "ix", "iz"], "left_anti"))
+        low = high + 1
+    if not todo.isEmpty():
+        tile = lambda c: F.floor(F.col(c) / TILE).cast("int")
+        tiled = targets.select(key, tile("to_ix").alias("to_tx"), tile("to_iz").alias("to_tz"), "to_ix", "to_iz")
+        tiled = cut_lineage(tiled)
+        asked = todo.select(key, *_OFFSET, tile("ix").alias("tx"), tile("iz").alias("tz"))
+        by_tile = _nearest(
+            asked.select(key, F.col("tx").alias("ix"), F.col("tz").alias("iz")).distinct(),
+            tiled.select(key, F.col("to_tx").alias("to_ix"), F.col("to_tz").alias("to_iz")).distinct(),
+            key,
+        ).select(key, F.col("ix").alias("tx"), F.col("iz").alias("tz"), F.col("r").alias("_ring"))
+        near = asked.join(by_tile, [key, "tx", "tz"])
+        span = F.sequence(-F.col("_ring") - 1, F.col("_ring") + 1)
+        near = near.withColumn("_i", F.explode(span)).withColumn("_j", F.explode(span))
+        near = near.filter(F.greatest(F.abs("_i"), F.abs("_j")) >= F.col("_ring")).select(
+            key, *_OFFSET, (F.col("tx") + F.col("_i")).alias("to_tx"), (F.col("tz") + F.col("_j")).alias("to_tz")
+        )
+        met = near.join(tiled, [key, "to_tx", "to_tz"])
+        met = met.withColumn("_a", F.col("to_ix") - F.col("ix")).withColumn("_b", F.col("to_iz") - F.col("iz"))
+        far = cut_lineage(_closest(met.withColumn("_r", F.greatest(F.abs("_a"), F.abs("_b"))), key))
+        out = far if out is None else out.unionByName(far)
+    if out is None:
+        return todo.select(key, *_OFFSET, F.col("ix").alias("to_ix"), F.col("iz").alias("to_iz"), F.lit(0).alias("r"))
+    return out
+
+
+def _closest(tried: DataFrame, key: str) -> DataFrame:
+    best = tried.groupBy(key, *_OFFSET).agg(F.min(F.struct("_r", "_a", "_b")).alias("_s"))
+    return best.select(
+        key, *_OFFSET, (F.col("ix") + F.col("_s._a")).alias("to_ix"), (F.col("iz") + F.col("_s._b")).alias("to_iz"),
+        F.col("_s._r").alias("r"),
+    )
+
+
+def snap_to_free(asks: DataFrame, cells: DataFrame, key: str) -> DataFrame:
+    """Nearest walkable cell for each distinct (key, ix, iz), however far; any free cell where a map has no
+    walkable one, and null where it has no free cell at all.
+
+    Equal rings are ordered by x offset, then z offset.
+    """
+    todo = cut_lineage(asks.select(key, *_OFFSET).distinct())
+    named = cells.select(key, F.col("ix").alias("to_ix"), F.col("iz").alias("to_iz"), "walkable")
+    main = _nearest(todo, cut_lineage(named.filter("walkable").drop("walkable")), key)
+    rest = todo.join(main, [key, *_OFFSET], "left_anti")
+    other = _nearest(rest, cut_lineage(named.drop("walkable")), key)
+    return todo.join(main.unionByName(other).drop("r"), [key, *_OFFSET], "left")
 
 
 # Routes ------------------------------------------------------------------------------
@@ -470,28 +504,37 @@ def tile_roads(walls: DataFrame, meta: DataFrame, stops: DataFrame, key: str) ->
     return roads.unionByName(crossing)
 
 
-def route_length(
-    asks: DataFrame, walls: DataFrame, meta: DataFrame, key: str, cell: float, max_rounds: int = 5000
-) -> DataFrame:
-    """Shortest walking length in metres for (ask_id, key, start_x, start_z, goal_x, goal_z).
+def route_length(asks: DataFrame, walls: DataFrame, meta: DataFrame, key: str, cell: float) -> DataFrame:
+    """Shortest walking length in metres for (ask_id, key, start_x, start_z, goal_x, goal_z), a row per ask.
 
-    Ends are snapped to the walkable region.  Distances spread from the distinct start cells
-    over tile borders, two hops per round, and only improved nodes go on.
+    ``reason`` says why an ask has no route: 'no map', 'start outside', 'goal outside', 'no free cell' or
+    'no way'.  Ends are snapped to the walkable region.  Distances spread from the distinct start cells
+    over tile borders, two hops per round, and only improved nodes go on, until none improves.
     """
-    cells = free_components(walls, meta, key)
-    rows = asks.join(meta.select(key, "nx", "nz", "x_min", "z_min"), key)
+    cells = cut_lineage(free_components(walls, meta, key))
+    maps = meta.filter("ok") if "ok" in meta.columns else meta
+    rows = asks.join(maps.select(key, "nx", "nz", "x_min", "z_min"), key, "left")
     for end in ("start", "goal"):
         rows = rows.withColumn(f"{end}_ix", world_to_cell(F.col(f"{end}_x"), F.col("x_min"), cell)).withColumn(
             f"{end}_iz", world_to_cell(F.col(f"{end}_z"), F.col("z_min"), cell)
         )
-    valid = F.lit(True)
-    for end in ("start", "goal"):
-        valid = valid & F.col(f"{end}_ix").between(0, F.col("nx") - 1) & F.col(f"{end}_iz").between(0, F.col("nz") - 1)
-    rows = cut_lineage(rows.filter(valid))
+
+    def inside(end: str):
+        return F.coalesce(
+            F.col(f"{end}_ix").between(0, F.col("nx") - 1) & F.col(f"{end}_iz").between(0, F.col("nz") - 1), F.lit(False)
+        )
+
+    refused = (
+        F.when(F.col("nx").isNull(), "no map")
+        .when(~inside("start"), "start outside")
+        .when(~inside("goal"), "goal outside")
+    )
+    every = cut_lineage(rows.withColumn("reason", refused))
+    rows = every.filter("reason is null")
     wanted = rows.select(key, F.col("start_ix").alias("ix"), F.col("start_iz").alias("iz")).unionByName(
         rows.select(key, F.col("goal_ix").alias("ix"), F.col("goal_iz").alias("iz"))
     )
-    snapped = snap_to_free(wanted, cut_lineage(cells), key)
+    snapped = cut_lineage(snap_to_free(wanted, cells, key).filter("to_ix is not null"))
     for end in ("start", "goal"):
         rows = rows.join(
             snapped.select(
@@ -526,7 +569,7 @@ def route_length(
             .agg(F.min(F.col("d") + F.col("w")).alias("d"))
         )
 
-    for _ in range(max_rounds):
+    while not best.filter("fresh").isEmpty():  # a node's distance only falls, so this ends
         once = hop(best.filter("fresh"))
         twice = hop(once)
         offers = once.unionByName(twice)
@@ -541,15 +584,17 @@ def route_length(
                 key, "src", "node", "d", F.coalesce(F.col("d") < F.col("was") - 1e-9, F.lit(True)).alias("fresh")
             )
         )
-        if best.filter("fresh").isEmpty():
-            break
-    else:
-        raise RuntimeError("routes did not settle")
     reached = best.select(key, F.col("src").alias("start_node"), F.col("node").alias("goal_node"), "d")
-    return rows.join(reached, [key, "start_node", "goal_node"], "left").select(
+    routes = rows.join(reached, [key, "start_node", "goal_node"], "left").drop(key)
+    answered = every.select("ask_id", key, "reason").join(routes, "ask_id", "left")
+    reason = F.coalesce(
+        "reason", F.when(F.col("start_node").isNull(), "no free cell"), F.when(F.col("d").isNull(), "no way")
+    )
+    return answered.select(
         "ask_id",
         key,
         F.col("d").isNotNull().alias("ok"),
+        reason.alias("reason"),
         (F.col("d") * cell).alias("length_m"),
         "start_node",
         "goal_node",

@@ -143,22 +143,23 @@ def depth_filter(
     near: float = 0.1,
     far: float = 5.0,
     min_confidence: int = 1,
-    per_frame: int = 300,
-    total: int = 500_000,
+    per_frame: int | None = None,
+    total: int | None = None,
     scan: str | None = None,
 ) -> DataFrame:
-    """Usable depth points, the first ``per_frame`` of each frame in scan order and the
-    first ``total`` of each scan."""
+    """Usable depth points; where a phone's upload limits are asked for, the first ``per_frame`` of each
+    frame in scan order and the first ``total`` of each scan."""
     good = points.filter(
         (F.col("depth") > near) & (F.col("depth") < far) & (F.col("confidence") >= min_confidence)
     )
     scan_keys = [scan] if scan else []
-    seq = Sequence(good, [*scan_keys, frame], [order]).index("_i")
-    capped = seq.df.filter(F.col("_i") <= per_frame).drop("_i")
+    if per_frame is not None:
+        good = Sequence(good, [*scan_keys, frame], [order]).index("_i").df.filter(F.col("_i") <= per_frame).drop("_i")
+    if total is None:
+        return good
     if scan is None:
-        capped = capped.withColumn("_all", F.lit(0))
-        return Sequence(capped, ["_all"], [order]).index("_t").df.filter(F.col("_t") <= total).drop("_t", "_all")
-    return Sequence(capped, [scan], [order]).index("_t").df.filter(F.col("_t") <= total).drop("_t")
+        good = good.withColumn("_all", F.lit(0))
+    return Sequence(good, [scan or "_all"], [order]).index("_t").df.filter(F.col("_t") <= total).drop("_t", "_all")
 
 
 def wrap_angle(angle: Column) -> Column:

@@ -106,7 +106,7 @@ def gap_groups(spark, sf):
      select map_id, frame, point_id from totals where t <= 500000""")
 def depth_point_filter(spark, sf):
     points = view(spark, sf, "point").select("map_id", "frame", "point_id", "depth", "confidence")
-    return T.depth_filter(points, "frame", "point_id", per_frame=12, scan="map_id").select("map_id", "frame", "point_id")
+    return T.depth_filter(points, "frame", "point_id", per_frame=12, total=500_000, scan="map_id").select("map_id", "frame", "point_id")
 
 
 DEAD_SQL = """select *, is_fix and inliers >= 25 as ok, x + 1e0 as fix_x, z * 0.5e0 as fix_z,

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aislewise.functions.text import slug, strip
+from aislewise.session import cut_lineage
 
 _PRODUCT = """name string, title string, brand string, brandName string,
   price struct<amount:string,current:string,price:string,comparison:string>,
@@ -120,36 +121,32 @@ def _array() -> str:
     return f"array<struct<{_field_list()}>>"
 
 
-DEPTH = 4
-
-
-def _tree_schema(depth: int) -> str:
-    inner = f",childCategories:array<{_tree_schema(depth - 1)}>" if depth > 1 else ""
-    return f"struct<name:string,categoryId:string{inner}>"
+_NODE = "struct<name:string,categoryId:string,childCategories:array<string>>"
 
 
 def flatten_categories(answers: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Leaf categories (keys, id, path 'A > B > C') of nested answers (body), at most four levels."""
+    """Leaf categories (keys, id, path 'A > B > C') of nested answers (body), of any depth.
+
+    Children stay JSON text until their level is read, so the loop ends when no node has any.
+    """
     body = F.when(F.startswith(F.trim("body"), F.lit("[")), F.concat(F.lit('{"categories":'), "body", F.lit("}")))
     wrapped = F.coalesce(
         body,
         F.when(F.regexp_like("body", F.lit(r'^\s*\{\s*"categories"')), F.col("body")),
         F.concat(F.lit('{"categories":['), "body", F.lit("]}")),
     )
-    schema = f"categories array<{_tree_schema(DEPTH)}>"
-    level = answers.select(
-        *keys, F.explode(F.from_json(wrapped, schema)["categories"]).alias("_n"), F.lit("").alias("_up")
-    )
+    texts = F.from_json(wrapped, "categories array<string>")["categories"]
+    level = answers.select(*keys, F.explode(texts).alias("_text"), F.lit("").alias("_up"))
     out = None
-    for depth in range(DEPTH):
+    while True:
         name = strip(F.coalesce("_n.name", F.lit("")))
         path = F.when(F.col("_up") == "", name).otherwise(F.concat_ws(" > ", "_up", name))
-        level = level.withColumn("_path", path)
-        deepest = depth == DEPTH - 1
-        childless = F.lit(True) if deepest else F.coalesce(F.size("_n.childCategories") <= 0, F.lit(True))
-        named = (name != "") & (F.coalesce("_n.categoryId", F.lit("")) != "")
+        level = level.withColumn("_n", F.from_json("_text", _NODE)).withColumn("_path", path)
+        level = cut_lineage(level.drop("_text", "_up"))
+        childless = F.coalesce(F.size("_n.childCategories") <= 0, F.lit(True))
+        named = (F.coalesce("_n.name", F.lit("")) != "") & (F.coalesce("_n.categoryId", F.lit("")) != "")
         leaves = level.filter(childless & named).select(*keys, F.col("_n.categoryId").alias("id"), F.col("_path").alias("path"))
         out = leaves if out is None else out.unionByName(leaves)
-        if not deepest:
-            level = level.select(*keys, F.explode("_n.childCategories").alias("_n"), F.col("_path").alias("_up"))
-    return out
+        level = level.select(*keys, F.explode("_n.childCategories").alias("_text"), F.col("_path").alias("_up"))
+        if level.isEmpty():
+            return out

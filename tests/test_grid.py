@@ -96,6 +96,24 @@ def test_snap_prefers_ring_then_scan_order(spark):
     assert got == {(4, 4): (3, 5), (5, 3): (5, 3)}
 
 
+def test_snap_reaches_far_cells_and_keeps_every_ask(spark):
+    schema = "m int, ix int, iz int, label long, walkable boolean"
+    cells = spark.createDataFrame([(1, 900, 10, 0, True), (1, 10, 905, 0, True), (1, 0, 3, 7, False), (3, 5, 5, 1, False)], schema)
+    asks = spark.createDataFrame([(1, 0, 0), (1, 899, 500), (2, 1, 1), (3, 200, 5)], "m int, ix int, iz int")
+    got = {(r["m"], r["ix"], r["iz"]): (r["to_ix"], r["to_iz"]) for r in G.snap_to_free(asks, cells, "m").collect()}
+    assert got == {(1, 0, 0): (900, 10), (1, 899, 500): (900, 10), (2, 1, 1): (None, None), (3, 200, 5): (5, 5)}
+
+
+def test_every_route_ask_is_answered(spark, world):
+    walls, cells, meta = world
+    inside = sorted(max(regions(walls), key=len))[0]
+    x, z = inside[0] * 0.5 + 0.2, inside[1] * 0.5 + 0.2
+    rows = [(0, 1, x, z, x, z), (1, 1, -50.0, z, x, z), (2, 1, x, z, x, 9e4), (3, 77, x, z, x, z)]
+    df = spark.createDataFrame(rows, "ask_id long, m int, start_x double, start_z double, goal_x double, goal_z double")
+    got = {r["ask_id"]: (r["ok"], r["reason"]) for r in G.route_length(df, cells, meta, "m", 0.5).collect()}
+    assert got == {0: (True, None), 1: (False, "start outside"), 2: (False, "goal outside"), 3: (False, "no map")}
+
+
 def test_line_of_sight(spark, world):
     _, cells, meta = world
     free = spark.createDataFrame([(1, 2, 2)], "m int, ix int, iz int")

@@ -80,6 +80,14 @@ def test_category_tree(spark):
     assert sorted((r["id"], r["path"]) for r in got) == sorted([("4", "A > B > C > D"), ("5", "A > E")] * 3)
 
 
+def test_deep_category_tree(spark):
+    node = {"name": "L9", "categoryId": "9"}
+    for k in range(8, -1, -1):
+        node = {"name": f"L{k}", "categoryId": str(k), "childCategories": [node]}
+    got = A.flatten_categories(spark.createDataFrame([(json.dumps(node),)], "body string")).collect()
+    assert [(r["id"], r["path"]) for r in got] == [("9", " > ".join(f"L{k}" for k in range(10)))]
+
+
 def test_catalogue_file(spark, tmp_path):
     (tmp_path / "c.csv").write_text(
         "id,name,brand,category,department,price,unit_price,promo_price,promo_text,image,tags\n"
