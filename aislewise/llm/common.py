@@ -98,6 +98,36 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_HASHES.__getitem__, words), U64, len(words))
 
 
+_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+_LOWER = np.arange(256)
+_LOWER[65:91] += 32
+_BYTE = np.random.default_rng(4242).integers(0, 1 << 64, 256, np.uint64)[_LOWER]
+_POWER = 0xD6E8FEB86659FD93
+
+
+def lowered_word_hashes(many: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of many texts, and where each text's words begin, with the end last.
+
+    Words are cut at ASCII white space; ASCII capitals hash like small letters.  One pass over the joined
+    bytes: a word's hash is the sum of its bytes' random values times powers of a constant.
+    """
+    flat = np.frombuffer(b" ".join([b"", *many]), np.uint8)
+    solid = np.concatenate((~_SPACE[flat], [False]))
+    starts = np.flatnonzero(solid[1:] & ~solid[:-1]) + 1
+    text_at = np.cumsum([1 + len(t) for t in many])[: len(many)] if many else np.empty(0, np.int64)
+    begins = np.searchsorted(starts, np.concatenate(([0], text_at)))
+    if not len(starts):
+        return np.empty(0, U64), begins
+    at = np.flatnonzero(solid)
+    sizes = np.diff(np.searchsorted(at, np.append(starts, len(solid))))
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(len(at)) - np.repeat(first, sizes)
+    power = np.full(int(sizes.max()), _POWER, U64)
+    power[0] = 1
+    values = _BYTE[flat[at]] * np.multiply.accumulate(power)[place]
+    return mix(np.add.reduceat(values, first)), begins
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit over all others."""
     h = (h ^ (h >> U64(32))) * U64(0xD6E8FEB86659FD93)

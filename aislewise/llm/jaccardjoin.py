@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aislewise.llm.common import (
-    U64, map_batches, mix, record, release, shingles, signed, slices, stored, utf8, word_hashes,
+    U64, lowered_word_hashes, map_batches, mix, record, release, shingles, signed, slices, stored, utf8,
 )
 from aislewise.operators.graph import components
 
@@ -34,15 +34,20 @@ BUCKET_BITS = 20  # counts of n-grams are kept for 2**20 buckets, whatever the c
 BLOCK = 4096  # buckets a row of counts
 
 
-def gram_set(raw: bytes, width: int) -> np.ndarray:
-    """Sorted hashes of the distinct n-grams: ASCII letters lower-cased, words cut at ASCII white space.
+def gram_sets(many: list[bytes], width: int) -> list[np.ndarray]:
+    """Sorted hashes of each text's distinct n-grams: ASCII letters lower-cased, words cut at ASCII white space.
 
     A text of fewer words than ``width`` has its whole word sequence as the only element.
     """
-    h = word_hashes(raw.lower().split())
-    if 0 < len(h) < width:
-        return mix(shingles(h, len(h)) + U64(len(h)))
-    return np.unique(shingles(h, width))
+    h, begins = lowered_word_hashes(many)
+    grams = shingles(h, width)
+    out = []
+    for a, b in zip(begins.tolist(), begins[1:].tolist(), strict=False):
+        if b - a >= width:
+            out.append(np.unique(grams[a : b - width + 1]))
+        else:
+            out.append(mix(shingles(h[a:b], b - a) + U64(b - a)) if b > a else h[:0])
+    return out
 
 
 def set_id(grams: np.ndarray) -> int:
@@ -54,6 +59,10 @@ def row_of(text: str) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def own_id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+
+
 SCAN = "doc_id long, row long, n long, sid long, block int, counts binary"
 
 
@@ -63,8 +72,8 @@ def scan_sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
         counts = np.zeros(1 << BUCKET_BITS, np.int64)
         for whole in batches:
-            for batch in slices(whole, "text"):
-                sets = [gram_set(r, width) for r in utf8(batch.column("text"))]
+            for batch in slices(whole, "text", 4 << 20):
+                sets = gram_sets(utf8(batch.column("text")), width)
                 counts += np.bincount((np.concatenate(sets) >> U64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts))
                 none = [None] * len(sets)
                 yield record(
@@ -118,10 +127,9 @@ def postings(docs: DataFrame, crowd: np.ndarray, width: int, percent: int) -> Da
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 4 << 20):
                 grams, sids, sizes, prefix = [], [], [], []
-                for raw in utf8(batch.column("text")):
-                    s = gram_set(raw, width)
+                for s in gram_sets(utf8(batch.column("text")), width):
                     if len(s):
                         take = len(s) - -(-len(s) * percent // 100) + 1
                         order = np.lexsort((s, held.value[(s >> U64(64 - BUCKET_BITS)).astype(np.int64)]))
@@ -157,19 +165,12 @@ def list_members(posted: DataFrame) -> DataFrame:
     return stored(posted.join(lists.select("gram", "pivot"), "gram").distinct(), "join-lists")
 
 
-def texts_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(sid, text): one text of each wanted set."""
-    reps = classes.join(wanted, "sid").select("doc_id", "sid")
-
-    def run(batches):
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                sets = [gram_set(r, width) for r in utf8(batch.column("text"))]
-                same = [len(s) > 0 and set_id(s) == w for s, w in zip(sets, batch.column("sid").to_pylist(), strict=True)]
-                yield batch.select(["sid", "text"]).filter(pa.array(same, pa.bool_()))
-
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(reps, "doc_id").select("sid", "text")
-    return stored(map_batches(rows, run, "sid long, text string").dropDuplicates(["sid"]), "join-texts")
+def texts_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(sid, text): one text of each set in pairs (a, b)."""
+    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+    reps = classes.join(wanted, "sid").select("sid", "rep.doc_id", "rep.row")
+    texts = docs.select(own_id().alias("doc_id"), row_of("text").alias("row"), "text")
+    return stored(texts.join(reps, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"]).select("sid", "text"), "join-texts")
 
 
 def compared(pairs: DataFrame, held: DataFrame, width: int) -> DataFrame:
@@ -180,14 +181,13 @@ def compared(pairs: DataFrame, held: DataFrame, width: int) -> DataFrame:
     def run(batches):
         last, other = None, None
         for whole in batches:
-            for batch in slices(whole, "text_a"):
+            for batch in slices(whole, "text_a", 4 << 20):
                 a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-                left, right = batch.column("text_a"), batch.column("text_b")
+                right = batch.column("text_b")
                 shared, together = [], []
-                for i in range(batch.num_rows):
+                for i, s in enumerate(gram_sets(utf8(batch.column("text_a")), width)):
                     if b[i] != last:
-                        last, other = b[i], gram_set((right[i].as_py() or "").encode(), width)
-                    s = gram_set((left[i].as_py() or "").encode(), width)
+                        last, other = b[i], gram_sets([(right[i].as_py() or "").encode()], width)[0]
                     n = len(np.intersect1d(s, other, assume_unique=True))
                     shared.append(n)
                     together.append(len(s) + len(other) - n)
@@ -261,16 +261,15 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
         .distinct(),
         "join-pairs",
     )
-    classes = scan.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    wanted = stored(members.select("sid").distinct(), "join-wanted")
-    held = texts_of(docs, classes, wanted, width)
+    rep = F.min(F.struct(own_id().alias("doc_id"), "row")).alias("rep")
+    classes = scan.filter("sid is not null").groupBy("sid").agg(rep)
+    answers = compared(tested, texts_of(docs, classes, tested), width)
     release(spark)
-    answers = compared(tested, held, width)
     link = F.expr(f"100 * shared >= {percent} * together")
     edges = answers.filter(link).select("a", "b")
     labels = _labels(edges)
     more = stored(remaining_pairs(members, labels, answers, percent), "join-rest")
-    found = compared(more, held, width).filter(link).select("a", "b")
+    found = compared(more, texts_of(docs, classes, more), width).filter(link).select("a", "b")
     if not found.isEmpty():
         labels = _labels(edges.unionByName(found))
     release(spark)
@@ -287,7 +286,6 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
 def one_of_each(docs: DataFrame, joined: DataFrame) -> DataFrame:
     """The rows of ``docs`` that name their component in ``joined``; of rows equal in id and text, one."""
     named = joined.filter(F.col("component_id").eqNullSafe(F.col("doc_id")))
-    keys = named.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("kept_id"), F.col("row").alias("kept_row")).distinct()
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    hit = (key == keys["kept_id"]) & (row_of("text") == keys["kept_row"])
+    keys = named.select(own_id().alias("kept_id"), F.col("row").alias("kept_row")).distinct()
+    hit = (own_id() == keys["kept_id"]) & (row_of("text") == keys["kept_row"])
     return docs.join(keys, hit, "left_semi").dropDuplicates(["doc_id", "text"])
