@@ -15,8 +15,10 @@ shared by chance, so lists of lines per pair stay short, except for real groups
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aislewise.llm.common import release, stored
@@ -34,7 +36,7 @@ def with_row(docs: DataFrame, *carried: Column) -> DataFrame:
 
 
 def word_hashes(line: Column) -> Column:
-    words = F.filter(F.split(F.lower(line), "[ \t]+"), lambda w: w != "")
+    words = F.array_remove(F.split(F.translate(F.lower(line), "\t", " "), " "), "")
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
@@ -43,7 +45,7 @@ def crowding(rows: DataFrame) -> np.ndarray:
 
     The counts come to the driver: BUCKETS rows at most.
     """
-    words = rows.select(F.explode(F.split(F.lower("text"), "[ \t\n]+")).alias("w"))
+    words = rows.select(F.explode(F.split(F.translate(F.lower("text"), "\t\n", "  "), " ")).alias("w"))
     counts = words.select(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b")).groupBy("b").count()
     total = np.zeros(BUCKETS)
     for r in counts.toLocalIterator():
@@ -65,23 +67,21 @@ def lines_of(rows: DataFrame, crowd: np.ndarray) -> DataFrame:
     return lines.select(*LINE, toks.alias("toks")).withColumn("cid", F.when(F.size("toks") > 0, F.xxhash64("toks")))
 
 
-def needed(n: Column, m: Column, percent: int) -> Column:
-    """Words that sets of these sizes must share to match."""
-    return F.ceil((n + m) * percent / (100 + percent))
-
-
-def signatures(lines: DataFrame, percent: int) -> DataFrame:
-    """(sig, cid, n, pos): the prefix of neighbouring pairs of each line.
+def signatures(percent: int) -> Column:
+    """The prefix of neighbouring pairs of a line's ``toks``, hashed, in order.
 
     Against a partner of m words 2d + e falls as m grows, so it is largest at m = t n, where d = n - m, e = 0
     and it is 2 (1 - t) n.  Lines of fewer than t / (1 - t) words match equal sets only and have none.
     """
-    t = percent / 100
-    n = F.size("toks")
+    t, n = percent / 100, F.size("toks")
     last = F.least(F.floor(2 * (1 - t) * n + 1e-9).cast("int"), n - 2)
     pairs = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.get("toks", i), F.get("toks", i + 1)))
-    fuzzy = lines.filter((n >= 2) & (n >= int(t / (1 - t) + 1e-9)))
-    return fuzzy.select("cid", n.alias("n"), F.posexplode(pairs).alias("pos", "sig"))
+    return F.when((n >= 2) & (n >= int(t / (1 - t) + 1e-9)), pairs)
+
+
+def needed(n: Column, m: Column, percent: int) -> Column:
+    """Words that sets of these sizes must share to match."""
+    return F.ceil((n + m) * percent / (100 + percent))
 
 
 def may_match(n: Column, i: Column, m: Column, j: Column, percent: int) -> Column:
@@ -90,17 +90,24 @@ def may_match(n: Column, i: Column, m: Column, j: Column, percent: int) -> Colum
     return sizes & (i <= 2 * (n - o) + (m - o)) & (j <= 2 * (m - o) + (n - o))
 
 
-def list_members(posted: DataFrame, classes: DataFrame) -> DataFrame:
-    """Classes of every list that holds two or more, each with its first place and the list's earliest class."""
-    lists = posted.groupBy("sig").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).filter("low < high")
-    members = stored(posted.join(lists.select("sig"), "sig").distinct(), "line-members")
-    placed = members.join(classes.select("cid", "first"), "cid")
+def list_members(lines: DataFrame, classes: DataFrame) -> DataFrame:
+    """(sig, cid, pos, first, n, pivot): classes of every list that holds two or more, each with its first
+    place, its size and the list's earliest class.
+
+    All signatures are shuffled and sorted once; a list streams through its window, which spills.
+    """
+    posted = lines.select("cid", F.posexplode("sigs").alias("pos", "sig"))
+    whole = Window.partitionBy("sig")
+    ranged = posted.withColumn("low", F.min("cid").over(whole)).withColumn("high", F.max("cid").over(whole))
+    members = stored(ranged.filter("low < high").select("sig", "cid", "pos"), "line-members").distinct()
+    placed = stored(members.join(classes.select("cid", "first", "n"), "cid"), "line-placed")
     pivot = placed.groupBy("sig").agg(F.min(F.struct("first", "cid", "n", "pos")).alias("pivot"))
     return stored(placed.join(pivot, "sig"), "line-lists")
 
 
-def tokens_of(rows: DataFrame, classes: DataFrame, wanted: DataFrame, crowd: np.ndarray) -> DataFrame:
-    """(cid, toks) of wanted classes, taken from their first lines."""
+def tokens_of(rows: DataFrame, classes: DataFrame, pairs: DataFrame, crowd: np.ndarray) -> DataFrame:
+    """(cid, toks) of the classes in pairs (x, y), taken from their first lines."""
+    wanted = pairs.select(F.col("x").alias("cid")).union(pairs.select("y")).distinct()
     places = classes.join(wanted, "cid").select("cid", "first.*")
     texts = rows.join(places.select("doc_id", "row").distinct(), ["doc_id", "row"], "left_semi")
     found = lines_of(texts, crowd).join(places.select("cid", "line_no", "doc_id", "row"), [*LINE, "cid"])
@@ -117,17 +124,18 @@ def compared(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     )
 
 
-def later_matches(members: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """(cid,) of classes whose first line matches an earlier line."""
+def later_matches(members: DataFrame, tokens_for: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """(cid,) of classes whose first line matches an earlier line; ``tokens_for`` pairs gives their words."""
     pivot = lambda c: F.col(f"pivot.{c}")
-    tested = (
+    tested = stored(
         members.filter(F.col("cid") != pivot("cid"))
         .filter(may_match(F.col("n"), F.col("pos"), pivot("n"), pivot("pos"), percent))
         .select(F.col("cid").alias("x"), pivot("cid").alias("y"))
-        .distinct()
+        .distinct(),
+        "line-tested",
     )
     match = F.expr(f"100 * shared >= {percent} * together")
-    answers = stored(compared(tested, tokens), "line-compared")
+    answers = stored(compared(tested, tokens_for(tested)), "line-compared")
     done = stored(answers.filter(match).select(F.col("x").alias("cid")).distinct(), "line-matched")
 
     known = answers.select(F.col("x").alias("cid"), F.col("y").alias("p"), (1 - F.col("shared") / F.col("together")).alias("far"))
@@ -139,14 +147,15 @@ def later_matches(members: DataFrame, tokens: DataFrame, percent: int) -> DataFr
     )
     open_rows = rows.join(done, "cid", "left_anti").select(*(F.col(c).alias(f"x_{c}") for c in rows.columns))
     near = F.abs(F.col("x_far") - F.col("far")) <= 1 - percent / 100 + 1e-9
-    rest = (
+    rest = stored(
         open_rows.join(rows, open_rows["x_sig"] == rows["sig"])
         .filter((F.col("first") < F.col("x_first")) & F.coalesce(near, F.lit(True)))
         .filter(may_match(F.col("x_n"), F.col("x_pos"), F.col("n"), F.col("pos"), percent))
         .select(F.col("x_cid").alias("x"), F.col("cid").alias("y"))
-        .distinct()
+        .distinct(),
+        "line-pairs",
     )
-    more = compared(rest, tokens).filter(match).select(F.col("x").alias("cid"))
+    more = compared(rest, tokens_for(rest)).filter(match).select(F.col("x").alias("cid"))
     return stored(done.unionByName(more).distinct(), "line-later")
 
 
@@ -164,17 +173,14 @@ def dedup_lines(docs: DataFrame, percent: int = 80, carry: tuple[str, ...] = ())
     spark = docs.sparkSession
     rows = with_row(docs)
     crowd = crowding(rows)
-    lines = lines_of(rows, crowd)
-    places = stored(lines.select(*LINE, "cid"), "line-places")
+    found = lines_of(rows, crowd).select(*LINE, "cid", F.size("toks").alias("n"), signatures(percent).alias("sigs"))
+    lines = stored(found, "lines")
+    places = lines.select(*LINE, "cid")
     first = F.min(F.struct(*LINE)).alias("first")
-    classes = stored(places.filter("cid is not null").groupBy("cid").agg(first), "line-classes")
-    posted = stored(signatures(lines, percent), "line-signatures")
-    release(spark)
-    members = list_members(posted, classes)
-    release(spark)
-    tokens = tokens_of(rows, classes, members.select("cid").distinct(), crowd)
+    classes = stored(lines.filter("cid is not null").groupBy("cid").agg(first, F.min("n").alias("n")), "line-classes")
+    members = list_members(lines, classes)
     release(spark)
-    later = later_matches(members, tokens, percent).withColumn("later", F.lit(True))
+    later = later_matches(members, lambda pairs: tokens_of(rows, classes, pairs, crowd), percent).withColumn("later", F.lit(True))
     release(spark)
     marked = places.join(classes.join(later, "cid", "left"), "cid", "left").select(
         *LINE, (F.col("later").isNotNull() | F.coalesce(F.struct(*LINE) > F.col("first"), F.lit(False))).alias("gone")
