@@ -1,26 +1,24 @@
 """Repeated byte strings of a threshold length, found by depth-limited ordering of suffixes.
 
 Suffixes are ordered only to the threshold depth, in passes from the most significant digit on, and a
-suffix that is alone in its group after a pass is dropped: it starts no repeated string.  Digits are
-fingerprints of content-anchored pieces, not single bytes, so a pass does not move every position:
-
-1. digit one: the 32 bytes at each anchor.  Anchors are the smallest 32-byte fingerprints of all
-   runs of 64 positions, so equal strings have equal anchors.  A string all of whose anchors occur once
-   is unique; about one position in 32 is dealt.
-2. digit two: the piece of at least the threshold length from an anchor to a later one, for pieces
-   whose strings passed.  A repeated piece is repeated strings through and through.
-3. full depth: the strings of exactly the threshold length that passed and are not yet covered, at the
-   edges of repeated passages, and every string elsewhere with the same leading anchor at the same
-   offset.  Groups of two or more are exactly the repeated strings.
-
-Each pass is a count by key and a join back on the keys that repeat: partial counts make a
-passage that a third of all documents share cost one row a task.
+suffix that is alone in its group after a pass is dropped: it starts no repeated string.  So that a pass
+does not move every position, suffixes are taken at anchors: positions whose fingerprint of 32
+bytes is the smallest of a run of 64.  Equal strings have equal anchors, so a string of the threshold
+length is represented by the first anchor in it and its offset, which is below 64.
+
+1. Digit one: the 32 bytes at each anchor.  Anchors that occur once are dropped.
+2. Digit two: the bytes after the anchor that all strings with this anchor hold.  Anchors are grouped by
+   it, equal surroundings are counted once, and digits three and on are the bytes to the right and left
+   that complete the string for each offset.  Groups of two or more are exactly the repeated strings.
+
+All strings of one anchor hold the same bytes, so their union is one span, from the largest repeated
+offset to the smallest.  A passage that a third of all documents share gives few distinct surroundings;
+a group that still has very many is dealt out by its last digits over all tasks.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +34,7 @@ CHUNK = 1 << 20  # positions worked at once, so a very long text does not fill a
 NO_ID = -(1 << 63)  # stands for a null id, so that such rows join
 _RNG = np.random.default_rng(20011)
 TABLES = _RNG.integers(0, 1 << 64, (2, 256), U64)
+GROUP_ROWS = 50_000  # distinct surroundings of one core that a task takes at once
 BASES = _RNG.integers(0, 1 << 63, 2, U64) * U64(2) + U64(1)
 
 
@@ -104,27 +103,6 @@ def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(places), np.concatenate(prints)
 
 
-def may_repeat(raw: np.ndarray, repeated: np.ndarray, depth: int) -> np.ndarray:
-    """Whether all anchors of the string of ``depth`` bytes at each position are repeated ones."""
-    good = [np.isin(smallest(raw, a, min(a + CHUNK, len(raw))), repeated) for a in range(0, len(raw), CHUNK)]
-    bad = np.concatenate(([0], np.cumsum(~np.concatenate(good)))) if good else np.zeros(1, np.int64)
-    runs, n = depth - REACH + 1, len(raw) - depth + 1
-    return bad[runs : runs + n] == bad[:n]
-
-
-def pieces(raw: np.ndarray, may: np.ndarray, depth: int) -> Iterator[tuple[int, int]]:
-    """[start, stop) from an anchor to the first later anchor's end that makes ``depth`` bytes, where every string may repeat."""
-    at, _ = anchors(raw)
-    if not len(at):
-        return
-    later = np.searchsorted(at, at + depth - GRAM)
-    fits = later < len(at)
-    starts, stops = at[fits], at[later[fits]] + GRAM
-    bad = np.concatenate(([0], np.cumsum(~may)))
-    whole = bad[stops - depth + 1] == bad[starts]
-    yield from zip(starts[whole].tolist(), stops[whole].tolist(), strict=True)
-
-
 def cover(n: int, spans: np.ndarray) -> np.ndarray:
     """Mask of the bytes in any of the (k, 2) spans."""
     edge = np.zeros(n + 1, np.int64)
@@ -155,6 +133,8 @@ def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def anchor_rows(rows: DataFrame, depth: int) -> DataFrame:
+    """(doc_id, row, anchor): fingerprints of all anchors of texts of ``depth`` bytes or more."""
+
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
@@ -164,123 +144,161 @@ def anchor_rows(rows: DataFrame, depth: int) -> DataFrame:
     return stored(map_batches(rows, run, "doc_id long, row long, anchor long"), "repeat-anchors")
 
 
-def piece_rows(held: DataFrame, depth: int) -> DataFrame:
+def surroundings(held: DataFrame, depth: int) -> DataFrame:
+    """(doc_id, row, pos, core, around, left, right) of each repeated anchor.
+
+    ``core`` is a fingerprint of the bytes from the anchor that every string with it holds, ``left`` and
+    ``right`` are the bytes before and after, as far as strings reach, ``around`` a hash of both.
+    """
+    core, side = depth - RUN + 1, RUN - 1
+
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, "text"):
-                counts, spans, prints = [], [], []
-                for raw, known in zip(_bytes(batch.column("text")), batch.column("anchors"), strict=True):
-                    got = list(pieces(raw, may_repeat(raw, _longs(known).view(U64), depth), depth))
-                    counts.append(len(got))
-                    spans += got
-                    prints += [xxhash.xxh3_128_digest(raw[a:b]) for a, b in got]
-                print_ = np.frombuffer(b"".join(prints), np.int64).reshape(-1, 2)
-                span = np.array(spans, np.int64).reshape(-1, 2)
+            for batch in slices(whole, "text", 2 << 20):
+                counts, places, cores, left, right = [], [], [], [], []
+                for raw, known in zip(utf8(batch.column("text")), batch.column("anchors"), strict=True):
+                    at, prints = anchors(np.frombuffer(raw, np.uint8))
+                    at = at[np.isin(prints, _longs(known).view(U64)) & (at + core <= len(raw))].tolist()
+                    counts.append(len(at))
+                    places += at
+                    cores += [xxhash.xxh3_64_intdigest(raw[p : p + core]) for p in at]
+                    left += [raw[max(0, p - side) : p] for p in at]
+                    right += [raw[p + core : p + core + side] for p in at]
+                around = [xxhash.xxh3_64_intdigest(b"%d %b%b" % (len(a), a, b)) for a, b in zip(left, right, strict=True)]
                 yield record(
                     _rows(batch, counts)
                     | {
-                        "one": (print_[:, 0], pa.int64()),
-                        "two": (print_[:, 1], pa.int64()),
-                        "start": (span[:, 0], pa.int64()),
-                        "stop": (span[:, 1], pa.int64()),
+                        "pos": (places, pa.int64()),
+                        "core": (signed(np.array(cores, U64)), pa.int64()),
+                        "around": (signed(np.array(around, U64)), pa.int64()),
+                        "left": (left, pa.binary()),
+                        "right": (right, pa.binary()),
                     }
                 )
 
-    return stored(map_batches(held, run, SPANS), "repeat-pieces")
+    return stored(map_batches(held, run, SURROUNDINGS), "repeat-around")
+
+
+SURROUNDINGS = "doc_id long, row long, pos long, core long, around long, left binary, right binary"
+
+
+def side_prints(sides: list[bytes], backwards: bool, which: int) -> np.ndarray:
+    """(RUN, n) fingerprints of the first (or, backwards, last) 0, 1, ... bytes; 0 where a side is shorter."""
+    sizes = np.array([len(x) for x in sides])
+    flat = np.frombuffer(b"".join(sides), np.uint8)
+    begins = np.cumsum(sizes) - sizes
+    out = np.zeros((RUN, len(sides)), U64)
+    now = np.full(len(sides), U64(1))
+    out[0] = now
+    for k in range(1, RUN):
+        on = sizes >= k
+        at = (begins + sizes - k if backwards else begins + k - 1)[on]
+        now[on] = now[on] * BASES[which] + TABLES[which][flat[at]]
+        out[k, on] = mix(now[on])
+    return out
 
 
-SPANS = "doc_id long, row long, one long, two long, start long, stop long"
+def string_prints(core: np.ndarray, left: list[bytes], right: list[bytes], which: int):
+    """For each offset, the rows that have the string at it and the fingerprints of these strings."""
+    before, after = side_prints(left, True, which), side_prints(right, False, which)
+    for o in range(RUN):
+        one, two = before[o], after[RUN - 1 - o]
+        have = np.flatnonzero((one != 0) & (two != 0))
+        yield o, have, mix(mix(core[have] + one[have]) + two[have] * U64(0x9E3779B97F4A7C15))
 
 
-def lead(raw: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprint and offset (below RUN) of the leading anchor of the string at each sorted place.
+def repeated_offsets(core: np.ndarray, times: np.ndarray, left: list[bytes], right: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest and largest offset of a repeated string of each distinct surrounding; -1 for none.
 
-    It is the first of the smallest among the string's first RUN positions, so equal strings agree on it.
+    ``times`` says how often a surrounding occurs: all strings of one that occurs twice repeat.
     """
-    at, h = anchors(raw)
-    low = np.concatenate([smallest(raw, a, min(a + CHUNK, len(raw))) for a in range(0, len(raw), CHUNK)])[places]
-    k = np.searchsorted(at, places)
-    while (off := h[k] != low).any():
-        k = k + off
-    return low, at[k] - places
+    low, high = np.full(len(core), -1, np.int64), np.full(len(core), -1, np.int64)
+    for o, have, prints in string_prints(core, left, right, 0):
+        order = np.argsort(prints, kind="stable")
+        same = prints[order][1:] == prints[order][:-1]
+        twice = np.zeros(len(have), bool)
+        twice[order[1:][same]] = twice[order[:-1][same]] = True
+        hit = have[twice | (times[have] > 1)]
+        low[hit] = np.where(low[hit] < 0, o, low[hit])
+        high[hit] = o
+    return low, high
 
 
-def question_rows(open_: DataFrame, depth: int) -> DataFrame:
-    """(anchor, mask) of strings that may repeat and are not covered: a bit per offset of the leading anchor."""
+OFFSETS = "core long, around long, low long, high long"
+
+
+def small_groups(distinct: DataFrame) -> DataFrame:
+    """Repeated offsets where each core's surroundings fit a task: a task takes whole cores, some at a time."""
 
     def run(batches):
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                prints, bits = [], []
-                columns = (batch.column(c) for c in ("anchors", "starts", "stops"))
-                for raw, known, a, b in zip(_bytes(batch.column("text")), *columns, strict=True):
-                    covered = cover(len(raw), np.column_stack((_longs(a), _longs(b))))
-                    bare = np.concatenate(([0], np.cumsum(~covered)))
-                    n = len(raw) - depth + 1
-                    todo = np.flatnonzero(may_repeat(raw, _longs(known).view(U64), depth) & (bare[depth : depth + n] > bare[:n]))
-                    if len(todo):
-                        anchor, offset = lead(raw, todo)
-                        distinct, row = np.unique(anchor, return_inverse=True)
-                        mask = np.zeros(len(distinct), U64)
-                        np.bitwise_or.at(mask, row, U64(1) << offset.astype(U64))
-                        prints.append(distinct)
-                        bits.append(mask)
-                if prints:
-                    yield record(
-                        {
-                            "anchor": (signed(np.concatenate(prints)), pa.int64()),
-                            "mask": (signed(np.concatenate(bits)), pa.int64()),
-                        }
-                    )
-
-    found = map_batches(open_, run, "anchor long, mask long")
-    return stored(found.groupBy("anchor").agg(F.bit_or("mask").alias("mask")), "repeat-asked")
-
-
-def string_rows(asked: DataFrame, depth: int) -> DataFrame:
-    """Strings that may repeat, wherever their leading anchor and its offset are asked for."""
+        held, size = [], 0
+        for batch in batches:
+            core = batch.column("core").to_numpy()
+            cut = int(np.searchsorted(core, core[-1])) if len(core) else 0  # the last core may go on
+            if cut:
+                held.append(batch.slice(0, cut))
+                yield solve(held)
+                held, size = [batch.slice(cut)], batch.num_rows - cut
+            elif batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+        if held:
+            yield solve(held)
+
+    def solve(held):
+        table = pa.Table.from_batches(held)
+        core, around = table.column("core").to_numpy(), table.column("around").to_numpy()
+        sides = (table.column(c).to_pylist() for c in ("left", "right"))
+        low, high = repeated_offsets(core.view(U64), table.column("times").to_numpy(), *sides)
+        some = low >= 0
+        return record(
+            {"core": (core[some], pa.int64()), "around": (around[some], pa.int64()), "low": (low[some], pa.int64()), "high": (high[some], pa.int64())}
+        )
+
+    dealt = distinct.repartition("core").sortWithinPartitions("core")
+    return map_batches(dealt, run, OFFSETS)
+
+
+def large_groups(distinct: DataFrame) -> DataFrame:
+    """The same for cores with very many surroundings: their strings are dealt out and counted as rows."""
 
     def run(batches):
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                counts, starts, ones, twos = [], [], [], []
-                columns = (batch.column(c) for c in ("anchors", "asked", "masks"))
-                for raw, known, a, m in zip(_bytes(batch.column("text")), *columns, strict=True):
-                    anchor, mask = _longs(a).view(U64), _longs(m).view(U64)
-                    order = np.argsort(anchor)
-                    anchor, mask = anchor[order], mask[order]
-                    todo = np.flatnonzero(may_repeat(raw, _longs(known).view(U64), depth))
-                    if len(todo):
-                        low, offset = lead(raw, todo)
-                        at = np.minimum(np.searchsorted(anchor, low), len(anchor) - 1)
-                        todo = todo[(anchor[at] == low) & ((mask[at] >> offset.astype(U64) & U64(1)) == 1)]
-                    counts.append(len(todo))
-                    starts.append(todo)
-                    for which, out in ((0, ones), (1, twos)):
-                        out.append(_prints_at(raw, todo, depth, which))
-                start = np.concatenate(starts).astype(np.int64)
+        for batch in batches:
+            core, around = batch.column("core").to_numpy(), batch.column("around").to_numpy()
+            sides = [batch.column(c).to_pylist() for c in ("left", "right")]
+            times = batch.column("times").to_numpy()
+            both = zip(string_prints(core.view(U64), *sides, 0), string_prints(core.view(U64), *sides, 1), strict=True)
+            for (o, have, one), (_, _, two) in both:
                 yield record(
-                    _rows(batch, counts)
-                    | {
-                        "one": (signed(np.concatenate(ones)), pa.int64()),
-                        "two": (signed(np.concatenate(twos)), pa.int64()),
-                        "start": (start, pa.int64()),
-                        "stop": (start + depth, pa.int64()),
+                    {
+                        "core": (core[have], pa.int64()),
+                        "around": (around[have], pa.int64()),
+                        "times": (times[have], pa.int64()),
+                        "o": (np.full(len(have), o), pa.int64()),
+                        "one": (signed(one), pa.int64()),
+                        "two": (signed(two), pa.int64()),
                     }
                 )
 
-    return stored(map_batches(asked, run, SPANS), "repeat-strings")
-
-
-def _prints_at(raw: np.ndarray, places: np.ndarray, depth: int, which: int) -> np.ndarray:
-    """Fingerprints of the strings at sorted places, a chunk of the text at a time."""
-    out = []
-    for a in range(0, len(raw), CHUNK):
-        here = places[np.searchsorted(places, a) : np.searchsorted(places, a + CHUNK)]
-        if len(here):
-            low, high = int(here[0]), int(here[-1]) + depth
-            out.append(fingerprints(raw[low:high], depth, which)[here - low])
-    return np.concatenate(out) if out else np.empty(0, U64)
+    strings = map_batches(distinct, run, "core long, around long, times long, o long, one long, two long")
+    key = ["core", "o", "one", "two"]
+    counts = strings.groupBy(*key).agg(F.sum("times").alias("all"))
+    hit = strings.join(counts.filter("all > 1").drop("all"), key)
+    return hit.groupBy("core", "around").agg(F.min("o").alias("low"), F.max("o").alias("high"))
+
+
+def repeated_spans(around: DataFrame, depth: int) -> DataFrame:
+    """(doc_id, row, start, stop): the union of the repeated strings of each anchor."""
+    distinct = around.groupBy("core", "around", "left", "right").agg(F.count(F.lit(1)).alias("times"))
+    distinct = stored(distinct, "repeat-distinct")
+    cores = distinct.groupBy("core").agg(F.sum("times").alias("all"), F.count(F.lit(1)).alias("n")).filter("all > 1")
+    marked = distinct.join(cores, "core")
+    small = small_groups(marked.filter(F.col("n") <= GROUP_ROWS).select(*distinct.columns))
+    large = large_groups(marked.filter(F.col("n") > GROUP_ROWS).select(*distinct.columns))
+    offsets = stored(small.unionByName(large), "repeat-offsets")
+    return around.select("doc_id", "row", "pos", "core", "around").join(offsets, ["core", "around"]).select(
+        "doc_id", "row", (F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + depth).alias("stop")
+    )
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -328,16 +346,9 @@ def remove_repeats(docs: DataFrame, depth: int = 200) -> DataFrame:
     rows, key = with_row(docs), ["doc_id", "row"]
     known = stored(repeated(anchor_rows(rows, depth), ["anchor"]).distinct(), "repeat-known")
     release(spark)
-    held = stored(rows.join(known.groupBy(*key).agg(F.collect_list("anchor").alias("anchors")), key), "repeat-held")
-    release(spark)
-    long = stored(repeated(piece_rows(held, depth), ["one", "two"]).select(*key, "start", "stop"), "repeat-long")
+    held = rows.join(known.groupBy(*key).agg(F.collect_list("anchor").alias("anchors")), key)
+    around = surroundings(held, depth)
     release(spark)
-    spans = F.collect_set(F.struct("start", "stop")).alias("spans")
-    open_ = held.join(long.groupBy(*key).agg(spans), key, "left").select(
-        "text", "anchors", F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops")
-    )
-    wanted = known.join(question_rows(open_, depth), "anchor").groupBy(*key).agg(F.collect_list(F.struct("anchor", "mask")).alias("w"))
-    asked = held.join(wanted, key).select(*key, "text", "anchors", F.col("w.anchor").alias("asked"), F.col("w.mask").alias("masks"))
-    short = stored(repeated(string_rows(asked, depth), ["one", "two"]).select(*key, "start", "stop"), "repeat-short")
+    spans = stored(repeated_spans(around, depth), "repeat-spans")
     release(spark)
-    return cut_out(rows, long.unionByName(short))
+    return cut_out(rows, spans)
