@@ -161,6 +161,7 @@ class Matcher:
 
     def __init__(self, items: list[tuple[int, np.ndarray]], percent: int) -> None:
         self.ids, self.words, self.percent = [i for i, _ in items], [w for _, w in items], percent
+        self.sets = [set(w.tolist()) for w in self.words]
         self.classes = size_classes(self.words)
         self.short: dict[bytes, list[int]] = {}
         for i, w in enumerate(self.words):
@@ -178,7 +179,10 @@ class Matcher:
                 item = self.words[i]
                 slack = len(item) - -(-len(item) * self.percent // 100)
                 low = max(0, at - slack)
-                distance, end = best_match(item, split[d][low : at + len(item) + slack])
+                region = split[d][low : at + len(item) + slack]
+                if len(self.sets[i].difference(region.tolist())) > slack:  # each missing word costs an edit
+                    continue
+                distance, end = best_match(item, region)
                 if distance <= slack:
                     best[d, i] = min(best.get((d, i), (distance, low + end)), (distance, low + end))
         for d, words in enumerate(split):
