@@ -22,10 +22,16 @@ def cell_of(value: Column, size: float) -> Column:
 
 
 def radius_pairs(
-    left: DataFrame, right: DataFrame, radius: float, a: tuple[str, str], b: tuple[str, str], strict: bool = False
+    left: DataFrame,
+    right: DataFrame,
+    radius: float,
+    a: tuple[str, str],
+    b: tuple[str, str],
+    strict: bool = False,
+    keys: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Pairs of rows closer than ``radius`` in the plane; ``left`` is the side copied to the
-    nine surrounding cells.  Column names of both sides must differ."""
+    """Pairs of rows of the same ``keys`` closer than ``radius`` in the plane; ``left`` is the side copied
+    to the nine surrounding cells.  Other column names of both sides must differ."""
     probes = (
         left.withColumn("_d", F.explode(_around()))
         .withColumn("_ci", cell_of(F.col(a[0]), radius) + F.col("_d.a"))
@@ -35,7 +41,7 @@ def radius_pairs(
     targets = right.withColumn("_ci", cell_of(F.col(b[0]), radius)).withColumn("_cj", cell_of(F.col(b[1]), radius))
     distance = planar(F.col(b[0]) - F.col(a[0]), F.col(b[1]) - F.col(a[1]))
     near = distance < radius if strict else distance <= radius
-    return probes.join(targets, ["_ci", "_cj"]).withColumn("distance", distance).filter(near).drop("_ci", "_cj")
+    return probes.join(targets, [*keys, "_ci", "_cj"]).withColumn("distance", distance).filter(near).drop("_ci", "_cj")
 
 
 def visible_products(
@@ -46,12 +52,13 @@ def visible_products(
     fy: float = 1000.0,
     cx: float = 960.0,
     cy: float = 540.0,
+    keys: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Products in front of each camera that land inside 2..98 % of the picture.
+    """Products of the camera's map (``keys``) in front of it that land inside 2..98 % of the picture.
 
     Cameras: camera_id, cam_x, cam_y, cam_z, rot_y.  Products: product_id, x, y, z, share.
     """
-    pairs = radius_pairs(products, cameras, reach, ("x", "z"), ("cam_x", "cam_z"))
+    pairs = radius_pairs(products, cameras, reach, ("x", "z"), ("cam_x", "cam_z"), keys=keys)
     dx, dy, dz = F.col("x") - F.col("cam_x"), F.col("y") - F.col("cam_y"), F.col("z") - F.col("cam_z")
     c, s = F.cos(-F.col("rot_y")), F.sin(-F.col("rot_y"))
     ahead = dx * s + dz * c
@@ -64,7 +71,7 @@ def visible_products(
         .withColumn("down", down)
         .filter(F.col("across").between(2, 98) & F.col("down").between(2, 98))
         .withColumn("class", shown)
-        .select("camera_id", "product_id", "across", "down", "class")
+        .select(*keys, "camera_id", "product_id", "across", "down", "class")
     )
 
 

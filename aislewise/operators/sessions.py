@@ -40,13 +40,16 @@ def remap_frame_ids(existing: DataFrame, incoming: DataFrame, key: str, order: l
     )
 
 
-def overlap_pairs(sessions: DataFrame, margin: float = 2.0, cell: float = 32.0) -> DataFrame:
-    """Pairs of sessions whose start-end boxes touch when one is grown by ``margin``.
+def overlap_pairs(
+    sessions: DataFrame, margin: float = 2.0, cell: float = 32.0, keys: tuple[str, ...] = ()
+) -> DataFrame:
+    """Pairs of sessions of one store (``keys``) whose start-end boxes touch when one is grown by ``margin``.
 
     Boxes are spread over grid cells; a pair is reported only in the cell that holds the
     lower corner of its intersection, so no second shuffle removes duplicates.
     """
     box = sessions.select(
+        *keys,
         "session_id",
         F.least("start_x", "end_x").alias("x0"),
         F.greatest("start_x", "end_x").alias("x1"),
@@ -69,22 +72,30 @@ def overlap_pairs(sessions: DataFrame, margin: float = 2.0, cell: float = 32.0)
         & (F.col("a.z0") - margin < F.col("b.z1"))
         & (F.col("a.z1") + margin > F.col("b.z0"))
     )
+    same = F.lit(True)
+    for k in keys:
+        same = same & (F.col(f"a.{k}") == F.col(f"b.{k}"))
     return a.join(
         b,
-        (F.col("a._cx") == F.col("b._cx"))
+        same
+        & (F.col("a._cx") == F.col("b._cx"))
         & (F.col("a._cz") == F.col("b._cz"))
         & (F.col("a.session_id") != F.col("b.session_id"))
         & touch
         & (F.floor(lower_x / cell) == F.col("a._cx"))
         & (F.floor(lower_z / cell) == F.col("a._cz")),
-    ).select(F.col("a.session_id").alias("session_id"), F.col("b.session_id").alias("other_id"))
+    ).select(
+        *[F.col(f"a.{k}").alias(k) for k in keys],
+        F.col("a.session_id").alias("session_id"),
+        F.col("b.session_id").alias("other_id"),
+    )
 
 
-def replace_overlapped(sessions: DataFrame, margin: float = 2.0) -> DataFrame:
-    """Sessions left after every session has replaced the older ones it overlaps."""
+def replace_overlapped(sessions: DataFrame, margin: float = 2.0, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Sessions left after every session has replaced the older ones of its store that it overlaps."""
     when = sessions.select("session_id", F.struct("started", "session_id").alias("_at"))
     pairs = (
-        overlap_pairs(sessions, margin)
+        overlap_pairs(sessions, margin, keys=keys)
         .join(when.withColumnRenamed("_at", "_new"), "session_id")
         .join(when.select(F.col("session_id").alias("other_id"), F.col("_at").alias("_old")), "other_id")
         .filter(F.col("_new") > F.col("_old"))

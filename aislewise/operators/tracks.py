@@ -202,43 +202,47 @@ def dead_reckoning(rows: DataFrame, device: str, order: list[str], min_inliers:
     )
 
 
-def near_any_previous(rows: DataFrame, order: str = "ord", radius: float = 3.0) -> DataFrame:
-    """True when an earlier row lies within ``radius`` (and for the very first row).
+def near_any_previous(
+    rows: DataFrame, order: str = "ord", radius: float = 3.0, keys: tuple[str, ...] = ()
+) -> DataFrame:
+    """True when an earlier row of the same ``keys`` lies within ``radius`` (and for their very first row).
 
     Cells have a diagonal of ``radius``: every row but the first of its cell is near by
     construction, so only one row per cell looks at the 24 surrounding cells.
     """
     cell = radius / math.sqrt(2.0)
     cells = rows.withColumn("_i", F.floor(F.col("x") / cell)).withColumn("_j", F.floor(F.col("z") / cell))
-    first = cells.groupBy("_i", "_j").agg(F.min(F.struct(order, "x", "z")).alias("_f"))
+    first = cells.groupBy(*keys, "_i", "_j").agg(F.min(F.struct(order, "x", "z")).alias("_f"))
     around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"))
                        for a in range(-2, 3) for b in range(-2, 3) if (a, b) != (0, 0)])
+    ask, place = [*keys, "_ord"], [*keys, "_i", "_j"]
     asks = first.select(
+        *keys,
         F.col(f"_f.{order}").alias("_ord"),
         F.col("_f.x").alias("_x"),
         F.col("_f.z").alias("_z"),
         "_i",
         "_j",
         F.explode(around).alias("_d"),
-    ).select("_ord", "_x", "_z", (F.col("_i") + F.col("_d.a")).alias("_i"), (F.col("_j") + F.col("_d.b")).alias("_j"))
+    ).withColumn("_i", F.col("_i") + F.col("_d.a")).withColumn("_j", F.col("_j") + F.col("_d.b"))
     hits = (
-        asks.join(cells.select("_i", "_j", F.col(order).alias("_o"), "x", "z"), ["_i", "_j"])
+        asks.join(cells.select(*place, F.col(order).alias("_o"), "x", "z"), place)
         .filter(
             (F.col("_o") < F.col("_ord")) & (planar(F.col("x") - F.col("_x"), F.col("z") - F.col("_z")) < radius)
         )
-        .select(F.col("_ord"))
+        .select(*ask)
         .distinct()
-        .withColumn("_hit", F.lit(True))
     )
-    begin = rows.agg(F.min(order)).scalar()
+    begin = rows.groupBy(*keys).agg(F.min(order).alias("_ord"))
     lonely = (
-        first.select(F.col(f"_f.{order}").alias("_ord"))
-        .join(hits, "_ord", "left_anti")
-        .filter(F.col("_ord") != begin)
+        first.select(*keys, F.col(f"_f.{order}").alias("_ord"))
+        .join(hits, ask, "left_anti")
+        .join(begin, ask, "left_anti")
         .withColumn("_lonely", F.lit(True))
     )
     return (
-        rows.join(lonely, rows[order] == lonely["_ord"], "left")
+        rows.withColumn("_ord", F.col(order))
+        .join(lonely, ask, "left")
         .withColumn("near", F.col("_lonely").isNull())
         .drop("_ord", "_lonely")
     )

@@ -269,13 +269,13 @@ def dedupe_first(spark, sf):
     return rows.groupBy("frame", "name").agg(F.min("ord").alias("ord"))
 
 
-CAM = "select session, frame, x * 50 as cam_x, y as cam_y, z * 100 as cam_z, rot_y from {track}"
+CAM = "select session, session % 3 as map_id, frame, x * 50 as cam_x, y as cam_y, z * 100 as cam_z, rot_y from {track}"
 
 
 @add("visible_products", f"""with c as ({CAM}),
-     p as (select p_partkey, p_size * 5e0 as x, 1.2e0 as y, cast(p_partkey % 100 as double) as z,
+     p as (select p_partkey, p_partkey % 3 as map_id, p_size * 5e0 as x, 1.2e0 as y, cast(p_partkey % 100 as double) as z,
         cast(p_partkey % 10 as double) / 10 as share from {{part}}),
-     j as (select frame, share, x - cam_x as dx, y - cam_y as dy, z - cam_z as dz, rot_y from c, p
+     j as (select frame, share, x - cam_x as dx, y - cam_y as dy, z - cam_z as dz, rot_y from c join p using (map_id)
         where abs(x - cam_x) <= 6 and abs(z - cam_z) <= 6
           and sqrt((x - cam_x) * (x - cam_x) + (z - cam_z) * (z - cam_z)) <= 6),
      l as (select *, dx * cos(-rot_y) - dz * sin(-rot_y) as lx, dx * sin(-rot_y) + dz * cos(-rot_y) as lz from j),
@@ -285,6 +285,7 @@ CAM = "select session, frame, x * 50 as cam_x, y as cam_y, z * 100 as cam_z, rot
      from s where sx between 2 and 98 and sy between 2 and 98 group by frame""")
 def visible_products(spark, sf):
     cameras = view(spark, sf, "track").select(
+        (F.col("session") % 3).alias("map_id"),
         F.col("frame").alias("camera_id"),
         (F.col("x") * 50).alias("cam_x"),
         F.col("y").alias("cam_y"),
@@ -292,13 +293,14 @@ def visible_products(spark, sf):
         "rot_y",
     )
     products = view(spark, sf, "part").select(
+        (F.col("p_partkey") % 3).alias("map_id"),
         F.col("p_partkey").alias("product_id"),
         (F.col("p_size") * 5.0).alias("x"),
         F.lit(1.2).alias("y"),
         (F.col("p_partkey") % 100).cast("double").alias("z"),
         ((F.col("p_partkey") % 10).cast("double") / 10).alias("share"),
     )
-    seen = N.visible_products(cameras, products)
+    seen = N.visible_products(cameras, products, keys=("map_id",))
     return seen.groupBy(F.col("camera_id").alias("frame")).agg(
         F.count(F.lit(1)).alias("shown"),
         F.count_if(F.col("class") == "high").alias("high"),

@@ -81,22 +81,22 @@ def coverage_points(spark, sf):
     )
 
 
-BOX_SQL = """b as (select session_id, started, least(start_x, end_x) as x0, greatest(start_x, end_x) as x1,
+BOX_SQL = """b as (select session_id % 4 as store, session_id, started, least(start_x, end_x) as x0, greatest(start_x, end_x) as x1,
       least(start_z, end_z) as z0, greatest(start_z, end_z) as z1 from {session})"""
-TOUCH = "a.x0 - 2 < o.x1 and a.x1 + 2 > o.x0 and a.z0 - 2 < o.z1 and a.z1 + 2 > o.z0"
+TOUCH = "a.store = o.store and a.x0 - 2 < o.x1 and a.x1 + 2 > o.x0 and a.z0 - 2 < o.z1 and a.z1 + 2 > o.z0"
 
 
-@add("session_overlap", f"""with {BOX_SQL} select a.session_id, o.session_id as other_id
+@add("session_overlap", f"""with {BOX_SQL} select a.store, a.session_id, o.session_id as other_id
      from b a join b o on a.session_id <> o.session_id and {TOUCH}""")
 def session_overlap(spark, sf):
-    return S.overlap_pairs(view(spark, sf, "session"))
+    return S.overlap_pairs(stores(spark, sf), keys=("store",))
 
 
 @add("replace_overlapped", f"""with {BOX_SQL} select session_id from b o where not exists (
      select 1 from b a where a.session_id <> o.session_id and {TOUCH}
        and (a.started > o.started or (a.started = o.started and a.session_id > o.session_id)))""")
 def replace_overlapped(spark, sf):
-    return S.replace_overlapped(view(spark, sf, "session")).select("session_id")
+    return S.replace_overlapped(stores(spark, sf), keys=("store",)).select("session_id")
 
 
 @add("map_status", """with s as (select cast(session_id % 4 as varchar) as map_id, n_frames, status from {session})

@@ -153,13 +153,13 @@ def distance_bearing(spark, sf):
     )
 
 
-@add("near_any_previous", """with t as (select frame as ord, x, z from {wide_track})
-     select a.ord, a.ord = (select min(ord) from t) or exists (
-        select 1 from t b where b.ord < a.ord and sqrt((a.x - b.x) * (a.x - b.x) + (a.z - b.z) * (a.z - b.z)) < 3) as near
+@add("near_any_previous", """with t as (select session % 4 as store, frame as ord, x, z from {wide_track})
+     select a.store, a.ord, a.ord = (select min(ord) from t b where b.store = a.store) or exists (
+        select 1 from t b where b.store = a.store and b.ord < a.ord and sqrt((a.x - b.x) * (a.x - b.x) + (a.z - b.z) * (a.z - b.z)) < 3) as near
      from t a""")
 def near_any_previous(spark, sf):
-    rows = view(spark, sf, "wide_track").select(F.col("frame").alias("ord"), "x", "z")
-    return T.near_any_previous(rows).select("ord", "near")
+    rows = view(spark, sf, "wide_track").select((F.col("session") % 4).alias("store"), F.col("frame").alias("ord"), "x", "z")
+    return T.near_any_previous(rows, keys=("store",)).select("store", "ord", "near")
 
 
 @add("nearest_to_target", f"""with d as (select session, frame,

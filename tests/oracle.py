@@ -36,7 +36,7 @@ def canonical(df: pd.DataFrame) -> pd.DataFrame:
     for c in df.columns:
         if str(df[c].dtype).startswith(("datetime", "Int", "Float", "boolean")):
             df[c] = df[c].astype(object)
-        df[c] = df[c].map(lambda v: None if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else v)
+        df[c] = df[c].map(lambda v: None if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v) else v)
     rows = df.astype(str)
     return rows.sort_values(list(rows.columns), kind="stable").reset_index(drop=True)
 
