@@ -2,10 +2,11 @@
 
 ``Sequence`` gives lag / running sum / forward fill / row index in the order of
 ``order`` inside each ``keys`` group.  Groups up to ``rows_per_slice`` rows use
-one ordinary window.  Larger groups are cut in value ranges of the first order
-column; every range is its own window partition and only one carry row per range
-travels between ranges.  The carry table has at most 2 * rows / rows_per_slice
-rows, which is what makes broadcasting it safe.
+one ordinary window.  Larger groups are cut at quantiles of the first order column, so
+slices hold like numbers of rows whatever the values are; every slice is its own window
+partition and only one carry row per slice travels between slices.  The carry table has
+at most 2 * rows / rows_per_slice rows, which is what makes broadcasting it safe.  Rows
+that tie in the first order column stay in one slice.
 
 ``ordered_scan`` does the same for step functions that need state from all
 earlier rows: ranges run in parallel from an assumed start state and are re-run
@@ -36,35 +37,50 @@ def _as_number(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("double")
 
 
-def large_groups(df: DataFrame, keys: list[str], lead: str, rows: int) -> DataFrame:
-    """Keys with more than ``rows`` rows, their lead range and how many slices they need."""
-    number = _as_number(df, lead)
-    stats = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(number).alias("_lo"), F.max(number).alias("_hi")
-    )
-    return stats.filter(F.col("_n") > rows).select(
-        *keys, "_lo", "_hi", F.ceil(F.col("_n") / rows).cast("double").alias("_parts")
+STRIDE = 32  # bounds are looked up in two steps: every 32nd, then the 32 after it
+
+
+def slice_bounds(df: DataFrame, keys: list[str], lead: str, rows: int) -> DataFrame | None:
+    """(keys, _bounds): inner bounds of the slices of each key with more than ``rows`` rows; None without any.
+
+    Counting is one aggregate; only large keys get a quantile sketch.  It is read at as many shares as
+    the largest key needs slices, and smaller keys use every so many of them.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows)
+    most = counts.agg(F.max("_n")).first()[0]
+    if most is None:
+        return None
+    parts = -(-most // rows)
+    shares = [i / parts for i in range(1, parts)]
+    large = df.join(F.broadcast(counts), keys)
+    sketch = F.percentile_approx(_as_number(df, lead), shares, 100 * parts)
+    found = large.groupBy(*keys).agg(sketch.alias("_all"), F.max("_n").alias("_n"))
+    own = F.ceil(F.col("_n") / rows).cast("int")
+    picked = F.transform(
+        F.sequence(F.lit(1), own - 1), lambda i: F.get("_all", (F.floor(i * parts / own) - 1).cast("int"))
     )
+    return found.select(*keys, F.array_distinct(picked).alias("_bounds"))
+
+
+def _slice_of(value: Column) -> Column:
+    """How many of the sorted bounds lie below the value."""
+    marks = F.filter("_bounds", lambda _, i: i % STRIDE == STRIDE - 1)
+    steps = F.size(F.filter(marks, lambda b: b < value)) * STRIDE
+    rest = F.slice("_bounds", steps + 1, F.lit(STRIDE))
+    return steps + F.size(F.filter(rest, lambda b: b < value))
 
 
 def add_slices(df: DataFrame, keys: list[str], lead: str, rows: int) -> tuple[DataFrame, bool]:
     """Adds ``_slice`` (0 for ordinary keys) and ``_big``; True when any key was cut."""
-    fits = df.count() <= rows
-    if not fits:
-        big = large_groups(df, keys, lead, rows)
-        fits = big.isEmpty()
-    if fits:
+    bounds = slice_bounds(df, keys, lead, rows)
+    if bounds is None:
         return df.withColumn("_slice", F.lit(0)).withColumn("_big", F.lit(False)), False
-    span = F.col("_hi") - F.col("_lo")
-    position = F.when(span > 0, (_as_number(df, lead) - F.col("_lo")) / span).otherwise(F.lit(0.0))
+    placed = F.when(_as_number(df, lead).isNull(), 0).otherwise(_slice_of(_as_number(df, lead)))
     sliced = (
-        df.join(F.broadcast(big), keys, "left")
-        .withColumn("_big", F.col("_parts").isNotNull())
-        .withColumn(
-            "_slice",
-            F.coalesce(F.least(F.col("_parts") - 1, F.floor(position * F.col("_parts"))), F.lit(0.0)).cast("int"),
-        )
-        .drop("_lo", "_hi", "_parts")
+        df.join(F.broadcast(bounds), keys, "left")
+        .withColumn("_big", F.col("_bounds").isNotNull())
+        .withColumn("_slice", F.when(F.col("_big"), placed).otherwise(0).cast("int"))
+        .drop("_bounds")
     )
     return sliced, True
 

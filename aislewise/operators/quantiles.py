@@ -18,14 +18,9 @@ def quantiles(
 ) -> DataFrame:
     """One row per key with a column per wanted share (0..1), and the count of values if asked.
 
-    Input measured to be smaller than one slice uses the built-in exact percentile.  Beyond
-    that, equal values are counted first and a running count finds the rows holding the two
-    ranks around each share, so a huge group is spread over value ranges.
+    Equal values are counted first and a running count finds the rows holding the two
+    ranks around each share, so a huge group is spread over slices of its values.
     """
-    extra = [F.count(value).alias(count_as)] if count_as else []
-    if df.count() <= rows_per_slice:
-        shares = [F.percentile(F.col(value).cast("double"), F.lit(p)).alias(n) for n, p in wanted.items()]
-        return df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(*shares, *extra)
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(
         F.count(F.lit(1)).alias("_c")
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from aislewise.operators import clusters as C
 from aislewise.operators import gates as G
-from aislewise.operators.ordered import Sequence
+from aislewise.operators.ordered import Sequence, add_slices
 from aislewise.operators.quantiles import quantiles
 
 
@@ -40,6 +40,18 @@ def test_sequence_slices_equal_plain_windows(skewed):
     pd.testing.assert_frame_equal(by_ord(plain.df, *cols), by_ord(cut.df, *cols), check_exact=False)
 
 
+def test_slices_are_even_whatever_the_values(spark):
+    rows = [("hot", float(i)) for i in range(10_000)] + [("hot", 1e15), ("small", 1.0), ("mid", 3.0)] + [("mid", 1e9 * i) for i in range(900)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(4)
+    sliced, cut = add_slices(df, ["k"], "v", 300)
+    sizes = sliced.groupBy("k", "_slice").count().toPandas()
+    assert cut and sizes["count"].max() <= 600
+    hot = sizes[sizes["k"] == "hot"]
+    assert len(hot) >= 25 and hot["count"].min() >= 1
+    order = sliced.filter("k = 'hot'").toPandas().sort_values("v")["_slice"].tolist()
+    assert order == sorted(order)
+
+
 def test_quantiles_slices_equal_numpy(skewed):
     want = skewed.toPandas().groupby("k")["x"].quantile([0.05, 0.5, 0.95]).unstack()
     for limit in (10_000, 40):
