@@ -1,10 +1,8 @@
 """Exact nearest vectors by inner product of unit vectors.
 
-A base that is measured to fit is broadcast and multiplied block by block.  A larger base is
-kept in place: vectors are grouped around pivots, each query first learns how good its k-th
-hit is at least, and then visits only groups that can still hold something better (triangle
-inequality).  Groups and queries meet in blocks of bounded size and only the best ``k`` of a
-block leave a task.
+Queries and base are dealt into blocks by a hash of their ids; every pair of blocks meets in one task, which
+multiplies them piece by piece and lets only the best ``k`` of each query leave.  Nothing of either side
+passes through the driver, and a block's size is fixed, so tasks stay small however large the base is.
 """
 
 from __future__ import annotations
@@ -18,9 +16,9 @@ from pyspark.sql import functions as F
 
 from aislewise.operators.ordered import top_per_group
 
-BROADCAST_BYTES = 64 << 20
-BLOCK = 2048
-PIVOTS = 128
+BLOCK = 2048  # vectors multiplied at once
+PER_TASK = 65_536  # vectors of each side that one task holds
+LEAST_QUERIES = 256  # per task, below which more tasks are not worth their copies of the base
 
 
 def unit(vectors: pd.Series) -> np.ndarray:
@@ -30,8 +28,11 @@ def unit(vectors: pd.Series) -> np.ndarray:
 
 
 def _best(q_ids, q, b_ids, b, k: int, skip_self: bool) -> pd.DataFrame:
-    """Best ``k`` of the block per query; ``b_ids`` must be ascending so ties keep the lowest id."""
-    scores = q @ b.T
+    """Best ``k`` of the block per query; ``b_ids`` must be ascending so ties keep the lowest id.
+
+    Scores are rounded far below any real difference, so equal vectors tie whatever block they are in.
+    """
+    scores = np.round(q @ b.T, 12)
     if skip_self:
         scores[np.asarray(q_ids)[:, None] == np.asarray(b_ids)[None, :]] = -np.inf
     take = min(k, scores.shape[1])
@@ -55,135 +56,46 @@ def vector_topk(
     base: DataFrame,
     k: int,
     skip_self: bool = False,
-    broadcast_bytes: int = BROADCAST_BYTES,
+    per_task: int = PER_TASK,
     block: int = BLOCK,
-    pivots: int = PIVOTS,
 ) -> DataFrame:
     """(query_id, base_id, score, rank) for queries (query_id, vec) against base (base_id, vec)."""
-    queries = queries.select(F.col("query_id").cast("long").alias("query_id"), "vec")
-    base = base.select(F.col("base_id").cast("long").alias("base_id"), "vec")
-    # Among identical vectors only the k (+1 for itself) lowest ids can be listed.
-    base = top_per_group(base, ["vec"], ["base_id"], k + int(skip_self))
-    size = base.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
-    if not size["n"]:
-        return queries.select("query_id").limit(0).selectExpr(
-            "query_id", "query_id as base_id", "0d as score", "1 as rank"
-        )
-    if size["n"] * size["d"] * 8 <= broadcast_bytes:
-        hits = _against_broadcast(queries, base, k, skip_self, block)
-    else:
-        hits = _against_pivots(queries, base, k, skip_self, block, min(pivots, size["n"]))
-    return top_per_group(hits, ["query_id"], [F.desc("score"), "base_id"], k, rank="rank")
-
+    queries = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vec").cast("array<double>").alias("vec"))
+    base = base.select(F.col("base_id").cast("long").alias("base_id"), F.col("vec").cast("array<double>").alias("vec"))
+    n_queries, n_base = queries.count(), base.count()
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    q_parts = max(1, -(-n_queries // per_task), min(cores, n_queries // LEAST_QUERIES))
+    b_parts = max(1, -(-n_base // per_task))
 
-def _against_broadcast(queries: DataFrame, base: DataFrame, k: int, skip_self: bool, block: int) -> DataFrame:
-    rows = base.toPandas().sort_values("base_id", kind="stable")
-    sent = queries.sparkSession.sparkContext.broadcast((rows["base_id"].to_numpy(), unit(rows["vec"])))
+    def dealt(name: str, parts: int):
+        return F.pmod(F.xxhash64(name), F.lit(parts)).cast("int")
 
-    def search(batches):
-        ids, matrix = sent.value
-        for pdf in batches:
-            for at in range(0, len(pdf), block):
-                part = pdf.iloc[at : at + block]
-                yield _best(part["query_id"].to_numpy(), unit(part["vec"]), ids, matrix, k, skip_self)
+    def every(parts: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
 
-    return queries.mapInPandas(search, _HITS)
-
-
-def _against_pivots(
-    queries: DataFrame, base: DataFrame, k: int, skip_self: bool, block: int, n_pivots: int
-) -> DataFrame:
-    picked = base.orderBy(F.xxhash64("base_id")).limit(n_pivots).toPandas()
-    centres = unit(picked["vec"])
-
-    def assign(name: str):
-        def run(batches):
-            for pdf in batches:
-                if len(pdf):
-                    d = _distances(unit(pdf["vec"]), centres)
-                    near = d.argmin(axis=1)
-                    yield pdf.assign(pivot=near.astype("int32"), away=d[np.arange(len(d)), near])
-
-        return run, f"{name} bigint, vec array<double>, pivot int, away double"
-
-    def placed(df: DataFrame, name: str) -> DataFrame:
-        run, schema = assign(name)
-        return df.select(name, F.col("vec").cast("array<double>").alias("vec")).mapInPandas(run, schema)
-
-    homes = placed(base, "base_id")
-    groups = homes.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("r")).toPandas()
-    radius = {int(p): float(r) for p, r in zip(groups["pivot"], groups["r"])}
-    slots = {int(p): int(-(-n // block)) for p, n in zip(groups["pivot"], groups["n"])}
-    slot_table = F.create_map(*[F.lit(v) for pair in slots.items() for v in pair])
-    homes = homes.withColumn(
-        "slot", F.pmod(F.xxhash64("base_id"), F.try_element_at(slot_table, F.col("pivot"))).cast("int")
-    ).select("base_id", "vec", "pivot", "slot")
-
-    def meet(asks: DataFrame, run, schema: str) -> DataFrame:
-        """Cogroup asks and base blocks; crowded blocks are copied so no task sees too many asks."""
-        crowd = asks.groupBy("pivot", "slot").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("chunks"))
-        left = asks.join(crowd, ["pivot", "slot"]).withColumn(
-            "chunk", F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int")
-        )
-        left = left.drop("chunks")
-        copies = crowd.select(
-            F.col("pivot").alias("pivot"),
-            F.col("slot").alias("slot"),
-            F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
-        )
-        right = homes.join(copies, ["pivot", "slot"])
-        right = right.select(*[F.col(c).alias(c) for c in right.columns])
-        keys = ["pivot", "slot", "chunk"]
-        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
-
-    def first_bound(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        if mine.empty or theirs.empty:
-            return pd.DataFrame({"query_id": mine["query_id"], "reach": np.full(len(mine), 4.0)})
-        scores = unit(mine["vec"]) @ unit(theirs["vec"]).T
-        if skip_self:
-            scores[mine["query_id"].to_numpy()[:, None] == theirs["base_id"].to_numpy()[None, :]] = -np.inf
-        if scores.shape[1] < k:
-            reach = np.full(len(mine), 4.0)
-        else:
-            kth = np.maximum(-np.partition(-scores, k - 1, axis=1)[:, k - 1], -1.0)
-            reach = np.sqrt(np.maximum(2.0 - 2.0 * kth, 0.0))
-        return pd.DataFrame({"query_id": mine["query_id"].to_numpy(), "reach": reach})
-
-    known = F.array(*[F.lit(p) for p in slots])
-    asked = placed(queries, "query_id")
-    at_home = asked.filter(F.array_contains(known, F.col("pivot"))).withColumn("slot", F.lit(0))
-    bounds = meet(at_home.select("query_id", "vec", "pivot", "slot"), first_bound, "query_id bigint, reach double")
-
-    def visits(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            d = _distances(unit(pdf["vec"]), centres)
-            for p, r in radius.items():
-                go = pdf[d[:, p] - r <= pdf["reach"].to_numpy() + 1e-9]
-                for s in range(slots[p]):
-                    yield go[["query_id", "vec"]].assign(pivot=np.int32(p), slot=np.int32(s))
-
-    reach = queries.select("query_id", F.col("vec").cast("array<double>").alias("vec")).join(
-        bounds, "query_id", "left"
-    )
-    asks = reach.select("query_id", "vec", F.coalesce("reach", F.lit(4.0)).alias("reach")).mapInPandas(
-        visits, "query_id bigint, vec array<double>, pivot int, slot int"
-    )
+    left = queries.withColumn("_q", dealt("query_id", q_parts)).withColumn("_b", every(b_parts))
+    right = base.withColumn("_b", dealt("base_id", b_parts)).withColumn("_q", every(q_parts))
 
     def search(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         if mine.empty or theirs.empty:
             return _EMPTY
         theirs = theirs.sort_values("base_id", kind="stable")
-        return _best(
-            mine["query_id"].to_numpy(), unit(mine["vec"]), theirs["base_id"].to_numpy(), unit(theirs["vec"]), k, skip_self
-        )
-
-    return meet(asks, search, _HITS)
-
-
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(2.0 - 2.0 * (a @ b.T), 0.0))
+        ids, matrix = theirs["base_id"].to_numpy(), unit(theirs["vec"])
+        out = []
+        for at in range(0, len(mine), block):
+            part = mine.iloc[at : at + block]
+            asked, rows = part["query_id"].to_numpy(), unit(part["vec"])
+            found = [
+                _best(asked, rows, ids[low : low + block], matrix[low : low + block], k, skip_self)
+                for low in range(0, len(ids), block)
+            ]
+            hits = pd.concat(found, ignore_index=True)
+            hits = hits.sort_values(["query_id", "score", "base_id"], ascending=[True, False, True])
+            out.append(hits.groupby("query_id", sort=False).head(k))
+        return pd.concat(out, ignore_index=True)
+
+    hits = left.groupBy("_q", "_b").cogroup(right.groupBy("_q", "_b")).applyInPandas(search, _HITS)
+    return top_per_group(hits, ["query_id"], [F.desc("score"), "base_id"], k, rank="rank")
 
 
 def mean_descriptor(rows: DataFrame, key: str, vec: str = "vec") -> DataFrame:

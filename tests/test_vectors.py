@@ -22,7 +22,7 @@ def brute(m, k):
     return {i: sorted(s[i], reverse=True)[:k] for i in range(len(m))}
 
 
-@pytest.mark.parametrize("how", [{}, {"broadcast_bytes": 0, "block": 16, "pivots": 12}])
+@pytest.mark.parametrize("how", [{}, {"per_task": 70, "block": 16}])
 def test_topk_equals_brute_force(data, how):
     m, df = data
     q, b = df.withColumnRenamed("id", "query_id"), df.withColumnRenamed("id", "base_id")
