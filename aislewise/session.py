@@ -18,6 +18,7 @@ def build_session(app: str = "aislewise", master: str | None = None, **conf: str
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.executorEnv.PYTHONPATH": _worker_path(),
     }
     settings.update(conf)
     for key, value in settings.items():
@@ -25,8 +26,18 @@ def build_session(app: str = "aislewise", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def _worker_path() -> str:
+    """Where Python workers find this package when it is on the driver's path only, not installed.
+
+    On a cluster whose machines do not share that folder, install the package or name it in
+    ``spark.submit.pyFiles``.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    return os.pathsep.join(p for p in (root, os.environ.get("PYTHONPATH", "")) if p)
+
+
 def is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+    return spark.sparkContext.master.split("[")[0] == "local"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
