@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from aislewise.functions.lexicon import Lexicon
+from aislewise.functions.recipes import is_organic, product_breaks_diet, valid_candidate
+from aislewise.functions.text import INFLECTIONS, head_word, head_word_score, words_of
 from aislewise.operators.ordered import top_per_group
 
 
@@ -210,47 +213,84 @@ def prefer_promo_near_best(hits: DataFrame, key: str, margin: float = 8.0) -> Da
     return best.join(promoted, key, "left").select(key, F.coalesce("_promo", "_best").alias("product_id"))
 
 
-def promo_swap(chosen: DataFrame, catalogue: DataFrame, staple: Column) -> DataFrame:
-    """Swap a chosen product for the promotion of its main category that saves most.
+ANY_WORD = "*"
 
-    ``chosen``: (line_id, product_id, category, head_word, head_score); ``staple`` is a
-    condition on ``category``.  A staple whose own name carries the head word may take any
-    promotion of the category; otherwise the promotion must name the head word as a whole
-    word.  Only the two best promotions per category (and per category and word) can win,
-    two because the product itself never counts, so those short lists are all that joins.
-    The original stays unless the swap saves strictly more.
+
+def promo_swap(chosen: DataFrame, catalogue: DataFrame, staple: Column, lex: Lexicon = Lexicon()) -> DataFrame:
+    """Swap a chosen product for the promotion of its main category that saves most and may stand for it.
+
+    ``chosen``: (line_id, product_id, category, ingredient, diet, organic); ``staple`` is a condition on
+    ``category``.  A promotion must be a valid candidate for the ingredient and the diet, organic where that is
+    wished, and name the ingredient's head word with a score of two or more; where a staple's own name does, any
+    promotion of the category will do.  The original stays unless the swap saves strictly more.
+
+    Promotions that the gates cannot tell apart (what they break, forms they name, organic or not) are one kind.
+    Two of each kind per category and word, and per category, are enough: two because the product itself never
+    counts.  Only a prepared form that an ingredient names in full is judged by its whole name, so those
+    promotions are met in full on the head word.
     """
+    name, category = F.col("name"), F.col("category")
+    department = F.col("department") if "department" in catalogue.columns else F.lit(None).cast("string")
+    tags = F.col("tags") if "tags" in catalogue.columns else F.lit(None).cast("array<string>")
+    lowered = F.lower(F.coalesce(name, F.lit("")))
+    forms = F.filter(F.array(*[F.lit(t) for t in lex.derived_forms]), lambda t: F.contains(lowered, t))
+    breaks = [product_breaks_diet(name, category, F.lit(d), lex) for d in ("vegetariskt", "veganskt")]
     promos = catalogue.filter(F.col("promo_price").isNotNull()).select(
-        F.col("category").alias("_cat"),
-        F.struct(
-            current_saving(F.col("price"), F.col("promo_price")).alias("saving"),
-            (-F.col("ord")).alias("neg_ord"),
-            F.col("product_id").alias("swap_id"),
-        ).alias("_promo"),
-        F.array_distinct(F.split(F.lower("name"), r"[^\p{L}]+")).alias("_words"),
+        category.alias("_cat"),
+        current_saving(F.col("price"), F.col("promo_price")).alias("saving"),
+        (-F.col("ord")).alias("neg_ord"),
+        F.col("product_id").alias("swap_id"),
+        name.alias("_name"),
+        department.alias("_department"),
+        is_organic(name, category, tags, lex).alias("_organic"),
+        words_of(F.coalesce(name, F.lit(""))).alias("_words"),
+        F.concat_ws("|", *[b.cast("string") for b in breaks], department, F.array_join(forms, ",")).alias("_kind"),
+        (F.size(forms) > 0).alias("_formed"),
     )
-    by_category = _two_best(promos.select("_cat", F.lit("*").alias("_word"), "_promo"))
-    by_word = _two_best(promos.select("_cat", F.explode("_words").alias("_word"), "_promo"))
-    own = catalogue.select("product_id", current_saving(F.col("price"), F.col("promo_price")).alias("own_saving"))
-    free = staple & (F.col("head_score") >= 2)
-    wanted = chosen.join(own, "product_id", "left").withColumn(
-        "_word", F.when(free, F.lit("*")).otherwise(F.col("head_word"))
+    by_word = promos.withColumn("_word", F.explode(F.array_distinct("_words")))
+    lists = promos.withColumn("_word", F.lit(ANY_WORD)).unionByName(by_word)
+    lists = top_per_group(lists, ["_cat", "_word", "_kind", "_organic"], [F.desc("saving"), F.desc("neg_ord")], 2)
+    lists = lists.unionByName(by_word.filter("_formed")).drop("_words", "_kind", "_formed")
+
+    own = catalogue.select(
+        "product_id", name.alias("_own_name"), current_saving(F.col("price"), F.col("promo_price")).alias("own_saving")
     )
-    lists = by_category.unionByName(by_word).withColumnRenamed("_cat", "category")
-    offer = F.filter("_promos", lambda p: p["swap_id"] != F.col("product_id"))
-    joined = wanted.join(lists, ["category", "_word"], "left").withColumn("_offer", F.get(offer, 0))
-    better = F.col("_offer.saving") > F.coalesce("own_saving", F.lit(0.0))
+    ask = ["product_id", "category", "ingredient", "diet", "organic"]
+    asks = chosen.select(*ask).distinct().join(own, "product_id", "left").withColumn("_head", head_word(F.col("ingredient")))
+    free = F.coalesce(staple & (head_word_score(F.col("_own_name"), F.col("_head")) >= 2), F.lit(False))
+    words = F.array_union(compound_tails(F.col("_head")), F.when(free, F.array(F.lit(ANY_WORD))).otherwise(F.array().cast("array<string>")))
+    asks = asks.withColumn("_free", free).withColumn("_word", F.explode(words))
+    met = asks.join(lists, (asks["category"] == lists["_cat"]) & (asks["_word"] == lists["_word"]))
+    allowed = (
+        (F.col("swap_id") != F.col("product_id"))
+        & valid_candidate(F.col("_name"), F.col("category"), F.col("_department"), F.col("diet"), F.col("ingredient"), lex)
+        & (~F.coalesce("organic", F.lit(False)) | F.col("_organic"))
+        & (F.col("_free") | (head_word_score(F.col("_name"), F.col("_head")) >= 2))
+    )
+    keyed = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_k_{c}") for c in ask]
+    best = met.filter(allowed).groupBy(*keyed).agg(F.max(F.struct("saving", "neg_ord", "swap_id")).alias("_offer"))
+    joined = chosen.select("*", *keyed).join(best, [f"_k_{c}" for c in ask], "left").join(
+        own.drop("_own_name"), "product_id", "left"
+    )
+    kept = F.coalesce("own_saving", F.lit(0.0))
+    better = F.coalesce(F.col("_offer.saving") > kept, F.lit(False))
     return joined.select(
         "line_id",
         F.when(better, F.col("_offer.swap_id")).otherwise(F.col("product_id")).alias("product_id"),
-        F.when(better, F.col("_offer.saving")).otherwise(F.coalesce("own_saving", F.lit(0.0))).alias("saving"),
-        F.coalesce(better, F.lit(False)).alias("swapped"),
+        F.when(better, F.col("_offer.saving")).otherwise(kept).alias("saving"),
+        better.alias("swapped"),
     )
 
 
-def _two_best(promos: DataFrame) -> DataFrame:
-    best = top_per_group(promos, ["_cat", "_word"], [F.desc("_promo")], 2)
-    return best.groupBy("_cat", "_word").agg(F.sort_array(F.collect_list("_promo"), asc=False).alias("_promos"))
+def compound_tails(head: Column, shortest: int = 6) -> Column:
+    """The head word and every ending of it, without an inflection, that a product name could consist of."""
+    stems = F.transform(
+        F.filter(F.array(*[F.lit(e) for e in INFLECTIONS]), lambda e: F.endswith(head, e)),
+        lambda e: F.substring(head, F.lit(1), F.length(head) - F.length(e)),
+    )
+    starts = lambda s: F.sequence(F.lit(1), F.greatest(F.length(s) - shortest + 1, F.lit(1)))
+    tails = F.flatten(F.transform(stems, lambda s: F.transform(starts(s), lambda i: F.substring(s, i, F.length(s)))))
+    return F.array_union(F.array(head), F.filter(tails, lambda t: F.length(t) >= shortest))
 
 
 def first_image(lines: DataFrame, recipe: str, main_word: Column) -> DataFrame:

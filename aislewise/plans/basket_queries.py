@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from aislewise.functions.numeric import rounded
+from aislewise.functions.text import INFLECTIONS
 from aislewise.operators import basket as B
 from aislewise.operators.ordered import top_per_group
 from aislewise.plans.views import Registry, sql_round as r, view
@@ -294,27 +295,47 @@ def prefer_promo_near_best(spark, sf):
     return B.prefer_promo_near_best(hits, "key")
 
 
-@add("promo_swap", f"""with lines as (select recipe_id * 1000000000000 + i.ord as line_id, product_id, category,
-            split_part(name, ' ', 2) as head_word, cast(supplier % 4 as int) as head_score
+# Products get words the gates look at; ingredients are a product's second word, alone or changed.
+SWAP_NAME = """{n} || case when {i} % 11 = 0 then ' kyckling' when {i} % 13 = 0 then ' kaka' when {i} % 7 = 0 then ' krav'
+     when {i} % 17 = 0 then ' schalottenlök' else '' end"""
+SWAP_ASK = """case {s} % 4 when 0 then {h} when 1 then 'färsk ' || {h} when 2 then {h} || ' kaka' else 'bananschalottenlökar' end"""
+SWAP_DIET = "case {s} % 3 when 1 then 'vegetariskt' when 2 then 'veganskt' end"
+_ENDINGS = "[" + ", ".join(f"'{e}'" for e in INFLECTIONS) + "]"
+
+
+def _named(words: str, head: str) -> str:
+    return f"""(list_contains({words}, {head}) or len(list_filter({words}, lambda w: length(w) >= 6 and
+        len(list_filter({_ENDINGS}, lambda e: length({head}) > length(w) + length(e) and ends_with({head}, w || e))) > 0)) > 0)"""
+
+
+@add("promo_swap", f"""with c as (select *, {SWAP_NAME.format(n='name', i='product_id')} as nm from {{catalogue}}),
+    lines as (select recipe_id * 1000000000000 + i.ord as line_id, product_id, category,
+            {SWAP_ASK.format(s='supplier', h="split_part(name, ' ', 2)")} as ingredient,
+            {SWAP_DIET.format(s='supplier')} as diet, supplier % 5 = 0 as organic
         from {{ingredient}} i join {{catalogue}} c using (product_id)),
-    keys as (select distinct product_id, category, head_word,
-                 (category in ('SMALL', 'LARGE') and head_score >= 2) as free from lines),
-    promos as (select product_id as swap_id, ord, category, name, price - promo_price as saving
-               from {{catalogue}} where promo_price is not null),
-    own as (select product_id, coalesce(price - promo_price, 0e0) as own_saving from {{catalogue}}),
-    offers as (select k.product_id, k.head_word, k.free, p.swap_id, p.saving,
-            row_number() over (partition by k.product_id, k.head_word, k.free order by p.saving desc, p.ord) as rn
-        from keys k join promos p on p.category = k.category and p.swap_id <> k.product_id
-             and (k.free or list_contains(string_split(p.name, ' '), k.head_word))),
-    best as (select * from offers where rn = 1)
+    keys as (select distinct product_id, category, ingredient, diet, organic,
+                 list_last(string_split(ingredient, ' ')) as head, string_split(ingredient, ' ') as asked from lines),
+    free as (select k.*, k.category in ('SMALL', 'LARGE') and {_named("string_split(c.nm, ' ')", "k.head")} as free
+        from keys k join c using (product_id)),
+    promos as (select product_id as swap_id, ord, category, nm, string_split(nm, ' ') as words, price - promo_price as saving
+               from c where promo_price is not null),
+    offers as (select k.product_id, k.ingredient, k.diet, k.organic, p.swap_id, p.saving,
+            row_number() over (partition by k.product_id, k.ingredient, k.diet, k.organic order by p.saving desc, p.ord) as rn
+        from free k join promos p on p.category = k.category and p.swap_id <> k.product_id
+        where (k.free or {_named("p.words", "k.head")})
+          and (k.diet is null or not contains(p.nm, 'kyckling')) and (not k.organic or contains(p.nm, 'krav'))
+          and (not contains(p.nm, 'kaka') or contains(k.ingredient, 'kaka')
+               or (list_has_all(p.words, k.asked) and list_contains(k.asked, p.words[1])))),
+    own as (select product_id, coalesce(price - promo_price, 0e0) as own_saving from {{catalogue}})
     select distinct l.line_id, case when b.saving > own_saving then b.swap_id else l.product_id end as product_id,
         {r("case when b.saving > own_saving then b.saving else own_saving end")} as saving,
         coalesce(b.saving > own_saving, false) as swapped
     from lines l join own using (product_id)
-    left join best b on b.product_id = l.product_id and b.head_word = l.head_word
-        and b.free = (l.category in ('SMALL', 'LARGE') and l.head_score >= 2)""")
+    left join offers b on b.rn = 1 and b.product_id = l.product_id and b.ingredient = l.ingredient
+        and b.diet is not distinct from l.diet and b.organic = l.organic""")
 def promo_swap(spark, sf):
     catalogue = view(spark, sf, "catalogue")
+    second = "split_part(name, ' ', 2)"
     chosen = (
         view(spark, sf, "ingredient")
         .join(catalogue.select("product_id", "category", "name"), "product_id")
@@ -322,11 +343,13 @@ def promo_swap(spark, sf):
             (F.col("recipe_id") * 1000000000000 + F.col("ord")).alias("line_id"),
             "product_id",
             "category",
-            F.split_part("name", F.lit(" "), F.lit(2)).alias("head_word"),
-            (F.col("supplier") % 4).cast("int").alias("head_score"),
+            F.expr(SWAP_ASK.format(s="supplier", h=second)).alias("ingredient"),
+            F.expr(SWAP_DIET.format(s="supplier")).alias("diet"),
+            (F.col("supplier") % 5 == 0).alias("organic"),
         )
     )
-    out = B.promo_swap(chosen, catalogue, F.col("category").isin("SMALL", "LARGE"))
+    named = catalogue.withColumn("name", F.expr(SWAP_NAME.format(n="name", i="product_id")))
+    out = B.promo_swap(chosen, named, F.col("category").isin("SMALL", "LARGE"))
     return out.withColumn("saving", rounded("saving")).distinct()
 
 
