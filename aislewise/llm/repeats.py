@@ -2,14 +2,14 @@
 
 Suffixes are ordered only to the threshold depth, in passes from the most significant digit on, and a
 suffix that is alone in its group after a pass is dropped: it starts no repeated string.  So that a pass
-does not move every position, suffixes are taken at anchors: positions whose fingerprint of 32
-bytes is the smallest of a run of 64.  Equal strings have equal anchors, so a string of the threshold
-length is represented by the first anchor in it and its offset, which is below 64.
+does not move every position, suffixes are taken at anchors: positions whose gram has the smallest
+fingerprint of a run of RUN positions, where a run of grams is as long as the threshold.  So every string of
+the threshold length holds one run, and equal strings have their anchor at the same offset, below RUN.
 
-1. Digit one: the 32 bytes at each anchor.  Anchors that occur once are dropped.
-2. Digit two: the bytes after the anchor that all strings with this anchor hold.  Anchors are grouped by
-   it, equal surroundings are counted once, and digits three and on are the bytes to the right and left
-   that complete the string for each offset.  Groups of two or more are exactly the repeated strings.
+1. Digit one: the gram at each anchor.  Anchors whose gram occurs once are dropped.
+2. Anchors are grouped by it, equal surroundings are counted once, and the next digits are the bytes to the
+   right and left that complete the string for each offset.  Groups of two or more are exactly the
+   repeated strings.
 
 All strings of one anchor hold the same bytes, so their union is one span, from the largest repeated
 offset to the smallest.  A passage that a third of all documents share gives few distinct surroundings;
@@ -28,8 +28,7 @@ from pyspark.sql import functions as F
 
 from aislewise.llm.common import U64, map_batches, mix, record, release, signed, slices, stored, utf8
 
-GRAM, RUN = 32, 64  # bytes of an anchor, positions an anchor is the smallest of
-REACH = GRAM + RUN - 1  # bytes that decide an anchor
+RUN = 100  # positions an anchor's gram is the smallest of; depth - RUN + 1 bytes make a gram
 CHUNK = 1 << 20  # positions worked at once, so a very long text does not fill a task
 NO_ID = -(1 << 63)  # stands for a null id, so that such rows join
 _RNG = np.random.default_rng(20011)
@@ -76,25 +75,18 @@ def _running(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(values[: len(values) - (width - size)], values[width - size :]) if size < width else values
 
 
-def smallest(raw: np.ndarray, a: int, b: int) -> np.ndarray:
-    """Smallest fingerprint of the run at each position of [a, b), as far as the text reaches."""
-    part = raw[a : b + REACH - 1]
-    return _running(fingerprints(part, GRAM), RUN, np.minimum) if len(part) >= REACH else np.empty(0, U64)
-
-
-def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and fingerprints of the anchors of a text."""
+def anchors(raw: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and fingerprints of the anchors of a text; none in a text shorter than ``depth``."""
     places, prints = [], []
-    for a in range(0, max(0, len(raw) - GRAM + 1), CHUNK):
+    for a in range(0, max(0, len(raw) - depth + RUN), CHUNK):
         low = max(0, a - RUN + 1)
-        part = raw[low : a + CHUNK + REACH - 1]
-        if len(part) < REACH:
+        part = raw[low : a + CHUNK + depth - 1]
+        if len(part) < depth:
             continue
-        h = fingerprints(part, GRAM)
-        low_of = _running(h, RUN, np.minimum)
+        h = fingerprints(part, depth - RUN + 1)
         edge = np.zeros(RUN - 1, U64)
-        best = _running(np.concatenate((edge, low_of, edge)), RUN, np.maximum)  # over the runs that hold a position
-        at = np.flatnonzero(h == best)
+        smallest = np.concatenate((edge, _running(h, RUN, np.minimum), edge))
+        at = np.flatnonzero(h == _running(smallest, RUN, np.maximum))  # the smallest of a run that holds it
         at = at[(at + low >= a) & (at + low < a + CHUNK)]
         places.append(at + low)
         prints.append(h[at])
@@ -133,12 +125,12 @@ def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def anchor_rows(rows: DataFrame, depth: int) -> DataFrame:
-    """(doc_id, row, anchor): fingerprints of all anchors of texts of ``depth`` bytes or more."""
+    """(doc_id, row, anchor): fingerprints of all anchors."""
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
-                found = [anchors(r)[1] if len(r) >= depth else np.empty(0, U64) for r in _bytes(batch.column("text"))]
+                found = [anchors(r, depth)[1] for r in _bytes(batch.column("text"))]
                 yield record(_rows(batch, [len(f) for f in found]) | {"anchor": (signed(np.concatenate(found)), pa.int64())})
 
     return stored(map_batches(rows, run, "doc_id long, row long, anchor long"), "repeat-anchors")
@@ -147,8 +139,8 @@ def anchor_rows(rows: DataFrame, depth: int) -> DataFrame:
 def surroundings(held: DataFrame, depth: int) -> DataFrame:
     """(doc_id, row, pos, core, around, left, right) of each repeated anchor.
 
-    ``core`` is a fingerprint of the bytes from the anchor that every string with it holds, ``left`` and
-    ``right`` are the bytes before and after, as far as strings reach, ``around`` a hash of both.
+    ``core`` is a second fingerprint of its gram, ``left`` and ``right`` are the bytes before and after, as far
+    as strings reach, ``around`` a hash of both.
     """
     core, side = depth - RUN + 1, RUN - 1
 
@@ -157,8 +149,8 @@ def surroundings(held: DataFrame, depth: int) -> DataFrame:
             for batch in slices(whole, "text", 2 << 20):
                 counts, places, cores, left, right = [], [], [], [], []
                 for raw, known in zip(utf8(batch.column("text")), batch.column("anchors"), strict=True):
-                    at, prints = anchors(np.frombuffer(raw, np.uint8))
-                    at = at[np.isin(prints, _longs(known).view(U64)) & (at + core <= len(raw))].tolist()
+                    at, prints = anchors(np.frombuffer(raw, np.uint8), depth)
+                    at = at[np.isin(prints, _longs(known).view(U64))].tolist()
                     counts.append(len(at))
                     places += at
                     cores += [xxhash.xxh3_64_intdigest(raw[p : p + core]) for p in at]
@@ -335,13 +327,13 @@ def remove_repeats(docs: DataFrame, depth: int = 200) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row.
 
     Removed are the bytes of every string of ``depth`` bytes that starts somewhere else, too, in this or
-    another document; overlapping occurrences count; ``depth`` is 96 at least.  Null and empty texts
+    another document; overlapping occurrences count; ``depth`` is above RUN.  Null and empty texts
     keep nothing and lose nothing.  Equal rows are different documents, so long ones lose all
     their bytes.  ``kept`` can end within a character.  An empty table gives no row; further
     columns are ignored.
     """
-    if depth <= REACH:
-        raise ValueError(f"depth must exceed {REACH}")
+    if depth <= RUN:
+        raise ValueError(f"depth must exceed {RUN}")
     spark = docs.sparkSession
     rows, key = with_row(docs), ["doc_id", "row"]
     known = stored(repeated(anchor_rows(rows, depth), ["anchor"]).distinct(), "repeat-known")
