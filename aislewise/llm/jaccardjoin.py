@@ -4,8 +4,9 @@ Equal sets are one class.  N-grams are ordered by how crowded their count bucket
 sets that link share an n-gram of their prefixes.  An index list is the sets with one prefix n-gram.
 Instead of all pairs of a list:
 
-1. every member is compared with the list's first set, the pivot, unless sizes or list positions
-   rule the link out;
+1. every member is compared with the list's pivot, unless sizes or list positions rule the link out;
+   the pivot holds the n-gram earliest in its order, so it has the fewest n-grams of its own and, in
+   a group of near copies, is the text they are all copies of, or close to it;
 2. members that a link already joins need no further comparison with each other, as only
    components are asked for: a set takes over the answers of the pivot it is like;
 3. members outside the pivot's component meet the others of another component, except
@@ -160,8 +161,8 @@ def may_link(n1: Column, p1: Column, n2: Column, p2: Column, percent: int) -> Co
 
 def list_members(posted: DataFrame) -> DataFrame:
     """Members of every index list with two sets or more, each beside the list's pivot."""
-    pivot = F.min(F.struct("sid", "n", "pos")).alias("pivot")
-    lists = posted.groupBy("gram").agg(pivot, F.max("sid").alias("last")).filter(F.col("pivot.sid") < F.col("last"))
+    pivot = F.min(F.struct("pos", "sid", "n")).alias("pivot")
+    lists = posted.groupBy("gram").agg(pivot, F.min("sid").alias("low"), F.max("sid").alias("high")).filter("low < high")
     return stored(posted.join(lists.select("gram", "pivot"), "gram").distinct(), "join-lists")
 
 
