@@ -28,20 +28,24 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that are written and no longer referenced."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: ends the lineage, survives lost executors."""
+    """``df`` written to the shared folder and read again: ends the lineage, survives lost executors.
+
+    What earlier steps shuffled is let go first, so a chain of steps needs the disk of one.
+    """
     spark = df.sparkSession
+    release(spark)
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps that are written and no longer referenced."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def parts_for(df: DataFrame, size: str, per_part: int) -> int:
     """How many parts of about ``per_part`` hold the sum of the SQL expression ``size``."""
     total = df.agg(F.sum(F.expr(size))).first()[0] or 0
