@@ -33,7 +33,9 @@ UNKNOWN = "und"
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """Runs of letters; signs like fractions count along, but a text of nothing else has no word."""
+    found = WORD.findall(text.lower())
+    return found if any(map(str.isalpha, found)) else []
 
 
 def word_features(words: list[str], lexicon: set[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -28,7 +28,7 @@ def odd_rows() -> list[tuple]:
         (10, long, "en"), (11, long + "\nend", "en"), (None, words(6, 50, "fr"), "fr"), (None, None, None), (12, "One two.", "en"),
         (13, "one  TWO.", "en"), (14, "a", "en"), (14, "a", "en"), (15, words(7, 80), "en"), (15, words(8, 80), "en"),
         (16, "ab" * 700, "en"), (17, "<|endoftext|> 　日本語 \x1c odd\r\n\r\nend", None), (18, "x" * 500, "en"), (18, "x" * 500, "en"),
-        (-5, base, "en"), (19, words(9, 3000, "de"), "de"), (20, "\n\n\n", "en"), (21, words(10, 64), "en"),
+        (-5, base, "en"), (19, words(9, 3000, "de"), "de"), (20, "\n\n\n", "en"), (22, "½ ² ①", "en"), (21, words(10, 64), "en"),
     ]
     rows += [(30 + k, words(50 + k, 60, ("en", "fr", "de")[k % 3]), ("en", "fr", "de")[k % 3]) for k in range(30)]
     return rows
