@@ -8,7 +8,8 @@ filter), and the sizes bound each other (length filter).  Pairs of neighbouring
 shared by chance, so lists of lines per pair stay short, except for real groups of near copies:
 
 * equal sets are one class, which only its first line represents;
-* each list is compared with its earliest class; what matches is a later match and done;
+* each class is compared with the earliest of its list, and with the most central one before it; what
+  matches is a later match and done;
 * the others are compared with the earlier classes of their lists, save where the distances from the
   list's earliest class already exclude it (Jaccard distance is a metric).
 """
@@ -76,7 +77,7 @@ def signatures(percent: int) -> Column:
     t, n = percent / 100, F.size("toks")
     last = F.least(F.floor(2 * (1 - t) * n + 1e-9).cast("int"), n - 2)
     pairs = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.get("toks", i), F.get("toks", i + 1)))
-    return F.when((n >= 2) & (n >= int(t / (1 - t) + 1e-9)), pairs)
+    return F.when((n >= 2) & (n >= int(t / max(1 - t, 1e-9) + 1e-9)), pairs)
 
 
 def needed(n: Column, m: Column, percent: int) -> Column:
@@ -91,8 +92,9 @@ def may_match(n: Column, i: Column, m: Column, j: Column, percent: int) -> Colum
 
 
 def list_members(lines: DataFrame, classes: DataFrame) -> DataFrame:
-    """(sig, cid, pos, first, n, pivot): classes of every list that holds two or more, each with its first
-    place, its size and the list's earliest class.
+    """(sig, cid, pos, first, n, pivot, central): classes of every list that holds two or more, each with its
+    first place, its size, the list's earliest class, and of those before it the one that has the pair
+    earliest in its order: with the fewest rare words of its own, it is what near copies are copies of.
 
     All signatures are shuffled and sorted once; a list streams through its window, which spills.
     """
@@ -100,9 +102,17 @@ def list_members(lines: DataFrame, classes: DataFrame) -> DataFrame:
     whole = Window.partitionBy("sig")
     ranged = posted.withColumn("low", F.min("cid").over(whole)).withColumn("high", F.max("cid").over(whole))
     members = stored(ranged.filter("low < high").select("sig", "cid", "pos"), "line-members").distinct()
-    placed = stored(members.join(classes.select("cid", "first", "n"), "cid"), "line-placed")
-    pivot = placed.groupBy("sig").agg(F.min(F.struct("first", "cid", "n", "pos")).alias("pivot"))
-    return stored(placed.join(pivot, "sig"), "line-lists")
+    release(lines.sparkSession)
+    placed = members.join(classes.select("cid", "first", "n"), "cid")
+    earlier = Window.partitionBy("sig").orderBy("first", "cid")
+    upto = earlier.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = earlier.rowsBetween(Window.unboundedPreceding, -1)
+    return stored(
+        placed.withColumn("pivot", F.first(F.struct("first", "cid", "n", "pos")).over(upto)).withColumn(
+            "central", F.min(F.struct("pos", "first", "cid", "n")).over(before)
+        ),
+        "line-lists",
+    )
 
 
 def tokens_of(rows: DataFrame, classes: DataFrame, pairs: DataFrame, crowd: np.ndarray) -> DataFrame:
@@ -127,13 +137,13 @@ def compared(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
 def later_matches(members: DataFrame, tokens_for: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """(cid,) of classes whose first line matches an earlier line; ``tokens_for`` pairs gives their words."""
     pivot = lambda c: F.col(f"pivot.{c}")
-    tested = stored(
-        members.filter(F.col("cid") != pivot("cid"))
-        .filter(may_match(F.col("n"), F.col("pos"), pivot("n"), pivot("pos"), percent))
-        .select(F.col("cid").alias("x"), pivot("cid").alias("y"))
-        .distinct(),
-        "line-tested",
-    )
+
+    def against(other: str) -> DataFrame:
+        n, pos, y = (F.col(f"{other}.{c}") for c in ("n", "pos", "cid"))
+        pairs = members.filter(F.col("cid") != y).filter(may_match(F.col("n"), F.col("pos"), n, pos, percent))
+        return pairs.select(F.col("cid").alias("x"), y.alias("y"))
+
+    tested = stored(against("pivot").unionByName(against("central")).distinct(), "line-tested")
     match = F.expr(f"100 * shared >= {percent} * together")
     answers = stored(compared(tested, tokens_for(tested)), "line-compared")
     done = stored(answers.filter(match).select(F.col("x").alias("cid")).distinct(), "line-matched")
@@ -168,8 +178,11 @@ def dedup_lines(docs: DataFrame, percent: int = 80, carry: tuple[str, ...] = ())
     smaller than all.  Every line but the first of a group of equals goes, and so does one that is like an
     earlier line which goes itself.  Lines without words stay.  Null and empty texts come back as an
     empty text with one line; rows that repeat an id and its text are one document to each other
-    and are all treated alike; an empty table gives no row; further columns are ignored.
+    and are all treated alike; an empty table gives no row; further columns are ignored.  The prefix bound
+    holds for ``percent`` of 75 and more.
     """
+    if not 75 <= percent <= 100:
+        raise ValueError("percent must be 75 to 100")
     spark = docs.sparkSession
     rows = with_row(docs)
     crowd = crowding(rows)
