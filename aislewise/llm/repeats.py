@@ -219,21 +219,33 @@ def repeated_offsets(core: np.ndarray, times: np.ndarray, left: list[bytes], rig
 OFFSETS = "core long, around long, low long, high long"
 
 
-def small_groups(distinct: DataFrame) -> DataFrame:
-    """Repeated offsets where each core's surroundings fit a task: a task takes whole cores, some at a time."""
+def small_groups(distinct: DataFrame, limit: int) -> DataFrame:
+    """Repeated offsets where each core's surroundings fit a task: a task takes whole cores, some at a time.
+
+    Cores of more than ``limit`` surroundings are passed over.
+    """
 
     def run(batches):
-        held, size = [], 0
+        held, size, passed = [], 0, None
         for batch in batches:
             core = batch.column("core").to_numpy()
-            cut = int(np.searchsorted(core, core[-1])) if len(core) else 0  # the last core may go on
-            if cut:
-                held.append(batch.slice(0, cut))
+            if passed is not None:
+                batch = batch.slice(int(np.searchsorted(core, passed, "right")))
+                core = batch.column("core").to_numpy()
+            if not len(core):
+                continue
+            passed = None
+            if held and held[-1].column("core")[0].as_py() != core[0]:
                 yield solve(held)
-                held, size = [batch.slice(cut)], batch.num_rows - cut
-            elif batch.num_rows:
-                held.append(batch)
-                size += batch.num_rows
+                held, size = [], 0
+            cut = int(np.searchsorted(core, core[-1]))  # the last core may go on
+            if cut:
+                yield solve([*held, batch.slice(0, cut)])
+                held, size = [], 0
+            held.append(batch.slice(cut))
+            size += batch.num_rows - cut
+            if size > limit:
+                held, size, passed = [], 0, core[-1]
         if held:
             yield solve(held)
 
@@ -283,10 +295,10 @@ def repeated_spans(around: DataFrame, depth: int) -> DataFrame:
     """(doc_id, row, start, stop): the union of the repeated strings of each anchor."""
     distinct = around.groupBy("core", "around", "left", "right").agg(F.count(F.lit(1)).alias("times"))
     distinct = stored(distinct, "repeat-distinct")
-    cores = distinct.groupBy("core").agg(F.sum("times").alias("all"), F.count(F.lit(1)).alias("n")).filter("all > 1")
-    marked = distinct.join(cores, "core")
-    small = small_groups(marked.filter(F.col("n") <= GROUP_ROWS).select(*distinct.columns))
-    large = large_groups(marked.filter(F.col("n") > GROUP_ROWS).select(*distinct.columns))
+    release(distinct.sparkSession)
+    crowded = distinct.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP_ROWS)
+    small = small_groups(distinct, GROUP_ROWS)
+    large = large_groups(distinct.join(crowded.select("core"), "core", "left_semi"))
     offsets = stored(small.unionByName(large), "repeat-offsets")
     return around.select("doc_id", "row", "pos", "core", "around").join(offsets, ["core", "around"]).select(
         "doc_id", "row", (F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + depth).alias("stop")
