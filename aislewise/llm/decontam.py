@@ -1,12 +1,12 @@
-"""Benchmark passages in documents, by CGK embedding, bit sampling and exact edit verification.
+"""Benchmark passages in documents, by intact pieces and exact edit verification.
 
-The random walk of Chakraborty, Goldenberg and Koucky reads a word sequence and, at each step, moves
-on or stays by a random bit of (step, word).  Two sequences at a small edit distance are read in step
-almost everywhere, so their embeddings are at a small Hamming distance.  A signature samples a few
-steps; sequences with equal signatures are candidates; many samples over several walks reach the recall
-asked for.  Items are embedded in all their windows; a document's windows start at every
-quarter of the item size, so a passage that holds an item holds several of them.  Every candidate is
-verified by its exact edit distance in words.
+An item of n words may differ by s edits.  It is cut into s + 1 pieces of about equal length; s edits
+cannot reach all of them, so a copy holds one piece unchanged (with fewer words than s + 1, each word is a
+piece).  All pieces of all items are looked up at every word position of the documents, and every candidate is
+verified by its exact edit distance in words.  So no match is missed, whatever the item's length.
+
+A CGK walk with bit sampling stood here before: at 20 edits in a hundred words it found 0.67 of the copies, at
+500 words 0.1, and three times its signatures still 0.77 at 200 words.
 
 Documents are scanned once per block of items and nothing is shuffled; a block is bounded, so is
 what each task holds of it.
@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aislewise.llm.common import U64, keep_rows, map_batches, mix, record, slices, texts, word_hashes
+from aislewise.llm.common import U64, keep_rows, map_batches, record, shingles, slices, texts, word_hashes
 
 WORD = re.compile(r"[^\W_]+")
-SAMPLES = 3  # steps a signature reads
-WALKS, PER_WALK = 3, 4  # embeddings, and signatures of each
+WIDEST = 8  # words of a piece that are looked up; a longer piece is found by its first ones
+MATCHES_AT_ONCE = 1 << 20  # candidates held while they are sorted, about
 MASK_BITS = 20
 ITEM_BLOCK = 5000  # items matched in one scan, about
 SHORTEST = 5  # items of fewer words match only a document of the same words
@@ -36,97 +36,78 @@ def hashes(text: str) -> np.ndarray:
     return word_hashes([w.encode() for w in WORD.findall(text.lower())])
 
 
-def walk(words: np.ndarray, starts: np.ndarray, size: int, seed: int, steps: list[np.ndarray]) -> list[np.ndarray]:
-    """Signatures of the windows of ``size`` words at ``starts``, one array per set of sampled steps.
-
-    ``words`` must reach ``size`` further than the last start.
-    """
-    pos = starts.copy()
-    ends = starts + size
-    out = [np.full(len(starts), seed + 97 * k, U64) for k in range(len(steps))]
-    wanted: dict[int, list[int]] = {}
-    for k, chosen in enumerate(steps):
-        for j in chosen.tolist():
-            wanted.setdefault(j, []).append(k)
-    bits = None
-    for j in range(max(wanted) + 1):
-        if j % 64 == 0:
-            bits = mix(words ^ U64((seed * 0x9E3779B97F4A7C15 + j) % (1 << 64)))
-        at = np.minimum(pos, ends - 1)
-        if j in wanted:
-            read = np.where(pos < ends, words[at], U64(0))
-            for k in wanted[j]:
-                out[k] = (out[k] ^ read) * U64(0x9E3779B97F4A7C15) + U64(1)
-        pos = pos + (bits[at] >> U64(j % 64) & U64(1)).astype(np.int64)
-    return [mix(o) for o in out]
-
-
-def sampled_steps(size: int, seed: int) -> list[np.ndarray]:
-    """For each signature of a walk, steps spread over the part that reads a window of ``size`` words."""
-    rng = np.random.default_rng(seed)
-    edges = np.linspace(0, 2 * size, SAMPLES + 1).astype(int)
-    return [np.array([rng.integers(a, max(a + 1, b)) for a, b in zip(edges, edges[1:], strict=False)]) for _ in range(PER_WALK)]
+def slack_of(size: int, percent: int) -> int:
+    """Edits that an item of ``size`` words may differ by."""
+    return size - -(-size * percent // 100)
 
 
 @dataclass
-class SizeClass:
-    """Items of like length: their window, the documents' stride, and the signatures of all their windows."""
+class Pieces:
+    """All pieces of one width, sorted by hash: whose they are, and at which word of the item they start."""
 
-    size: int
-    stride: int
-    prints: np.ndarray  # sorted
+    width: int
+    prints: np.ndarray
     item: np.ndarray
     offset: np.ndarray
     mask: np.ndarray
-    seed: int
-
-    def signatures(self, words: np.ndarray, starts: np.ndarray):
-        for w in range(WALKS):
-            seed = self.seed + 1000 * w
-            yield from walk(words, starts, self.size, seed, sampled_steps(self.size, seed))
 
 
-def size_classes(items: list[np.ndarray]) -> list[SizeClass]:
-    order = sorted((i for i, w in enumerate(items) if len(w) >= SHORTEST), key=lambda i: len(items[i]))
+def piece_index(items: list[np.ndarray], percent: int = 80) -> list[Pieces]:
+    """The pieces of items of SHORTEST words and more, by width."""
+    cut: dict[int, tuple[list, list]] = {}
+    for i, words in enumerate(items):
+        size = len(words)
+        if size < SHORTEST:
+            continue
+        n = min(slack_of(size, percent) + 1, size)
+        for k in range(n):
+            at = k * size // n
+            owners, offsets = cut.setdefault(min(WIDEST, (k + 1) * size // n - at), ([], []))
+            owners.append(i)
+            offsets.append(at)
     out = []
-    while order:
-        least = len(items[order[0]])
-        inside = [i for i in order if len(items[i]) < 1.5 * least]
-        order = order[len(inside) :]
-        stride = max(1, least // 4)
-        cls = SizeClass(max(2, least - stride), stride, *(np.empty(0),) * 4, seed=least)
-        flat = np.concatenate([items[i] for i in inside])
-        begins = np.cumsum([0, *(len(items[i]) for i in inside)])
-        n = np.array([len(items[i]) - cls.size + 1 for i in inside])
-        offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        starts = np.repeat(begins[:-1], n) + offset
-        prints = list(cls.signatures(np.concatenate((flat, np.zeros(cls.size, U64))), starts))
-        every = np.concatenate(prints)
-        rank = np.argsort(every, kind="stable")
-        cls.prints = every[rank]
-        cls.item = np.tile(np.repeat(np.array(inside), n), len(prints))[rank]
-        cls.offset = np.tile(offset, len(prints))[rank]
-        cls.mask = np.zeros(1 << MASK_BITS, bool)
-        cls.mask[(cls.prints >> U64(64 - MASK_BITS)).astype(np.int64)] = True
-        out.append(cls)
+    for width, (owners, offsets) in sorted(cut.items()):
+        item, offset = np.array(owners), np.array(offsets)
+        begins = np.cumsum([0, *(len(w) for w in items)])
+        prints = shingles(np.concatenate(items), width)[begins[item] + offset]
+        rank = np.argsort(prints, kind="stable")
+        mask = np.zeros(1 << MASK_BITS, bool)
+        mask[(prints >> U64(64 - MASK_BITS)).astype(np.int64)] = True
+        out.append(Pieces(width, prints[rank], item[rank], offset[rank], mask))
     return out
 
 
-def candidates(cls: SizeClass, words: np.ndarray, begins: np.ndarray, sizes: np.ndarray):
-    """Distinct (document, item, place where the item would start) of a batch of documents."""
-    n = np.maximum(0, (sizes - cls.size) // cls.stride + 1)
-    doc = np.repeat(np.arange(len(sizes)), n)
-    place = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * cls.stride
-    if not len(doc):
-        return set()
-    padded = np.concatenate((words, np.zeros(cls.size, U64)))
-    found = set()
-    for sig in cls.signatures(padded, begins[doc] + place):
-        hit = np.flatnonzero(cls.mask[(sig >> U64(64 - MASK_BITS)).astype(np.int64)])
-        low, high = np.searchsorted(cls.prints, sig[hit], "left"), np.searchsorted(cls.prints, sig[hit], "right")
-        for h, a, b in zip(hit[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
-            found.update((int(doc[h]), int(i), int(place[h] - o)) for i, o in zip(cls.item[a:b], cls.offset[a:b], strict=True))
-    return found
+def candidates(pieces: Pieces, words: np.ndarray, begins: np.ndarray, sizes: np.ndarray):
+    """(document, item, place where the item would start) of a batch of documents, in arrays of bounded length."""
+    prints = shingles(words, pieces.width)
+    at = np.flatnonzero(pieces.mask[(prints >> U64(64 - MASK_BITS)).astype(np.int64)])
+    doc = np.searchsorted(begins + sizes, at, "right")
+    inside = at + pieces.width <= begins[doc] + sizes[doc]
+    at, doc = at[inside], doc[inside]
+    low, high = np.searchsorted(pieces.prints, prints[at], "left"), np.searchsorted(pieces.prints, prints[at], "right")
+    found = high > low
+    at, doc, low, n = at[found], doc[found], low[found], (high - low)[found]
+    ends = np.cumsum(n)
+    start = 0
+    while start < len(at):
+        done = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + MATCHES_AT_ONCE, "right")))
+        many = n[start:stop]
+        entry = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many - low[start:stop], many)
+        place = np.repeat(at[start:stop] - begins[doc[start:stop]], many) - pieces.offset[entry]
+        yield np.repeat(doc[start:stop], many), pieces.item[entry], place
+        start = stop
+
+
+def regions(doc: np.ndarray, item: np.ndarray, place: np.ndarray, lengths: np.ndarray):
+    """(document, item, first place, last place) of candidates; places of one pair that are less than the item's
+    length apart are taken together."""
+    order = np.lexsort((place, item, doc))
+    doc, item, place = doc[order], item[order], place[order]
+    new = (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(place) > lengths[item[1:]])
+    first = np.flatnonzero(np.concatenate(([True], new)))
+    last = np.concatenate((first[1:], [len(doc)])) - 1
+    return zip(doc[first].tolist(), item[first].tolist(), place[first].tolist(), place[last].tolist(), strict=True)
 
 
 def best_match(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
@@ -162,7 +143,8 @@ class Matcher:
     def __init__(self, items: list[tuple[int, np.ndarray]], percent: int) -> None:
         self.ids, self.words, self.percent = [i for i, _ in items], [w for _, w in items], percent
         self.sets = [set(w.tolist()) for w in self.words]
-        self.classes = size_classes(self.words)
+        self.lengths = np.array([len(w) for w in self.words], np.int64)
+        self.pieces = piece_index(self.words, percent)
         self.short: dict[bytes, list[int]] = {}
         for i, w in enumerate(self.words):
             if 0 < len(w) < SHORTEST:
@@ -174,17 +156,18 @@ class Matcher:
         sizes = np.array([len(s) for s in split], np.int64)
         flat, begins = np.concatenate([*split, np.empty(0, U64)]), np.cumsum(sizes) - sizes
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for cls in self.classes:
-            for d, i, at in candidates(cls, flat, begins, sizes):
-                item = self.words[i]
-                slack = len(item) - -(-len(item) * self.percent // 100)
-                low = max(0, at - slack)
-                region = split[d][low : at + len(item) + slack]
-                if len(self.sets[i].difference(region.tolist())) > slack:  # each missing word costs an edit
-                    continue
-                distance, end = best_match(item, region)
-                if distance <= slack:
-                    best[d, i] = min(best.get((d, i), (distance, low + end)), (distance, low + end))
+        for pieces in self.pieces:
+            for some in candidates(pieces, flat, begins, sizes):
+                for d, i, first, last in regions(*some, self.lengths):
+                    item = self.words[i]
+                    slack = slack_of(len(item), self.percent)
+                    low = max(0, first - slack)
+                    region = split[d][low : last + len(item) + slack]
+                    if len(self.sets[i].difference(region.tolist())) > slack:  # each missing word costs an edit
+                        continue
+                    distance, end = best_match(item, region)
+                    if distance <= slack:
+                        best[d, i] = min(best.get((d, i), (distance, low + end)), (distance, low + end))
         for d, words in enumerate(split):
             if 0 < len(words) < SHORTEST:
                 best.update({(d, i): (0, len(words)) for i in self.short.get(words.tobytes(), ())})
@@ -229,8 +212,8 @@ def benchmark_matches(docs: DataFrame, items: DataFrame, percent: int = 80) -> D
     within (100 - percent) percent of the item's words, by edit distance in words, and gives the best
     part and where it ends.  Items of one to four words match only a document of just these words; items and
     texts without words, null or empty, match nothing.  Repeated rows match each for itself; null ids
-    stay null; an empty table gives no row; further columns are ignored.  Exact occurrences are
-    always found; see ``sampled_recall`` for edited ones.
+    stay null; an empty table gives no row; further columns are ignored.  Items of five words and more
+    are always found, edited ones too.
     """
     out = None
     for block in matchers(items, percent):
@@ -257,8 +240,8 @@ def sampled_recall(size: int, edits: int, trials: int = 200, seed: int = 5) -> f
                 del copy[at]
         before = rng.integers(1, 1 << 63, int(rng.integers(0, 40))).astype(U64)
         doc = np.concatenate((before, np.array(copy, U64), rng.integers(1, 1 << 63, 20).astype(U64)))
-        (cls,) = size_classes([item])
-        found += bool(candidates(cls, doc, np.zeros(1, np.int64), np.array([len(doc)])))
+        begins, sizes = np.zeros(1, np.int64), np.array([len(doc)])
+        found += any(True for pieces in piece_index([item]) for _ in candidates(pieces, doc, begins, sizes))
     return found / trials
 
 

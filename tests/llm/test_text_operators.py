@@ -257,6 +257,24 @@ def test_recall_of_edited_passages():
     assert D.sampled_recall(24, 2) >= 0.95 and D.sampled_recall(50, 5) >= 0.9
 
 
+@pytest.mark.parametrize("size", [5, 9, 10, 20, 50, 100, 200, 500])
+def test_copies_at_the_full_slack_are_found(size):
+    rng = random.Random(size)
+    vocabulary = words(size, 4000).split()
+    items, docs, edits = [], [], size // 5
+    for _ in range(20):
+        item = rng.choices(vocabulary, k=size)
+        copy = list(item)
+        for at in sorted(rng.sample(range(size), edits), reverse=True):
+            copy[at : at + 1] = ([f"new{at}"], [f"new{at}", copy[at]], [])[rng.randrange(3)]
+        items.append(D.hashes(" ".join(item)))
+        docs.append(" ".join(rng.choices(vocabulary, k=rng.randrange(60)) + copy + rng.choices(vocabulary, k=30)))
+    got = {(d, i): (x, e) for d, i, x, e in D.Matcher(list(enumerate(items)), 80).find(docs)}
+    want = {(d, i): D.best_match(item, D.hashes(text)) for d, text in enumerate(docs) for i, item in enumerate(items)}
+    assert {(d, d) for d in range(20)} <= set(got)
+    assert got == {pair: at for pair, at in want.items() if at[0] <= edits}
+
+
 def test_matches_equal_planted_passages(spark, odd, empty):
     items = [(k, words(700 + k, n)) for k, n in enumerate((5, 7, 12, 20, 33, 50, 80))] + [(90, "one, two!"), (91, None), (92, "")]
     rows, planted = [r[:2] for r in odd_rows()], set()
