@@ -78,6 +78,14 @@ def test_telephony_rows(odd, empty):
     assert T.telephony(empty).count() == 0
 
 
+def test_tracks_keep_the_whole_band(odd):
+    """The query's tracks have 16,000 samples a second, at least those of the source."""
+    for row in T.telephony(odd).toPandas().itertuples():
+        codec, rate, n = (int(v) for v in row.feature.split("/")[:3])
+        samples = row.payload_bytes // T.BLOCK * T.PER_BLOCK if codec == T.ADPCM else row.payload_bytes
+        assert (rate, n) == (16000, 2 * samples)
+
+
 def test_loser_tree_merges_in_order():
     rng = random.Random(5)
     for k in (0, 1, 2, 3, 7, 16):
