@@ -2,7 +2,9 @@
 
 Token ids are written once.  Documents are ranged by their smallest word hash, so texts with common
 words tend to meet, and cut into shards of a bounded number of tokens; a group of copies that holds a
-third of all documents is simply cut into many shards.  Each shard has its own inverted index.  A seed
+third of all documents is simply cut into many shards.  Each shard has its own inverted index; document
+frequencies, count and mean length are those of the whole table, and every term of a seed counts.  Neighbours
+are looked for in the seed's shard only.  A seed
 document opens a window; its unused neighbours, best score first, fill it; the document that meets
 the window's end is cut there and seeds the next window.  The last window of a shard is cut
 into sequences whose lengths are powers of two, which need no padding.
@@ -11,11 +13,13 @@ into sequences whose lengths are powers of two, which need no padding.
 from __future__ import annotations
 
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from aislewise.llm.bpe import Encoder, encoder
@@ -23,7 +27,7 @@ from aislewise.llm.common import U64, map_batches, mix, parts_for, record, relea
 
 WINDOW = 2048
 SHARD_TOKENS = 4 << 20
-QUERY_TERMS = 16  # of a seed: its terms of highest weight among those that another document has
+COMMON = 8  # terms that more than one in so many documents of a shard have are held as dense rows
 K1, B = 1.2, 0.75
 
 
@@ -39,7 +43,7 @@ def word_terms(ids: np.ndarray, opens: np.ndarray) -> np.ndarray:
 
 
 def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(doc_id, ids, n, near): token ids with the end id, and the smallest word hash of the text."""
+    """(doc_id, ids, n, words, near): token ids with the end id, number of words and smallest word hash of the text."""
 
     def run(batches):
         tok = encoder(path)
@@ -53,18 +57,72 @@ def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                         "doc_id": (batch.column("doc_id"), pa.int64()),
                         "ids": (ids, pa.binary()),
                         "n": ([len(i) // tok.dtype.itemsize for i in ids], pa.int64()),
+                        "words": ([len(t) for t in terms], pa.int64()),
                         "near": (signed(np.array([t.min() if len(t) else 0 for t in terms], U64)), pa.int64()),
                     }
                 )
 
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return stored(map_batches(rows, run, "doc_id long, ids binary, n long, near long"), "packing-ids")
+    return stored(map_batches(rows, run, "doc_id long, ids binary, n long, words long, near long"), "packing-ids")
+
+
+def place(ids: DataFrame, path: str, shards: int) -> DataFrame:
+    """(shard, doc_id, ids, term, df): the documents of each shard, in order, and in rows of their own each of its
+    terms with the number of its documents that have it."""
+    ranged = ids.repartitionByRange(shards, "near", "doc_id", F.xxhash64("ids")).select("doc_id", "ids")
+
+    def run(batches):
+        tok, number, seen = encoder(path), TaskContext.get().partitionId(), []
+        for batch in batches:
+            held = [np.frombuffer(i, tok.dtype)[:-1] for i in batch.column("ids").to_pylist()]
+            seen.append(np.concatenate([np.unique(word_terms(i, tok.opens)) for i in held] or [np.empty(0, U64)]))
+            none = pa.nulls(batch.num_rows, pa.int64())
+            yield record(
+                {
+                    "shard": ([number] * batch.num_rows, pa.int64()),
+                    "doc_id": (batch.column("doc_id"), pa.int64()),
+                    "ids": (batch.column("ids"), pa.binary()),
+                    "term": (none, pa.int64()),
+                    "df": (none, pa.int64()),
+                }
+            )
+        terms, df = np.unique(np.concatenate([np.empty(0, U64), *seen]), return_counts=True)
+        for at in range(0, len(terms), 1 << 17):
+            part = signed(terms[at : at + (1 << 17)])
+            yield record(
+                {
+                    "shard": ([number] * len(part), pa.int64()),
+                    "doc_id": (pa.nulls(len(part), pa.int64()), pa.int64()),
+                    "ids": (pa.nulls(len(part), pa.binary()), pa.binary()),
+                    "term": (part, pa.int64()),
+                    "df": (df[at : at + (1 << 17)], pa.int64()),
+                }
+            )
+
+    return stored(map_batches(ranged, run, "shard long, doc_id long, ids binary, term long, df long"), "packing-shards")
+
+
+def frequencies(placed: DataFrame) -> DataFrame:
+    """(shard, term, df): how many documents of the whole table have a term, for each term that two of the shard have."""
+    counted = placed.filter("term is not null").select("shard", "term", F.col("df").alias("inside"))
+    total = F.sum("inside").over(Window.partitionBy("term"))
+    return counted.withColumn("df", total).filter("inside > 1").select("shard", "term", "df")
+
+
+class Table(NamedTuple):
+    """Statistics of the whole table; ``df`` of the sorted ``terms``, terms that are not listed have one document."""
+
+    n: int
+    mean: float
+    terms: np.ndarray
+    df: np.ndarray
 
 
 class Shard:
-    """BM25 inverted index over the word hashes of a shard's documents."""
+    """BM25 inverted index over the word hashes of a shard's documents, weighted by the table's statistics or,
+    without them, by those of the shard."""
 
-    def __init__(self, terms: list[np.ndarray]) -> None:
+    def __init__(self, terms: list[np.ndarray], table: Table | None = None) -> None:
         self.n = len(terms)
         owner = np.repeat(np.arange(self.n), [len(t) for t in terms])
         flat = np.concatenate(terms) if terms else np.empty(0, U64)
@@ -73,23 +131,39 @@ class Shard:
         self.term, self.doc = pair // max(1, self.n), pair % max(1, self.n)
         length = np.bincount(owner, minlength=self.n).astype(np.float64)
         df = np.bincount(self.term, minlength=len(self.vocab))
-        idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * length / max(1.0, length.mean() if self.n else 1.0))
+        total, mean, wide = self.n, length.mean() if self.n else 1.0, df
+        if table is not None:
+            total, mean, wide = table.n, table.mean, df.copy()
+            if len(table.terms):
+                at = np.minimum(np.searchsorted(table.terms, self.vocab), len(table.terms) - 1)
+                wide = np.where(table.terms[at] == self.vocab, table.df[at], df)
+        idf = np.log1p((total - wide + 0.5) / (wide + 0.5))
+        norm = K1 * (1 - B + B * length / max(1.0, mean))
         self.weight = idf[self.term] * count * (K1 + 1) / (count + norm[self.doc])
         self.starts = np.concatenate(([0], np.cumsum(df)))
-        shared = df[self.term] > 1
-        order = np.lexsort((-self.weight, self.doc))
-        order = order[shared[order]]
+        common = np.flatnonzero((df > 1) & (df * COMMON > self.n))
+        self.row = np.full(len(self.vocab), -1)
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), self.n), np.float32)
+        inside = self.row[self.term] >= 0
+        self.dense[self.row[self.term[inside]], self.doc[inside]] = self.weight[inside]
+        shared = np.flatnonzero(df[self.term] > 1)
+        order = shared[np.argsort(self.doc[shared], kind="stable")]
         self.query_terms = self.term[order]
         self.query_starts = np.searchsorted(self.doc[order], np.arange(self.n + 1))
 
     def scores(self, seed: int) -> np.ndarray:
-        a, b = self.query_starts[seed], self.query_starts[seed + 1]
-        spans = [slice(self.starts[t], self.starts[t + 1]) for t in self.query_terms[a : min(b, a + QUERY_TERMS)]]
+        """BM25 of all documents for all terms of the seed that another document has."""
+        terms = self.query_terms[self.query_starts[seed] : self.query_starts[seed + 1]]
+        row = self.row[terms]
+        out = np.zeros(self.n)
+        for r in row[row >= 0].tolist():
+            out += self.dense[r]
+        spans = [slice(self.starts[t], self.starts[t + 1]) for t in terms[row < 0].tolist()]
         if not spans:
-            return np.zeros(self.n)
+            return out
         at = np.concatenate([self.doc[s] for s in spans])
-        return np.bincount(at, np.concatenate([self.weight[s] for s in spans]), self.n)
+        return out + np.bincount(at, np.concatenate([self.weight[s] for s in spans]), self.n)
 
 
 def pack(lengths: list[int], shard: Shard, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
@@ -162,23 +236,30 @@ def pack_documents(docs: DataFrame, path: str, end_id: int, window: int = WINDOW
     spark = docs.sparkSession
     ids = encode(docs, path, end_id)
     release(spark)
-    n = parts_for(ids, "n", SHARD_TOKENS)
-    ranged = ids.repartitionByRange(n, "near", "doc_id", F.xxhash64("ids")).sortWithinPartitions("near", "doc_id", "n", "ids")
+    placed = place(ids, path, parts_for(ids, "n", SHARD_TOKENS))
+    known = stored(frequencies(placed), "packing-df")
+    size, words = ids.agg(F.count(F.lit(1)), F.sum("words")).first()
+    mean = (words or 0) / max(1, size)
 
-    def run(batches):
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         tok: Encoder = encoder(path)
-        keys, held = [], []
-        for batch in batches:
-            keys += batch.column("doc_id").to_pylist()
-            held += [np.frombuffer(i, tok.dtype) for i in batch.column("ids").to_pylist()]
-        if not held:
-            return
-        shard = Shard([word_terms(i[:-1], tok.opens) for i in held])
-        base = TaskContext.get().partitionId() << 32
+        rows = sorted(
+            ((np.frombuffer(i, tok.dtype), d) for d, i in zip(*(left.column(c).to_pylist() for c in ("doc_id", "ids")), strict=True)),
+            key=lambda r: (r[1] is not None, r[1] or 0, len(r[0]), r[0].tobytes()),
+        )
+        held, keys = [r[0] for r in rows], [r[1] for r in rows]
+        terms = [word_terms(i[:-1], tok.opens) for i in held]
+        near = [int(t.min().view(np.int64)) if len(t) else 0 for t in terms]
+        order = sorted(range(len(held)), key=near.__getitem__)
+        held, keys, terms = ([c[k] for k in order] for c in (held, keys, terms))
+        listed = right.column("term").to_numpy().view(U64)
+        rank = np.argsort(listed)
+        shard = Shard(terms, Table(size, mean, listed[rank], right.column("df").to_numpy()[rank]))
+        base = key[0].as_py() << 32
         pieces = pack([len(i) for i in held], shard, window)
         crc = [zlib.crc32(held[d][s : s + k].astype("<u4").tobytes()) for d, s, k, _, _ in pieces]
         doc, start, length, sequence, offset = (list(c) for c in zip(*pieces, strict=True))
-        yield record(
+        out = record(
             {
                 "doc_id": ([keys[d] for d in doc], pa.int64()),
                 "start": (start, pa.int64()),
@@ -189,5 +270,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int, window: int = WINDOW
                 "offset": (offset, pa.int64()),
             }
         )
+        return pa.Table.from_batches([out])
 
-    return map_batches(ranged, run, PIECES)
+    documents = placed.filter("ids is not null").select("shard", "doc_id", "ids")
+    return documents.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(run, PIECES)

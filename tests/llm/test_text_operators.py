@@ -67,6 +67,38 @@ def test_packing_prefers_lexical_neighbours():
         assert len({d % 3 for d, _, _, s, _ in pieces if s == sequence}) == 1
 
 
+def test_scores_equal_whole_bm25():
+    """Every shared term of the seed counts, common and rare, with statistics of a larger table."""
+    rng = np.random.default_rng(8)
+    terms = [rng.choice(400, rng.integers(1, 160), p=1 / np.arange(1, 401) / (1 / np.arange(1, 401)).sum()).astype(np.uint64) for _ in range(60)]
+    more = {int(t): int(rng.integers(60, 900)) for t in range(400)}
+    table = P.Table(1000, 55.5, np.arange(400, dtype=np.uint64), np.array([more[t] for t in range(400)]))
+    shard = P.Shard(terms, table)
+    counts = [Counter(t.tolist()) for t in terms]
+    for seed in range(60):
+        want = [0.0] * 60
+        for d, c in enumerate(counts):
+            for t in counts[seed]:
+                if t in c and sum(t in x for x in counts) > 1:
+                    idf = np.log1p((1000 - more[t] + 0.5) / (more[t] + 0.5))
+                    want[d] += idf * c[t] * (P.K1 + 1) / (c[t] + P.K1 * (1 - P.B + P.B * len(terms[d]) / 55.5))
+        assert np.allclose(shard.scores(seed), want, rtol=1e-4)
+
+
+def test_shards_know_the_frequencies_of_the_whole_table(odd):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = encoder(path)
+    placed = P.place(P.encode(odd, path, 1), path, 4)
+    held, whole = {}, Counter()
+    for r in placed.filter("ids is not null").collect():
+        terms = set(P.word_terms(np.frombuffer(r["ids"], tok.dtype)[:-1], tok.opens).tolist())
+        held.setdefault(r["shard"], Counter()).update(terms)
+        whole.update(terms)
+    assert len(held) > 1
+    got = {(r["shard"], r["term"] % (1 << 64)): r["df"] for r in P.frequencies(placed).collect()}
+    assert got == {(s, t): whole[t] for s, c in held.items() for t, n in c.items() if n > 1}
+
+
 # -- repeated strings -------------------------------------------------------------------------------
 
 
