@@ -305,6 +305,16 @@ def brand_match(spark, sf):
       cast(case when i.x is not null then 1 when n.x is not null then 2 else 0 end as int) as tier
    from h left join placed i on i.id = h.l_partkey left join n on n.name = h.name""")
 def position_lookup_cascade(spark, sf):
+    return position_tiers(spark, sf, fuzzy=False)
+
+
+@add("position_lookup_cascade_fuzzy")
+def position_lookup_cascade_fuzzy(spark, sf):
+    """As ``position_lookup_cascade`` with its third tier, for hits whose names are misread."""
+    return position_tiers(spark, sf, fuzzy=True)
+
+
+def position_tiers(spark, sf, fuzzy):
     part = view(spark, sf, "part")
     name = F.concat_ws(" ", "p_name", (F.col("p_size") % 3).cast("string"))
     placed = part.filter("p_type <> 'SMALL'").select(
@@ -321,10 +331,10 @@ def position_lookup_cascade(spark, sf):
         .select(
             (F.col("l_orderkey") * 100000000 + F.col("l_linenumber") * 10000000 + F.col("l_partkey")).alias("hit_id"),
             F.col("l_partkey").alias("product_id"),
-            name.alias("name"),
+            (F.translate(name, "e", "c") if fuzzy else name).alias("name"),
         )
     )
-    return S.position_cascade(hits, placed, fuzzy=False).select(
+    return S.position_cascade(hits, placed, fuzzy=fuzzy).select(
         "hit_id", rounded("x").alias("x"), F.coalesce("tier", F.lit(0)).alias("tier")
     )
 
@@ -347,6 +357,27 @@ def cached_answer(spark, sf):
     return S.cached_answers(asks, cache, view(spark, sf, "catalogue"), 2)
 
 
+@add("cached_answer_whole", """with s as (select max(p_partkey) * 5 // 4 as span from {part}),
+   c as (select c_name as query, [c_custkey * 3 % span, c_custkey * 7 % span, c_custkey % span] as ids from {customer}, s),
+   q as (select o_orderkey as query_id, 'Customer#' || lpad(cast(o_custkey as varchar), 9, '0') as query from {orders}),
+   e as (select query_id, unnest(ids) as product_id, unnest(range(3)) as place from q join c using (query)),
+   a as (select query_id, product_id, cast(row_number() over (partition by query_id order by place) as int) as rank
+     from e where product_id in (select p_partkey from {part}))
+   select * from a where rank <= 2""")
+def cached_answer_whole(spark, sf):
+    """As ``cached_answer``, with ids of the whole part table and a fifth beyond it that no longer exist."""
+    k, span = F.col("c_custkey"), F.col("span")
+    ids = view(spark, sf, "part").agg(F.expr("max(p_partkey) * 5 div 4").alias("span"))
+    cache = view(spark, sf, "customer").crossJoin(ids).select(
+        F.col("c_name").alias("query"), F.array(k * 3 % span, k * 7 % span, k % span).alias("ids")
+    )
+    asks = view(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("query_id"),
+        F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("query"),
+    )
+    return S.cached_answers(asks, cache, view(spark, sf, "catalogue"), 2)
+
+
 @add("intent_search", """with rules as (select n_nationkey as rule_id, case n_regionkey when 0 then ['PROMO', 'SMALL'] when 1 then ['LARGE']
         when 2 then ['ECONOMY', 'MEDIUM'] else ['STANDARD'] end as cats, case when n_nationkey % 2 = 0 then ['ring', 'gear'] else [] end as req,
         case when n_nationkey % 3 = 0 then ['red'] else [] end as exc, case when n_nationkey % 5 = 0 then 'Brand#' || (1 + n_nationkey) end as brand

@@ -214,3 +214,45 @@ def test_cascade_tiers(spark, catalogue):
     assert CATALOGUE[got["heinz tomater"]["product_id"]][1] == "Heinz"
     assert got["arla"]["score"] == 95
     assert got["helt okänt ord"]["product_id"] is None and got["helt okänt ord"]["score"] == 0
+
+
+def test_position_cascade_equals_all_pairs(spark):
+    rng = random.Random(17)
+    terms = ["".join(rng.choice("abcdeo") for _ in range(rng.randrange(3, 7))) for _ in range(30)]
+    placed = [(k, k, " ".join(rng.choice(terms) for _ in range(rng.randrange(1, 4))), float(k), 0.0, 0.0) for k in range(40)]
+    hits = [(k, k + 20, rng.choice(placed)[2]) for k in range(30)]
+    for k in range(30, 90):
+        name = list(rng.choice(placed)[2])
+        name[rng.randrange(len(name))] = "x"
+        hits.append((k, k + 1000, "".join(name)))
+    hits += [(90, 5000, "zzzz qqqq"), (91, 5001, "")]
+    want = {}
+    by_name = {}
+    for p in placed:
+        by_name.setdefault(p[2], []).append(p)
+    for hit, product, name in hits:
+        if product < 40:
+            want[hit] = (1, {float(product)})
+        elif name in by_name:
+            want[hit] = (2, {by_name[name][-1][3]})
+        else:
+            score = {n: token_set(frozenset(name.split()), frozenset(n.split())) for n in by_name} if name else {}
+            best = max(score.values(), default=0)
+            close = [n for n in score if score[n] >= best - 1e-9]
+            want[hit] = (3, {by_name[n][-1][3] for n in close}) if best >= 75 else (None, {None})
+    df = spark.createDataFrame(hits, "hit_id int, product_id int, name string")
+    spots = spark.createDataFrame(placed, "product_id int, ord int, name string, x double, y double, z double")
+    got = {r["hit_id"]: (r["tier"], r["x"]) for r in S.position_cascade(df, spots).collect()}
+    assert {t for t, _ in got.values()} == {1, 2, 3, None}
+    assert all(got[h][0] == t and got[h][1] in xs for h, (t, xs) in want.items()) and got.keys() == want.keys()
+
+
+def test_misread_names_reach_the_third_tier(spark):
+    from __spark_entry__ import queries
+
+    sf = "/root/testdata/sf0.001"
+    plain = {r["hit_id"]: r["tier"] for r in queries()["position_lookup_cascade"](spark, sf).collect()}
+    whole = {r["hit_id"]: r["tier"] for r in queries()["position_lookup_cascade_fuzzy"](spark, sf).collect()}
+    assert plain.keys() == whole.keys()
+    assert all(whole[h] in ((1,) if t == 1 else (0, 2, 3)) for h, t in plain.items())
+    assert 3 in whole.values() and 3 not in plain.values()
