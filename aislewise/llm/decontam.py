@@ -29,13 +29,19 @@ WIDEST = 8  # words of a piece that are looked up; a longer piece is found by it
 MATCHES_AT_ONCE = 1 << 20  # candidates held while they are sorted, about
 MASK_BITS = 20
 ITEM_BLOCK = 5000  # items matched in one scan, about
-SHORTEST = 5  # items of fewer words match only a document of the same words
+SHORTEST = 5  # items of fewer words match only as they are, ...
+LEAST_CHARS = 12  # ... and with fewer letters and digits only a document of just these words
 
 
 def hashes(text: str) -> np.ndarray:
     return word_hashes([w.encode() for w in WORD.findall(text.lower())])
 
 
+def letters(text: str) -> int:
+    """Letters and digits of a text."""
+    return sum(map(len, WORD.findall(text)))
+
+
 def slack_of(size: int, percent: int) -> int:
     """Edits that an item of ``size`` words may differ by."""
     return size - -(-size * percent // 100)
@@ -53,11 +59,11 @@ class Pieces:
 
 
 def piece_index(items: list[np.ndarray], percent: int = 80) -> list[Pieces]:
-    """The pieces of items of SHORTEST words and more, by width."""
+    """The pieces of ``items``, by width; an item without words has none."""
     cut: dict[int, tuple[list, list]] = {}
     for i, words in enumerate(items):
         size = len(words)
-        if size < SHORTEST:
+        if not size:
             continue
         n = min(slack_of(size, percent) + 1, size)
         for k in range(n):
@@ -140,11 +146,14 @@ MATCHES = "doc_id long, item_id long, distance long, item_words long, end_word l
 class Matcher:
     """A block of items, ready to be looked for in batches of texts."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], percent: int) -> None:
-        self.ids, self.words, self.percent = [i for i, _ in items], [w for _, w in items], percent
+    def __init__(self, items: list[tuple], percent: int) -> None:
+        self.ids, self.words = [r[0] for r in items], [r[1] for r in items]
         self.sets = [set(w.tolist()) for w in self.words]
         self.lengths = np.array([len(w) for w in self.words], np.int64)
-        self.pieces = piece_index(self.words, percent)
+        self.slack = [slack_of(len(w), percent) if len(w) >= SHORTEST else 0 for w in self.words]
+        # A short item without its number of letters and digits counts as one of few.
+        found = [w if len(w) >= SHORTEST or sum(r[2:]) >= LEAST_CHARS else w[:0] for w, r in zip(self.words, items, strict=True)]
+        self.pieces = piece_index(found, percent)
         self.short: dict[bytes, list[int]] = {}
         for i, w in enumerate(self.words):
             if 0 < len(w) < SHORTEST:
@@ -160,7 +169,7 @@ class Matcher:
             for some in candidates(pieces, flat, begins, sizes):
                 for d, i, first, last in regions(*some, self.lengths):
                     item = self.words[i]
-                    slack = slack_of(len(item), self.percent)
+                    slack = self.slack[i]
                     low = max(0, first - slack)
                     region = split[d][low : last + len(item) + slack]
                     if len(self.sets[i].difference(region.tolist())) > slack:  # each missing word costs an edit
@@ -181,7 +190,7 @@ def matchers(items: DataFrame, percent: int) -> list[Matcher]:
     out = []
     for k in range(blocks):
         part = listed.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        rows = [(r["item_id"], hashes(r["text"])) for r in part.toLocalIterator()]
+        rows = [(r["item_id"], hashes(r["text"]), letters(r["text"])) for r in part.toLocalIterator()]
         out.append(Matcher(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1].tobytes())), percent))
     return out
 
@@ -210,7 +219,8 @@ def benchmark_matches(docs: DataFrame, items: DataFrame, percent: int = 80) -> D
 
     Words are runs of letters and digits, lower-cased.  A row says that some part of the document is
     within (100 - percent) percent of the item's words, by edit distance in words, and gives the best
-    part and where it ends.  Items of one to four words match only a document of just these words; items and
+    part and where it ends.  Items of one to four words match as they are: anywhere in a
+    document where they hold LEAST_CHARS letters and digits, else only a document of just these words; items and
     texts without words, null or empty, match nothing.  Repeated rows match each for itself; null ids
     stay null; an empty table gives no row; further columns are ignored.  Items of five words and more
     are always found, edited ones too.

@@ -307,6 +307,14 @@ def test_copies_at_the_full_slack_are_found(size):
     assert got == {pair: at for pair, at in want.items() if at[0] <= edits}
 
 
+def test_short_items_are_found_inside_documents(spark):
+    items = [(1, "Photosynthesis, chlorophyll"), (2, "one two"), (3, "electroencephalography")]
+    docs = [(1, "about photosynthesis chlorophyll and more words"), (2, "of photosynthesis and chlorophyll"), (3, "say one two three"),
+            (4, "an Electroencephalography."), (5, "one, two"), (6, "photosynthesis")]
+    got = D.benchmark_matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"], r["distance"], r["end_word"]) for r in got.collect()} == {(1, 1, 0, 3), (4, 3, 0, 2), (5, 2, 0, 2)}
+
+
 def test_matches_equal_planted_passages(spark, odd, empty):
     items = [(k, words(700 + k, n)) for k, n in enumerate((5, 7, 12, 20, 33, 50, 80))] + [(90, "one, two!"), (91, None), (92, "")]
     rows, planted = [r[:2] for r in odd_rows()], set()
