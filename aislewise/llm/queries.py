@@ -9,12 +9,15 @@ from aislewise.llm.common import read
 from aislewise.llm.decontam import benchmark_matches
 from aislewise.llm.jaccardjoin import jaccard_components
 from aislewise.llm.langid import label_languages, learn_languages
+from aislewise.llm.licences import licence_digests, scan_licences
 from aislewise.llm.linededup import dedup_lines
 from aislewise.llm.packing import pack_documents
+from aislewise.llm.periods import find_runs, run_digests, with_periods
 from aislewise.llm.repeats import remove_repeats
 from aislewise.llm.rules import held_out, learn_quality, score_quality
 from aislewise.llm.telephony import telephony
 from aislewise.llm.tokenstore import token_store
+from aislewise.llm.vectorcodes import code_digests
 from aislewise.llm.warc import archive_pages
 from aislewise.plans.views import Registry
 
@@ -111,3 +114,50 @@ def op7_repeated_strings(spark, sf):
 @add("op5_benchmark_matches")
 def op5_benchmark_matches(spark, sf):
     return benchmark_matches(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+
+
+@add("op11_licence_scan")
+def op11_licence_scan(spark, sf):
+    return licence_digests(scan_licences(read(spark, sf, "documents")))
+
+
+@add("op13_periodic_runs")
+def op13_periodic_runs(spark, sf):
+    return run_digests(find_runs(with_periods(read(spark, sf, "documents")), least=12))
+
+
+def _op12_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Lloyd's rounds one after the other: ``b`` holds the codebooks before each, ``a`` the nearest entries."""
+    ctes = [
+        f"""v as materialized (select vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::double)::bigint) as x from embeddings
+            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)""",
+        f"""p as materialized (select vec_id, label, k as part, x[k * (len(x) // {parts}) + 1 : (k + 1) * (len(x) // {parts})] as x
+            from v, range({parts}) r(k))""",
+        f"""b0 as materialized (select part, row_number() over (partition by part order by vec_id) - 1 as entry, x from p
+            where vec_id in (select vec_id from v order by vec_id limit {entries}))""",
+    ]
+    for k in range(rounds + 1):
+        ctes.append(
+            f"""a{k} as materialized (select vec_id, label, p.part, p.x, min((list_sum(list_transform(list_zip(p.x, b.x),
+                lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint, b.entry)) as best from p join b{k} b on b.part = p.part group by all)"""
+        )
+        if k < rounds:
+            ctes.append(
+                f"""m{k} as materialized (select part, best[2] as entry, list(floor(s / n)::bigint order by i) as x from
+                    (select part, best, i, sum(x[i + 1]) as s, count(*)::double as n from
+                     (select part, (0, best[2]) as best, x, unnest(range(len(x))) as i from a{k}) group by all) group by all)"""
+            )
+            ctes.append(
+                f"""b{k + 1} as materialized (select b.part, b.entry, coalesce(m.x, b.x) as x
+                    from b{k} b left join m{k} m on m.part = b.part and m.entry = b.entry)"""
+            )
+    return f"""with {", ".join(ctes)},
+        c as (select vec_id, label, string_agg(printf('%02x', best[2]), '' order by part) as code, sum(best[1])::bigint as error
+              from a{rounds} group by vec_id, label),
+        h as (select sha256(string_agg(array_to_string(x, ','), ',' order by part, entry)) as codebooks_sha256 from b{rounds})
+        select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, codebooks_sha256 from c, h"""
+
+
+@add("op12_cover_tree_codes", _op12_sql())
+def op12_cover_tree_codes(spark, sf):
+    return code_digests(read(spark, sf, "embeddings"))
