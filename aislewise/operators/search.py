@@ -8,14 +8,15 @@ and only the winners are expanded to product rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aislewise.functions.lexicon import Lexicon
 from aislewise.functions.numeric import let
-from aislewise.functions.similarity import sequence_ratio, token_set_ratio
-from aislewise.functions.text import main_category, normalise, squeeze, tokens, word_match
+from aislewise.functions.similarity import sequence_ratio
+from aislewise.functions.text import main_category, normalise, squeeze, strip, tokens, word_match
 from aislewise.operators.ordered import top_per_group
+from aislewise.operators.set_similarity import processed, token_set_best, token_set_pairs
 from aislewise.session import cut_lineage
 
 
@@ -26,79 +27,105 @@ def _grams(text: Column, size: int) -> Column:
     return F.when(last >= 1, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
 
 
+PIECE = 5  # letters of an anchor
+
+
 def containment_pairs(terms: DataFrame, texts: DataFrame) -> DataFrame:
     """Every (term, text) with the term inside the text, for distinct terms and texts.
 
-    The join key is the term's first three characters (all of it when shorter), looked up
-    among the text's one-, two- and three-character pieces.
+    A term meets the texts that hold its rarest piece of five letters (a shorter term is its own piece); which one
+    that is comes from the number of texts that hold each piece.  A term with a piece in no text is in none.
+    Terms of at most two letters meet the texts that hold them and no others.
     """
-    keyed = terms.select("term").distinct().filter(F.length("term") > 0).withColumn(
-        "_g", F.substring("term", 1, 3)
-    )
-    shortest = F.concat(_grams(F.col("text"), 1), _grams(F.col("text"), 2), _grams(F.col("text"), 3))
-    pieces = texts.select("text").distinct().withColumn("_g", F.explode(shortest))
-    return keyed.join(pieces, "_g").filter(F.contains("text", F.col("term"))).select("term", "text")
+    terms = terms.select("term").distinct().filter(F.length("term") > 0)
+    n = F.length("term")
+    pieces = F.when(n <= PIECE, F.array("term")).otherwise(_grams(F.col("term"), PIECE))
+    asked = cut_lineage(terms.select("term", pieces.alias("_pieces")))
+    wanted = asked.select(F.explode("_pieces").alias("_g")).distinct()
+    sizes = [r[0] for r in wanted.select(F.length("_g")).distinct().collect()]  # five at most
+    if not sizes:
+        return asked.select("term", F.col("term").alias("text")).limit(0)
+    held = F.explode(F.concat(*[_grams(F.col("text"), k) for k in sorted(sizes)]))
+    held = texts.select("text").distinct().select("text", held.alias("_g")).join(wanted, "_g", "left_semi")
+    held = cut_lineage(held)
+    often = held.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = asked.select("term", F.size("_pieces").alias("_all"), F.explode("_pieces").alias("_g")).join(often, "_g")
+    anchors = (
+        ranked.groupBy("term", "_all")
+        .agg(F.min(F.struct("_n", "_g")).alias("_a"), F.count(F.lit(1)).alias("_met"))
+        .filter(F.col("_met") == F.col("_all"))
+        .select("term", F.col("_a._g").alias("_g"))
+    )
+    return anchors.join(held, "_g").filter(F.contains("text", F.col("term"))).select("term", "text")
 
 
 def similar_words(query_words: DataFrame, target_words: DataFrame) -> DataFrame:
     """(q, t, ratio) for distinct words with a possible word score.
 
-    Prefix, suffix and inside matches are found through the target's own substrings; query
-    words starting with the target through the query's prefixes.  A sequence ratio of at
-    least 0.8 on words of six letters and more leaves a common block of two letters and
-    lengths within 2:3, so shared two-letter pieces find those pairs; only they reach the UDF.
+    Words stand between marks, so a prefix of any length, a suffix of four letters and an inner piece of five are
+    all terms inside a text; so is a target of four letters that begins the query word.  A sequence ratio of at least
+    0.8 on words of six letters and more leaves a fifth of both lengths, less one, as common letter pairs; so two
+    words meet in the rarest pairs of each, all but that many less one, and only such words reach the UDF.
     """
-    queries = query_words.select(F.col("word").alias("q")).distinct()
-    targets = target_words.select(F.col("word").alias("t")).distinct()
-    n = F.length("t")
-
-    def cut(start: Column, size: Column) -> Column:
-        return F.substring(F.col("t"), start, size)
-
-    prefixes = F.transform(F.sequence(F.lit(1), n), lambda k: cut(F.lit(1), k))
-    suffixes = F.when(
-        n >= 4, F.transform(F.sequence(F.lit(4), n), lambda k: cut(n - k + 1, k))
-    ).otherwise(F.array().cast("array<string>"))
-    inside = F.when(
-        n >= 5,
-        F.flatten(
-            F.transform(
-                F.sequence(F.lit(5), n),
-                lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda s: cut(s, k)),
-            )
-        ),
-    ).otherwise(F.array().cast("array<string>"))
-    by_target = targets.filter(n > 0).select(
-        "t", F.explode(F.array_distinct(F.concat(prefixes, suffixes, inside))).alias("q")
-    )
-    m = F.length("q")
-    by_query = queries.filter(m >= 4).select(
-        "q", F.explode(F.transform(F.sequence(F.lit(4), m), lambda k: F.substring(F.col("q"), F.lit(1), k))).alias("t")
-    )
-    literal = queries.join(by_target, "q").select("q", "t").unionByName(by_query.join(targets, "t").select("q", "t"))
-    long_q = queries.filter(m >= 6).select("q", F.explode(_grams(F.col("q"), 2)).alias("_g"))
-    long_t = targets.filter(n >= 6).select("t", F.explode(_grams(F.col("t"), 2)).alias("_g"))
-    close = (
-        long_q.join(long_t, "_g")
-        .filter(F.least(m, n) * 3 >= F.greatest(m, n) * 2)
-        .select("q", "t")
-        .distinct()
-        .filter("q <> t")
-    )
+    queries = cut_lineage(query_words.select(F.col("word").alias("q")).distinct())
+    targets = cut_lineage(target_words.select(F.col("word").alias("t")).distinct().filter(F.length("t") > 0))
+    begin, end, back = F.lit("\u0002"), F.lit("\u0003"), F.lit("\u0004")
+    n = F.length("q")
+    asks = F.array(F.concat(begin, "q"), F.when(n == 4, F.concat("q", end)), F.when(n >= 5, F.col("q")))
+    asks = queries.select("q", F.explode(F.array_compact(asks)).alias("term"))
+    starts = targets.filter(F.length("t") >= 4).select(F.concat(back, "t").alias("term"))
+    texts = targets.select(F.concat(begin, "t", end).alias("text")).unionByName(
+        queries.select(F.concat(back, "q").alias("text"))
+    )
+    met = cut_lineage(containment_pairs(asks.select("term").unionByName(starts), texts))
+    bare = F.translate("text", "\u0002\u0003\u0004", "")
+    forward = met.filter(F.startswith("text", begin)).join(asks, "term").select("q", bare.alias("t"))
+    backward = met.filter(F.startswith("term", back)).select(bare.alias("q"), F.translate("term", "\u0004", "").alias("t"))
+    literal = forward.unionByName(backward).distinct()
     close = (
-        _spread(close, "t")
+        _spread(_close_words(queries, targets), "t")
         .withColumn("ratio", sequence_ratio("q", "t"))
         .filter("ratio >= 0.8")
     )
     return (
-        literal.distinct()
-        .withColumn("ratio", F.lit(None).cast("double"))
+        literal.withColumn("ratio", F.lit(None).cast("double"))
         .unionByName(close)
         .groupBy("q", "t")
         .agg(F.max("ratio").alias("ratio"))
     )
 
 
+def _close_words(queries: DataFrame, targets: DataFrame) -> DataFrame:
+    """(q, t) of six letters and more that share enough letter pairs for a ratio of 0.8.
+
+    With T letters on both sides and M of them matched, M >= 0.4 T; at most T - 2 M + 1 runs make up the match, so
+    at least M - (T - 2 M + 1) >= T / 5 - 1 letter pairs are common, repeats counted.  The other word has two thirds
+    of the letters at least, so a word of n letters leaves out its ceil(n / 3) - 2 commonest pairs.
+    """
+
+    def pairs(rows: DataFrame, word: str) -> DataFrame:
+        places = F.sequence(F.lit(1), F.length(word) - 1)
+        grams = F.transform(places, lambda i: F.substring(F.col(word), i, F.lit(2)))
+        counted = F.transform(
+            grams, lambda g, i: F.concat(g, F.size(F.filter(F.slice(grams, 1, i), lambda h: h == g)).cast("string"))
+        )
+        return rows.filter(F.length(word) >= 6).select(word, F.explode(counted).alias("_g"))
+
+    held = pairs(targets, "t")
+    often = held.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+
+    def rare(rows: DataFrame, word: str) -> DataFrame:
+        known = rows.join(often, "_g", "left")
+        order = Window.partitionBy(word).orderBy(F.coalesce("_n", F.lit(0)), "_g")
+        left_out = F.greatest(F.ceil(F.length(word) / 3) - 2, F.lit(0))
+        kept = known.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= F.length(word) - 1 - left_out)
+        return kept.select(word, "_g")
+
+    n, m = F.length("q"), F.length("t")
+    met = rare(pairs(queries, "q"), "q").join(rare(held, "t"), "_g")
+    return met.filter((F.least(n, m) * 3 >= F.greatest(n, m) * 2) & (F.col("q") != F.col("t"))).select("q", "t").distinct()
+
+
 def search_texts(catalogue: DataFrame) -> DataFrame:
     """One row per distinct 'name brand' text: last row's values at the first row's place."""
     text = squeeze(F.lower(F.concat_ws(" ", "name", "brand")))
@@ -366,87 +393,20 @@ def local_search(queries: DataFrame, catalogue: DataFrame, lex: Lexicon, n: int
 # Set similarity and cascades ---------------------------------------------------------
 
 
-def _processed(text: Column) -> Column:
-    return squeeze(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", " "))
-
-
 def _spread(pairs: DataFrame, by: str) -> DataFrame:
     """Scoring is costlier than the pairs are wide; keep one task per shuffle partition."""
     return pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
 
 
-def token_set_pairs(left: DataFrame, right: DataFrame, floor: float, letters: bool = False) -> DataFrame:
-    """(left text a, right text b, score >= floor) for distinct texts.
-
-    Sides meet on shared words and on letter pairs that are adjacent or one apart in the
-    sorted words (single letters for short texts, and with ``letters``).  Without a shared
-    word an alignment of M letters out of T has at least 2M - T/2 - 1 such pairs in common,
-    so only pairs with that many common pieces are scored.  The bound needs a floor of 65 or
-    more; below that ``letters`` counts single characters, of which M must be in common.
-    """
-    if floor < 65.0 and not letters:
-        raise ValueError("floors below 65 need letters=True")
-
-    def pieces(df: DataFrame, side: str) -> DataFrame:
-        texts = df.select(_processed(F.col("text")).alias(side)).distinct().filter(F.col(side) != "")
-        sorted_words = F.array_join(F.array_sort(F.array_distinct(F.split(side, " "))), " ")
-        rows = texts.withColumn("_s", sorted_words).withColumn(f"_n{side}", F.length("_s"))
-        spots = F.sequence(F.lit(1), F.greatest(F.length("_s"), F.lit(1)))
-        single = F.transform(spots, lambda i: F.substring(F.col("_s"), i, F.lit(1)))
-        if letters:
-            made = single
-        else:
-            near = F.transform(spots, lambda i: F.substring(F.col("_s"), i, F.lit(2)))
-            apart = F.transform(
-                spots,
-                lambda i: F.concat(F.substring(F.col("_s"), i, F.lit(1)), F.substring(F.col("_s"), i + 2, F.lit(1))),
-            )
-            none = F.array().cast("array<string>")
-            short = F.when(F.length("_s") <= 6, single).otherwise(none)
-            made = F.concat(F.filter(F.concat(near, apart), lambda g: F.length(g) == 2), short)
-        words = F.transform(F.array_distinct(F.split(side, " ")), lambda w: F.concat(F.lit("="), w))
-        return (
-            rows.select(side, f"_n{side}", F.explode(F.concat(made, words)).alias("_g"))
-            .groupBy(side, f"_n{side}", "_g")
-            .agg(F.count(F.lit(1)).alias(f"_c{side}"))
-        )
-
-    word = F.startswith("_g", F.lit("=")) & (F.length("_g") > 1)
-    total = F.col("_na") + F.col("_nb")
-    needed = total * (floor / 200.0) if letters else total * (floor / 100.0 - 0.5) - 1.0
-    met = (
-        pieces(left, "a")
-        .join(pieces(right, "b"), "_g")
-        .groupBy("a", "b", "_na", "_nb")
-        .agg(F.max(word).alias("_word"), F.sum(F.when(~word, F.least("_ca", "_cb"))).alias("_common"))
-        .filter(F.col("_word") | (F.coalesce("_common", F.lit(0)) >= needed - 1e-9))
-        .select("a", "b")
-    )
-    return _spread(met, "b").withColumn("score", token_set_ratio("a", "b")).filter(F.col("score") >= floor)
-
-
 def short_search(queries: DataFrame, catalogue: DataFrame, floor: float = 40.0, n: int = 5) -> DataFrame:
-    """Token-set search over name, brand and tags; ``direct`` marks a best hit of 75 or more.
-
-    Most queries fill their ``n`` places with hits of 65 and more.  Only the others are
-    compared again, against every text that shares a letter with them.
-    """
-    texts = catalogue.withColumn("text", _processed(F.concat_ws(" ", "name", "brand", "category")))
-    asked = queries.select("query_id", _processed(F.col("query")).alias("a"))
-    asks = asked.select(F.col("a").alias("text")).distinct()
-    firsts = top_per_group(texts.select("text", "product_id", "ord"), ["text"], ["ord"], n).withColumnRenamed("text", "b")
-
-    def best(pairs: DataFrame) -> DataFrame:
-        return top_per_group(pairs.join(firsts, "b"), ["a"], [F.desc("score"), "ord"], n, rank="rank")
-
-    good = cut_lineage(best(token_set_pairs(asks, texts, 65.0)))
-    full = good.groupBy("a").count().filter(F.col("count") >= n).select(F.col("a").alias("text"))
-    rest = asks.join(full, "text", "left_anti")
-    wide = best(token_set_pairs(rest, texts, floor, letters=True))
-    top = good.join(full.withColumnRenamed("text", "a"), "a", "left_semi").unionByName(wide)
-    out = asked.join(top, "a")
-    direct = out.groupBy("query_id").agg((F.max("score") >= 75).alias("direct"))
-    return out.join(direct, "query_id").select("query_id", "product_id", "score", "rank", "direct")
+    """Token-set search over name, brand and tags; ``direct`` marks a best hit of 75 or more."""
+    texts = catalogue.select("product_id", "ord", processed(F.concat_ws(" ", "name", "brand", "category")).alias("b"))
+    asked = queries.select("query_id", processed(F.col("query")).alias("a"))
+    firsts = top_per_group(texts, ["b"], ["ord"], n)
+    near = token_set_best(asked, texts, floor, n).select("a", "b", "score")
+    top = top_per_group(near.join(firsts, "b"), ["a"], [F.desc("score"), "ord"], n, rank="rank")
+    direct = top.groupBy("a").agg((F.max("score") >= 75).alias("direct"))
+    return asked.join(top.join(direct, "a"), "a").select("query_id", "product_id", "score", "rank", "direct")
 
 
 def brand_in_query(queries: DataFrame, brands: DataFrame) -> DataFrame:
@@ -521,11 +481,9 @@ def _fuzzy_tier(rest: DataFrame, rows: DataFrame, min_score: float) -> DataFrame
     best product of that brand scoring 50 or more."""
     sides = []
     for rank, (term, field) in enumerate((("qn", "_norm"), ("q", "_plain"))):
-        ask = rest.select("query_id", "brand", _processed(F.col(term)).alias("a"))
-        text = rows.select("product_id", "ord", "_brand", _processed(F.col(field)).alias("b"))
-        pairs = token_set_pairs(
-            ask.select(F.col("a").alias("text")), text.select(F.col("b").alias("text")), min_score
-        )
+        ask = rest.select("query_id", "brand", processed(F.col(term)).alias("a"))
+        text = rows.select("product_id", "ord", "_brand", processed(F.col(field)).alias("b"))
+        pairs = token_set_best(ask, text, min_score).select("a", "b", "score")
         firsts = text.groupBy("b", "_brand").agg(F.min(F.struct("ord", "product_id")).alias("_p"))
         sides.append(
             ask.join(pairs, "a")
@@ -536,27 +494,23 @@ def _fuzzy_tier(rest: DataFrame, rows: DataFrame, min_score: float) -> DataFrame
     place = F.struct("score", "_side", (-F.col("_p.ord")).alias("o"))
     best = hits.groupBy("query_id").agg(F.max_by(F.struct("brand", "_brand", "score", "_p"), place).alias("_b"))
     best = cut_lineage(best)
-    # Wrong brand: score the texts of the brand that was asked for, found by brand.
+    # Wrong brand: the best text of all brands that hold the one asked for.
     wrong = best.filter(F.col("_b.brand").isNotNull() & ~F.contains("_b._brand", F.col("_b.brand")))
     asks = wrong.select("query_id", F.col("_b.brand").alias("brand")).join(
-        rest.select("query_id", _processed(F.col("qn")).alias("a")), "query_id"
+        rest.select("query_id", processed(F.col("qn")).alias("a")), "query_id"
     )
-    named = rows.groupBy("_brand", _processed(F.col("_norm")).alias("b")).agg(
+    named = rows.groupBy("_brand", processed(F.col("_norm")).alias("b")).agg(
         F.min(F.struct("ord", "product_id")).alias("_p")
     )
     known = named.select(F.col("_brand").alias("text")).distinct()
     inside = containment_pairs(asks.select(F.col("brand").alias("term")), known)
-    candidates = (
-        inside.join(named, inside["text"] == named["_brand"])
-        .join(asks, F.col("term") == F.col("brand"))
-        .select("query_id", "a", "b", "_p")
-    )
+    texts = inside.join(named, inside["text"] == named["_brand"]).select(F.col("term").alias("brand"), "b", "_p")
+    texts = texts.groupBy("brand", "b").agg(F.min("_p").alias("_p"))
+    near = token_set_best(asks, texts.select("brand", "b", F.col("_p.ord").alias("ord")), 50.0, within="brand")
     repaired = (
-        _spread(candidates, "b")
-        .withColumn("score", token_set_ratio("a", "b"))
-        .filter("score >= 50")
-        .groupBy("query_id")
-        .agg(F.max_by(F.struct("score", "_p"), F.struct("score", (-F.col("_p.ord")).alias("o"))).alias("_r"))
+        asks.join(near.select("brand", "a", "b", "score"), ["brand", "a"])
+        .join(texts, ["brand", "b"])
+        .select("query_id", F.struct("score", "_p").alias("_r"))
     )
     chosen = best.join(repaired, "query_id", "left")
     return chosen.select(
@@ -571,16 +525,11 @@ def alias_match(texts: DataFrame, aliases: DataFrame, floor: float = 65.0) -> Da
 
     Texts: (text_id, text).  Aliases: (product_id, ord, alias).
     """
-    asked = texts.select("text_id", _processed(F.col("text")).alias("a"))
-    known = aliases.select("product_id", "ord", _processed(F.col("alias")).alias("b"))
-    pairs = token_set_pairs(asked.select(F.col("a").alias("text")), known.select(F.col("b").alias("text")), floor)
+    asked = texts.select("text_id", processed(F.col("text")).alias("a"))
+    known = aliases.select("product_id", "ord", processed(F.col("alias")).alias("b"))
     firsts = known.groupBy("b").agg(F.min(F.struct("ord", "product_id")).alias("_p"))
-    best = (
-        pairs.join(firsts, "b")
-        .groupBy("a")
-        .agg(F.max_by(F.struct("_p", "score"), F.struct("score", (-F.col("_p.ord")).alias("o"))).alias("_m"))
-    )
-    return asked.join(best, "a").select("text_id", "_m._p.product_id", "_m.score")
+    best = token_set_best(asked, known, floor).select("a", "b", "score").join(firsts, "b")
+    return asked.join(best, "a").select("text_id", "_p.product_id", "score")
 
 
 def position_cascade(hits: DataFrame, placed: DataFrame, floor: float = 75.0, fuzzy: bool = True) -> DataFrame:
@@ -591,17 +540,12 @@ def position_cascade(hits: DataFrame, placed: DataFrame, floor: float = 75.0, fu
     by_name = named.groupBy("_n").agg(F.max_by(F.struct("x", "y", "z"), "ord").alias("_p2"))
     out = hits.withColumn("_n", squeeze(F.lower("name"))).join(by_id, "product_id", "left").join(by_name, "_n", "left")
     if fuzzy:
-        rest = out.filter("_p1 is null and _p2 is null").select(F.col("_n").alias("text"))
-        pairs = token_set_pairs(rest, named.select(F.col("_n").alias("text")), floor)
-        spots = named.groupBy(_processed(F.col("_n")).alias("b")).agg(
-            F.max_by(F.struct("x", "y", "z"), "ord").alias("_p"), F.min("ord").alias("_o")
+        rest = out.filter("_p1 is null and _p2 is null").select(processed(F.col("_n")).alias("a"))
+        spots = named.groupBy(processed(F.col("_n")).alias("b")).agg(
+            F.max_by(F.struct("x", "y", "z"), "ord").alias("_p3"), F.min("ord").alias("ord")
         )
-        close = (
-            pairs.join(spots, "b")
-            .groupBy("a")
-            .agg(F.max_by("_p", F.struct("score", (-F.col("_o")).alias("o"))).alias("_p3"))
-        )
-        out = out.withColumn("a", _processed(F.col("_n"))).join(close, "a", "left")
+        close = token_set_best(rest, spots, floor).select("a", "b").join(spots, "b").select("a", "_p3")
+        out = out.withColumn("a", processed(F.col("_n"))).join(close, "a", "left")
     else:
         out = out.withColumn("_p3", F.lit(None).cast(by_name.schema["_p2"].dataType))
     tier = F.when(F.col("_p1").isNotNull(), 1).when(F.col("_p2").isNotNull(), 2).when(F.col("_p3").isNotNull(), 3)
@@ -610,11 +554,37 @@ def position_cascade(hits: DataFrame, placed: DataFrame, floor: float = 75.0, fu
     )
 
 
-def cached_answers(queries: DataFrame, cache: DataFrame, catalogue: DataFrame, n: int) -> DataFrame:
-    """Products of cached queries in stored order, only ids that still exist, first ``n``."""
-    hits = queries.join(cache, "query").select("query_id", F.posexplode("ids").alias("place", "product_id"))
+def cached_answers(
+    queries: DataFrame, cache: DataFrame, catalogue: DataFrame, n: int, lex: Lexicon | None = None, candidates: int = 50
+) -> DataFrame:
+    """(query_id, product_id, rank, cached) of queries (query_id, query) looked up as trimmed small letters.
+
+    A query in the cache (query, ids) gets its stored products that still exist, first ``n``; none of them left is an
+    answer too.  With ``lex``, a query that is not in the cache gets the first ``n`` of its prefilter candidates.
+    """
+    key = strip(F.lower("query"))
+    asked = queries.select("query_id", "query", key.alias("_key"))
+    known = cache.select(key.alias("_key"), "ids")
+    hits = asked.join(known, "_key").select("query_id", F.posexplode("ids").alias("place", "product_id"))
     alive = hits.join(catalogue.select("product_id"), "product_id", "left_semi")
-    return top_per_group(alive, ["query_id"], ["place"], n, rank="rank").select("query_id", "product_id", "rank")
+    out = top_per_group(alive, ["query_id"], ["place"], n, rank="rank").select("query_id", "product_id", "rank")
+    out = out.withColumn("cached", F.lit(True))
+    if lex is None:
+        return out
+    missed = asked.join(known.select("_key"), "_key", "left_anti")
+    texts = missed.select(F.col("_key").alias("query_id"), F.col("_key").alias("query")).distinct()
+    found = prefilter(texts, catalogue, lex, candidates).filter(F.col("rank") <= n)
+    found = found.select(F.col("query_id").alias("_key"), "product_id", "rank")
+    new = missed.join(found, "_key").select("query_id", "product_id", "rank", F.lit(False).alias("cached"))
+    return out.unionByName(new)
+
+
+def cache_additions(queries: DataFrame, answers: DataFrame) -> DataFrame:
+    """Cache rows (query, ids) for the answers of :func:`cached_answers` that did not come from the cache."""
+    new = answers.filter(~F.col("cached")).join(queries.select("query_id", strip(F.lower("query")).alias("query")), "query_id")
+    ranked = new.select("query", "rank", "product_id").distinct()
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("rank", "product_id"))), lambda r: r["product_id"])
+    return ranked.groupBy("query").agg(ids.alias("ids"))
 
 
 def intent_search(rules: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -633,7 +603,7 @@ def intent_search(rules: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 def brand_match(names: DataFrame, brands: DataFrame, floor: float = 78.0) -> DataFrame:
     """First word of each name whose best brand similarity reaches ``floor``, with the score."""
-    words = names.select("name", F.posexplode(F.split(_processed(F.col("name")), " ")).alias("place", "a"))
+    words = names.select("name", F.posexplode(F.split(processed(F.col("name")), " ")).alias("place", "a"))
     pairs = token_set_pairs(words.select(F.col("a").alias("text")), brands.select(F.col("brand").alias("text")), floor)
     best = pairs.groupBy("a").agg(F.max(F.struct("score", "b")).alias("_m"))
     hits = words.join(best, "a")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from aislewise.functions.lexicon import Lexicon
 from aislewise.functions.numeric import rounded
 from aislewise.operators import search as S
+from aislewise.plans.similarity_sql import proc_sql, token_set_sql
 from aislewise.plans.views import Registry, sql_round as r, view
 
 REGISTRY = Registry()
@@ -232,7 +233,7 @@ def brand_in_query(spark, sf):
     return S.brand_in_query(asks, part.select(F.col("p_brand").alias("brand")))
 
 
-@add("lookup_cascade", """with q as (select distinct query from (select p_name as query from {part} union all
+CASCADE_SQL = """with q as (select distinct query from (select p_name as query from {part} union all
         select lower(p_brand) || ' ' || lower(p_type) from {part} union all select 'Finns ' || p_brand || ' här' from {part}
         union all select 'saknas ' || s_name from {supplier})),
    p as (select product_id, ord, name, lower(brand) as brand, lower(name || ' ' || brand || ' ' || category) as text from {catalogue}),
@@ -240,16 +241,47 @@ def brand_in_query(spark, sf):
    t2 as (select query, min(ord) as o from q join p on contains(text, lower(query)) group by 1),
    b as (select query, brand, row_number() over (partition by query order by length(brand) desc, brand desc) as rn
       from q join (select distinct brand from p) on contains(lower(query), brand)),
-   t5 as (select query, min(ord) as o from b join p on contains(p.brand, b.brand) where rn = 1 group by 1)
+   t5 as (select query, min(ord) as o from b join p on contains(p.brand, b.brand) where rn = 1 group by 1)"""
+
+FOLDED = "translate(lower(query), 'åäöéú', 'aaoeu')"
+FUZZY_TIER_SQL = f""",
+   rest as (select q.query, {proc_sql(FOLDED)} as qn, {proc_sql("query")} as qp, b.brand from q left join (select * from b where rn = 1) b using (query)
+      where query not in (select query from t1) and query not in (select query from t2)),
+   k as (select {proc_sql("text")} as b, brand, min(ord) as o from p group by 1, 2),
+   {token_set_sql("z", "select qn as a, b from rest, k union select qp, b from rest, k")},
+   h as (select query, rest.brand, k.brand as found, score, side, o from (select query, brand, unnest([qn, qp]) as a, unnest([0, -1]) as side from rest) rest
+      join z using (a) join k using (b) where score >= 65),
+   t3 as (select query, brand, found, score, o from h qualify row_number() over (partition by query order by score desc, side desc, o) = 1),
+   fixed as (select query, z.score as score, k.o as o from t3 join rest using (query) join k on contains(k.brand, t3.brand) join z on z.a = rest.qn and z.b = k.b
+      where not contains(t3.found, t3.brand) and z.score >= 50
+      qualify row_number() over (partition by query order by z.score desc, k.o) = 1)"""
+
+
+@add("lookup_cascade_exact", CASCADE_SQL + """
    select q.query as query_id, coalesce(t1.o, t2.o, t5.o, -1) as product_id,
      case when t1.o is not null then 100e0 when t2.o is not null then 95e0 when t5.o is not null then 40e0 else 0e0 end as score
    from q left join t1 using (query) left join t2 using (query) left join t5 using (query)""")
-def lookup_cascade(spark, sf):
+def lookup_cascade_exact(spark, sf):
+    """The cascade without its fuzzy tier."""
     return S.lookup_cascade(cascade_asks(spark, sf), view(spark, sf, "catalogue"), fuzzy=False).withColumn(
         "product_id", F.coalesce("product_id", F.lit(-1))
     )
 
 
+WHOLE_CASCADE_SQL = CASCADE_SQL + FUZZY_TIER_SQL + """
+   select q.query as query_id, coalesce(t1.o, t2.o, fixed.o, t3.o, t5.o, -1) as product_id,
+     case when t1.o is not null then 100e0 when t2.o is not null then 95e0 when t3.o is not null then round(coalesce(fixed.score, t3.score))
+       when t5.o is not null then 40e0 else 0e0 end as score
+   from q left join t1 using (query) left join t2 using (query) left join t3 using (query) left join fixed using (query) left join t5 using (query)"""
+
+
+@add("lookup_cascade", WHOLE_CASCADE_SQL)
+def lookup_cascade(spark, sf):
+    return S.lookup_cascade(cascade_asks(spark, sf), view(spark, sf, "catalogue")).withColumn(
+        "product_id", F.coalesce("product_id", F.lit(-1))
+    )
+
+
 def cascade_asks(spark, sf):
     part, supplier = view(spark, sf, "part"), view(spark, sf, "supplier")
     texts = [
@@ -264,17 +296,27 @@ def cascade_asks(spark, sf):
     return rows.distinct().withColumn("query_id", F.col("query"))
 
 
-@add("lookup_cascade_fuzzy")
+@add("lookup_cascade_fuzzy", WHOLE_CASCADE_SQL)
 def lookup_cascade_fuzzy(spark, sf):
-    return S.lookup_cascade(cascade_asks(spark, sf), view(spark, sf, "catalogue"))
+    """The same as ``lookup_cascade``, which has its fuzzy tier too."""
+    return lookup_cascade(spark, sf)
 
 
-@add("fuzzy_short_search")
+@add("fuzzy_short_search", f"""with {ID_SQL}, d as (select distinct query, {proc_sql("query")} as a from asked),
+   c as (select product_id, ord, {proc_sql("name || ' ' || brand || ' ' || category")} as b from {{catalogue}}),
+   {token_set_sql("z", "select d.a, c.b from d, (select distinct b from c) c")},
+   r as (select query, product_id, score, cast(row_number() over (partition by query order by score desc, ord) as int) as rank
+      from d join z using (a) join c using (b) where score >= 40)
+   select query as query_id, product_id, score, rank, max(score) over (partition by query) >= 75 as direct from r where rank <= 5""")
 def fuzzy_short_search(spark, sf):
     return S.short_search(asked(spark, sf), view(spark, sf, "catalogue"))
 
 
-@add("alias_match")
+@add("alias_match", f"""with {ID_SQL}, d as (select distinct query, {proc_sql("query")} as a from asked),
+   c as (select min(p_partkey) as product_id, {proc_sql("p_name || ' ' || p_type")} as b from {{part}} group by 2),
+   {token_set_sql("z", "select d.a, c.b from d, c")}
+   select query as text_id, product_id, score from d join z using (a) join c using (b) where score >= 65
+   qualify row_number() over (partition by query order by score desc, product_id) = 1""")
 def alias_match(spark, sf):
     part = view(spark, sf, "part")
     texts = asked(spark, sf).select(F.col("query_id").alias("text_id"), F.col("query").alias("text"))
@@ -286,7 +328,13 @@ def alias_match(spark, sf):
     return S.alias_match(texts, aliases)
 
 
-@add("brand_match")
+@add("brand_match", f"""with d as (select distinct p_name || ' ' || replace(lower(p_brand), '#', 'x') || ' ' || p_type as name from {{part}}),
+   w as (select name, unnest(ws) as a, unnest(range(len(ws))) as place from (select name, string_split({proc_sql("name")}, ' ') as ws from d)),
+   c as (select distinct replace(lower(p_brand), '#', '') as b from {{part}}),
+   {token_set_sql("z", "select w.a, c.b from (select distinct a from w) w, c")},
+   g as (select a, b, score from z where score >= 78 qualify row_number() over (partition by a order by score desc, b desc) = 1)
+   select name, a as word, b as brand, score from w join g using (a)
+   qualify row_number() over (partition by name order by place) = 1""")
 def brand_match(spark, sf):
     part = view(spark, sf, "part")
     brands = part.select(F.translate(F.lower("p_brand"), "#", "").alias("brand")).distinct()
@@ -296,25 +344,35 @@ def brand_match(spark, sf):
     return S.brand_match(names, brands)
 
 
-@add("position_lookup_cascade", f"""with placed as (select p_partkey as id, p_partkey as ord, p_name || ' ' || cast(p_size % 3 as varchar) as name,
+def position_sql(name):
+    """The three tiers for hits whose name is the SQL expression ``name`` of a part's own."""
+    return f"""with placed as (select p_partkey as id, p_partkey as ord, p_name || ' ' || cast(p_size % 3 as varchar) as name,
       p_size * 1e0 as x from {{part}} where p_type <> 'SMALL'),
    n as (select lower(name) as name, max_by(x, ord) as x from placed group by 1),
-   h as (select l_orderkey, l_linenumber, l_partkey, p_name || ' ' || cast(p_size % 3 as varchar) as name
-      from {{lineitem}} join {{part}} on p_partkey = l_partkey)
-   select l_orderkey * 100000000 + l_linenumber * 10000000 + l_partkey as hit_id, {r('coalesce(i.x, n.x)')} as x,
-      cast(case when i.x is not null then 1 when n.x is not null then 2 else 0 end as int) as tier
-   from h left join placed i on i.id = h.l_partkey left join n on n.name = h.name""")
+   h as (select l_orderkey, l_linenumber, l_partkey, lower({name}) as name from (select *, p_name || ' ' || cast(p_size % 3 as varchar) as name
+      from {{lineitem}} join {{part}} on p_partkey = l_partkey)),
+   c as (select {proc_sql("name")} as b, max_by(x, ord) as x, min(ord) as o from placed group by 1),
+   d as (select distinct name, {proc_sql("name")} as a from h where l_partkey not in (select id from placed) and name not in (select name from n)),
+   {token_set_sql("z", "select d.a, c.b from d, c")},
+   t as (select d.name, c.x from d join z using (a) join c using (b) where score >= 75
+      qualify row_number() over (partition by d.name order by score desc, c.o) = 1)
+   select l_orderkey * 100000000 + l_linenumber * 10000000 + l_partkey as hit_id, {r('coalesce(i.x, n.x, t.x)')} as x,
+      cast(case when i.x is not null then 1 when n.x is not null then 2 when t.x is not null then 3 else 0 end as int) as tier
+   from h left join placed i on i.id = h.l_partkey left join n on n.name = h.name left join t on t.name = h.name"""
+
+
+@add("position_lookup_cascade", position_sql("name"))
 def position_lookup_cascade(spark, sf):
-    return position_tiers(spark, sf, fuzzy=False)
+    return position_tiers(spark, sf, misread=False)
 
 
-@add("position_lookup_cascade_fuzzy")
+@add("position_lookup_cascade_fuzzy", position_sql("replace(name, 'e', 'c')"))
 def position_lookup_cascade_fuzzy(spark, sf):
-    """As ``position_lookup_cascade`` with its third tier, for hits whose names are misread."""
-    return position_tiers(spark, sf, fuzzy=True)
+    """As ``position_lookup_cascade`` for hits whose names are misread."""
+    return position_tiers(spark, sf, misread=True)
 
 
-def position_tiers(spark, sf, fuzzy):
+def position_tiers(spark, sf, misread):
     part = view(spark, sf, "part")
     name = F.concat_ws(" ", "p_name", (F.col("p_size") % 3).cast("string"))
     placed = part.filter("p_type <> 'SMALL'").select(
@@ -331,30 +389,38 @@ def position_tiers(spark, sf, fuzzy):
         .select(
             (F.col("l_orderkey") * 100000000 + F.col("l_linenumber") * 10000000 + F.col("l_partkey")).alias("hit_id"),
             F.col("l_partkey").alias("product_id"),
-            (F.translate(name, "e", "c") if fuzzy else name).alias("name"),
+            (F.translate(name, "e", "c") if misread else name).alias("name"),
         )
     )
-    return S.position_cascade(hits, placed, fuzzy=fuzzy).select(
+    return S.position_cascade(hits, placed).select(
         "hit_id", rounded("x").alias("x"), F.coalesce("tier", F.lit(0)).alias("tier")
     )
 
 
-@add("cached_answer", """with c as (select c_name as query, [c_custkey * 3 % 2500, c_custkey * 7 % 2500, c_custkey % 2500] as ids from {customer}),
-   q as (select o_orderkey as query_id, 'Customer#' || lpad(cast(o_custkey as varchar), 9, '0') as query from {orders}),
-   e as (select query_id, unnest(ids) as product_id, unnest(range(3)) as place from q join c using (query)),
-   a as (select query_id, product_id, cast(row_number() over (partition by query_id order by place) as int) as rank
-     from e where product_id in (select p_partkey from {part}))
-   select * from a where rank <= 2""")
+CACHED_SQL = """sp as (select max(p_partkey) * 5 // 4 as span from {part}),
+   cc as (select c_name as query, [c_custkey * 3 % span, c_custkey * 7 % span, c_custkey % span] as ids from {customer}, sp),
+   qq as (select cast(o_orderkey as varchar) as query_id, 'Customer#' || lpad(cast(o_custkey as varchar), 9, '0') as query from {orders}),
+   e0 as (select query_id, unnest(ids) as product_id, unnest(range(3)) as place from qq join cc using (query)),
+   a0 as (select query_id, product_id, cast(row_number() over (partition by query_id order by place) as int) as rank
+     from e0 where product_id in (select p_partkey from {part}))"""
+
+
+@add("cached_answer", PREFILTER_SQL.replace(ASKED_SQL, ASKED_SQL + ", " + CACHED_SQL) + """
+   select query_id, product_id, rank, true as cached from a0 where rank <= 2
+   union all select query_id, product_id, rank, false from g where rank <= 2""")
 def cached_answer(spark, sf):
-    k = F.col("c_custkey")
-    cache = view(spark, sf, "customer").select(
-        F.col("c_name").alias("query"), F.array(k * 3 % 2500, k * 7 % 2500, k % 2500).alias("ids")
+    """Asks of known customers from the cache, those of part texts from the prefilter."""
+    k, span = F.col("c_custkey"), F.col("span")
+    ids = view(spark, sf, "part").agg(F.expr("max(p_partkey) * 5 div 4").alias("span"))
+    cache = view(spark, sf, "customer").crossJoin(ids).select(
+        F.col("c_name").alias("query"), F.array(k * 3 % span, k * 7 % span, k % span).alias("ids")
     )
     asks = view(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("query_id"),
+        F.col("o_orderkey").cast("string").alias("query_id"),
         F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("query"),
     )
-    return S.cached_answers(asks, cache, view(spark, sf, "catalogue"), 2)
+    asks = asks.unionByName(asked(spark, sf, True).select("query_id", "query"))
+    return S.cached_answers(asks, cache, view(spark, sf, "catalogue"), 2, LEX)
 
 
 @add("cached_answer_whole", """with s as (select max(p_partkey) * 5 // 4 as span from {part}),
@@ -365,7 +431,7 @@ def cached_answer(spark, sf):
      from e where product_id in (select p_partkey from {part}))
    select * from a where rank <= 2""")
 def cached_answer_whole(spark, sf):
-    """As ``cached_answer``, with ids of the whole part table and a fifth beyond it that no longer exist."""
+    """Asks of known customers only; a fifth of the stored ids lies beyond the part table and no longer exists."""
     k, span = F.col("c_custkey"), F.col("span")
     ids = view(spark, sf, "part").agg(F.expr("max(p_partkey) * 5 div 4").alias("span"))
     cache = view(spark, sf, "customer").crossJoin(ids).select(
@@ -375,7 +441,7 @@ def cached_answer_whole(spark, sf):
         F.col("o_orderkey").alias("query_id"),
         F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("query"),
     )
-    return S.cached_answers(asks, cache, view(spark, sf, "catalogue"), 2)
+    return S.cached_answers(asks, cache, view(spark, sf, "catalogue"), 2).drop("cached")
 
 
 @add("intent_search", """with rules as (select n_nationkey as rule_id, case n_regionkey when 0 then ['PROMO', 'SMALL'] when 1 then ['LARGE']

@@ -11,6 +11,7 @@ from aislewise.functions.lexicon import Lexicon
 from aislewise.functions.numeric import rounded
 from aislewise.functions.similarity import sequence_ratio, token_set_ratio
 from aislewise.operators import labels as L
+from aislewise.plans.similarity_sql import token_set_sql
 from aislewise.plans.views import Registry, sql_round as r, view
 from aislewise.session import widen
 
@@ -248,7 +249,9 @@ def ratio_query(spark, sf):
     return pairs.withColumn("ratio", sequence_ratio("p_name", F.lower("other")))
 
 
-@add("token_set_ratio")
+@add("token_set_ratio", f"""with d as (select distinct p_name, p_type || ' ' || p_brand as other from {{part}}),
+   {token_set_sql("z", "select p_name as a, lower(other) as b from d")}
+   select p_name, other, score as ratio from d join z on a = p_name and b = lower(other)""")
 def token_set_query(spark, sf):
     pairs = view(spark, sf, "part").select("p_name", F.concat_ws(" ", "p_type", "p_brand").alias("other")).distinct()
     return pairs.withColumn("ratio", token_set_ratio("p_name", F.lower("other")))

@@ -153,8 +153,8 @@ def test_similar_words_find_every_scoring_pair(spark):
 
 
 def test_containment_pairs(spark):
-    terms = ["a", "mj", "mjölk", "öl", "zzz", ""]
-    texts = ["mellanmjölk arla", "öl", "a", "x"]
+    terms = ["a", "mj", "mjölk", "öl", "zzz", "", "mellanmjölk", "lanmjölk arla", "mellanmjölkx", "abcabcabc", "ölmjölk"]
+    texts = ["mellanmjölk arla", "öl", "a", "x", "", "abcabcab", "xabcabcabcx", "mellanmjölk", "mjölköl"]
     got = {
         (r["term"], r["text"])
         for r in S.containment_pairs(
@@ -182,12 +182,44 @@ def test_token_set_pairs_find_every_pair(spark):
         for b in texts[:20]:
             assert common_subsequence(a, b) == lcs(a, b)
     df = spark.createDataFrame([(t,) for t in texts], "text string")
-    for floor, letters in ((65.0, False), (40.0, True)):
-        got = {(r["a"], r["b"]) for r in S.token_set_pairs(df, df, floor, letters).collect()}
-        want = {
-            (a, b) for a in texts for b in texts if token_set(frozenset(a.split()), frozenset(b.split())) >= floor
-        }
-        assert got == want
+    score = {(a, b): token_set(frozenset(a.split()), frozenset(b.split())) for a in texts for b in texts}
+    for floor in (90.0, 65.0, 40.0, 1.0):
+        got = {(r["a"], r["b"]): r["score"] for r in S.token_set_pairs(df, df, floor).collect()}
+        assert got == pytest.approx({p: s for p, s in score.items() if s >= floor})
+
+
+@pytest.mark.parametrize("per_block", [8192, 13])
+def test_best_texts_equal_all_pairs(spark, monkeypatch, per_block):
+    """Ties, hot words, long texts, groups, small blocks and empty sides."""
+    from aislewise.operators import set_similarity as B
+
+    monkeypatch.setattr(B, "PER_BLOCK", per_block)
+    monkeypatch.setattr(B, "LEAST_ASKS", per_block)
+    rng = random.Random(31)
+    words = ["".join(rng.choice("abcdeåß語") for _ in range(rng.randrange(1, 9))) for _ in range(60)] + ["hot"]
+    def made(k):
+        return " ".join(rng.choice(words) for _ in range(k)) + (" hot" if rng.random() < 0.5 else "")
+    texts = sorted({made(rng.randrange(1, 5)) for _ in range(150)} | {made(40), made(60)})
+    asks = sorted({made(rng.randrange(1, 5)) for _ in range(60)} | {made(30), made(70), "zzz", *texts[:5]})
+    groups = {t: k % 3 if k % 4 else None for k, t in enumerate(texts)}
+    left = spark.createDataFrame([(a, g) for a in asks for g in (0, 1, None, 7)], "a string, g int")
+    right = spark.createDataFrame([(t, k % 40, groups[t]) for k, t in enumerate(texts)], "b string, ord long, g int")
+    score = {(a, t): token_set(frozenset(a.split()), frozenset(t.split())) for a in asks for t in texts}
+    place = {t: k % 40 for k, t in enumerate(texts)}
+    for n, floor in ((1, 60.0), (4, 30.0)):
+        for within in (None, "g"):
+            got = {}
+            for r in B.token_set_best(left, right, floor, n, within).collect():
+                got.setdefault((r["a"], r["g"] if within else "all"), []).append((-r["score"], r["ord"], r["rank"]))
+            for a in asks:
+                for g in (0, 1, None, 7) if within else ("all",):
+                    mine = [t for t in texts if g == "all" or groups[t] == g]
+                    want = sorted((-score[a, t], place[t]) for t in mine if score[a, t] >= floor)[:n]
+                    have = sorted(got.get((a, g), []), key=lambda r: r[2])
+                    assert [r[2] for r in have] == list(range(1, len(want) + 1))
+                    assert [r[0] for r in have] == pytest.approx([w[0] for w in want])
+                    assert [r[1] for r in have] == [w[1] for w in want]
+    assert B.token_set_best(left.limit(0), right, 50.0).count() == B.token_set_best(left, right.limit(0), 50.0).count() == 0
 
 
 def test_token_set_values():
@@ -247,12 +279,21 @@ def test_position_cascade_equals_all_pairs(spark):
     assert all(got[h][0] == t and got[h][1] in xs for h, (t, xs) in want.items()) and got.keys() == want.keys()
 
 
-def test_misread_names_reach_the_third_tier(spark):
-    from __spark_entry__ import queries
-
-    sf = "/root/testdata/sf0.001"
-    plain = {r["hit_id"]: r["tier"] for r in queries()["position_lookup_cascade"](spark, sf).collect()}
-    whole = {r["hit_id"]: r["tier"] for r in queries()["position_lookup_cascade_fuzzy"](spark, sf).collect()}
-    assert plain.keys() == whole.keys()
-    assert all(whole[h] in ((1,) if t == 1 else (0, 2, 3)) for h, t in plain.items())
-    assert 3 in whole.values() and 3 not in plain.values()
+def test_cache_misses_are_prefiltered_and_remembered(spark, catalogue):
+    cache = spark.createDataFrame([("Ketchup ", [9, 999, 8, 10]), ("gone", [777])], "query string, ids array<long>")
+    asks = spark.createDataFrame(
+        [(1, "ketchup"), (2, " KETCHUP"), (3, "gone"), (4, "Gul lök"), (5, "gul lök"), (6, "xyzq"), (7, None)],
+        "query_id long, query string",
+    )
+    answers = S.cached_answers(asks, cache, catalogue, 2, LEX)
+    got = {}
+    for r in answers.collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.product_id, r.cached))
+    assert sorted(got[1]) == sorted(got[2]) == [(1, 9, True), (2, 8, True)]
+    assert not {3, 6, 7} & got.keys()
+    assert sorted(got[4]) == sorted(got[5]) and [CATALOGUE[p][0] for _, p, _ in sorted(got[4])][0] == "Lök gul"
+    assert not any(c for _, _, c in got[4])
+    new = {r["query"]: r.ids for r in S.cache_additions(asks, answers).collect()}
+    assert new == {"gul lök": [p for _, p, _ in sorted(got[4])]}
+    again = S.cached_answers(asks, cache.unionByName(S.cache_additions(asks, answers)), catalogue, 2)
+    assert {r.query_id for r in again.collect()} == {1, 2, 4, 5}
