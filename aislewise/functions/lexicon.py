@@ -56,22 +56,17 @@ class Lexicon:
         ("mejeri", ("halloumi", "mozzarella"), False),
     )
     label_noise: tuple[str, ...] = ("kr/kg", "jämförpris", "medlemspris", "pant", "unreadable", "no text")
-    # Words of ingredient lines that say nothing about what to buy.
-    purposes: tuple[str, ...] = ("till",)
-    vague_words: tuple[str, ...] = ("ca", "cirka", "ungefär", "drygt", "knappt", "motsvarar", "à")
-    containers: tuple[str, ...] = ("förp", "förpackning", "paket", "pkt", "burk", "burkar", "påse", "påsar", "knippe", "bunt",
-                                   "nypa", "skvätt")
-    kinds: tuple[str, ...] = ("av", "sort", "sorter", "sorts", "slag", "slags", "typ", "typer")
-    advice: tuple[str, ...] = ("ev", "gärna", "förslagsvis")
-    examples: tuple[str, ...] = ("t ex", "tex", "gärna")
-    alternatives: tuple[str, ...] = ("eller", "alt", "alternativt")
-    trims: tuple[str, ...] = ("urkärnad", "med skinn", "utan skinn", "med ben", "utan ben", "utan kärnor", "i bitar",
-                              "i klyftor", "i skivor")
-    size_words: tuple[str, ...] = ("om", "á", "à")
+    # Ingredient lines: what follows a purpose word goes; empty words and asides name no product; either parts
+    # alternatives, and such_as opens a list of them.
+    purpose_words: tuple[str, ...] = ("till", "inför")
+    empty_words: tuple[str, ...] = ("ca", "omkring", "helst", "burk", "burkar", "flaska", "flaskor", "kartong", "näve")
+    asides: tuple[str, ...] = ("utan skal", "i tärningar")
+    either: tuple[str, ...] = ("eller", "respektive")
+    such_as: tuple[str, ...] = ("exempelvis", "såsom")
     # What a diet rules out: terms at the start of a word, terms anywhere, phrases that are cut out of the text
     # before looking, and terms that another word in the text excuses.
     imitations: tuple[str, ...] = ("vegansk", "växtbaserad", "växtbaserat")
     imitation_words: tuple[str, ...] = ("vegan", "vego")
     dairy_inside: tuple[str, ...] = ("ost",)
     dairy_lookalikes: tuple[str, ...] = ("rost",)
-    excused: tuple[tuple[str, str], ...] = (("majonnäs", "vegan"),)
+    excused: tuple[tuple[str, str], ...] = ()

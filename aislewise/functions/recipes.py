@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from aislewise.functions.lexicon import Lexicon
+from aislewise.functions.numeric import let
 from aislewise.functions.text import clean_ingredient, contains_any, strip, words_of
 
 
@@ -77,7 +78,6 @@ def valid_candidate(
 
 def without_imitations(text: Column, lex: Lexicon) -> Column:
     """Text without imitation words; one that is an adjective or stands alone takes the next word with it."""
-    words = F.split(F.regexp_replace(text, "-", " "), r"\s+")
 
     def describes(word: Column) -> Column:
         adjective = F.lit(False)
@@ -91,8 +91,10 @@ def without_imitations(text: Column, lex: Lexicon) -> Column:
             out = out | F.startswith(word, F.lit(start))
         return out
 
-    real = F.filter(words, lambda w, i: ~describes(w) & ~compound(w) & ~describes(F.get(words, i - 1)))
-    return F.array_join(real, " ")
+    def real(words: Column) -> Column:
+        return F.filter(words, lambda w, i: ~describes(w) & ~compound(w) & ~describes(F.get(words, i - 1)))
+
+    return F.array_join(let(F.split(F.regexp_replace(text, "-", " "), r"\s+"), real), " ")
 
 
 def word_veto(text: Column, diet: Column, lex: Lexicon) -> Column:

@@ -48,8 +48,8 @@ def parse_ingredient(spark, sf):
 
 @add("clean_ingredient", f"""with l as ({LINE_SQL}) select l_orderkey, l_linenumber, l_partkey, p_name as clean from l""")
 def clean_ingredient(spark, sf):
-    before = case4(["ca 2 förp ", "", "1,5 dl ", "ev. "])
-    after = case4([" (à 600 g)", " till stekning", " i bitar 2x2 cm", ""])
+    before = case4(["omkring 2 burkar ", "", "1,5 dl ", "helst "])
+    after = case4([" (2 dl)", " till degen", " utan skal 2x2 cm", ""])
     return lines(spark, sf).select(
         "l_orderkey", "l_linenumber", "l_partkey", X.clean_ingredient(F.concat(before, "p_name", after)).alias("clean")
     )
@@ -60,7 +60,7 @@ def clean_ingredient(spark, sf):
 def paren_alternatives(spark, sf):
     inside = F.concat(
         "p_name",
-        case4([" (färsk eller torkad)", " (t ex ", " (gärna ", " (à 600 g, "]),
+        case4([" (färsk eller torkad)", " (exempelvis ", " (såsom ", " (2 dl, "]),
         F.when(F.col("l_linenumber") % 4 == 0, "").otherwise(F.lower("p_type")),
         case4(["", " eller plommon)", ")", ")"]),
     )
@@ -88,19 +88,34 @@ def head_word(spark, sf):
     return view(spark, sf, "part").select("p_partkey", X.head_word(F.col("p_name")).alias("head"))
 
 
-@add("head_word_score", """with p as (select p_partkey, split_part(p_name, ' ', 1) as a, split_part(p_name, ' ', 2) as b,
-        p_size % 5 as k from {part})
-     select p_partkey, cast(case k when 0 then 2 when 1 then 3 when 2 then 2 when 3 then 0
-        else case when length(a) >= 4 then 1 else 0 end end as int) as score from p""")
+INFLECTED = "['" + "', '".join(X.INFLECTIONS) + "']"
+
+
+def words_sql(text):
+    return f"regexp_extract_all(lower({text}), '[a-zåäöéè]+')"
+
+
+def docs(spark, sf):
+    """Documents with their first line as a name."""
+    line = F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1))
+    return view(spark, sf, "documents").select("doc_id", "text", "lang", "source", line.alias("line"))
+
+
+DOCS_SQL = "docs as (select doc_id, text, lang, source, split_part(coalesce(text, ''), chr(10), 1) as line from {documents})"
+
+
+@add("head_word_score", f"""with {DOCS_SQL}, w as (select doc_id, {words_sql("line")} as ws, {words_sql("text")}[-1] as head from docs),
+     f as (select *, ws[1] as first, head[length(ws[1]) + 1:] as tail from w)
+     select doc_id, cast(case when coalesce(head, '') = '' or len(ws) = 0 then 0 when first = head then 3
+       when list_contains(ws, head) or len(list_filter(ws, lambda w: length(w) >= 6 and len(list_filter({INFLECTED},
+            lambda e: length(head) > length(w) + length(e) and ends_with(head, w || e))) > 0)) > 0 then 2
+       when len(list_filter(ws, lambda w: ends_with(w, head) and length(w) > length(head))) > 0 then 1
+       when length(first) >= 4 and starts_with(head, first) and (list_contains({INFLECTED}, tail) or length(tail) >= 3) then 1
+       else 0 end as int) as score from f""")
 def head_word_score(spark, sf):
-    a, b = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2))
-    k = F.col("p_size") % 5
-    head = (
-        F.when(k == 0, b).when(k == 1, a).when(k == 2, F.concat(F.lit("extra"), F.lit("plommon"), F.lit("er")))
-        .when(k == 3, F.lit("zzzz")).otherwise(F.concat(a, F.lit("saft")))
-    )
-    name = F.when(k == 2, F.concat(F.lit("fin "), F.lit("plommon"))).otherwise(F.col("p_name"))
-    return view(spark, sf, "part").select("p_partkey", X.head_word_score(name, head).cast("int").alias("score"))
+    """How well the first line of a document names its last word."""
+    head = X.head_word(F.col("text"))
+    return docs(spark, sf).select("doc_id", X.head_word_score(F.col("line"), head).cast("int").alias("score"))
 
 
 @add("first_number", f"""with l as ({LINE_SQL}) select l_orderkey, l_linenumber, l_partkey,
@@ -257,97 +272,178 @@ def token_set_query(spark, sf):
     return pairs.withColumn("ratio", token_set_ratio("p_name", F.lower("other")))
 
 
-RECIPE_TEXT = """with t as (select o_orderkey, case o_orderkey % 5 when 0 then 'Vegansk kyckling med ris' when 1 then 'Laxgryta'
-        when 2 then 'Rostad lök med linser' when 3 then 'Ädelostsallad' else 'Chokladkaka' end as name,
-        case o_orderkey % 4 when 0 then 'veganskt' when 1 then 'vegetariskt' when 2 then '' end as tag,
-        case o_orderkey % 3 when 0 then 'veganskt' when 1 then 'vegetariskt' end as diet from {orders})"""
+# Words of the given documents stand in for those of recipes.
+TEXT_LEX = Lexicon(
+    pantry=("cold rod", "blue gear"),
+    not_food=("old anvil",),
+    organic=("zung", "ouio", "cion "),
+    derived_forms=("ring", "widget", "old"),
+    derived_categories=("small", "promo "),
+    non_food_departments=("Brand#3", "Brand#11"),
+    meat_fish=("oura", "verschl", "hot"),
+    animal=("oura", "verschl", "hot", "eaux", "unge", "plate"),
+    embedded_fish=("thst", "euxa"),
+    english_meat=("ndwh", "gizmo"),
+    dairy_inside=("tz",),
+    dairy_lookalikes=("itz",),
+    excused=(("quel", "tion"), ("new", "rod")),
+    imitations=("tre", "schi"),
+    imitation_words=("un", "the"),
+    non_meal=("web", "forum", "en"),
+    non_meal_endings=("ing", "aux.", "os"),
+    drinks=("th", "qu", "sch"),
+    protein_sources=(("one", ("ouxi", "erenst"), True), ("two", ("verun", "lale", "anment"), False), ("three", ("los", "the"), True)),
+)
 
 
-def recipe_text(spark, sf):
-    k = F.col("o_orderkey")
-    name = (
-        F.when(k % 5 == 0, "Vegansk kyckling med ris").when(k % 5 == 1, "Laxgryta")
-        .when(k % 5 == 2, "Rostad lök med linser").when(k % 5 == 3, "Ädelostsallad").otherwise("Chokladkaka")
-    )
-    tag = F.when(k % 4 == 0, "veganskt").when(k % 4 == 1, "vegetariskt").when(k % 4 == 2, "")
-    diet = F.when(k % 3 == 0, "veganskt").when(k % 3 == 1, "vegetariskt")
-    return view(spark, sf, "orders").select(k, name.alias("name"), tag.alias("tag"), diet.alias("diet"))
+def starts_sql(text, terms):
+    """A term at a word start."""
+    return f"regexp_matches({text}, '(^|[^\\pL\\pN_])({'|'.join(terms)})')"
+
+
+def inside_sql(text, terms):
+    return "(" + " or ".join(f"contains({text}, '{t}')" for t in terms) + ")"
+
+
+def forbidden_sql(text, vegan):
+    lex, plain = TEXT_LEX, text
+    for word in lex.dairy_lookalikes:
+        plain = f"replace({plain}, '{word}', ' ')"
+    strict = f"({starts_sql(text, lex.animal)} or {inside_sql(plain, lex.dairy_inside)})"
+    return f"({inside_sql(text, lex.embedded_fish)} or case when {vegan} then {strict} else {starts_sql(text, lex.meat_fish)} end)"
+
+
+def breaks_sql(text, diet):
+    excused = " or ".join(f"(contains({text}, '{t}') and not contains({text}, '{e}'))" for t, e in TEXT_LEX.excused)
+    vegan = f"coalesce({diet} = 'veganskt', false)"
+    return f"""({diet} is not null and ({forbidden_sql(text, vegan)} or {inside_sql(text, TEXT_LEX.english_meat)}
+        or ({vegan} and ({excused}))))"""
+
+
+DIET_SQL = "case lang when 'en' then 'veganskt' when 'fr' then 'vegetariskt' when 'es' then 'veganskt' end"
+
+
+def diet_of(lang):
+    return F.when(lang.isin("en", "es"), "veganskt").when(lang == "fr", "vegetariskt")
 
 
-@add("diet_match", RECIPE_TEXT + """ select o_orderkey, diet is null or (
-        (coalesce(tag, '') = '' or (diet = 'veganskt' and tag = 'veganskt') or (diet = 'vegetariskt'))
-        and case when name = 'Laxgryta' then false when name = 'Ädelostsallad' then diet <> 'veganskt' else true end) as ok from t""")
+def described_sql(word):
+    lex = TEXT_LEX
+    starts = " or ".join(f"starts_with({word}, '{t}')" for t in lex.imitations)
+    listed = ", ".join(f"'{t}'" for t in lex.imitation_words)
+    return f"coalesce({starts} or {word} in ({listed}), false)"
+
+
+COMPOUND_SQL = " or ".join(f"starts_with(w, '{t}')" for t in TEXT_LEX.imitation_words)
+
+
+@add("diet_match", f"""with {DOCS_SQL}, t as (select doc_id, {DIET_SQL} as diet,
+        case doc_id % 4 when 0 then 'veganskt' when 1 then 'vegetariskt' when 2 then '' end as tag,
+        string_split_regex(replace(lower(line), '-', ' '), '\\s+') as ws from docs),
+     u as (select *, array_to_string(list_filter(ws, lambda w, i: not {described_sql("w")} and not ({COMPOUND_SQL})
+        and not (i > 1 and {described_sql("ws[i - 1]")})), ' ') as plain from t)
+     select doc_id, diet is null or ((coalesce(tag, '') = '' or (diet = 'veganskt' and tag = 'veganskt') or diet = 'vegetariskt')
+        and not {forbidden_sql("plain", "diet = 'veganskt'")}) as ok from u""")
 def diet_match(spark, sf):
-    return recipe_text(spark, sf).select(
-        "o_orderkey", P.diet_match(F.col("tag"), F.col("name"), F.col("diet"), Lexicon()).alias("ok")
-    )
+    k = F.col("doc_id")
+    tag = F.when(k % 4 == 0, "veganskt").when(k % 4 == 1, "vegetariskt").when(k % 4 == 2, "")
+    return docs(spark, sf).select("doc_id", P.diet_match(tag, F.col("line"), diet_of(F.col("lang")), TEXT_LEX).alias("ok"))
 
 
-@add("is_non_meal", RECIPE_TEXT + " select o_orderkey, name = 'Chokladkaka' or o_orderkey % 6 = 0 as non_meal from t")
+@add("is_non_meal", f"""with {DOCS_SQL}, t as (select doc_id, lower(coalesce(source, '') || ' ' || coalesce(lang, '')) as kind, lower(line) as title from docs)
+     select doc_id, {starts_sql("kind", TEXT_LEX.non_meal)} or (not contains(title, ' med ') and
+        ({" or ".join(f"ends_with(string_split_regex(trim(title), '\\s+')[-1], '{e}')" for e in TEXT_LEX.non_meal_endings)})) as non_meal from t""")
 def is_non_meal(spark, sf):
-    cats = F.when(F.col("o_orderkey") % 6 == 0, F.array(F.lit("Efterrätter"))).otherwise(F.array(F.lit("Middag")))
-    return recipe_text(spark, sf).select(
-        "o_orderkey", P.is_non_meal(cats, F.lit(""), F.col("name"), Lexicon()).alias("non_meal")
+    kinds = F.array(F.coalesce("source", F.lit("")))
+    return docs(spark, sf).select(
+        "doc_id", P.is_non_meal(kinds, F.col("lang"), F.col("line"), TEXT_LEX).alias("non_meal")
     )
 
 
-@add("protein_source", RECIPE_TEXT + """ select o_orderkey, case o_orderkey % 5 when 0 then 'fågel' when 1 then 'fisk'
-     when 2 then 'växter' else 'övrigt' end as source from t""")
+SOURCES_SQL = " ".join(
+    f"when {(inside_sql if anywhere else starts_sql)('text', terms)} then '{name}'" for name, terms, anywhere in TEXT_LEX.protein_sources
+)
+
+
+@add("protein_source", f"""with t as (select doc_id, lower(coalesce(text, '')) as text from {{documents}})
+     select doc_id, case {SOURCES_SQL} else 'övrigt' end as source from t""")
 def protein_source(spark, sf):
-    return recipe_text(spark, sf).select("o_orderkey", P.protein_source(F.col("name"), Lexicon()).alias("source"))
+    return view(spark, sf, "documents").select("doc_id", P.protein_source(F.col("text"), TEXT_LEX).alias("source"))
 
 
-@add("is_drink", """select l_orderkey, count(*) filter (l_linenumber % 3 = 0) >= 3 as drink from {lineitem} group by 1""")
+@add("is_drink", f"""with {DOCS_SQL} select doc_id, len(list_filter(string_split(line, ' '), lambda w: {inside_sql("lower(w)", TEXT_LEX.drinks)})) >= 3
+     as drink from docs""")
 def is_drink(spark, sf):
-    # Counting per line first keeps an order with very many lines out of one array.
-    drink = F.when(F.col("l_linenumber") % 3 == 0, "4 cl vodka").otherwise("ris")
-    known = F.array(drink)
-    return (
-        view(spark, sf, "lineitem")
-        .select("l_orderkey", P.is_drink(known, Lexicon(), needed=1).alias("_d"))
-        .groupBy("l_orderkey")
-        .agg((F.count_if("_d") >= 3).alias("drink"))
-    )
+    return docs(spark, sf).select("doc_id", P.is_drink(F.split("line", " "), TEXT_LEX).alias("drink"))
 
 
-@add("is_pantry", """select p_partkey, p_size % 4 < 2 as pantry from {part}""")
+PANTRY = (*TEXT_LEX.pantry, *TEXT_LEX.not_food)
+
+
+@add("is_pantry", f"""with l as ({LINE_SQL}) select l_orderkey, l_linenumber, l_partkey,
+     p_name in ({", ".join(f"'{t}'" for t in PANTRY)}) as pantry from l""")
 def is_pantry(spark, sf):
-    text = case4(["Olja (till formen)", "1 krm salt", "potatis i folie", "brännvinssill"], "p_size")
-    return view(spark, sf, "part").select("p_partkey", P.is_pantry(text, Lexicon()).alias("pantry"))
+    text = F.concat(case4(["", "omkring 2 ", "1,5 dl ", ""]), "p_name", case4(["", " (2 dl)", "", " till degen"]))
+    return lines(spark, sf).select(
+        "l_orderkey", "l_linenumber", "l_partkey", P.is_pantry(text, TEXT_LEX).alias("pantry")
+    )
 
 
-@add("is_organic", "select p_partkey, p_type = 'PROMO' or p_size % 3 = 0 as organic from {part}")
+@add("is_organic", f"""with t as (select doc_id, lower(coalesce(text, '') || ' ' || coalesce(source, '') || ' ' || coalesce(lang, '')) as text from {{documents}})
+     select doc_id, {inside_sql("text", TEXT_LEX.organic)} as organic from t""")
 def is_organic(spark, sf):
-    name = F.when(F.col("p_size") % 3 == 0, F.concat("p_name", F.lit(" KRAV"))).otherwise(F.col("p_name"))
-    tags = F.when(F.col("p_type") == "PROMO", F.array(F.lit("Ekologiskt"))).otherwise(F.array("p_brand"))
-    return view(spark, sf, "part").select(
-        "p_partkey", P.is_organic(name, F.col("p_brand"), tags, Lexicon()).alias("organic")
+    tags = F.array(F.coalesce("lang", F.lit("")))
+    return view(spark, sf, "documents").select(
+        "doc_id", P.is_organic(F.col("text"), F.col("source"), tags, TEXT_LEX).alias("organic")
     )
 
 
-@add("is_derived_form", "select p_partkey, p_size % 4 in (0, 3) as derived from {part}")
+#: Each part with the name of another as the ingredient asked for, which may be a part of its own name.
+ASKED_PARTS = """asks as (select p.p_partkey, p.p_name, p.p_type, p.p_brand, case p.p_partkey % 3 when 0 then split_part(o.p_name, ' ', 2)
+      else o.p_name end as asked, case p.p_size % 3 when 0 then 'veganskt' when 1 then 'vegetariskt' end as diet
+      from {part} p join {part} o on o.p_partkey = p.p_partkey // 2 + 1)"""
+
+
+def asked_parts(spark, sf):
+    part = view(spark, sf, "part")
+    other = part.select(F.col("p_partkey").alias("_o"), F.col("p_name").alias("_n"))
+    rows = part.join(other, F.expr("_o = p_partkey div 2 + 1"))
+    asked = F.when(F.col("p_partkey") % 3 == 0, F.split_part("_n", F.lit(" "), F.lit(2))).otherwise(F.col("_n"))
+    diet = F.when(F.col("p_size") % 3 == 0, "veganskt").when(F.col("p_size") % 3 == 1, "vegetariskt")
+    return rows.select("p_partkey", "p_name", "p_type", "p_brand", asked.alias("asked"), diet.alias("diet"))
+
+
+def derived_sql():
+    asked, named = words_sql("asked"), words_sql("p_name")
+    cats = " or ".join(f"(contains(lower(p_type), '{t}') and not contains(lower(asked), '{t.strip()}'))" for t in TEXT_LEX.derived_categories)
+    forms = " or ".join(f"(contains(lower(p_name), '{t}') and not contains(lower(asked), '{t}'))" for t in TEXT_LEX.derived_forms)
+    explicit = f"""(len({asked}) > 0 and len(list_filter({asked}, lambda w: not list_contains({named}, w))) = 0
+        and coalesce(list_contains({asked}, {named}[1]), false))"""
+    return f"(not {explicit} and ({cats} or {forms}))"
+
+
+@add("is_derived_form", f"with {ASKED_PARTS} select p_partkey, {derived_sql()} as derived from asks")
 def is_derived_form(spark, sf):
-    name = case4(["Morotskaka", "Rostad lök", "Morot", "Marmelad apelsin"], "p_size")
-    category = case4(["Bröd", "Glass", "Grönsaker", "Marmelad & Sylt"], "p_size")
-    asked = case4(["morot", "rostad lök", "morot", "apelsin"], "p_size")
-    return view(spark, sf, "part").select("p_partkey", P.is_derived_form(name, category, asked, Lexicon()).alias("derived"))
+    derived = P.is_derived_form(F.col("p_name"), F.col("p_type"), F.col("asked"), TEXT_LEX)
+    return asked_parts(spark, sf).select("p_partkey", derived.alias("derived"))
+
 
+BARRED = ", ".join(f"'{d}'" for d in TEXT_LEX.non_food_departments)
+PART_TEXT = "lower(p_name || ' ' || p_type)"
 
-@add("valid_candidate", "select p_partkey, p_size % 4 = 2 as ok from {part}")
+
+@add("valid_candidate", f"""with {ASKED_PARTS} select p_partkey, p_brand not in ({BARRED}) and not {breaks_sql(PART_TEXT, "diet")}
+     and not {derived_sql()} as ok from asks""")
 def valid_candidate(spark, sf):
-    name = case4(["Pepparbiff kött", "Kattmat", "Morot", "Äppelsill"], "p_size")
-    department = case4(["Kött", "Djur", "Frukt", "Fisk"], "p_size")
-    asked = case4(["peppar", "sky", "morot", "äpple"], "p_size")
-    ok = P.valid_candidate(name, F.lit("x"), department, F.lit("vegetariskt"), asked, Lexicon())
-    return view(spark, sf, "part").select("p_partkey", ok.alias("ok"))
+    columns = (F.col(c) for c in ("p_name", "p_type", "p_brand", "diet", "asked"))
+    return asked_parts(spark, sf).select("p_partkey", P.valid_candidate(*columns, TEXT_LEX).alias("ok"))
 
 
-@add("diet_conflict", "select p_partkey, p_size % 4 in (0, 3) as conflict from {part}")
+@add("diet_conflict", f"""with t as (select doc_id, lower(coalesce(text, '') || ' ' || coalesce(source, '')) as text, {DIET_SQL} as diet from {{documents}})
+     select doc_id, {breaks_sql("text", "diet")} as conflict from t""")
 def diet_conflict(spark, sf):
-    name = case4(["Pepparbiff kött", "Linser", "Morot", "Äppelsill"], "p_size")
-    return view(spark, sf, "part").select(
-        "p_partkey", P.product_breaks_diet(name, F.lit("x"), F.lit("veganskt"), Lexicon()).alias("conflict")
-    )
+    conflict = P.product_breaks_diet(F.col("text"), F.col("source"), diet_of(F.col("lang")), TEXT_LEX)
+    return view(spark, sf, "documents").select("doc_id", conflict.alias("conflict"))
 
 
 TEXT_LINES = """select conv_id, turn, text, string_split(text || chr(10) || '{"namn": " Mjölk ", "bbox": [' || (turn + 9)
