@@ -411,196 +411,6 @@ def snap_to_free(asks: DataFrame, cells: DataFrame, key: str) -> DataFrame:
     return todo.join(main.unionByName(other).drop("r"), [key, *_OFFSET], "left")
 
 
-# Routes ------------------------------------------------------------------------------
-
-
-def _spread(free: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Distance of every cell of a tile from each start (8 neighbours), for all starts at once."""
-    d = np.full((len(starts), TILE, TILE), np.inf)
-    d[np.arange(len(starts)), starts[:, 1], starts[:, 0]] = 0.0
-    while True:
-        new = d.copy()
-        for i, j in _STEPS:
-            cost = math.sqrt(2.0) if i and j else 1.0
-            zs, zt = slice(max(0, -j), TILE - max(0, j)), slice(max(0, j), TILE - max(0, -j))
-            xs, xt = slice(max(0, -i), TILE - max(0, i)), slice(max(0, i), TILE - max(0, -i))
-            np.minimum(new[:, zt, xt], d[:, zs, xs] + cost, out=new[:, zt, xt])
-        new[:, ~free] = np.inf
-        if (new == d).all():
-            return d
-        d = new
-
-
-def tile_roads(walls: DataFrame, meta: DataFrame, stops: DataFrame, key: str) -> DataFrame:
-    """Edges (key, a, b, w) between border cells and ``stops`` (key, ix, iz) of the same tile,
-    plus the steps between neighbouring tiles.  Nodes are cell numbers iz * nx + ix."""
-    kind = meta.schema[key].dataType.simpleString()
-    keys = [key, "tx", "tz"]
-    marked = (
-        walls.select(key, "ix", "iz", F.lit(0).alias("stop"))
-        .unionByName(stops.select(key, "ix", "iz").distinct().withColumn("stop", F.lit(1)))
-    )
-
-    def inner(tile_rows: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({key: pd.Series(dtype=object), "a": [], "b": [], "w": []})
-        if tile_rows.empty:
-            return empty
-        tile = tile_rows.iloc[0]
-        free = _free_mask(tile, rows[rows["stop"] == 0])
-        node = np.zeros_like(free)
-        node[0, :] = node[-1, :] = node[:, 0] = node[:, -1] = True
-        picked = rows[rows["stop"] == 1]
-        node[picked["iz"].to_numpy() - tile["tz"] * TILE, picked["ix"].to_numpy() - tile["tx"] * TILE] = True
-        z, x = np.nonzero(node & free)
-        if len(x) < 2:
-            return empty
-        d = _spread(free, np.column_stack([x, z]))[:, z, x]
-        number = (tile["tz"] * TILE + z).astype("int64") * int(tile["nx"]) + tile["tx"] * TILE + x
-        i, j = np.nonzero(np.triu(np.isfinite(d), 1))
-        return pd.DataFrame({key: tile[key], "a": number[i], "b": number[j], "w": d[i, j]})
-
-    roads = (
-        _tile_grid(meta, key)
-        .groupBy(*keys)
-        .cogroup(_with_tile(_fresh(marked)).groupBy(*keys))
-        .applyInPandas(inner, f"`{key}` {kind}, a bigint, b bigint, w double")
-    )
-    size = meta.select(key, "nx", "nz")
-    edge_cells = _tile_grid(meta, key).select(
-        key,
-        F.col("tx") * TILE,
-        F.col("tz") * TILE,
-        F.explode(F.sequence(F.lit(0), F.lit(TILE - 1))).alias("_k"),
-    ).toDF(key, "_x0", "_z0", "_k")
-    sides = F.array(
-        F.struct((F.col("_x0") + TILE - 1).alias("ix"), (F.col("_z0") + F.col("_k")).alias("iz")),
-        F.struct(F.col("_x0").alias("ix"), (F.col("_z0") + F.col("_k")).alias("iz")),
-        F.struct((F.col("_x0") + F.col("_k")).alias("ix"), (F.col("_z0") + TILE - 1).alias("iz")),
-        F.struct((F.col("_x0") + F.col("_k")).alias("ix"), F.col("_z0").alias("iz")),
-    )
-    rim = edge_cells.select(key, F.inline(sides)).distinct()
-    rim = _inside(rim, size, key).join(walls.select(key, "ix", "iz"), [key, "ix", "iz"], "left_anti")
-    steps = F.array(
-        *[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((1, 0), (0, 1), (1, 1), (1, -1))]
-    )
-    crossing = (
-        rim.withColumn("_d", F.explode(steps))
-        .select(key, F.col("ix").alias("_ix"), F.col("iz").alias("_iz"), "_d")
-        .withColumn("ix", F.col("_ix") + F.col("_d.a"))
-        .withColumn("iz", F.col("_iz") + F.col("_d.b"))
-        .filter(
-            (F.floor(F.col("ix") / TILE) != F.floor(F.col("_ix") / TILE))
-            | (F.floor(F.col("iz") / TILE) != F.floor(F.col("_iz") / TILE))
-        )
-        .join(rim, [key, "ix", "iz"])
-        .join(size.select(key, "nx"), key)
-        .select(
-            key,
-            (F.col("_iz").cast("long") * F.col("nx") + F.col("_ix")).alias("a"),
-            (F.col("iz").cast("long") * F.col("nx") + F.col("ix")).alias("b"),
-            F.when(F.abs("_d.a") + F.abs("_d.b") == 2, math.sqrt(2.0)).otherwise(1.0).alias("w"),
-        )
-    )
-    return roads.unionByName(crossing)
-
-
-def route_length(asks: DataFrame, walls: DataFrame, meta: DataFrame, key: str, cell: float) -> DataFrame:
-    """Shortest walking length in metres for (ask_id, key, start_x, start_z, goal_x, goal_z), a row per ask.
-
-    ``reason`` says why an ask has no route: 'no map', 'start outside', 'goal outside', 'no free cell' or
-    'no way'.  Ends are snapped to the walkable region.  Distances spread from the distinct start cells
-    over tile borders, two hops per round, and only improved nodes go on, until none improves.
-    """
-    cells = cut_lineage(free_components(walls, meta, key))
-    maps = meta.filter("ok") if "ok" in meta.columns else meta
-    rows = asks.join(maps.select(key, "nx", "nz", "x_min", "z_min"), key, "left")
-    for end in ("start", "goal"):
-        rows = rows.withColumn(f"{end}_ix", world_to_cell(F.col(f"{end}_x"), F.col("x_min"), cell)).withColumn(
-            f"{end}_iz", world_to_cell(F.col(f"{end}_z"), F.col("z_min"), cell)
-        )
-
-    def inside(end: str):
-        return F.coalesce(
-            F.col(f"{end}_ix").between(0, F.col("nx") - 1) & F.col(f"{end}_iz").between(0, F.col("nz") - 1), F.lit(False)
-        )
-
-    refused = (
-        F.when(F.col("nx").isNull(), "no map")
-        .when(~inside("start"), "start outside")
-        .when(~inside("goal"), "goal outside")
-    )
-    every = cut_lineage(rows.withColumn("reason", refused))
-    rows = every.filter("reason is null")
-    wanted = rows.select(key, F.col("start_ix").alias("ix"), F.col("start_iz").alias("iz")).unionByName(
-        rows.select(key, F.col("goal_ix").alias("ix"), F.col("goal_iz").alias("iz"))
-    )
-    snapped = cut_lineage(snap_to_free(wanted, cells, key).filter("to_ix is not null"))
-    for end in ("start", "goal"):
-        rows = rows.join(
-            snapped.select(
-                key,
-                F.col("ix").alias(f"{end}_ix"),
-                F.col("iz").alias(f"{end}_iz"),
-                F.struct("to_ix", "to_iz").alias(f"_{end}"),
-            ),
-            [key, f"{end}_ix", f"{end}_iz"],
-        )
-        rows = rows.withColumn(
-            f"{end}_node", F.col(f"_{end}.to_iz").cast("long") * F.col("nx") + F.col(f"_{end}.to_ix")
-        )
-    rows = cut_lineage(rows.select("ask_id", key, "start_node", "goal_node"))
-    stops = snapped.select(key, F.col("to_ix").alias("ix"), F.col("to_iz").alias("iz"))
-    roads = tile_roads(walls, meta, stops, key)
-    roads = cut_lineage(
-        roads.unionByName(roads.select(key, F.col("b").alias("a"), F.col("a").alias("b"), "w"))
-        .repartition(key, "a")
-    )
-    best = cut_lineage(
-        rows.select(key, F.col("start_node").alias("src"), F.col("start_node").alias("node")).distinct().select(
-            key, "src", "node", F.lit(0.0).alias("d"), F.lit(True).alias("fresh")
-        )
-    )
-
-    def hop(front: DataFrame) -> DataFrame:
-        return (
-            front.select(key, "src", F.col("node").alias("a"), "d")
-            .join(roads, [key, "a"])
-            .groupBy(key, "src", F.col("b").alias("node"))
-            .agg(F.min(F.col("d") + F.col("w")).alias("d"))
-        )
-
-    while not best.filter("fresh").isEmpty():  # a node's distance only falls, so this ends
-        once = hop(best.filter("fresh"))
-        twice = hop(once)
-        offers = once.unionByName(twice)
-        merged = (
-            best.select(key, "src", "node", "d", F.lit(True).alias("known"))
-            .unionByName(offers.withColumn("known", F.lit(False)))
-            .groupBy(key, "src", "node")
-            .agg(F.min("d").alias("d"), F.min(F.when(F.col("known"), F.col("d"))).alias("was"))
-        )
-        best = cut_lineage(
-            merged.select(
-                key, "src", "node", "d", F.coalesce(F.col("d") < F.col("was") - 1e-9, F.lit(True)).alias("fresh")
-            )
-        )
-    reached = best.select(key, F.col("src").alias("start_node"), F.col("node").alias("goal_node"), "d")
-    routes = rows.join(reached, [key, "start_node", "goal_node"], "left").drop(key)
-    answered = every.select("ask_id", key, "reason").join(routes, "ask_id", "left")
-    reason = F.coalesce(
-        "reason", F.when(F.col("start_node").isNull(), "no free cell"), F.when(F.col("d").isNull(), "no way")
-    )
-    return answered.select(
-        "ask_id",
-        key,
-        F.col("d").isNotNull().alias("ok"),
-        reason.alias("reason"),
-        (F.col("d") * cell).alias("length_m"),
-        "start_node",
-        "goal_node",
-    )
-
-
 # Lines of sight ----------------------------------------------------------------------
 
 
@@ -622,31 +432,41 @@ def line_cells(x0: int, z0: int, x1: int, z1: int) -> list[tuple[int, int]]:
             z0 += sz
 
 
+def line_cells_of(x0: Column, z0: Column, x1: Column, z1: Column) -> Column:
+    """The cells of :func:`line_cells` as an array of (ix, iz), in closed form.
+
+    Step k goes k cells along the longer side and floor((2 k short + long - 1) / (2 long)) along the shorter one.
+    """
+    dx, dz = F.abs(x1 - x0), F.abs(z1 - z0)
+    long, short = F.greatest(dx, dz), F.least(dx, dz)
+    toward = lambda a, b: F.when(a < b, 1).otherwise(-1)
+
+    def cell(k: Column) -> Column:
+        part = F.when(long == 0, 0).otherwise(F.floor((2 * k * short + long - 1) / (2 * F.greatest(long, F.lit(1))))).cast("int")
+        along, across = k, part
+        ix = x0 + toward(x0, x1) * F.when(dx >= dz, along).otherwise(across)
+        iz = z0 + toward(z0, z1) * F.when(dx >= dz, across).otherwise(along)
+        return F.struct(ix.cast("int").alias("ix"), iz.cast("int").alias("iz"))
+
+    return F.transform(F.sequence(F.lit(0), long), cell)
+
+
 def line_of_sight(pairs: DataFrame, walls: DataFrame, meta: DataFrame, key: str) -> DataFrame:
-    """Whether the straight cell line of each (pair_id, key, x0, z0, x1, z1) is free and inside."""
-    columns = ["pair_id", key, "x0", "z0", "x1", "z1"]
-    kinds = {f: pairs.schema[f].dataType.simpleString() for f in ("pair_id", key)}
-
-    def walk(batches):
-        for pdf in batches:
-            lines = [line_cells(*map(int, r)) for r in pdf[["x0", "z0", "x1", "z1"]].itertuples(index=False)]
-            sizes = [len(c) for c in lines]
-            yield pd.DataFrame(
-                {
-                    "pair_id": np.repeat(pdf["pair_id"].to_numpy(), sizes),
-                    key: np.repeat(pdf[key].to_numpy(), sizes),
-                    "ix": [c[0] for line in lines for c in line],
-                    "iz": [c[1] for line in lines for c in line],
-                }
-            )
-
-    cells = pairs.select(*columns).mapInPandas(
-        walk, f"pair_id {kinds['pair_id']}, `{key}` {kinds[key]}, ix int, iz int"
-    )
-    marked = walls.select(key, "ix", "iz").distinct().withColumn("_wall", F.lit(True))
-    seen = cells.join(marked, [key, "ix", "iz"], "left").join(meta.select(key, "nx", "nz"), key)
-    inside = F.col("ix").between(0, F.col("nx") - 1) & F.col("iz").between(0, F.col("nz") - 1)
-    return seen.groupBy("pair_id").agg(F.bool_and(F.col("_wall").isNull() & inside).alias("visible"))
+    """Whether the straight cell line of each (pair_id, key, x0, z0, x1, z1) is free and inside.
+
+    A line is inside where both its ends are.
+    """
+    rows = pairs.join(meta.select(key, "nx", "nz"), key)
+    inside = F.lit(True)
+    for end in "01":
+        inside = inside & F.col(f"x{end}").between(0, F.col("nx") - 1) & F.col(f"z{end}").between(0, F.col("nz") - 1)
+    cells = rows.filter(inside).select(
+        "pair_id", key, F.inline(line_cells_of(F.col("x0"), F.col("z0"), F.col("x1"), F.col("z1")))
+    )
+    met = cells.join(walls.select(key, "ix", "iz").distinct(), [key, "ix", "iz"], "left_semi")
+    blocked = met.select(F.col("pair_id").alias("_blocked")).distinct()
+    seen = rows.withColumn("_inside", inside).join(blocked, F.col("pair_id") == F.col("_blocked"), "left")
+    return seen.select("pair_id", (F.col("_inside") & F.col("_blocked").isNull()).alias("visible"))
 
 
 def simplify_routes(routes: DataFrame, walls: DataFrame, key: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from aislewise.functions.numeric import rounded
 from aislewise.operators import grid as G
+from aislewise.operators import routes as R
 from aislewise.plans.views import Registry, sql_round as r, view
 from aislewise.session import cut_lineage
 
@@ -162,13 +163,55 @@ def route_asks(spark, sf):
     )
 
 
-@add("route_length")
-def route_length(spark, sf):
-    walls, meta = grown(spark, sf)
-    return G.route_length(route_asks(spark, sf), walls, meta, "map_id", CELL)
+def ring_sql(asks, targets):
+    """Nearest target of each ask by ring, then x offset, then z offset."""
+    return f"""select a.map_id, a.ix, a.iz, w.ix as to_ix, w.iz as to_iz from {asks} a join {targets} w on w.map_id = a.map_id
+        qualify row_number() over (partition by a.map_id, a.ix, a.iz
+          order by greatest(abs(w.ix - a.ix), abs(w.iz - a.iz)), w.ix - a.ix, w.iz - a.iz) = 1"""
+
+
+ROUTE_SQL = f"""with recursive {LABEL_SQL}, s as (select map_id, label, count(*) as n from lab group by 1, 2),
+   m as (select map_id, label, row_number() over (partition by map_id order by n desc, label) as rn from s),
+   walk as (select l.map_id, l.ix, l.iz from lab l join m on m.map_id = l.map_id and m.label = l.label and rn = 1),
+   placed as (select user_id as ask_id, p.map_id, nx, point_id, cast(trunc((x - x_min) / {CELL}e0) as int) as ix,
+      cast(trunc((z - z_min) / {CELL}e0) as int) as iz from {{point}} p join {{events}} e on e.event_id = p.point_id join meta on meta.map_id = p.map_id),
+   ends as (select ask_id, map_id, any_value(nx) as nx, min_by(ix, point_id) as sx, min_by(iz, point_id) as sz,
+      max_by(ix, point_id) as gx, max_by(iz, point_id) as gz from placed group by 1, 2),
+   cellasks as (select map_id, sx as ix, sz as iz from ends union select map_id, gx, gz from ends),
+   snap as ({ring_sql("cellasks", "walk")}),
+   r as materialized (select ask_id, e.map_id, a.to_iz * nx + a.to_ix as start_node, b.to_iz * nx + b.to_ix as goal_node from ends e
+      join snap a on a.map_id = e.map_id and a.ix = sx and a.iz = sz join snap b on b.map_id = e.map_id and b.ix = gx and b.iz = gz),
+   near as materialized (select a.map_id, a.num, b.num as other, case when a.ix <> b.ix and a.iz <> b.iz then sqrt(2e0) else 1e0 end as w
+      from free a join free b on b.map_id = a.map_id and b.ix between a.ix - 1 and a.ix + 1 and b.iz between a.iz - 1 and a.iz + 1 and b.num <> a.num),
+   dist(map_id, src, num, d) using key (map_id, src, num) as (
+     select distinct map_id, start_node, start_node, 0e0 from r
+     union
+     select n.map_id, n.src, n.num, n.d from (select t.map_id, t.src, near.other as num, min(t.d + near.w) as d
+        from dist t join near on near.map_id = t.map_id and near.num = t.num group by 1, 2, 3) n
+       left join recurring.dist o on o.map_id = n.map_id and o.src = n.src and o.num = n.num
+     where o.d is null or n.d < o.d - 1e-9)
+   select ask_id, r.map_id, d is not null as ok, case when d is null then 'no way' end as reason, {r(f"d * {CELL}e0")} as length_m,
+     start_node, goal_node from r left join dist on dist.map_id = r.map_id and dist.src = start_node and dist.num = goal_node"""
 
 
-@add("line_of_sight")
+@add("route_length", ROUTE_SQL)
+def route_length(spark, sf):
+    """From every session's first to its last point; all of them lie on their map and find a free cell."""
+    walls, meta = grown(spark, sf)
+    out = R.route_length(route_asks(spark, sf), walls, meta, "map_id", CELL)
+    return out.withColumn("length_m", rounded("length_m"))
+
+
+@add("line_of_sight", f"""with {GROWN_SQL}, a as (select p.point_id, p.map_id, nx, nz, cast(trunc((x - x_min) / {CELL}e0) as int) as x0,
+      cast(trunc((z - z_min) / {CELL}e0) as int) as z0 from {{point}} p join meta on meta.map_id = p.map_id),
+   b as (select *, x0 + point_id % 9 - 4 as x1, z0 + point_id % 7 - 3 as z1 from a),
+   c as (select *, greatest(abs(x1 - x0), abs(z1 - z0)) as most, least(abs(x1 - x0), abs(z1 - z0)) as least from b),
+   d as (select *, unnest(range(most + 1)) as k from c),
+   e as (select *, case when most = 0 then 0 else (2 * k * least + most - 1) // (2 * most) end as m from d),
+   f as (select point_id, map_id, nx, nz, x0 + sign(x1 - x0) * case when abs(x1 - x0) >= abs(z1 - z0) then k else m end as ix,
+      z0 + sign(z1 - z0) * case when abs(x1 - x0) >= abs(z1 - z0) then m else k end as iz from e)
+   select f.point_id as pair_id, bool_and(g.ix is null and f.ix between 0 and nx - 1 and f.iz between 0 and nz - 1) as visible
+   from f left join grown g on g.map_id = f.map_id and g.ix = f.ix and g.iz = f.iz group by 1""")
 def line_of_sight(spark, sf):
     walls, meta = grown(spark, sf)
     rows = points(spark, sf).join(meta.select("map_id", "x_min", "z_min"), "map_id").select(
@@ -183,6 +226,13 @@ def line_of_sight(spark, sf):
     return G.line_of_sight(pairs, walls, meta, "map_id")
 
 
+@add("route_waypoints")
+def route_waypoints(spark, sf):
+    walls, meta = grown(spark, sf)
+    out = R.routes(route_asks(spark, sf), walls, meta, "map_id", CELL)
+    return out.select("ask_id", "ok", rounded("length_m").alias("length_m"), "waypoints")
+
+
 @add("simplify_routes")
 def simplify_routes(spark, sf):
     walls, meta = grown(spark, sf)
@@ -211,6 +261,7 @@ def shelf_rectangles(spark, sf):
 @add("find_product")
 def find_product(spark, sf):
     from aislewise.operators.find import find_products
+    from aislewise.plans.search_queries import LEX
 
     walls, meta = grown(spark, sf)
     placed = (
@@ -228,4 +279,4 @@ def find_product(spark, sf):
         F.col("start_x"),
         F.col("start_z"),
     )
-    return find_products(asks, placed, walls, meta, "map_id", CELL)
+    return find_products(asks, placed, walls, meta, "map_id", CELL, view(spark, sf, "catalogue"), LEX)

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aislewise.operators import grid as G
+from aislewise.operators import routes as R
 
 NX, NZ = 70, 45
 
@@ -83,7 +84,7 @@ def test_route_lengths_equal_dijkstra(spark, world):
     df = spark.createDataFrame(
         [r[:6] for r in asks], "ask_id long, m int, start_x double, start_z double, goal_x double, goal_z double"
     )
-    got = {r["ask_id"]: r for r in G.route_length(df, cells, meta, "m", 0.5).collect()}
+    got = {r["ask_id"]: r for r in R.route_length(df, cells, meta, "m", 0.5).collect()}
     for ask in asks:
         assert got[ask[0]]["ok"]
         assert abs(got[ask[0]]["length_m"] - 0.5 * dijkstra(walls, ask[6], ask[7])) < 1e-6
@@ -110,10 +111,71 @@ def test_every_route_ask_is_answered(spark, world):
     x, z = inside[0] * 0.5 + 0.2, inside[1] * 0.5 + 0.2
     rows = [(0, 1, x, z, x, z), (1, 1, -50.0, z, x, z), (2, 1, x, z, x, 9e4), (3, 77, x, z, x, z)]
     df = spark.createDataFrame(rows, "ask_id long, m int, start_x double, start_z double, goal_x double, goal_z double")
-    got = {r["ask_id"]: (r["ok"], r["reason"]) for r in G.route_length(df, cells, meta, "m", 0.5).collect()}
+    got = {r["ask_id"]: (r["ok"], r["reason"]) for r in R.route_length(df, cells, meta, "m", 0.5).collect()}
     assert got == {0: (True, None), 1: (False, "start outside"), 2: (False, "goal outside"), 3: (False, "no map")}
 
 
+def test_waypoints_walk_the_shortest_way(spark, world):
+    walls, cells, meta = world
+    main = sorted(max(regions(walls), key=len))
+    rng = random.Random(5)
+    picked = [(rng.choice(main), rng.choice(main)) for _ in range(25)]
+    picked += [(picked[0][0], g) for _, g in picked[:6]] + [(main[0], main[0])]  # shared starts, and a start that is its goal
+    at = lambda c: c * 0.5 + 0.2
+    rows = [(k, 1, at(a[0]), at(a[1]), at(b[0]), at(b[1])) for k, (a, b) in enumerate(picked)] + [(99, 1, -9.0, 0.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "ask_id long, m int, start_x double, start_z double, goal_x double, goal_z double")
+    cell = lambda p: (int(p["x"] / 0.5), int(p["z"] / 0.5))
+    whole = {r["ask_id"]: r for r in R.routes(df, cells, meta, "m", 0.5, simplify=False).collect()}
+    thin = {r["ask_id"]: r for r in R.routes(df, cells, meta, "m", 0.5).collect()}
+    assert whole[99]["waypoints"] is None and whole[99]["reason"] == "start outside"
+    for k, (a, b) in enumerate(picked):
+        path = [cell(p) for p in whole[k]["waypoints"]]
+        assert path[0] == a and path[-1] == b and not walls & set(path)
+        steps = [(abs(p[0] - q[0]), abs(p[1] - q[1])) for p, q in zip(path, path[1:])]
+        assert all(max(s) == 1 for s in steps)
+        assert sum(math.sqrt(2) if min(s) else 1.0 for s in steps) == pytest.approx(dijkstra(walls, a, b))
+        kept = [cell(p) for p in thin[k]["waypoints"]]
+        assert kept[0] == a and kept[-1] == b and len(kept) <= len(path) and set(kept) <= set(path)
+        assert not any(c in walls for p, q in zip(kept, kept[1:]) for c in G.line_cells(*p, *q))
+
+
+def test_lines_in_closed_form(spark):
+    rng = random.Random(2)
+    pairs = [(x, z, rng.randrange(-9, 10), rng.randrange(-9, 10)) for x in range(-9, 10) for z in range(-9, 10)]
+    df = spark.createDataFrame(pairs, "x0 int, z0 int, x1 int, z1 int")
+    lines = G.line_cells_of(*(F.col(c) for c in ("x0", "z0", "x1", "z1")))
+    for r in df.withColumn("line", lines).collect():
+        assert [(c["ix"], c["iz"]) for c in r["line"]] == G.line_cells(r["x0"], r["z0"], r["x1"], r["z1"])
+
+
+def test_find_product_tiers(spark, world):
+    from aislewise.functions.lexicon import Lexicon
+    from aislewise.operators.find import find_products
+
+    walls, cells, meta = world
+    main = sorted(max(regions(walls), key=len))
+    spots = {1: main[3], 2: main[len(main) // 2], 3: main[-1]}
+    at = lambda c: (c[0] * 0.5 + 0.2, c[1] * 0.5 + 0.2)
+    placed = spark.createDataFrame(
+        [(1, k, n, k, *at(spots[k])) for k, n in ((1, "Hylla Ketchup"), (2, "Pasta"), (3, "Rödlök"))],
+        "m int, product_id long, name string, ord long, x double, z double",
+    )
+    catalogue = spark.createDataFrame(
+        [(3, 1, "Rödlök", "", "Lök"), (9, 2, "Ostkniv", "", "Tillbehör")], "product_id long, ord long, name string, brand string, category string"
+    )
+    x, z = at(main[0])
+    asks = [(1, 1, 2, None), (2, 1, None, "ketchup"), (3, 1, None, "rödlökar"), (4, 1, None, "ostkniv"), (5, 1, 77, None), (6, 1, None, None)]
+    df = spark.createDataFrame([(*a, x, z) for a in asks], "ask_id long, m int, product_id long, name string, start_x double, start_z double")
+    got = {r["ask_id"]: r for r in find_products(df, placed, cells, meta, "m", 0.5, catalogue, Lexicon()).collect()}
+    assert {k: r["product_id"] for k, r in got.items()} == {1: 2, 2: 1, 3: 3, 4: None, 5: None, 6: None}
+    for k, spot in ((1, spots[2]), (2, spots[1]), (3, spots[3])):
+        assert got[k]["found"] and got[k]["route_ok"]
+        assert got[k]["length_m"] == pytest.approx(0.5 * dijkstra(walls, main[0], spot))
+        last = got[k]["waypoints"][-1]
+        assert (int(last["x"] / 0.5), int(last["z"] / 0.5)) == spot
+    assert not got[4]["found"] and got[4]["waypoints"] is None
+
+
 def test_line_of_sight(spark, world):
     _, cells, meta = world
     free = spark.createDataFrame([(1, 2, 2)], "m int, ix int, iz int")
