@@ -5,8 +5,6 @@ The state between slices is one short record per cluster, never the members.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -71,57 +69,6 @@ def spatial_cluster(
     return ordered_scan(observations.select(*columns), keys, [order], step, merge, schema, rows_per_slice)
 
 
-def greedy_seeds(
-    rows: DataFrame,
-    keys: list[str],
-    order: str = "ord",
-    radius: float = 0.5,
-    axes: tuple[str, ...] = ("x", "z"),
-    rows_per_slice: int = ROWS_PER_SLICE,
-) -> DataFrame:
-    """Adds ``seed``: order value of the first earlier seed within ``radius``, or the row's
-    own when there is none (it then is a seed itself)."""
-    columns = [*keys, order, *axes]
-    limit = radius * radius
-    shifts = [()]
-    for _ in axes:
-        shifts = [s + (d,) for s in shifts for d in (-1, 0, 1)]
-
-    def step(data: pd.DataFrame, state: list) -> tuple[pd.DataFrame, list]:
-        grid: dict[tuple, list] = {}
-
-        def remember(rank: int, name, place) -> None:
-            cell = tuple(math.floor(p / radius) for p in place)
-            grid.setdefault(cell, []).append((rank, name, place))
-
-        for rank, (name, *place) in enumerate(state):
-            remember(rank, name, place)
-        count, fresh, seeds = len(state), [], []
-        for name, *place in data[[order, *axes]].itertuples(index=False):
-            cell = tuple(math.floor(p / radius) for p in place)
-            best = None
-            for shift in shifts:
-                for rank, other, at in grid.get(tuple(c + s for c, s in zip(cell, shift)), ()):
-                    if (best is None or rank < best[0]) and sum((a - b) ** 2 for a, b in zip(at, place)) < limit:
-                        best = (rank, other)
-            if best is None:
-                remember(count, name, place)
-                fresh.append([int(name), *map(float, place)])
-                count += 1
-                seeds.append(name)
-            else:
-                seeds.append(best[1])
-        out = data[columns].copy()
-        out["seed"] = np.asarray(seeds, dtype=np.int64)
-        return out, fresh
-
-    def merge(state: list, delta: list) -> list:
-        return state + delta
-
-    schema = f"{_ddl(rows, columns)}, seed bigint"
-    return ordered_scan(rows.select(*columns), keys, [order], step, merge, schema, rows_per_slice)
-
-
 def merge_nearby(
     rows: DataFrame,
     keys: list[str],

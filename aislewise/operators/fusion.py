@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aislewise.operators.clusters import greedy_seeds, merge_nearby, spatial_cluster
+from aislewise.operators.clusters import merge_nearby, spatial_cluster
 from aislewise.operators.quantiles import quantiles
+from aislewise.operators.seeds import greedy_seeds
 
 
 def vote_weight(confidence: Column) -> Column:

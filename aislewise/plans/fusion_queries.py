@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from aislewise.functions.numeric import rounded
 from aislewise.operators import clusters as C
 from aislewise.operators import fusion as U
+from aislewise.operators.seeds import greedy_seeds
 from aislewise.operators import neighbours as N
 from aislewise.plans.views import Registry, sql_round as r, view
 
@@ -100,9 +101,30 @@ def consolidate_places(spark, sf):
     return U.consolidate_products(view(spark, sf, "observation"), ["map_id", "product_id"])
 
 
-@add("radius_group")
+def seeds_sql(rows, radius, axes):
+    """Recursive rounds: an open row without an earlier open or seed row in reach is a seed, one that a seed reaches is
+    covered.  Ends in ``g`` (map_id, ord, seed)."""
+    near = " + ".join(f"(a.{x} - b.{x}) * (a.{x} - b.{x})" for x in axes)
+    return f"""p as materialized ({rows}),
+   e as materialized (select a.map_id, a.ord as early, b.ord as late from p a join p b on a.map_id = b.map_id and a.ord < b.ord
+      and b.x between a.x - {radius} and a.x + {radius} and {near} < {radius}e0 * {radius}e0),
+   st(map_id, ord, state) using key (map_id, ord) as (
+      select map_id, ord, case when ord in (select late from e) then 0 else 1 end from p
+      union
+      select r.map_id, r.ord, case when bool_or(o.state = 1) then 2 else 1 end from recurring.st r
+        join e on e.map_id = r.map_id and e.late = r.ord join recurring.st o on o.map_id = e.map_id and o.ord = e.early
+      where r.state = 0 group by 1, 2 having bool_or(o.state = 1) or bool_and(o.state = 2)),
+   g as (select s.map_id, s.ord, coalesce(min(o.ord), s.ord) as seed from st s left join (select e.map_id, early, late from e
+      join st on st.map_id = e.map_id and st.ord = early and state = 1) f on f.map_id = s.map_id and f.late = s.ord
+      left join st o on o.map_id = f.map_id and o.ord = f.early group by 1, s.ord)"""
+
+
+SEEN_SQL = seeds_sql("select map_id, ord, x, z from {observation}", 0.5, "xz")
+
+
+@add("radius_group", f"with recursive {SEEN_SQL} select map_id, ord, seed from g")
 def radius_group(spark, sf):
-    return C.greedy_seeds(view(spark, sf, "observation"), ["map_id"]).select("map_id", "ord", "seed")
+    return greedy_seeds(view(spark, sf, "observation"), ["map_id"]).select("map_id", "ord", "seed")
 
 
 @add("vote_places")
@@ -110,10 +132,12 @@ def vote_places(spark, sf):
     return U.vote_places(view(spark, sf, "observation"), ["map_id"]).drop("candidates")
 
 
-@add("multi_view_points")
+@add("multi_view_points", f"""with recursive {seeds_sql("select map_id, point_id as ord, x, y, z from {point}", 0.05, "xyz")}
+   select g.map_id, seed, count(*) as n_seen, min_by(x, p.ord) as x, min_by(y, p.ord) as y, min_by(z, p.ord) as z
+   from g join p on p.map_id = g.map_id and p.ord = g.ord group by 1, 2 having count(*) >= 2""")
 def multi_view_points(spark, sf):
     points = view(spark, sf, "point").select("map_id", F.col("point_id").alias("ord"), "x", "y", "z", "frame")
-    seeds = C.greedy_seeds(points, ["map_id"], "ord", 0.05, ("x", "y", "z"))
+    seeds = greedy_seeds(points, ["map_id"], "ord", 0.05, ("x", "y", "z"))
     return (
         points.join(seeds.select("map_id", "ord", "seed"), ["map_id", "ord"])
         .groupBy("map_id", "seed")

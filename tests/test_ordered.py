@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aislewise.operators import clusters as C
+from aislewise.operators.seeds import greedy_seeds
 from aislewise.operators import gates as G
 from aislewise.operators.ordered import Sequence, add_slices
 from aislewise.operators.quantiles import quantiles
@@ -87,7 +88,7 @@ def test_spatial_cluster_equals_one_pass(skewed, limit):
 
 @pytest.mark.parametrize("limit", [10_000, 60])
 def test_greedy_seeds_equals_one_pass(skewed, limit):
-    got = by_ord(C.greedy_seeds(skewed, ["k"], "ord", 0.5, ("x", "z"), limit), "seed")
+    got = by_ord(greedy_seeds(skewed, ["k"], "ord", 0.5, ("x", "z"), limit), "seed")
     rows = by_ord(skewed, "x", "z")
     for key, part in rows.groupby("k"):
         used, seed = set(), {}
@@ -103,6 +104,30 @@ def test_greedy_seeds_equals_one_pass(skewed, limit):
         assert dict(zip(mine["ord"], mine["seed"])) == seed
 
 
+@pytest.mark.parametrize("limit", [10_000, 80, 3])
+def test_seeds_along_a_path_and_odd_rows(spark, monkeypatch, limit):
+    from aislewise.operators import seeds as module
+
+    monkeypatch.setattr(module, "CELL_ROUNDS", 1)
+    rows = [(1, i, 0.11 * i, 0.02 * (i % 3), 0.0) for i in range(60)] + [(1, 100 + i, 0.11 * (59 - i), 0.3, 0.1) for i in range(60)]
+    rows += [(2, 1, 0.0, 0.0, 0.0), (2, 1, 0.0, 0.0, 0.0), (2, 2, 0.0, 0.0, 0.0), (None, 1, 0.0, 0.0, 0.0), (None, 2, 0.1, 0.0, 0.0)]
+    rows += [(2, 3, None, 0.0, 0.0), (2, 4, float("nan"), 0.0, 0.0), (2, 5, 50.0, 0.0, -3.0)]
+    df = spark.createDataFrame(rows, "k long, ord long, x double, y double, z double")
+    for axes in (("x", "z"), ("x", "y", "z")):
+        at = [0, 2] if len(axes) == 2 else [0, 1, 2]
+        seeds, want = {}, []  # by key
+        for k, o, *p in sorted(rows, key=lambda r: (str(r[0]), r[1])):
+            odd = p[0] is None or p[0] != p[0]
+            near = [] if odd else [s for s, q in seeds.get(k, []) if sum((p[i] - q[i]) ** 2 for i in at) < 0.25]
+            if not near and not odd:
+                seeds.setdefault(k, []).append((o, p))
+            want.append((k, o, min(near, default=o)))
+        got = [(r["k"], r["ord"], r["seed"]) for r in greedy_seeds(df, ["k"], "ord", 0.5, axes, limit).collect()]
+        # Null keys never meet: each such row stands alone.
+        assert sorted(g for g in got if g[0] is not None) == sorted(w for w in want if w[0] is not None)
+    assert greedy_seeds(df.limit(0), ["k"]).count() == 0
+
+
 def test_merge_nearby_slices(skewed):
     cols = ("place", "x", "y", "z", "seen")
     one = by_ord(C.merge_nearby(skewed, ["k"], "ord", 0.6), *cols)
