@@ -226,8 +226,8 @@ def promo_swap(chosen: DataFrame, catalogue: DataFrame, staple: Column, lex: Lex
 
     Promotions that the gates cannot tell apart (what they break, forms they name, organic or not) are one kind.
     Two of each kind per category and word, and per category, are enough: two because the product itself never
-    counts.  Only a prepared form that an ingredient names in full is judged by its whole name, so those
-    promotions are met in full on the head word.
+    counts.  Only a prepared form that an ingredient names in full is judged by its whole name, so of those
+    promotions two of each name are met on the head word.
     """
     name, category = F.col("name"), F.col("category")
     department = F.col("department") if "department" in catalogue.columns else F.lit(None).cast("string")
@@ -249,8 +249,10 @@ def promo_swap(chosen: DataFrame, catalogue: DataFrame, staple: Column, lex: Lex
     )
     by_word = promos.withColumn("_word", F.explode(F.array_distinct("_words")))
     lists = promos.withColumn("_word", F.lit(ANY_WORD)).unionByName(by_word)
-    lists = top_per_group(lists, ["_cat", "_word", "_kind", "_organic"], [F.desc("saving"), F.desc("neg_ord")], 2)
-    lists = lists.unionByName(by_word.filter("_formed")).drop("_words", "_kind", "_formed")
+    order = [F.desc("saving"), F.desc("neg_ord")]
+    formed = top_per_group(by_word.filter("_formed"), ["_cat", "_word", "_name", "_department", "_organic"], order, 2)
+    lists = top_per_group(lists, ["_cat", "_word", "_kind", "_organic"], order, 2)
+    lists = lists.unionByName(formed).drop("_words", "_kind", "_formed").distinct()
 
     own = catalogue.select(
         "product_id", name.alias("_own_name"), current_saving(F.col("price"), F.col("promo_price")).alias("own_saving")

@@ -31,6 +31,43 @@ def scan_catalogue(spark, sf):
     )
 
 
+FILES_SQL = f"""select cast(product_id as varchar) as product_id, row_number() over (order by product_id) - 1 as ord, name, brand, category,
+     {r('price')} as price, {r('promo_price')} as promo_price, lower(category) || ';' || lower(brand) as tags from {{catalogue}}"""
+
+
+def catalogue_files(spark, sf, kind):
+    """The catalogue written as shop files, several of them in the order of ids, and read again."""
+    from aislewise.sources.files import CATALOGUE, read_catalogue
+    from aislewise.sources.sinks import scratch_path
+
+    comma = lambda c: F.replace(F.col(c).cast("string"), F.lit("."), F.lit(","))
+    rows = view(spark, sf, "catalogue").repartitionByRange(5, "product_id").sortWithinPartitions("product_id")
+    known = {
+        "id": F.col("product_id").cast("string"), "name": F.col("name"), "brand": F.col("brand"), "category": F.col("category"),
+        "price": comma("price"), "promo_price": comma("promo_price"),
+        "tags": F.concat(F.lower("category"), F.lit(", "), F.lower("brand"), F.lit(",")),
+    }
+    names = [c.split()[0] for c in CATALOGUE.split(", ")]
+    rows = rows.select(*[known.get(c, F.lit(None).cast("string")).alias(c) for c in names])
+    path = scratch_path(spark, f"catalogue-{kind}")
+    getattr(rows.write.option("header", True), kind)(path)
+    out = read_catalogue(spark, path, kind)
+    return out.select(
+        "product_id", "ord", "name", "brand", "category", rounded("price").alias("price"),
+        rounded("promo_price").alias("promo_price"), F.array_join("tags", ";").alias("tags"),
+    )
+
+
+@add("scan_catalogue_csv", FILES_SQL)
+def scan_catalogue_csv(spark, sf):
+    return catalogue_files(spark, sf, "csv")
+
+
+@add("scan_catalogue_parquet", FILES_SQL)
+def scan_catalogue_parquet(spark, sf):
+    return catalogue_files(spark, sf, "parquet")
+
+
 @add("catalogue_stats", """select count(*) as n_rows, count(price) as n_priced, count(promo_price) as n_promo,
      (select count(*) from {lineitem} where l_discount > 0) as n_offers from {catalogue}""")
 def catalogue_stats(spark, sf):

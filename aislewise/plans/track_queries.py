@@ -198,6 +198,7 @@ def mean_camera_height(spark, sf):
     )
 
 
-@add("downsample_random")
+@add("downsample_random", """select map_id, point_id, x, y, z from {point}
+   qualify row_number() over (partition by map_id order by md5('7:' || point_id), point_id) <= 1000""")
 def downsample_random(spark, sf):
     return T.downsample(view(spark, sf, "point"), "map_id", "point_id", 1000, seed=7).select("map_id", "point_id", "x", "y", "z")

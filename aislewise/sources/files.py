@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from aislewise.functions.numeric import parse_price
@@ -13,11 +13,23 @@ CATALOGUE = (
 )
 
 
-def read_catalogue(spark: SparkSession, path: str, kind: str = "csv") -> DataFrame:
-    """Catalogue rows with numeric prices, tags as a list and ``ord`` = place in the file order.
+def with_file_order(raw: DataFrame) -> DataFrame:
+    """``raw``, a plain file scan, with ``ord``: the row's place, from 0, by file path and then place in the file.
 
-    ``ord`` joins file and row position, so it rises with the order of the files' rows.
+    A first pass counts the rows of each split; a split's rows then follow those of all splits before it, so ``ord``
+    does not depend on how the files are cut.  The table of splits is as small as the list of files.
     """
+    split = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")]
+    rows = raw.select("*", *split, F.monotonically_increasing_id().alias("_id"))
+    counts = rows.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    before = F.sum("_n").over(Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("_file", "_start", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))
+    placed = rows.join(offsets, ["_file", "_start"]).withColumn("ord", F.col("_id") + F.col("_shift"))
+    return placed.select(*raw.columns, "ord")
+
+
+def read_catalogue(spark: SparkSession, path: str, kind: str = "csv") -> DataFrame:
+    """Catalogue rows with numeric prices, tags as a list and ``ord``, the row's place in the order of the files."""
     if kind == "csv":
         raw = spark.read.schema(CATALOGUE).option("header", True).csv(path)
     elif kind == "json":
@@ -26,8 +38,8 @@ def read_catalogue(spark: SparkSession, path: str, kind: str = "csv") -> DataFra
         raw = spark.read.parquet(path)
     else:
         raise ValueError(f"unknown catalogue kind: {kind}")
-    return raw.select(
-        F.monotonically_increasing_id().alias("ord"),
+    return with_file_order(raw).select(
+        "ord",
         F.col("id").alias("product_id"),
         "name",
         "brand",

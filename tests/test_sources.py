@@ -98,6 +98,29 @@ def test_catalogue_file(spark, tmp_path):
     assert rows[1]["price"] is None
 
 
+def test_file_order_does_not_depend_on_splits(spark, tmp_path):
+    head = "id,name,brand,category,department,price,unit_price,promo_price,promo_text,image,tags\n"
+    ids = [[f"f{k}r{i}" for i in range(n)] for k, n in enumerate((700, 3, 0, 1500, 1))]
+    for k, own in enumerate(ids):
+        (tmp_path / f"part-{k}.csv").write_text(head + "".join(f"{i},n,,,,1,,,,,\n" for i in own))
+    want = [i for own in ids for i in own]
+    for size in ("1k", "7k", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        try:
+            rows = read_catalogue(spark, str(tmp_path)).select("ord", "product_id").collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert [r["product_id"] for r in sorted(rows)] == want
+        assert [r["ord"] for r in sorted(rows)] == list(range(len(want)))
+    (tmp_path / "json").mkdir()
+    (tmp_path / "json" / "a.json").write_text('[{"id": "a1", "price": "2"}, {"id": "a2"}]')
+    (tmp_path / "json" / "b.json").write_text('[{"id": "b1"}]')
+    rows = read_catalogue(spark, str(tmp_path / "json"), "json").orderBy("ord").collect()
+    assert [(r["ord"], r["product_id"]) for r in rows] == [(0, "a1"), (1, "a2"), (2, "b1")]
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "n int, p string")
     path = str(tmp_path / "t")

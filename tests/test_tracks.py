@@ -16,6 +16,22 @@ def test_downsample_is_repeatable_and_bounded(spark):
     assert sorted(a) == sorted(b) and sorted(a) != sorted(c) and len(a) == 200
 
 
+def test_downsample_takes_the_first_hashes(spark, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(T, "BUCKET_DIGITS", 1)
+    rows = [(k % 3 or None, k, float(k)) for k in range(400)] + [(9, 1000 + k, 0.0) for k in range(5)]
+    df = spark.createDataFrame(rows, "m long, p long, x double")
+    for most in (1, 5, 77, 1000):
+        got = sorted((str(r["m"]), r["p"]) for r in T.downsample(df, "m", "p", most, seed=2).collect())
+        want = []
+        for m in (None, 1, 2, 9):
+            mine = sorted((hashlib.md5(f"2:{p}".encode()).hexdigest(), p) for n, p, _ in rows if n == m)
+            want += [(str(m), p) for _, p in mine[:most]]
+        assert got == sorted(want)
+    assert T.downsample(df.limit(0), "m", "p", 3).count() == 0
+
+
 def test_closed_loop_ends_where_it_began(spark):
     rows = [(1, i, float(i % 6) * 0.5 + 0.01 * i, 0.0 if i < 6 else 1.0) for i in range(12)] + [(1, 12, 0.5, 0.2)]
     track = spark.createDataFrame(rows, "session long, frame long, x double, z double")
