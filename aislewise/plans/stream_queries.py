@@ -51,9 +51,10 @@ def stream_session_lifecycle(spark, sf):
 
 @add("stream_latest_with_ttl", Q.REGISTRY.sql["latest_with_ttl"])
 def stream_latest_with_ttl(spark, sf):
-    rows = stream_view(spark, sf, "tracking").select("device", "event_id", "ts")
-    latest = J.last_update(J.drain(J.latest_per_key(rows, "device", ["event_id"]), "update"), ["device"])
+    rows = stream_view(spark, sf, "tracking").select("device", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    latest = J.last_update(J.drain(J.latest_until(rows, "device", "event_id", "ts", "8 hours"), "update"), ["device"])
     now = latest.agg(F.max("ts")).scalar()
+    latest = latest.filter("alive")
     return S.latest_with_ttl(latest, "device", ["event_id"], now, ttl_s=8 * 3600.0).select("device", "event_id")
 
 
@@ -101,7 +102,7 @@ def recalibration_gate(spark, sf):
 
 @add("stream_recalibration_gate")
 def stream_recalibration_gate(spark, sf):
-    return J.drain(J.recalibration_stream(gate_rows(events_stream(spark, sf)))).drop("batch")
+    return J.drain(J.recalibration_stream(gate_rows(events_stream(spark, sf)), "60 days")).drop("batch")
 
 
 @add("throttle_exact", """with recursive e as (select user_id as device, event_id, epoch_us(ts) as t,

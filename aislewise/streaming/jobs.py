@@ -66,60 +66,96 @@ def flag_windows(flags: DataFrame, needed: int = 3, size: str = "24 hours", slid
     )
 
 
+def _whole(chunks: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
+    """All rows a key has in a micro-batch, in order.  The trigger's limits bound them, not the stream's length."""
+    return pd.concat(list(chunks)).sort_values(order, kind="stable")
+
+
+def _gone(state: GroupState, seen_ms: int) -> bool:
+    """A key whose time is out, though new rows came before Spark told it so."""
+    return state.getCurrentWatermarkMs() > seen_ms
+
+
+def _time_out_after(state: GroupState, last_ms: int) -> None:
+    """Time out once the watermark, the latest time less the allowed lateness, has passed ``last_ms``."""
+    state.setTimeoutTimestamp(max(last_ms, state.getCurrentWatermarkMs() + 1))
+
+
 def assemble_session(batches: DataFrame, late: str = "2 hours") -> DataFrame:
     """Uploads of one scan become one numbered track.
 
-    Stream: session, batch_no, is_last, ts, x, z (one row per frame).  Frames are numbered on
-    across uploads as they arrive; the row that closes the session carries ``complete``.  The
-    state is two counters, so a very long scan does not grow it.  Sessions that go silent for
-    ``late`` of event time are closed and their counters dropped.
+    Stream: session, batch_no, is_last, ts, x, z (one row per frame).  Frames are numbered on across uploads, inside a
+    micro-batch by (batch_no, ts, x, z); the row that closes the session carries ``complete``.  The state is a counter
+    and a time, so a very long scan does not grow it.  A session that is silent for ``late`` of event time is closed by
+    a row of its own without a frame, ``timed_out``, and its state is dropped; its next row opens a new session.
     """
-    schema = "session bigint, frame bigint, x double, z double, complete boolean"
+    schema = "session bigint, frame bigint, x double, z double, complete boolean, timed_out boolean"
 
     def number(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        count, seen = state.get if state.exists else (0, 0)
+        if state.hasTimedOut or (state.exists and _gone(state, seen)):
+            closing = {"session": [key[0]], "frame": [None], "x": [None], "z": [None], "complete": [False], "timed_out": [True]}
+            yield pd.DataFrame(closing).astype({"frame": "Int64", "x": float, "z": float})
+            count, seen = 0, 0
         if state.hasTimedOut:
             state.remove()
             return
-        (count,) = state.get if state.exists else (0,)
-        done = False
-        for pdf in chunks:
-            pdf = pdf.sort_values(["batch_no", "ts", "x", "z"], kind="stable")
-            last = pdf["is_last"].to_numpy()
-            frame = range(count, count + len(pdf))
-            count += len(pdf)
-            done = done or bool(last.any())
-            yield pd.DataFrame(
-                {"session": key[0], "frame": frame, "x": pdf["x"].to_numpy(), "z": pdf["z"].to_numpy(), "complete": last}
-            )
-        if done:
+        rows = _whole(chunks, ["batch_no", "ts", "x", "z"])
+        last = rows["is_last"].to_numpy()
+        yield pd.DataFrame(
+            {
+                "session": key[0],
+                "frame": range(count, count + len(rows)),
+                "x": rows["x"].to_numpy(),
+                "z": rows["z"].to_numpy(),
+                "complete": last,
+                "timed_out": False,
+            }
+        )
+        if last.any():
             state.remove()
-        else:
-            state.update((count,))
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + 2 * 3600 * 1000)
+            return
+        seen = max(seen, int(rows["_ms"].max()))
+        state.update((count + len(rows), seen))
+        _time_out_after(state, seen)
 
     return (
-        batches.withWatermark("ts", late)
+        batches.withColumn("_ms", F.unix_millis("ts"))
+        .withWatermark("ts", late)
         .groupBy("session")
-        .applyInPandasWithState(number, schema, "count bigint", "append", GroupStateTimeout.EventTimeTimeout)
+        .applyInPandasWithState(number, schema, "count bigint, seen bigint", "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
-def recalibration_stream(rows: DataFrame) -> DataFrame:
-    """Stream twin of the recalibration gate: device, event_id, at, kind, t, inliers, tracking."""
+def recalibration_stream(rows: DataFrame, idle: str = "7 days") -> DataFrame:
+    """Stream twin of the recalibration gate: device, event_id, at (seconds), kind, t, inliers, tracking.
+
+    A device that is silent for ``idle`` of event time starts afresh, as rows later than that are dropped.
+    """
 
     def gate(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         import json
 
-        now = json.loads(state.get[0]) if state.exists else FRESH
-        data = pd.concat(list(chunks)).sort_values(["at", "event_id"], kind="stable")
-        made, now = run_gate(data, now)
-        state.update((json.dumps(now),))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        packed, seen = state.get if state.exists and not _gone(state, state.get[1]) else (None, 0)
+        data = _whole(chunks, ["at", "event_id"])
+        made, now = run_gate(data, json.loads(packed) if packed else FRESH)
+        seen = max(seen, int(data["at"].max() * 1000))
+        state.update((json.dumps(now), seen))
+        _time_out_after(state, seen)
         head = data[["event_id"]].copy()
         head.insert(0, "device", key[0])
         yield pd.concat([head, made], axis=1)
 
-    return rows.groupBy("device").applyInPandasWithState(
-        gate, f"device bigint, event_id bigint, {GATE_DDL}", "packed string", "append", GroupStateTimeout.NoTimeout
+    timed = rows.withColumn("_ts", F.timestamp_micros((F.col("at") * 1e6).cast("long"))).withWatermark("_ts", idle)
+    return timed.groupBy("device").applyInPandasWithState(
+        gate,
+        f"device bigint, event_id bigint, {GATE_DDL}",
+        "packed string, seen bigint",
+        "append",
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 
@@ -129,6 +165,36 @@ def latest_per_key(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_l")).select(key, "_l.*")
 
 
+def latest_until(rows: DataFrame, key: str, order: str, ts: str, ttl: str) -> DataFrame:
+    """(key, order, ts, alive) of each key's latest row by ``order``, as a stream in update mode.
+
+    A key whose latest ``ts`` the stream's time has passed by ``ttl`` leaves with a row that is not ``alive``, and its
+    state goes with it.  Rows later than ``ttl`` are dropped: they would be dead on arrival.
+    """
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in (key, order)}
+    schema = f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, `{ts}` timestamp, alive boolean"
+
+    def keep(name, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            best, seen = state.get
+            state.remove()
+            yield pd.DataFrame({key: [name[0]], order: [best], ts: [pd.Timestamp(seen, unit="us", tz="UTC")], "alive": [False]})
+            return
+        best, seen = state.get if state.exists and not _gone(state, state.get[1] // 1000) else (None, 0)
+        for chunk in chunks:
+            top = chunk.loc[chunk[order].idxmax()]
+            if best is None or top[order] > best:
+                best, seen = top[order].item(), int(top["_us"])
+        state.update((best, seen))
+        _time_out_after(state, seen // 1000)
+        yield pd.DataFrame({key: [name[0]], order: [best], ts: [pd.Timestamp(seen, unit="us", tz="UTC")], "alive": [True]})
+
+    timed = rows.select(key, order, ts, F.unix_micros(F.col(ts)).alias("_us")).withWatermark(ts, ttl)
+    return timed.groupBy(key).applyInPandasWithState(
+        keep, schema, f"best {kinds[order]}, seen bigint", "update", GroupStateTimeout.EventTimeTimeout
+    )
+
+
 def append_sightings(sightings: DataFrame, table: str, checkpoint: str, place):
     """Place each micro-batch of label readings with ``place(batch)`` and add the sightings."""
 
