@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aislewise.functions.lexicon import Lexicon
@@ -284,6 +284,22 @@ def promo_swap(chosen: DataFrame, catalogue: DataFrame, staple: Column, lex: Lex
     )
 
 
+def deal_slices(pool: DataFrame, key: str, slices: int, each: int, seed: int = 0) -> DataFrame:
+    """``pool`` shuffled by a seed and dealt in turn to ``slices``, at most ``each`` a slice: with ``slice`` and ``place``.
+
+    The order is that of a hash of seed and ``key``, so it can be repeated.  A slice that gets nothing, as the pool has
+    fewer rows than there are slices, shows the first ``each`` rows instead.  Only slices x each rows are numbered.
+    """
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+    first = pool.withColumn("_h", digest).orderBy("_h", key).limit(slices * each)
+    order = Window.orderBy("_h", key)
+    dealt = first.withColumn("_p", F.row_number().over(order) - 1).withColumn("_all", F.count(F.lit(1)).over(Window.partitionBy()))
+    own = dealt.withColumn("slice", F.col("_p") % slices).withColumn("place", F.floor(F.col("_p") / slices).cast("int"))
+    spare = dealt.filter((F.col("_all") < slices) & (F.col("_p") < each))
+    spare = spare.withColumn("slice", F.explode(F.sequence(F.col("_all").cast("int"), F.lit(slices - 1)))).withColumn("place", F.col("_p"))
+    return own.unionByName(spare).drop("_h", "_p", "_all")
+
+
 def compound_tails(head: Column, shortest: int = 6) -> Column:
     """The head word and every ending of it, without an inflection, that a product name could consist of."""
     stems = F.transform(

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from aislewise.functions.numeric import rounded
 from aislewise.functions.text import INFLECTIONS
 from aislewise.operators import basket as B
-from aislewise.operators.ordered import top_per_group
 from aislewise.plans.views import Registry, sql_round as r, view
 
 REGISTRY = Registry()
@@ -380,25 +379,30 @@ def promo_products(spark, sf):
     return view(spark, sf, "lineitem").filter("l_discount > 0").select(*order).orderBy(*order).limit(80)
 
 
-@add("promo_slices", """with p as (select product_id, ord, product_id % 3 as slice from {catalogue}
-        where promo_price is not null),
-     q as (select *, row_number() over (partition by slice order by ord) as rn from p)
-     select product_id, slice from q where rn <= 40""")
+SLICES_SQL = """pool as (select * from {catalogue} where promo_price is not null order by price - promo_price desc, ord limit 600),
+     p as (select *, row_number() over (order by md5('11:' || product_id), product_id) - 1 as p from pool),
+     q as (select *, cast(p % 7 as int) as slice, cast(p // 7 as int) as place from p where p < 7 * 40)"""
+
+
+def promo_pool(spark, sf):
+    """The promotions that save most, shuffled and dealt to seven themes."""
+    promos = view(spark, sf, "catalogue").filter("promo_price is not null")
+    pool = promos.orderBy((F.col("price") - F.col("promo_price")).desc(), "ord").limit(600)
+    return B.deal_slices(pool, "product_id", slices=7, each=40, seed=11)
+
+
+@add("promo_slices", f"with {SLICES_SQL} select product_id, slice, place from q")
 def promo_slices(spark, sf):
-    pool = view(spark, sf, "catalogue").filter("promo_price is not null")
-    dealt = pool.select("product_id", "ord", (F.col("product_id") % 3).alias("slice"))
-    return top_per_group(dealt, ["slice"], ["ord"], 40).select("product_id", "slice")
+    return promo_pool(spark, sf).select("product_id", "slice", "place")
 
 
-@add("theme_context_lines", """with p as (select product_id, ord, name, promo_price, subcategory, product_id % 3 as slice
-        from {catalogue} where promo_price is not null),
-     q as (select *, row_number() over (partition by slice order by ord) as rn from p)
+@add("theme_context_lines", f"""with {SLICES_SQL}
      select slice, string_agg('- ' || name || ': ' || cast(cast(round(promo_price) as bigint) as varchar) || ' kr'
             || case when subcategory > 0 then ' (offer ' || cast(subcategory as varchar) || ')' else '' end,
-            chr(10) order by ord) as context
-     from q where rn <= 40 group by slice""")
+            chr(10) order by place) as context
+     from q group by slice""")
 def theme_context_lines(spark, sf):
-    pool = view(spark, sf, "catalogue").filter("promo_price is not null").withColumn("slice", F.col("product_id") % 3)
+    pool = promo_pool(spark, sf)
     line = F.concat(
         F.lit("- "),
         "name",
@@ -408,6 +412,6 @@ def theme_context_lines(spark, sf):
         F.when(F.col("subcategory") > 0, F.concat(F.lit(" (offer "), F.col("subcategory").cast("string"), F.lit(")")))
         .otherwise(F.lit("")),
     )
-    top = top_per_group(pool, ["slice"], ["ord"], 40).select("slice", F.struct("ord", line.alias("line")).alias("e"))
+    top = pool.select("slice", F.struct("place", line.alias("line")).alias("e"))
     lines = F.transform(F.array_sort(F.collect_list("e")), lambda e: e["line"])
     return top.groupBy("slice").agg(F.array_join(lines, "\n").alias("context"))

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import functions as F
@@ -49,3 +50,19 @@ def test_calibration_golden_points(spark):
     u, v = P.affine_apply("m", F.lit(5.0), F.lit(4.0))
     x, z = P.affine_apply("i", F.lit(350.0), F.lit(300.0))
     assert [round(c, 9) for c in df.select(u, v, x, z).first()] == [350.0, 300.0, 5.0, 4.0]
+
+
+def test_dealt_slices(spark):
+    from aislewise.operators.basket import deal_slices
+
+    def order(ids, seed):
+        return sorted(ids, key=lambda i: (hashlib.md5(f"{seed}:{i}".encode()).hexdigest(), i))
+
+    for n, slices, each in ((100, 7, 5), (100, 3, 40), (3, 5, 2), (1, 4, 9), (0, 3, 2)):
+        pool = spark.createDataFrame([(i,) for i in range(n)], "p long").repartition(3)
+        got = {}
+        for r in deal_slices(pool, "p", slices, each, seed=4).collect():
+            got.setdefault(r["slice"], []).append((r["place"], r["p"]))
+        shuffled = order(range(n), 4)
+        want = {k: (shuffled[k::slices] or shuffled)[:each] for k in range(slices)}
+        assert {k: [p for _, p in sorted(v)] for k, v in got.items()} == {k: v for k, v in want.items() if v}
