@@ -257,23 +257,34 @@ def promo_swap(chosen: DataFrame, catalogue: DataFrame, staple: Column, lex: Lex
     own = catalogue.select(
         "product_id", name.alias("_own_name"), current_saving(F.col("price"), F.col("promo_price")).alias("own_saving")
     )
-    ask = ["product_id", "category", "ingredient", "diet", "organic"]
-    asks = chosen.select(*ask).distinct().join(own, "product_id", "left").withColumn("_head", head_word(F.col("ingredient")))
-    free = F.coalesce(staple & (head_word_score(F.col("_own_name"), F.col("_head")) >= 2), F.lit(False))
-    words = F.array_union(compound_tails(F.col("_head")), F.when(free, F.array(F.lit(ANY_WORD))).otherwise(F.array().cast("array<string>")))
-    asks = asks.withColumn("_free", free).withColumn("_word", F.explode(words))
-    met = asks.join(lists, (asks["category"] == lists["_cat"]) & (asks["_word"] == lists["_word"]))
+    # All but the product itself and its own name is alike for many lines: gates are judged once per kind of ask.
+    lines = chosen.join(own, "product_id", "left")
+    heads = lines.select(
+        F.col("category").alias("_c"), F.col("ingredient").alias("_i"), F.col("_own_name").alias("_o")
+    ).distinct()
+    heads = heads.withColumn("_head", head_word(F.col("_i")))
+    heads = heads.withColumn("_named", head_word_score(F.col("_o"), F.col("_head")) >= 2)
+    same = F.col("category").eqNullSafe(F.col("_c")) & F.col("ingredient").eqNullSafe(F.col("_i"))
+    asks = lines.join(heads, same & F.col("_own_name").eqNullSafe(F.col("_o")))
+    asks = asks.withColumn("_free", F.coalesce(staple & F.col("_named"), F.lit(False))).drop("_c", "_i", "_o", "_named")
+    ask = ["category", "ingredient", "diet", "organic", "_free"]
+    keyed = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_k_{c}") for c in ask]
+    kinds = asks.select(*ask, "_head", *keyed).distinct()
+    every = F.when(F.col("_free"), F.array(F.lit(ANY_WORD))).otherwise(F.array().cast("array<string>"))
+    kinds = kinds.withColumn("_word", F.explode(F.array_union(compound_tails(F.col("_head")), every)))
+    met = kinds.join(lists, (kinds["category"] == lists["_cat"]) & (kinds["_word"] == lists["_word"]))
     allowed = (
-        (F.col("swap_id") != F.col("product_id"))
-        & valid_candidate(F.col("_name"), F.col("category"), F.col("_department"), F.col("diet"), F.col("ingredient"), lex)
+        valid_candidate(F.col("_name"), F.col("category"), F.col("_department"), F.col("diet"), F.col("ingredient"), lex)
         & (~F.coalesce("organic", F.lit(False)) | F.col("_organic"))
         & (F.col("_free") | (head_word_score(F.col("_name"), F.col("_head")) >= 2))
     )
-    keyed = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_k_{c}") for c in ask]
-    best = met.filter(allowed).groupBy(*keyed).agg(F.max(F.struct("saving", "neg_ord", "swap_id")).alias("_offer"))
-    joined = chosen.select("*", *keyed).join(best, [f"_k_{c}" for c in ask], "left").join(
-        own.drop("_own_name"), "product_id", "left"
-    )
+    keys = [f"_k_{c}" for c in ask]
+    offers = met.filter(allowed).select(*keys, "saving", "neg_ord", "swap_id").distinct()
+    # Two a kind, as the product itself never counts.
+    offers = top_per_group(offers, keys, [F.desc("saving"), F.desc("neg_ord"), F.desc("swap_id")], 2)
+    offers = offers.groupBy(*keys).agg(F.collect_list(F.struct("saving", "neg_ord", "swap_id")).alias("_two"))
+    others = F.filter("_two", lambda o: o["swap_id"] != F.col("product_id"))
+    joined = asks.select("*", *keyed).join(offers, keys, "left").withColumn("_offer", F.array_max(others))
     kept = F.coalesce("own_saving", F.lit(0.0))
     better = F.coalesce(F.col("_offer.saving") > kept, F.lit(False))
     return joined.select(
