@@ -286,7 +286,8 @@ def coverage_loops_gaps(
 
     Fine cells (diagonal = ``loop_within``) carry only their first position; a frame is a
     return when its own cell was entered early enough, or a surrounding cell holds an early
-    enough frame within reach.
+    enough frame within reach.  Only surrounding cells in reach of the frame are asked, and no
+    side is broadcast: the planner takes an exploded table for as small as its source.
     """
     seq = Sequence(track, [key], [order]).index("_n")
     seq.lag(_px=F.col("x"), _pz=F.col("z"))
@@ -301,18 +302,25 @@ def coverage_loops_gaps(
         F.count_if(F.col("_jump") > gap).alias("gaps"),
     )
     first = rows.groupBy(key, "_i", "_j").agg(F.min("_n").alias("_first"))
-    marked = rows.select(key, "_n", "x", "z", "_i", "_j").join(first, [key, "_i", "_j"])
+    marked = rows.select(key, "_n", "x", "z", "_i", "_j").join(first.hint("merge"), [key, "_i", "_j"])
     same = F.col("_n") - F.col("_first") >= loop_apart
     around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"))
                        for a in range(-2, 3) for b in range(-2, 3) if (a, b) != (0, 0)])
-    asks = marked.filter(~same).select(key, "_n", "x", "z", "_i", "_j", F.explode(around).alias("_d"))
+
+    def beyond(value: Column, cell_no: Column) -> Column:
+        return F.greatest(cell_no * side - value, value - (cell_no + 1) * side, F.lit(0.0))
+
+    asks = (
+        marked.filter(~same)
+        .select(key, "_n", "x", "z", "_i", "_j", F.explode(around).alias("_d"))
+        .select(key, "_n", "x", "z", (F.col("_i") + F.col("_d.a")).alias("_i"), (F.col("_j") + F.col("_d.b")).alias("_j"))
+        .filter(planar(beyond(F.col("x"), F.col("_i")), beyond(F.col("z"), F.col("_j"))) < 1.001 * loop_within)
+    )
     other = rows.select(
         key, F.col("_n").alias("_m"), F.col("x").alias("_ox"), F.col("z").alias("_oz"), "_i", "_j"
     )
     found = (
-        asks.withColumn("_i", F.col("_i") + F.col("_d.a"))
-        .withColumn("_j", F.col("_j") + F.col("_d.b"))
-        .join(other, [key, "_i", "_j"])
+        asks.join(other.hint("merge"), [key, "_i", "_j"])
         .filter(
             (F.col("_n") - F.col("_m") >= loop_apart)
             & (planar(F.col("x") - F.col("_ox"), F.col("z") - F.col("_oz")) < loop_within)
@@ -323,6 +331,6 @@ def coverage_loops_gaps(
     returns = (
         marked.filter(same).select(key, "_n").unionByName(found).groupBy(key).agg(F.count(F.lit(1)).alias("returns"))
     )
-    return summary.join(returns, key, "left").select(
+    return summary.join(returns.hint("merge"), key, "left").select(
         key, "cells", "gaps", F.coalesce("returns", F.lit(0)).alias("returns")
     )
