@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from aislewise.operators.clusters import merge_nearby, spatial_cluster
 from aislewise.operators.quantiles import quantiles
 from aislewise.operators.seeds import greedy_seeds
+from aislewise.session import cut_lineage
 
 
 def vote_weight(confidence: Column) -> Column:
@@ -221,21 +222,28 @@ def delete_products(products: DataFrame, ids: DataFrame, key: str, aisle: str |
 def points_in_boxes(points: DataFrame, boxes: DataFrame, cell: float = 128.0) -> DataFrame:
     """Hits and median depth per label box of the same frame, with the frame's own median
     as fallback.  Boxes are spread over image cells, so frame and cell are the join key and
-    a crowded frame is split by area."""
-    valid = boxes.filter((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")))
+    a crowded frame is split by area.  Equal boxes of a frame are filled once and equal points met
+    once with their number; the hits are counted by depth once and stored.  No side is broadcast:
+    the planner takes the spread boxes for as small as their source."""
+    place = ["frame", "x1", "x2", "y1", "y2"]
+    valid = boxes.filter((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))).select(*place).distinct()
     spread = valid.withColumn(
         "_cu", F.explode(F.sequence(F.floor(F.col("x1") / cell), F.floor(F.col("x2") / cell)))
     ).withColumn("_cv", F.explode(F.sequence(F.floor(F.col("y1") / cell), F.floor(F.col("y2") / cell))))
-    spots = points.select(
-        "frame", "u", "v", "depth", F.floor(F.col("u") / cell).alias("_cu"), F.floor(F.col("v") / cell).alias("_cv")
+    spots = (
+        points.groupBy("frame", "u", "v", "depth")
+        .agg(F.count(F.lit(1)).alias("_w"))
+        .withColumn("_cu", F.floor(F.col("u") / cell))
+        .withColumn("_cv", F.floor(F.col("v") / cell))
     )
-    hits = spots.join(spread.select("box_id", "frame", "x1", "x2", "y1", "y2", "_cu", "_cv"), ["frame", "_cu", "_cv"]).filter(
+    hits = spots.join(spread.hint("merge"), ["frame", "_cu", "_cv"]).filter(
         F.col("u").between(F.col("x1"), F.col("x2")) & F.col("v").between(F.col("y1"), F.col("y2"))
     )
-    medians = quantiles(hits.select("box_id", "depth"), ["box_id"], "depth", {"mid": 0.5}, count_as="hits")
+    by_depth = cut_lineage(hits.groupBy(*place, "depth").agg(F.sum("_w").alias("_w")))
+    medians = quantiles(by_depth, place, "depth", {"mid": 0.5}, count_as="hits", weight="_w")
     frames = frame_median_depth(points)
     good = (F.col("hits") >= 3) & (F.col("mid") > 0.2) & (F.col("mid") < 10.0)
-    joined = boxes.join(medians, "box_id", "left").join(frames, "frame", "left")
+    joined = boxes.join(medians.hint("merge"), place, "left").join(frames, "frame", "left")
     return joined.select(
         "box_id",
         "frame",

@@ -15,14 +15,16 @@ def quantiles(
     wanted: dict[str, float],
     rows_per_slice: int = ROWS_PER_SLICE,
     count_as: str | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """One row per key with a column per wanted share (0..1), and the count of values if asked.
 
     Equal values are counted first and a running count finds the rows holding the two
-    ranks around each share, so a huge group is spread over slices of its values.
+    ranks around each share, so a huge group is spread over slices of its values.  A row stands
+    for as many values as ``weight`` says.
     """
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(
-        F.count(F.lit(1)).alias("_c")
+        (F.sum(weight) if weight else F.count(F.lit(1))).alias("_c")
     )
     sizes = counted.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     ranked = Sequence(counted, keys, ["_v"], rows_per_slice).running_sum(_upto=F.col("_c")).df

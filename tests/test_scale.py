@@ -21,3 +21,16 @@ def test_coverage_broadcasts_nothing(spark):
     out = T.coverage_loops_gaps(spark.createDataFrame(rows, "session long, frame long, x double, z double"), "session", "frame")
     assert "Broadcast" not in plan(out)
     assert sorted(tuple(r) for r in out.collect()) == [(0, 20, 2, 40), (1, 20, 2, 40)]
+
+
+def test_boxes_are_met_without_broadcast_and_equal_ones_once(spark, monkeypatch):
+    points = spark.createDataFrame([(0, 10.0 * i, 5.0, 0.1 * i) for i in range(40)] * 2, "frame int, u double, v double, depth double")
+    boxes = spark.createDataFrame(
+        [(b, 0, 0.0, 300.0, 0.0, 9.0) for b in range(5)] + [(9, 1, 0.0, 300.0, 0.0, 9.0)],
+        "box_id long, frame int, x1 double, x2 double, y1 double, y2 double",
+    )
+    met, keep = [], U.cut_lineage
+    monkeypatch.setattr(U, "cut_lineage", lambda df: met.append(df) or keep(df))
+    got = sorted((r["box_id"], r["hits"], r["from_box"], round(r["depth"], 6)) for r in U.points_in_boxes(points, boxes).collect())
+    assert got == [(b, 62, True, 1.5) for b in range(5)] + [(9, 0, False, 1.5)]
+    assert "Broadcast" not in plan(met[0]) and met[0].count() == 31
