@@ -1,8 +1,9 @@
 """Greedy seeds as rounds of independent sets over small cells.
 
 In order of arrival, a row within the radius of an earlier seed belongs to the first of them, any other row is a
-seed.  Cells are as wide as the radius, so they hold a few seeds at most, and rows meet those of 3 x 3 (x 3) cells.
-In a round, the first open row of every cell asks whether an earlier open row lies within the radius; where none
+seed.  Cells are twice as wide as the radius, so they hold a few seeds at most; a seed goes to the cells its square (cube)
+touches, 4 (8) of them, and each row meets the seeds of its own cell.  In a round, the first open row of every quarter
+(eighth) of a cell asks whether an earlier open row lies within the radius; where none
 does, it is a seed and closes the rows around it.  All rows of a cell meet one short list, so no group of rows is
 gathered and a crowded cell may be split over tasks.  A few rounds close nearly all rows of a crowded map.
 
@@ -55,7 +56,7 @@ def greedy_seeds(
     non-finite coordinate is its own seed and nobody else's.
     """
     dims = len(axes)
-    side = 1.001 * radius
+    side = 2.002 * radius
     cells = [f"_c{i}" for i in range(dims)]
     place = F.struct(F.col(order).alias("o"), *[F.col(a).cast("double").alias(f"p{i}") for i, a in enumerate(axes)])
     finite = F.lit(True)
@@ -72,8 +73,13 @@ def greedy_seeds(
                    (a["p0"] - b["p0"]) * (a["p0"] - b["p0"])) < radius * radius
 
     def around(few: DataFrame) -> DataFrame:
-        """Per cell the list of ``few`` (a few per cell at most) in it and around it."""
-        return _shifted(few.select(*by_cell, "_p"), cells).groupBy(*by_cell).agg(F.collect_list("_p").alias("_near"))
+        """Per cell the list of ``few`` (a few per cell at most) within the radius of it.  Never broadcast: the
+        planner takes the copies for as small as their source."""
+        out = few.select(*keys, "_p")
+        for i, c in enumerate(cells):
+            low, high = (F.floor((F.col(f"_p.p{i}") + d * 1.001 * radius) / side).cast("long") for d in (-1, 1))
+            out = out.withColumn(c, F.explode(F.sequence(low, high)))
+        return out.groupBy(*by_cell).agg(F.collect_list("_p").alias("_near")).hint("merge")
 
     def uncovered(left: DataFrame, seeds: DataFrame) -> DataFrame:
         met = left.join(around(seeds), by_cell, "left")
@@ -81,11 +87,12 @@ def greedy_seeds(
         return met.filter(~F.coalesce(covered, F.lit(False))).drop("_near")
 
     def cell_round(left: DataFrame) -> tuple[DataFrame, DataFrame]:
-        first = cut_lineage(left.groupBy(*by_cell).agg(F.min("_p").alias("_p")))
+        parts = [F.floor(F.col(f"_p.p{i}") / (side / 2)) for i in range(dims)]
+        first = cut_lineage(left.groupBy(*by_cell, *parts).agg(F.min("_p").alias("_p")).select(*by_cell, "_p"))
         held = left.join(around(first), by_cell).select(
             *keys, F.explode(F.filter("_near", lambda c: within(c, F.col("_p")) & (F.col("_p") < c))).alias("_p")
         )
-        seeds = cut_lineage(first.join(held.distinct(), [*keys, "_p"], "left_anti"))
+        seeds = cut_lineage(first.join(held.distinct().hint("merge"), [*keys, "_p"], "left_anti"))
         return uncovered(left, seeds), seeds
 
     def in_order(left: DataFrame, tiles: list[str]) -> tuple[DataFrame, DataFrame]:

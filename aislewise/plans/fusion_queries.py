@@ -139,7 +139,7 @@ def multi_view_points(spark, sf):
     points = view(spark, sf, "point").select("map_id", F.col("point_id").alias("ord"), "x", "y", "z", "frame")
     seeds = greedy_seeds(points, ["map_id"], "ord", 0.05, ("x", "y", "z"))
     return (
-        points.join(seeds.select("map_id", "ord", "seed"), ["map_id", "ord"])
+        points.join(seeds.select("map_id", "ord", "seed").hint("merge"), ["map_id", "ord"])
         .groupBy("map_id", "seed")
         .agg(F.count(F.lit(1)).alias("n_seen"), F.min_by(F.struct("x", "y", "z"), "ord").alias("_p"))
         .filter("n_seen >= 2")

@@ -34,3 +34,10 @@ def test_boxes_are_met_without_broadcast_and_equal_ones_once(spark, monkeypatch)
     got = sorted((r["box_id"], r["hits"], r["from_box"], round(r["depth"], 6)) for r in U.points_in_boxes(points, boxes).collect())
     assert got == [(b, 62, True, 1.5) for b in range(5)] + [(9, 0, False, 1.5)]
     assert "Broadcast" not in plan(met[0]) and met[0].count() == 31
+
+
+def test_seeds_broadcast_nothing(spark):
+    rows = spark.createDataFrame([("a", i, 0.1 * i, 0.0, 0.0) for i in range(30)], "m string, ord long, x double, y double, z double")
+    out = greedy_seeds(rows, ["m"], radius=0.25, axes=("x", "y", "z"))
+    assert "Broadcast" not in plan(out)
+    assert {r["ord"]: r["seed"] for r in out.collect()} == {i: i // 3 * 3 for i in range(30)}
