@@ -31,7 +31,9 @@ def radius_pairs(
     keys: tuple[str, ...] = (),
 ) -> DataFrame:
     """Pairs of rows of the same ``keys`` closer than ``radius`` in the plane; ``left`` is the side copied
-    to the nine surrounding cells.  Other column names of both sides must differ."""
+    to the nine surrounding cells.  Other column names of both sides must differ.
+
+    No side is broadcast: the planner takes the ninefold side for as small as its source."""
     probes = (
         left.withColumn("_d", F.explode(_around()))
         .withColumn("_ci", cell_of(F.col(a[0]), radius) + F.col("_d.a"))
@@ -41,7 +43,7 @@ def radius_pairs(
     targets = right.withColumn("_ci", cell_of(F.col(b[0]), radius)).withColumn("_cj", cell_of(F.col(b[1]), radius))
     distance = planar(F.col(b[0]) - F.col(a[0]), F.col(b[1]) - F.col(a[1]))
     near = distance < radius if strict else distance <= radius
-    return probes.join(targets, [*keys, "_ci", "_cj"]).withColumn("distance", distance).filter(near).drop("_ci", "_cj")
+    return probes.join(targets.hint("merge"), [*keys, "_ci", "_cj"]).withColumn("distance", distance).filter(near).drop("_ci", "_cj")
 
 
 def visible_products(
@@ -53,10 +55,11 @@ def visible_products(
     cx: float = 960.0,
     cy: float = 540.0,
     keys: tuple[str, ...] = (),
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Products of the camera's map (``keys``) in front of it that land inside 2..98 % of the picture.
 
-    Cameras: camera_id, cam_x, cam_y, cam_z, rot_y.  Products: product_id, x, y, z, share.
+    Cameras: camera_id, cam_x, cam_y, cam_z, rot_y.  Products: product_id, x, y, z, share, and any columns to ``carry``.
     """
     pairs = radius_pairs(products, cameras, reach, ("x", "z"), ("cam_x", "cam_z"), keys=keys)
     dx, dy, dz = F.col("x") - F.col("cam_x"), F.col("y") - F.col("cam_y"), F.col("z") - F.col("cam_z")
@@ -71,7 +74,7 @@ def visible_products(
         .withColumn("down", down)
         .filter(F.col("across").between(2, 98) & F.col("down").between(2, 98))
         .withColumn("class", shown)
-        .select(*keys, "camera_id", "product_id", "across", "down", "class")
+        .select(*keys, "camera_id", "product_id", "across", "down", "class", *carry)
     )
 
 

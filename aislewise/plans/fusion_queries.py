@@ -324,11 +324,17 @@ def visible_products(spark, sf):
         (F.col("p_partkey") % 100).cast("double").alias("z"),
         ((F.col("p_partkey") % 10).cast("double") / 10).alias("share"),
     )
-    seen = N.visible_products(cameras, products, keys=("map_id",))
+    # Products that stand at one place with one share are looked at together and counted by their number.
+    places = products.groupBy("map_id", "x", "y", "z", "share").agg(
+        F.min("product_id").alias("product_id"), F.count(F.lit(1)).alias("n")
+    )
+    seen = N.visible_products(cameras, places, keys=("map_id",), carry=("n",))
+
+    def counted(kind):
+        return F.coalesce(F.sum(F.when(F.col("class") == kind, F.col("n"))), F.lit(0))
+
     return seen.groupBy(F.col("camera_id").alias("frame")).agg(
-        F.count(F.lit(1)).alias("shown"),
-        F.count_if(F.col("class") == "high").alias("high"),
-        F.count_if(F.col("class") == "med").alias("med"),
+        F.sum("n").alias("shown"), counted("high").alias("high"), counted("med").alias("med")
     )
 
 

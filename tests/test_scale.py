@@ -41,3 +41,14 @@ def test_seeds_broadcast_nothing(spark):
     out = greedy_seeds(rows, ["m"], radius=0.25, axes=("x", "y", "z"))
     assert "Broadcast" not in plan(out)
     assert {r["ord"]: r["seed"] for r in out.collect()} == {i: i // 3 * 3 for i in range(30)}
+
+
+def test_visible_products_broadcast_nothing(spark):
+    cameras = spark.createDataFrame([(1, 7, 0.0, 1.2, 0.0, 0.0)], "m int, camera_id long, cam_x double, cam_y double, cam_z double, rot_y double")
+    products = spark.range(4).select(
+        F.lit(1).alias("m"), F.col("id").alias("product_id"), F.lit(0.0).alias("x"), F.lit(1.2).alias("y"),
+        (F.col("id") * 2.0).alias("z"), F.lit(0.5).alias("share"), F.lit(3).alias("n"),
+    )
+    out = N.visible_products(cameras, products, keys=("m",), carry=("n",))
+    assert "Broadcast" not in plan(out)
+    assert sorted((r["product_id"], r["n"]) for r in out.collect()) == [(1, 3), (2, 3), (3, 3)]
