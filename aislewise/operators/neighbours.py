@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from aislewise.functions.numeric import planar
 from aislewise.operators.ordered import top_per_group
-from aislewise.session import cut_lineage
+from aislewise.session import cut_lineage, written
 
 
 def _around(reach: int = 1) -> Column:
@@ -85,57 +85,64 @@ def idw_lift(
     the frame, for keypoints whose nearest one is closer than ``radius`` pixels.
 
     Keypoints: kp_id, frame, u, v.  Points: point_id, frame, u, v, x, y, z.
-    The first pass looks at the nine cells around each keypoint.  A keypoint whose k-th
-    neighbour is not proven by that area goes on to cells ``growth`` times larger; the last
-    pass covers the whole frame, so the result is exact.
+    Of points at one pixel only the first ``k`` can count, and keypoints at one pixel are lifted
+    once.  The first pass looks at the nine cells around each keypoint, cells that hold about
+    ``k / 2`` points in a frame of even density, so a crowded frame meets no more points per keypoint
+    than an empty one.  A keypoint whose k-th neighbour is not proven by that area goes on to cells
+    ``growth`` times larger; the last pass covers the whole frame, so the result is exact.
     """
-    sizes = points.groupBy("frame").agg(F.count(F.lit(1)).alias("_total"))
-    open_rows = keypoints.select("kp_id", "frame", "u", "v").join(sizes, "frame")
-    cell, done, first = float(radius), [], True
+    pixel = ["frame", "u", "v"]
+    spots = top_per_group(points.select("point_id", *pixel, "x", "y", "z"), pixel, ["point_id"], k)
+    spots = written(spots.withColumnsRenamed({"u": "_pu", "v": "_pv"}), "idw-points")
+    frames = cut_lineage(_first_cells(spots, radius, k))
+    targets = spots.join(frames.select("frame", "_cell"), "frame")
+    open_rows = cut_lineage(keypoints.select(*pixel).distinct().join(frames, "frame"))
+    scale, done = 1.0, []
     while True:
+        cell = F.col("_cell") * scale
         probes = (
             open_rows.withColumn("_d", F.explode(_around()))
-            .withColumn("_ci", cell_of(F.col("u"), cell) + F.col("_d.a"))
-            .withColumn("_cj", cell_of(F.col("v"), cell) + F.col("_d.b"))
-            .drop("_d")
+            .withColumn("_ci", F.floor(F.col("u") / cell) + F.col("_d.a"))
+            .withColumn("_cj", F.floor(F.col("v") / cell) + F.col("_d.b"))
+            .select(*pixel, "_ci", "_cj")
         )
-        targets = points.select(
-            "frame",
-            "point_id",
-            F.col("u").alias("_pu"),
-            F.col("v").alias("_pv"),
-            "x",
-            "y",
-            "z",
-            cell_of(F.col("u"), cell).alias("_ci"),
-            cell_of(F.col("v"), cell).alias("_cj"),
-        )
-        pairs = probes.join(targets, ["frame", "_ci", "_cj"]).withColumn(
+        placed = targets.withColumn("_ci", F.floor(F.col("_pu") / cell)).withColumn("_cj", F.floor(F.col("_pv") / cell))
+        pairs = probes.join(placed.drop("_cell").hint("merge"), ["frame", "_ci", "_cj"]).withColumn(
             "_dist", planar(F.col("_pu") - F.col("u"), F.col("_pv") - F.col("v"))
         )
-        looked = pairs.groupBy("kp_id").agg(F.count(F.lit(1)).alias("_looked"))
-        near = top_per_group(pairs, ["kp_id"], ["_dist", "point_id"], k)
+        looked = pairs.groupBy(*pixel).agg(F.count(F.lit(1)).alias("_looked"))
+        near = top_per_group(pairs, pixel, ["_dist", "point_id"], k)
         weight = 1.0 / (F.col("_dist") + 1e-6)
-        lifted = near.groupBy("kp_id").agg(
+        lifted = near.groupBy(*pixel).agg(
             F.min("_dist").alias("nearest"),
             F.max("_dist").alias("_far"),
             F.count(F.lit(1)).alias("_k"),
             *[(F.sum(weight * F.col(a)) / F.sum(weight)).alias(a) for a in "xyz"],
         )
-        rows = open_rows.join(lifted, "kp_id").join(looked, "kp_id")
-        if first:
-            rows = rows.filter(F.col("nearest") < radius)
-            first = False
+        rows = open_rows.join(lifted.hint("merge"), pixel, "left").join(looked.hint("merge"), pixel, "left")
         proven = ((F.col("_k") == k) & (F.col("_far") <= cell)) | (F.col("_looked") == F.col("_total"))
-        rows = cut_lineage(rows.withColumn("_proven", proven))
-        done.append(rows.filter("_proven").select("kp_id", "nearest", "x", "y", "z"))
-        open_rows = rows.filter("not _proven").select("kp_id", "frame", "u", "v", "_total")
+        empty = (cell >= radius) & ~F.coalesce(F.col("nearest") < radius, F.lit(False))
+        rows = cut_lineage(rows.withColumn("_proven", F.coalesce(proven, F.lit(False))).filter(~empty))
+        done.append(rows.filter(F.col("_proven") & (F.col("nearest") < radius)).select(*pixel, "nearest", "x", "y", "z"))
+        open_rows = rows.filter("not _proven").select(*pixel, "_total", "_cell")
         if open_rows.isEmpty():
             break
-        cell *= growth
-        if not math.isfinite(cell):
+        scale *= growth
+        if not math.isfinite(radius * scale):
             raise RuntimeError("pixel coordinates out of range")
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
-    return out
+    return keypoints.select("kp_id", *pixel).join(out.hint("merge"), pixel).select("kp_id", "nearest", "x", "y", "z")
+
+
+def _first_cells(spots: DataFrame, radius: float, k: int) -> DataFrame:
+    """(frame, _total, _cell): a side on which the inner nine tenths of a frame's points would hold k / 2 a cell,
+    halved from ``radius`` at most eight times."""
+    ends = [F.percentile_approx(f"_p{a}", [0.05, 0.95], 1000).alias(f"_{a}") for a in "uv"]
+    frames = spots.groupBy("frame").agg(F.count(F.lit(1)).alias("_total"), *ends)
+    sides = [F.greatest(F.col(f"_{a}")[1] - F.col(f"_{a}")[0], F.lit(radius / 256)) for a in "uv"]
+    side = F.sqrt(sides[0] * sides[1] * (k / 2) / F.col("_total"))
+    halvings = F.least(F.greatest(F.ceil(F.log2(radius / side)), F.lit(0)), F.lit(8))
+    cell = F.coalesce(radius / F.pow(F.lit(2.0), halvings), F.lit(float(radius)))
+    return frames.select("frame", "_total", cell.alias("_cell"))

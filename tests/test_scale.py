@@ -52,3 +52,25 @@ def test_visible_products_broadcast_nothing(spark):
     out = N.visible_products(cameras, products, keys=("m",), carry=("n",))
     assert "Broadcast" not in plan(out)
     assert sorted((r["product_id"], r["n"]) for r in out.collect()) == [(1, 3), (2, 3), (3, 3)]
+
+
+def test_keypoints_of_a_crowded_frame(spark):
+    """Points at one pixel, crowded and lonely frames, against all pairs."""
+    rnd = random.Random(5)
+    rows = [(0, float(rnd.randrange(40)), float(rnd.randrange(40))) for _ in range(900)]
+    rows += [(1, 10.0 * i, 0.0) for i in range(6)] + [(2, 5.0, 5.0)] * 9 + [(3, 900.0, 900.0), (4, 3.0, 29.0), (4, 5000.0, 1.0)]
+    points = spark.createDataFrame(
+        [(i, *r, float(i), float(i % 7), 1.0) for i, r in enumerate(rows)],
+        "point_id long, frame int, u double, v double, x double, y double, z double",
+    )
+    kps = [(i, f, u, v) for i, (f, u, v) in enumerate((f, u, v) for f in range(5) for u, v in ((0.0, 0.0), (20.5, 20.0), (55.0, 3.0), (0.0, 0.0)))]
+    keypoints = spark.createDataFrame(kps, "kp_id long, frame int, u double, v double")
+    got = {r["kp_id"]: tuple(round(r[c], 6) for c in ("nearest", "x", "y", "z")) for r in N.idw_lift(keypoints, points).collect()}
+    want = {}
+    for kp, f, u, v in kps:
+        mine = sorted((((u - r[1]) ** 2 + (v - r[2]) ** 2) ** 0.5, i) for i, r in enumerate(rows) if r[0] == f)[:4]
+        if mine and mine[0][0] < 30:
+            w = [1 / (d + 1e-6) for d, _ in mine]
+            want[kp] = tuple(round(n, 6) for n in (mine[0][0], *(sum(a * b for a, b in zip(w, c)) / sum(w) for c in
+                             ([float(i) for _, i in mine], [float(i % 7) for _, i in mine], [1.0] * len(mine)))))
+    assert got == want and len(want) > 8
