@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aislewise.operators.ordered import Sequence
+from aislewise.operators.ordered import Sequence, top_per_group
+from aislewise.session import cut_lineage
 
 FINISHED = ("klar", "pausad")
 
@@ -91,16 +92,85 @@ def overlap_pairs(
     )
 
 
-def replace_overlapped(sessions: DataFrame, margin: float = 2.0, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Sessions left after every session has replaced the older ones of its store that it overlaps."""
-    when = sessions.select("session_id", F.struct("started", "session_id").alias("_at"))
-    pairs = (
-        overlap_pairs(sessions, margin, keys=keys)
-        .join(when.withColumnRenamed("_at", "_new"), "session_id")
-        .join(when.select(F.col("session_id").alias("other_id"), F.col("_at").alias("_old")), "other_id")
-        .filter(F.col("_new") > F.col("_old"))
+NEWEST = 32  # boxes on a cell's list
+CELLS_PER_BOX = 16  # beyond which cells are not cut any finer
+
+
+def replace_overlapped(
+    sessions: DataFrame, margin: float = 2.0, keys: tuple[str, ...] = (), cell: float = 32.0, newest: int = NEWEST
+) -> DataFrame:
+    """Sessions left after every session has replaced the older ones of its store that it overlaps.
+
+    No pairs are listed.  A box meets the ``newest`` boxes of each of its cells: one that a newer one touches is
+    replaced, one older than nothing left off the lists stays.  The rest goes on to cells a quarter as wide, as long as
+    boxes are small enough for those, and at last looks for any newer box of its cells that touches it.
+    """
+    box = cut_lineage(
+        sessions.select(
+            *keys,
+            "session_id",
+            F.struct("started", "session_id").alias("at"),
+            F.least("start_x", "end_x").alias("x0"),
+            F.greatest("start_x", "end_x").alias("x1"),
+            F.least("start_z", "end_z").alias("z0"),
+            F.greatest("start_z", "end_z").alias("z1"),
+        )
     )
-    return sessions.join(pairs.select(F.col("other_id").alias("session_id")), "session_id", "left_anti")
+    by_cell = [*keys, "_cx", "_cz"]
+
+    def spans(side: float, grow: float) -> list[tuple[str, Column, Column]]:
+        return [
+            (c, F.floor((F.col(f"{a}0") - grow) / side), F.floor((F.col(f"{a}1") + grow) / side))
+            for c, a in (("_cx", "x"), ("_cz", "z"))
+        ]
+
+    def cells(df: DataFrame, side: float, grow: float) -> DataFrame:
+        for c, low, high in spans(side, grow):
+            df = df.withColumn(c, F.explode(F.sequence(low, high)))
+        return df
+
+    def fine_enough(side: float) -> bool:
+        area = F.lit(1.0)
+        for _, low, high in spans(side, margin):
+            area = area * (high - low + 1)
+        return (box.agg(F.avg(area)).first()[0] or 0.0) <= CELLS_PER_BOX
+
+    def replaces(new, old) -> Column:
+        """Whether ``new`` is newer and touches ``old``; both give a column by its name."""
+        return (
+            (new("at") > old("at"))
+            & (new("x0") - margin < old("x1"))
+            & (new("x1") + margin > old("x0"))
+            & (new("z0") - margin < old("z1"))
+            & (new("z1") + margin > old("z0"))
+        )
+
+    fields = ["at", "x0", "x1", "z0", "z1"]
+    left, gone, side = box, [], cell
+    while True:
+        few = top_per_group(cells(box, side, margin).select(*by_cell, *fields), by_cell, [F.desc("at")], newest)
+        lists = few.groupBy(*by_cell).agg(F.collect_list(F.struct(*fields)).alias("_new"))
+        met = cells(left, side, 0.0).join(lists.hint("merge"), by_cell)
+        hit = F.exists("_new", lambda n: replaces(lambda c: n[c], F.col))
+        seen = (F.size("_new") < newest) | (F.array_min(F.transform("_new", lambda n: n["at"])) <= F.col("at"))
+        told = cut_lineage(met.groupBy("session_id").agg(F.bool_or(hit).alias("hit"), F.bool_and(seen).alias("seen")))
+        gone.append(told.filter("hit").select("session_id"))
+        open_ids = told.filter(F.coalesce(~F.col("hit"), F.lit(True)) & ~F.coalesce("seen", F.lit(False)))
+        left = cut_lineage(left.join(open_ids.select("session_id").hint("merge"), "session_id", "left_semi"))
+        if left.isEmpty():
+            break
+        if not fine_enough(side / 4):
+            o, n = cells(left, side, 0.0).alias("o"), cells(box, side, margin).alias("n")
+            same = replaces(lambda c: F.col(f"n.{c}"), lambda c: F.col(f"o.{c}"))
+            for k in by_cell:
+                same = same & (F.col(f"n.{k}") == F.col(f"o.{k}"))
+            gone.append(o.join(n.hint("merge"), same, "left_semi").select("session_id"))
+            break
+        side /= 4
+    dead = gone[0]
+    for part in gone[1:]:
+        dead = dead.unionByName(part)
+    return sessions.join(dead.distinct().hint("merge"), "session_id", "left_anti")
 
 
 def needs_rebuild(sessions: DataFrame, builds: DataFrame, key: str) -> DataFrame:

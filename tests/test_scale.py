@@ -6,9 +6,13 @@ import random
 
 from pyspark.sql import functions as F
 
+from aislewise.operators import clusters as C
 from aislewise.operators import fusion as U
+from aislewise.operators import grid as G
 from aislewise.operators import neighbours as N
+from aislewise.operators import sessions as S
 from aislewise.operators import tracks as T
+from aislewise.operators import vectors as V
 from aislewise.operators.seeds import greedy_seeds
 
 
@@ -74,3 +78,20 @@ def test_keypoints_of_a_crowded_frame(spark):
             want[kp] = tuple(round(n, 6) for n in (mine[0][0], *(sum(a * b for a, b in zip(w, c)) / sum(w) for c in
                              ([float(i) for _, i in mine], [float(i % 7) for _, i in mine], [1.0] * len(mine)))))
     assert got == want and len(want) > 8
+
+
+def test_replaced_sessions_without_pairs(spark, monkeypatch):
+    """Wide boxes on top of each other and many small ones in one cell, against all pairs."""
+    rnd = random.Random(3)
+    rows = [(k % 2, k, rnd.randrange(40), x := rnd.uniform(0, 60), z := rnd.uniform(0, 60), x + rnd.choice((0.1, 0.5, 30)), z + 0.2)
+            for k in range(300)]
+    names = "store long, session_id long, started long, start_x double, start_z double, end_x double, end_z double"
+    monkeypatch.setattr(S, "overlap_pairs", None, raising=True)
+    for newest, margin in ((1, 0.3), (2, 2.0), (32, 0.3)):
+        out = S.replace_overlapped(spark.createDataFrame(rows, names), margin, keys=("store",), newest=newest)
+        want = [
+            o[1] for o in rows
+            if not any(a[0] == o[0] and (a[2], a[1]) > (o[2], o[1]) and a[3] - margin < o[5] and a[5] + margin > o[3]
+                       and a[4] - margin < o[6] and a[6] + margin > o[4] for a in rows)
+        ]
+        assert sorted(r["session_id"] for r in out.collect()) == want
