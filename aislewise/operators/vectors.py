@@ -2,7 +2,8 @@
 
 Queries and base are dealt into blocks by a hash of their ids; every pair of blocks meets in one task, which
 multiplies them piece by piece and lets only the best ``k`` of each query leave.  Nothing of either side
-passes through the driver, and a block's size is fixed, so tasks stay small however large the base is.
+passes through the driver, and a block's size is fixed, so tasks stay small however large the base is.  All pairs
+are scored, which is quadratic; beyond the product, a pair costs one comparison with its query's ``k``-th best so far.
 """
 
 from __future__ import annotations
@@ -16,9 +17,12 @@ from pyspark.sql import functions as F
 
 from aislewise.operators.ordered import top_per_group
 
-BLOCK = 2048  # vectors multiplied at once
+BLOCK = 2048  # queries multiplied at once
+PIECE = 512  # with so many of the base
 PER_TASK = 65_536  # vectors of each side that one task holds
 LEAST_QUERIES = 256  # per task, below which more tasks are not worth their copies of the base
+LEAST_BASE = 16_384  # per task, likewise
+TASKS_PER_CORE = 3
 
 
 def unit(vectors: pd.Series) -> np.ndarray:
@@ -27,23 +31,56 @@ def unit(vectors: pd.Series) -> np.ndarray:
     return m / np.where(norms == 0, 1.0, norms)
 
 
-def _best(q_ids, q, b_ids, b, k: int, skip_self: bool) -> pd.DataFrame:
-    """Best ``k`` of the block per query; ``b_ids`` must be ascending so ties keep the lowest id.
-
-    Scores are rounded far below any real difference, so equal vectors tie whatever block they are in.
-    """
-    scores = np.round(q @ b.T, 12)
-    if skip_self:
-        scores[np.asarray(q_ids)[:, None] == np.asarray(b_ids)[None, :]] = -np.inf
-    take = min(k, scores.shape[1])
-    edge = -np.partition(-scores, take - 1, axis=1)[:, take - 1]
-    rows = []
-    for i, line in enumerate(scores):
-        near = np.flatnonzero(line >= edge[i])
-        near = near[np.argsort(-line[near], kind="stable")][:take]
-        near = near[np.isfinite(line[near])]
-        rows.append(pd.DataFrame({"query_id": q_ids[i], "base_id": b_ids[near], "score": line[near]}))
-    return pd.concat(rows, ignore_index=True)
+DIGITS = 12  # scores are rounded far below any real difference, so equal vectors tie whatever block they are in
+
+
+class _Best:
+    """Best ``k`` of each of a block of queries over blocks of a base whose ids ascend, so ties keep the lowest id."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, k: int, skip_self: bool):
+        self.ids, self.rows, self.k, self.skip_self = ids, rows, k, skip_self
+        self.edge = np.full(len(ids), -np.inf)  # k-th best score so far, or less
+        self.kept = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        self.new: list[tuple] = []
+        self.waiting = 0
+
+    def meet(self, ids: np.ndarray, matrix: np.ndarray) -> None:
+        scores = self.rows @ matrix.T
+        if self.skip_self:
+            low, high = (np.searchsorted(ids, self.ids, side) for side in ("left", "right"))
+            for step in range(int((high - low).max(initial=0))):
+                own = np.flatnonzero(low + step < high)
+                scores[own, low[own] + step] = -np.inf
+        # A rounded score passes the edge where the score is half a unit beyond it; the rest is settled below.
+        edge = self.edge + 0.4 * 10.0**-DIGITS
+        some = np.flatnonzero(~(scores.max(axis=1) <= edge))  # true for NaN too
+        q, b = np.nonzero(scores[some] > edge[some, None])
+        q = some[q]
+        if len(q) > 4 * self.k * len(self.ids) and self.k < scores.shape[1]:
+            scores = np.nan_to_num(np.round(scores, DIGITS), nan=-np.inf, neginf=-np.inf)
+            least = -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1]
+            q, b = np.nonzero((scores >= least[:, None]) & (scores > self.edge[:, None]))
+        found = np.round(scores[q, b], DIGITS)
+        good = np.isfinite(found) & (found > self.edge[q])
+        self.new.append((q[good], ids[b[good]], found[good]))
+        self.waiting += int(good.sum())
+        if self.waiting > self.k * len(self.ids) // 2:
+            self.merge()
+
+    def merge(self) -> None:
+        q, ids, scores = (np.concatenate(c) for c in zip(self.kept, *self.new, strict=True))
+        order = np.lexsort((ids, -scores, q))
+        q, ids, scores = q[order], ids[order], scores[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q, "left")
+        first = rank < self.k
+        self.kept, self.new, self.waiting = (q[first], ids[first], scores[first]), [], 0
+        last = rank == self.k - 1
+        self.edge[q[last]] = scores[last]
+
+    def result(self) -> pd.DataFrame:
+        self.merge()
+        q, ids, scores = self.kept
+        return pd.DataFrame({"query_id": self.ids[q], "base_id": ids, "score": scores})
 
 
 _EMPTY = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "base_id": pd.Series(dtype="int64"),
@@ -65,7 +102,7 @@ def vector_topk(
     n_queries, n_base = queries.count(), base.count()
     cores = queries.sparkSession.sparkContext.defaultParallelism
     q_parts = max(1, -(-n_queries // per_task), min(cores, n_queries // LEAST_QUERIES))
-    b_parts = max(1, -(-n_base // per_task))
+    b_parts = max(1, -(-n_base // per_task), min(TASKS_PER_CORE, n_base // LEAST_BASE))
 
     def dealt(name: str, parts: int):
         return F.pmod(F.xxhash64(name), F.lit(parts)).cast("int")
@@ -73,8 +110,11 @@ def vector_topk(
     def every(parts: int):
         return F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
 
+    # Dealt to a number of partitions that is given: the planner would join pairs of blocks, light to move, to a few tasks.
+    tasks = 4 * q_parts * b_parts if q_parts * b_parts > 1 else 1
     left = queries.withColumn("_q", dealt("query_id", q_parts)).withColumn("_b", every(b_parts))
     right = base.withColumn("_b", dealt("base_id", b_parts)).withColumn("_q", every(q_parts))
+    left, right = left.repartition(tasks, "_q", "_b"), right.repartition(tasks, "_q", "_b")
 
     def search(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         if mine.empty or theirs.empty:
@@ -85,13 +125,11 @@ def vector_topk(
         for at in range(0, len(mine), block):
             part = mine.iloc[at : at + block]
             asked, rows = part["query_id"].to_numpy(), unit(part["vec"])
-            found = [
-                _best(asked, rows, ids[low : low + block], matrix[low : low + block], k, skip_self)
-                for low in range(0, len(ids), block)
-            ]
-            hits = pd.concat(found, ignore_index=True)
-            hits = hits.sort_values(["query_id", "score", "base_id"], ascending=[True, False, True])
-            out.append(hits.groupby("query_id", sort=False).head(k))
+            best = _Best(asked, rows, k, skip_self)
+            piece = min(block, PIECE)
+            for low in range(0, len(ids), piece):
+                best.meet(ids[low : low + piece], matrix[low : low + piece])
+            out.append(best.result())
         return pd.concat(out, ignore_index=True)
 
     hits = left.groupBy("_q", "_b").cogroup(right.groupBy("_q", "_b")).applyInPandas(search, _HITS)

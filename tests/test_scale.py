@@ -95,3 +95,22 @@ def test_replaced_sessions_without_pairs(spark, monkeypatch):
                        and a[4] - margin < o[6] and a[6] + margin > o[4] for a in rows)
         ]
         assert sorted(r["session_id"] for r in out.collect()) == want
+
+
+def test_best_vectors_make_no_table_a_query(monkeypatch):
+    """Ties keep the lowest ids, and a block of queries is one table."""
+    import numpy as np
+
+    made, frame = [], V.pd.DataFrame
+    monkeypatch.setattr(V.pd, "DataFrame", lambda *a, **b: made.append(1) or frame(*a, **b))
+    rng = np.random.default_rng(1)
+    x = V.unit(list(rng.integers(-2, 3, (600, 5)) + 0.001))
+    ids, scores = np.arange(600) * 3, np.round(x @ x.T, V.DIGITS)
+    np.fill_diagonal(scores, -np.inf)
+    for k in (1, 4, 40):
+        best = V._Best(ids, x, k, True)
+        for at in range(0, 600, 64):
+            best.meet(ids[at : at + 64], x[at : at + 64])
+        got = best.result()["base_id"].to_numpy().reshape(600, k)
+        assert (got == ids[np.argsort(-scores, axis=1, kind="stable")[:, :k]]).all()
+    assert len(made) == 3
