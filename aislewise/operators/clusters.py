@@ -5,6 +5,9 @@ The state between slices is one short record per cluster, never the members.
 
 from __future__ import annotations
 
+import math
+from itertools import product
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -77,21 +80,45 @@ def merge_nearby(
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Each row joins the first place of its key within ``tolerance`` and pulls it halfway;
-    otherwise it becomes a new place.  Returns the running place after every row."""
+    otherwise it becomes a new place.  Returns the running place after every row.
+
+    Places are found through cells as wide as the tolerance, so a row meets those around it only.
+    """
     columns = [*keys, order]
     limit = tolerance * tolerance
+    side = 1.001 * tolerance
+    around = list(product((-1, 0, 1), repeat=3))
+
+    def spot(place: list) -> tuple | None:
+        at = [c / side for c in place[:3]]
+        return tuple(map(math.floor, at)) if all(map(math.isfinite, at)) else None
 
     def step(data: pd.DataFrame, state: list) -> tuple[pd.DataFrame, list]:
         places = [list(p) for p in state]
+        grid: dict[tuple, set] = {}
+        for i, p in enumerate(places):
+            grid.setdefault(spot(p), set()).add(i)
         out = []
         for x, y, z in data[["x", "y", "z"]].itertuples(index=False):
-            for i, p in enumerate(places):
-                if (p[0] - x) ** 2 + (p[1] - y) ** 2 + (p[2] - z) ** 2 < limit:
-                    places[i] = [(p[0] + x) / 2, (p[1] + y) / 2, (p[2] + z) / 2, p[3] + 1]
-                    break
+            here, best = spot([x, y, z]), len(places)
+            for a, b, c in around if here is not None else ():
+                for i in grid.get((here[0] + a, here[1] + b, here[2] + c), ()):
+                    if i < best:
+                        p = places[i]
+                        if (p[0] - x) ** 2 + (p[1] - y) ** 2 + (p[2] - z) ** 2 < limit:
+                            best = i
+            i = best
+            if i < len(places):
+                p = places[i]
+                places[i] = [(p[0] + x) / 2, (p[1] + y) / 2, (p[2] + z) / 2, p[3] + 1]
+                there = spot(places[i])
+                was = spot(p)
+                if there != was:
+                    grid[was].discard(i)
+                    grid.setdefault(there, set()).add(i)
             else:
-                i = len(places)
                 places.append([float(x), float(y), float(z), 1])
+                grid.setdefault(here, set()).add(i)
             out.append((i, *places[i]))
         result = data[columns].copy()
         result[["place", "x", "y", "z", "seen"]] = pd.DataFrame(

@@ -114,3 +114,23 @@ def test_best_vectors_make_no_table_a_query(monkeypatch):
         got = best.result()["base_id"].to_numpy().reshape(600, k)
         assert (got == ids[np.argsort(-scores, axis=1, kind="stable")[:, :k]]).all()
     assert len(made) == 3
+
+
+def test_merged_places_look_around_only(spark):
+    """Against the first place within the tolerance, in a scan over all places."""
+    rnd = random.Random(6)
+    rows = [("a", i, rnd.uniform(0, 3), rnd.uniform(0, 1), rnd.uniform(-1, 1)) for i in range(800)] + [("a", 800, None, 0.0, 0.0)]
+    places, want = [], []
+    for _, n, x, y, z in rows[:-1]:
+        i = next((i for i, p in enumerate(places) if (p[0] - x) ** 2 + (p[1] - y) ** 2 + (p[2] - z) ** 2 < 0.4 * 0.4), len(places))
+        if i == len(places):
+            places.append((x, y, z, 1))
+        else:
+            p = places[i]
+            places[i] = ((p[0] + x) / 2, (p[1] + y) / 2, (p[2] + z) / 2, p[3] + 1)
+        want.append((n, i, *places[i]))
+    df = spark.createDataFrame(rows, "k string, ord long, x double, y double, z double")
+    for most in (2_000_000, 150):
+        got = C.merge_nearby(df, ["k"], rows_per_slice=most).orderBy("ord").collect()
+        assert [tuple(r)[1:] for r in got[:-1]] == want
+        assert got[-1]["place"] == len(places)
