@@ -469,42 +469,112 @@ def line_of_sight(pairs: DataFrame, walls: DataFrame, meta: DataFrame, key: str)
     return seen.select("pair_id", (F.col("_inside") & F.col("_blocked").isNull()).alias("visible"))
 
 
-def simplify_routes(routes: DataFrame, walls: DataFrame, key: str) -> DataFrame:
+LINE_CELLS = 1 << 18  # looked at together
+PAIRS = 4096  # of a route's cells, likewise
+GRID_CELLS = 1 << 25  # of a route's bounding box, up to which its walls are a dense grid
+
+
+def _wall_test(xs: np.ndarray, zs: np.ndarray, walls_x: np.ndarray, walls_z: np.ndarray):
+    """Function of cells inside the box of ``xs``, ``zs``: which of them are walls (sorted by x)."""
+    x0, z0, depth = xs.min(), zs.min(), zs.max() - zs.min() + 1
+    low, high = np.searchsorted(walls_x, [x0, xs.max() + 1])
+    mine = slice(low, high)
+    inside = (walls_z[mine] >= z0) & (walls_z[mine] < z0 + depth)
+    codes = (walls_x[mine][inside] - x0) * depth + walls_z[mine][inside] - z0
+    if (xs.max() - x0 + 1) * depth <= GRID_CELLS:
+        grid = np.zeros((xs.max() - x0 + 1) * depth, bool)
+        grid[codes] = True
+        return lambda x, z: grid[(x - x0) * depth + z - z0]
+    codes = np.append(np.unique(codes), -1)
+
+    def met(x: np.ndarray, z: np.ndarray) -> np.ndarray:
+        asked = (x - x0) * depth + z - z0
+        return codes[np.searchsorted(codes[:-1], asked)] == asked
+
+    return met
+
+
+def _in_sight(xs: np.ndarray, zs: np.ndarray, i: np.ndarray, j: np.ndarray, is_wall) -> np.ndarray:
+    """For pairs of cells, whether no cell of their line (as in ``line_cells_of``) is a wall; blocked lines end early."""
+    dx, dz = np.abs(xs[j] - xs[i]), np.abs(zs[j] - zs[i])
+    right, up = np.where(xs[j] > xs[i], 1, -1), np.where(zs[j] > zs[i], 1, -1)
+    long, short, wide = np.maximum(dx, dz)[:, None], np.minimum(dx, dz)[:, None], (dx >= dz)[:, None]
+    x, z, right, up = xs[i][:, None], zs[i][:, None], right[:, None], up[:, None]
+    free = np.zeros(len(i), bool)
+    rest, at, width = np.arange(len(i)), 0, 4
+    while len(rest):
+        k = np.minimum(at + np.arange(width), long[rest])
+        part = (2 * k * short[rest] + long[rest] - 1) // np.maximum(2 * long[rest], 1)
+        part[long[rest][:, 0] == 0] = 0
+        line_x = x[rest] + right[rest] * np.where(wide[rest], k, part)
+        line_z = z[rest] + up[rest] * np.where(wide[rest], part, k)
+        rest = rest[~is_wall(line_x, line_z).any(axis=1)]
+        at += width
+        whole = long[rest][:, 0] < at
+        free[rest[whole]] = True
+        rest = rest[~whole]
+        width = max(4, min(2 * width, LINE_CELLS // max(len(rest), 1)))
+    return free
+
+
+def _turns(xs: np.ndarray, zs: np.ndarray, is_wall) -> list[int]:
+    """From each kept cell on to the last later one in plain sight, or the next."""
+    n, keep, i = len(xs), [0], 0
+    first, to = 0, np.empty(0, np.int64)  # where the cells from ``first`` go on to
+    while i < n - 1:
+        if i >= first + len(to):
+            first, to = i, np.arange(i, min(n - 1, i + max(1, PAIRS // (n - i)))) + 1
+            for end in range(n - 1, i + 1, -PAIRS):
+                js = np.arange(end, max(end - PAIRS, i + 1), -1)
+                a, b = np.nonzero(js[None, :] > np.arange(i, i + len(to))[:, None] + 1)
+                free = _in_sight(xs, zs, a + i, js[b], is_wall)
+                np.maximum.at(to, a[free], js[b[free]])
+                if len(to) == 1 and free.any():
+                    break
+        i = int(to[i - first])
+        keep.append(i)
+    return keep
+
+
+def simplify_routes(routes: DataFrame, walls: DataFrame, key: str, rows_per_bucket: int = 200_000) -> DataFrame:
     """Keep the cells of each route (route_id, key, step, ix, iz) that a walker must turn at:
     from each kept cell jump to the last later cell in plain sight.
 
-    A route is met only with the walls of the tiles its bounding box covers.
+    A route lies in one ``key``.  The routes of a key are dealt into buckets, and a bucket meets the walls of the tiles
+    that its routes' bounding boxes cover, each once; the lines of a cell are looked at together.
     """
     kinds = {f: routes.schema[f].dataType.simpleString() for f in ("route_id", key)}
-    box = routes.groupBy("route_id", key).agg(
+    buckets = -(-routes.count() // rows_per_bucket) or 1
+    bucket = F.pmod(F.xxhash64("route_id"), F.lit(buckets)).cast("int").alias("_bucket")
+    rows = routes.select("route_id", key, "step", "ix", "iz", bucket)
+    box = rows.groupBy("route_id", key, "_bucket").agg(
         *[f(F.floor(F.col(a) / TILE)).alias(f"{a}_{n}") for a in ("ix", "iz") for n, f in (("lo", F.min), ("hi", F.max))]
     )
-    tiles = box.withColumn("tx", F.explode(F.sequence("ix_lo", "ix_hi"))).withColumn(
-        "tz", F.explode(F.sequence("iz_lo", "iz_hi"))
+    tiles = (
+        box.select("_bucket", key, "ix_lo", "ix_hi", "iz_lo", "iz_hi")
+        .distinct()
+        .withColumn("tx", F.explode(F.sequence("ix_lo", "ix_hi")))
+        .withColumn("tz", F.explode(F.sequence("iz_lo", "iz_hi")))
+        .select("_bucket", key, F.col("tx").cast("int").alias("tx"), F.col("tz").cast("int").alias("tz"))
+        .distinct()
     )
-    near = _with_tile(walls.select(key, "ix", "iz")).join(
-        tiles.select("route_id", key, F.col("tx").cast("int").alias("tx"), F.col("tz").cast("int").alias("tz")),
-        [key, "tx", "tz"],
-    ).select("route_id", "ix", "iz")
-
-    def run(route: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
-        if route.empty:
-            return pd.DataFrame(columns=["route_id", key, "step", "ix", "iz"])
-        route = route.sort_values("step", kind="stable")
-        blocked = set(zip(blocks["ix"], blocks["iz"]))
-        cells = list(zip(route["ix"].astype(int), route["iz"].astype(int)))
-        keep, i = [0], 0
-        while i < len(cells) - 1:
-            j = len(cells) - 1
-            while j > i + 1 and any(c in blocked for c in line_cells(*cells[i], *cells[j])):
-                j -= 1
-            keep.append(j)
-            i = j
-        return route.iloc[keep][["route_id", key, "step", "ix", "iz"]]
+    near = _with_tile(walls.select(key, "ix", "iz")).join(tiles.hint("merge"), [key, "tx", "tz"]).select("_bucket", key, "ix", "iz")
+
+    def run(mine: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+        names = ["route_id", key, "step", "ix", "iz"]
+        if mine.empty:
+            return pd.DataFrame(columns=names)
+        blocks = blocks.sort_values("ix")
+        walls_x, walls_z = blocks["ix"].to_numpy(np.int64), blocks["iz"].to_numpy(np.int64)
+        mine = mine.sort_values(["route_id", "step"], kind="stable", ignore_index=True)
+        keep = []
+        for at in mine.groupby("route_id", sort=False, dropna=False).indices.values():
+            xs, zs = mine["ix"].to_numpy(np.int64)[at], mine["iz"].to_numpy(np.int64)[at]
+            keep.append(at[_turns(xs, zs, _wall_test(xs, zs, walls_x, walls_z))])
+        return mine.loc[np.concatenate(keep), names]
 
     return (
-        routes.select("route_id", key, "step", "ix", "iz")
-        .groupBy("route_id")
-        .cogroup(_fresh(near).groupBy("route_id"))
+        rows.groupBy(key, "_bucket")
+        .cogroup(_fresh(near).groupBy(key, "_bucket"))
         .applyInPandas(run, f"route_id {kinds['route_id']}, `{key}` {kinds[key]}, step bigint, ix int, iz int")
     )

@@ -116,6 +116,26 @@ def test_best_vectors_make_no_table_a_query(monkeypatch):
     assert len(made) == 3
 
 
+def test_routes_meet_the_walls_of_a_bucket_once(spark):
+    rnd = random.Random(4)
+    rows = [(r, r % 2, s, rnd.randrange(40), rnd.randrange(12)) for r in range(30) for s in range(rnd.randrange(1, 40))]
+    walls = {(m, rnd.randrange(40), rnd.randrange(12)) for m in (0, 1) for _ in range(60)}
+    want = []
+    for r in range(30):
+        cells, keep, i = [(x, z) for q, _, _, x, z in rows if q == r], [0], 0
+        while i < len(cells) - 1:
+            j = len(cells) - 1
+            while j > i + 1 and any((r % 2, *c) in walls for c in G.line_cells(*cells[i], *cells[j])):
+                j -= 1
+            keep.append(j)
+            i = j
+        want += [(r, r % 2, s, *cells[s]) for s in keep]
+    df = spark.createDataFrame(rows, "route_id long, m int, step long, ix int, iz int")
+    wall = spark.createDataFrame(sorted(walls), "m int, ix int, iz int")
+    for per_bucket in (200_000, 100):
+        assert sorted(tuple(r) for r in G.simplify_routes(df, wall, "m", per_bucket).collect()) == want
+
+
 def test_merged_places_look_around_only(spark):
     """Against the first place within the tolerance, in a scan over all places."""
     rnd = random.Random(6)
