@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import odd_rows
+from conftest import odd_rows, words
 from oracle import connect
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from aislewise.llm import telephony as T
 from aislewise.llm import tokenstore as S
 from aislewise.llm import warc as W
 from aislewise.llm.bpe import encoder
+from aislewise.llm.common import stored
 
 
 def test_companding_tables():
@@ -86,6 +88,32 @@ def test_tracks_keep_the_whole_band(odd):
         assert (rate, n) == (16000, 2 * samples)
 
 
+def test_layered_tracks_are_lossless():
+    """Any track of its core's length comes back bit by bit, whatever the core says of it."""
+    rng = np.random.default_rng(3)
+    for codec in T.CODECS:
+        payload = rng.integers(0, 256, 640, np.uint8).tobytes()
+        core = T.to_pcm([(codec, 8000, payload)])[0]
+        right = T.resample(core, 8000, 16000)
+        noise = rng.integers(-32768, 32768, len(right)).astype(np.int16)
+        nearly = right.copy()
+        nearly[::97] -= 3
+        files = [T.layered(codec, 8000, payload, core, t, 16000) for t in (right, noise, nearly)]
+        for (rate, got), want in zip(T.unlayered(files), (right, noise, nearly), strict=True):
+            assert rate == 16000 and got.dtype == np.int16 and np.array_equal(got, want)
+        assert T.unwav(files[1]) == (codec, 8000, payload)
+
+
+def test_stored_tracks_take_little_room(spark):
+    """Media and whole tracks together take little more than the texts, compressed alike."""
+    df = spark.createDataFrame([(k, words(k, 900)) for k in range(60)], "doc_id long, text string").coalesce(1)
+    size = lambda t: sum(os.path.getsize(f.removeprefix("file://")) for f in t.inputFiles())
+    plain, media = stored(df, "texts"), T.store_media(df, 8000, 16000)
+    assert size(media) < 1.5 * size(plain)
+    tracks = T.unlayered([r.files[1] for r in media.collect()])
+    assert sum(len(t) for _, t in tracks) >= 2 * sum(len(r.text) for r in df.collect())
+
+
 def test_loser_tree_merges_in_order():
     rng = random.Random(5)
     for k in (0, 1, 2, 3, 7, 16):
