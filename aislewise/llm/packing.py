@@ -1,8 +1,8 @@
 """Lexical retrieval packing: windows filled with BM25 neighbours of their seed document.
 
 Token ids are written once.  Documents are ranged by their smallest word hash, so texts with common
-words tend to meet, and cut into shards of a bounded number of tokens; a group of copies that holds a
-third of all documents is simply cut into many shards.  Each shard has its own inverted index; document
+words tend to meet, and cut at quantiles into shards of a bounded number of tokens; a group of copies that
+holds a third of all documents is simply cut into many shards.  Each shard has its own inverted index; document
 frequencies, count and mean length are those of the whole table, and every term of a seed counts.  Neighbours
 are looked for in the seed's shard only.  A seed
 document opens a window; its unused neighbours, best score first, fill it; the document that meets
@@ -17,16 +17,18 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from aislewise.llm.bpe import Encoder, encoder
-from aislewise.llm.common import U64, map_batches, mix, parts_for, record, release, signed, slices, stored, texts
+from aislewise.llm.common import U64, drop_scratch, map_batches, mix, parts_for, record, release, scratch, signed, slices, stored, texts
 
 WINDOW = 2048
 SHARD_TOKENS = 4 << 20
+CUT_TOKENS = 1024
+TIE_BITS = 20  # low bits of a document's place among the shards that tell documents of one smallest hash apart
 COMMON = 8  # terms that more than one in so many documents of a shard have are held as dense rows
 K1, B = 1.2, 0.75
 
@@ -43,7 +45,8 @@ def word_terms(ids: np.ndarray, opens: np.ndarray) -> np.ndarray:
 
 
 def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(doc_id, ids, n, words, near): token ids with the end id, number of words and smallest word hash of the text."""
+    """(doc_id, ids, n, words, near): token ids with the end id, number of words, and a place near texts with
+    the same smallest word hash."""
 
     def run(batches):
         tok = encoder(path)
@@ -62,51 +65,44 @@ def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                     }
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return stored(map_batches(rows, run, "doc_id long, ids binary, n long, words long, near long"), "packing-ids")
+    rows = map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, ids binary, n long, words long, near long")
+    tie = F.shiftrightunsigned(F.xxhash64("doc_id", "ids"), 64 - TIE_BITS)
+    near = F.shiftleft(F.shiftright("near", TIE_BITS), TIE_BITS).bitwiseOR(tie).alias("near")
+    return stored(rows.select("doc_id", "ids", "n", "words", near), "packing-ids")
 
 
-def place(ids: DataFrame, path: str, shards: int) -> DataFrame:
-    """(shard, doc_id, ids, term, df): the documents of each shard, in order, and in rows of their own each of its
-    terms with the number of its documents that have it."""
-    ranged = ids.repartitionByRange(shards, "near", "doc_id", F.xxhash64("ids")).select("doc_id", "ids")
+def sharded(ids: DataFrame, shards: int) -> DataFrame:
+    """(shard, doc_id, ids): documents cut by ``near`` into shards of about as many tokens.
 
-    def run(batches):
-        tok, number, seen = encoder(path), TaskContext.get().partitionId(), []
-        for batch in batches:
-            held = [np.frombuffer(i, tok.dtype)[:-1] for i in batch.column("ids").to_pylist()]
-            seen.append(np.concatenate([np.unique(word_terms(i, tok.opens)) for i in held] or [np.empty(0, U64)]))
-            none = pa.nulls(batch.num_rows, pa.int64())
-            yield record(
-                {
-                    "shard": ([number] * batch.num_rows, pa.int64()),
-                    "doc_id": (batch.column("doc_id"), pa.int64()),
-                    "ids": (batch.column("ids"), pa.binary()),
-                    "term": (none, pa.int64()),
-                    "df": (none, pa.int64()),
-                }
-            )
-        terms, df = np.unique(np.concatenate([np.empty(0, U64), *seen]), return_counts=True)
-        for at in range(0, len(terms), 1 << 17):
-            part = signed(terms[at : at + (1 << 17)])
-            yield record(
-                {
-                    "shard": ([number] * len(part), pa.int64()),
-                    "doc_id": (pa.nulls(len(part), pa.int64()), pa.int64()),
-                    "ids": (pa.nulls(len(part), pa.binary()), pa.binary()),
-                    "term": (part, pa.int64()),
-                    "df": (df[at : at + (1 << 17)], pa.int64()),
-                }
-            )
-
-    return stored(map_batches(ranged, run, "shard long, doc_id long, ids binary, term long, df long"), "packing-shards")
-
-
-def frequencies(placed: DataFrame) -> DataFrame:
+    Long documents have small hashes and stand together, so a document counts once in each CUT_TOKENS.  Only
+    the cuts reach the driver.
+    """
+    if shards == 1:
+        return ids.select(F.lit(0).cast("long").alias("shard"), "doc_id", "ids")
+    weighed = ids.select("near", F.explode(F.sequence(F.lit(1), F.ceil(F.col("n") / CUT_TOKENS))))
+    cuts = weighed.approxQuantile("near", [k / shards for k in range(1, shards)], 1 / (16 * shards))
+    cut = Bucketizer(splits=[-float("inf"), *sorted(set(cuts)), float("inf")], inputCol="place", outputCol="bucket")
+    placed = cut.transform(ids.select("doc_id", "ids", F.col("near").cast("double").alias("place")))
+    return placed.select(F.col("bucket").cast("long").alias("shard"), "doc_id", "ids")
+
+
+def shard_terms(documents: DataFrame, path: str) -> DataFrame:
+    """(shard, term, df): the terms of each shard and how many of its documents have them."""
+
+    def run(key: tuple, shard: pa.Table) -> pa.Table:
+        tok = encoder(path)
+        seen = [np.unique(word_terms(np.frombuffer(i, tok.dtype)[:-1], tok.opens)) for i in shard.column("ids").to_pylist()]
+        terms, df = np.unique(np.concatenate(seen), return_counts=True)
+        number = np.full(len(terms), key[0].as_py(), np.int64)
+        return pa.table({"shard": number, "term": signed(terms), "df": df.astype(np.int64)})
+
+    return documents.groupBy("shard").applyInArrow(run, "shard long, term long, df long")
+
+
+def frequencies(counted: DataFrame) -> DataFrame:
     """(shard, term, df): how many documents of the whole table have a term, for each term that two of the shard have."""
-    counted = placed.filter("term is not null").select("shard", "term", F.col("df").alias("inside"))
     total = F.sum("inside").over(Window.partitionBy("term"))
-    return counted.withColumn("df", total).filter("inside > 1").select("shard", "term", "df")
+    return counted.withColumnRenamed("df", "inside").withColumn("df", total).filter("inside > 1").select("shard", "term", "df")
 
 
 class Table(NamedTuple):
@@ -187,7 +183,7 @@ def pack(lengths: list[int], shard: Shard, window: int = WINDOW) -> list[tuple[i
                     break
                 doc = first
             unused[doc] = False
-        if fill == 0:  # this document seeds the window
+        if fill == 0 and left[doc] <= window:  # this document seeds the window; a longer one fills it alone
             score = np.where(unused, shard.scores(doc), 0)
             need = np.flatnonzero(score > 0)
             queue = need[np.argsort(score[need], kind="stable")].tolist()
@@ -236,8 +232,11 @@ def pack_documents(docs: DataFrame, path: str, end_id: int, window: int = WINDOW
     spark = docs.sparkSession
     ids = encode(docs, path, end_id)
     release(spark)
-    placed = place(ids, path, parts_for(ids, "n", SHARD_TOKENS))
-    known = stored(frequencies(placed), "packing-df")
+    documents = sharded(ids, parts_for(ids, "n", SHARD_TOKENS))
+    terms_at = scratch(spark, "packing-terms")
+    known = stored(frequencies(stored(shard_terms(documents, path), "packing-terms", terms_at)), "packing-df")
+    drop_scratch(spark, terms_at)
+    release(spark)
     size, words = ids.agg(F.count(F.lit(1)), F.sum("words")).first()
     mean = (words or 0) / max(1, size)
 
@@ -272,5 +271,4 @@ def pack_documents(docs: DataFrame, path: str, end_id: int, window: int = WINDOW
         )
         return pa.Table.from_batches([out])
 
-    documents = placed.filter("ids is not null").select("shard", "doc_id", "ids")
     return documents.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(run, PIECES)
