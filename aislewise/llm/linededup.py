@@ -22,11 +22,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aislewise.llm.common import release, stored
+from aislewise.llm.common import drop_scratch, release, scratch, stored
 
 NO_ID = -(1 << 63)  # stands for a null id, so that such rows join
 BUCKETS = 8192  # counts of words are kept for so many buckets, whatever the corpus
 LINE = ["doc_id", "row", "line_no"]  # a line's place; in this order lines are earlier or later
+PLACE_BITS = 16  # a signature's place in its line travels in so many low bits of it; later places count as the last
 
 
 def with_row(docs: DataFrame, *carried: Column) -> DataFrame:
@@ -69,14 +70,16 @@ def lines_of(rows: DataFrame, crowd: np.ndarray) -> DataFrame:
 
 
 def signatures(percent: int) -> Column:
-    """The prefix of neighbouring pairs of a line's ``toks``, hashed, in order.
+    """The prefix of neighbouring pairs of a line's ``toks``, hashed to 48 bits, in order.  What a hash brings
+    together by chance is compared like the rest.
 
     Against a partner of m words 2d + e falls as m grows, so it is largest at m = t n, where d = n - m, e = 0
     and it is 2 (1 - t) n.  Lines of fewer than t / (1 - t) words match equal sets only and have none.
     """
     t, n = percent / 100, F.size("toks")
     last = F.least(F.floor(2 * (1 - t) * n + 1e-9).cast("int"), n - 2)
-    pairs = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.get("toks", i), F.get("toks", i + 1)))
+    pair = lambda i: F.shiftrightunsigned(F.xxhash64(F.get("toks", i), F.get("toks", i + 1)), PLACE_BITS)
+    pairs = F.transform(F.sequence(F.lit(0), last), pair)
     return F.when((n >= 2) & (n >= int(t / max(1 - t, 1e-9) + 1e-9)), pairs)
 
 
@@ -91,81 +94,112 @@ def may_match(n: Column, i: Column, m: Column, j: Column, percent: int) -> Colum
     return sizes & (i <= 2 * (n - o) + (m - o)) & (j <= 2 * (m - o) + (n - o))
 
 
-def list_members(lines: DataFrame, classes: DataFrame) -> DataFrame:
-    """(sig, cid, pos, first, n, pivot, central): classes of every list that holds two or more, each with its
-    first place, its size, the list's earliest class, and of those before it the one that has the pair
+def line_classes(lines: DataFrame) -> DataFrame:
+    """(cid, first, n, sigs, num) of each set of words: its first line, size, signatures, and a short number."""
+    first = F.min(F.struct(*LINE)).alias("first")
+    sets = lines.filter("cid is not null").groupBy("cid")
+    return sets.agg(first, F.min("n").alias("n"), F.first("sigs").alias("sigs")).withColumn("num", F.monotonically_increasing_id())
+
+
+def ranked(classes: DataFrame) -> DataFrame:
+    """(num, cid, first, n, rank): classes numbered in the order of their first lines, which no two share.  The
+    numbers stand for the places in all lists."""
+    return classes.select("num", "cid", "first", "n").orderBy("first").withColumn("rank", F.monotonically_increasing_id())
+
+
+def shared_signatures(classes: DataFrame) -> DataFrame:
+    """(sig, num, pos): the signatures that two classes or more have, each class once.
+
+    Most signatures have one class only.  They are shuffled and sorted once, as two numbers a row; a place
+    beyond the bits it travels in counts as earlier than it is, which only lets more pairs be compared.
+    """
+    place = F.least(F.col("pos"), F.lit((1 << PLACE_BITS) - 1)).cast("long")
+    packed = F.shiftleft("sig", PLACE_BITS).bitwiseOR(place).alias("packed")
+    posted = classes.select("num", F.posexplode("sigs").alias("pos", "sig")).select(packed, "num")
+    sig = F.shiftrightunsigned("packed", PLACE_BITS)
+    dealt = posted.repartition(sig).withColumn("sig", sig)
+    many = dealt.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("sig"))).filter("many > 1")
+    return many.select("sig", "num", F.col("packed").bitwiseAND((1 << PLACE_BITS) - 1).cast("int").alias("pos"))
+
+
+def list_members(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """(sig, rank, pos, n, pivot, central): classes of every list that holds two or more, each with its
+    rank, its size, the list's earliest class, and of those before it the one that has the pair
     earliest in its order: with the fewest rare words of its own, it is what near copies are copies of.
 
-    All signatures are shuffled and sorted once; a list streams through its window, which spills.
+    A list streams through its window, which spills.
     """
-    posted = lines.select("cid", F.posexplode("sigs").alias("pos", "sig"))
-    whole = Window.partitionBy("sig")
-    ranged = posted.withColumn("low", F.min("cid").over(whole)).withColumn("high", F.max("cid").over(whole))
-    members = stored(ranged.filter("low < high").select("sig", "cid", "pos"), "line-members").distinct()
-    release(lines.sparkSession)
-    placed = members.join(classes.select("cid", "first", "n"), "cid")
-    earlier = Window.partitionBy("sig").orderBy("first", "cid")
+    placed = shared.join(classes.select("num", "rank", "n"), "num").drop("num")
+    earlier = Window.partitionBy("sig").orderBy("rank")
     upto = earlier.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = earlier.rowsBetween(Window.unboundedPreceding, -1)
-    return stored(
-        placed.withColumn("pivot", F.first(F.struct("first", "cid", "n", "pos")).over(upto)).withColumn(
-            "central", F.min(F.struct("pos", "first", "cid", "n")).over(before)
-        ),
-        "line-lists",
+    return placed.withColumn("pivot", F.first(F.struct("rank", "n", "pos")).over(upto)).withColumn(
+        "central", F.min(F.struct("pos", "rank", "n")).over(before)
     )
 
 
-def tokens_of(rows: DataFrame, classes: DataFrame, pairs: DataFrame, crowd: np.ndarray) -> DataFrame:
-    """(cid, toks) of the classes in pairs (x, y), taken from their first lines."""
-    wanted = pairs.select(F.col("x").alias("cid")).union(pairs.select("y")).distinct()
-    places = classes.join(wanted, "cid").select("cid", "first.*")
-    texts = rows.join(places.select("doc_id", "row").distinct(), ["doc_id", "row"], "left_semi")
-    found = lines_of(texts, crowd).join(places.select("cid", "line_no", "doc_id", "row"), [*LINE, "cid"])
-    return stored(found.select("cid", "toks").dropDuplicates(["cid"]), "line-tokens")
+def tokens_of(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(rank, toks) of the classes in pairs (x, y): word hashes of their first lines; other lines are not cut into words."""
+    wanted = pairs.select(F.col("x").alias("rank")).union(pairs.select("y")).distinct()
+    places = classes.join(wanted, "rank").select("rank", "first.*")
+    by_text = places.groupBy("doc_id", "row").agg(F.collect_list(F.struct("line_no", "rank")).alias("asked"))
+    split = F.split("text", "\n").alias("split")
+    asked = rows.join(by_text, ["doc_id", "row"]).select("doc_id", "row", split, F.explode("asked").alias("a"))
+    found = asked.select("doc_id", "row", "a.*", word_hashes(F.get("split", F.col("a.line_no"))).alias("toks"))
+    return found.dropDuplicates(["doc_id", "row", "line_no"]).select("rank", "toks")
 
 
 def compared(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     """(x, y, shared, together) of pairs (x, y) of classes: exact sizes of intersection and union."""
-    one = tokens.select(F.col("cid").alias("x"), F.col("toks").alias("tx"))
-    two = tokens.select(F.col("cid").alias("y"), F.col("toks").alias("ty"))
+    one = tokens.select(F.col("rank").alias("x"), F.col("toks").alias("tx"))
+    two = tokens.select(F.col("rank").alias("y"), F.col("toks").alias("ty"))
     shared = F.size(F.array_intersect("tx", "ty"))
     return pairs.join(one, "x").join(two, "y").select(
         "x", "y", shared.alias("shared"), (F.size("tx") + F.size("ty") - shared).alias("together")
     )
 
 
-def later_matches(members: DataFrame, tokens_for: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """(cid,) of classes whose first line matches an earlier line; ``tokens_for`` pairs gives their words."""
+def answers_of(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``compared`` of the pairs, written; the words of their lines are let go again."""
+    spark, path = rows.sparkSession, scratch(rows.sparkSession, "line-tokens")
+    tokens = stored(tokens_of(rows, classes, pairs), "line-tokens", path)
+    answers = stored(compared(pairs, tokens), "line-compared")
+    drop_scratch(spark, path)
+    return answers
+
+
+def later_matches(members: DataFrame, answers_for: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """(rank,) of classes whose first line matches an earlier line; ``answers_for`` pairs compares them."""
     pivot = lambda c: F.col(f"pivot.{c}")
 
     def against(other: str) -> DataFrame:
-        n, pos, y = (F.col(f"{other}.{c}") for c in ("n", "pos", "cid"))
-        pairs = members.filter(F.col("cid") != y).filter(may_match(F.col("n"), F.col("pos"), n, pos, percent))
-        return pairs.select(F.col("cid").alias("x"), y.alias("y"))
+        n, pos, y = (F.col(f"{other}.{c}") for c in ("n", "pos", "rank"))
+        pairs = members.filter(F.col("rank") != y).filter(may_match(F.col("n"), F.col("pos"), n, pos, percent))
+        return pairs.select(F.col("rank").alias("x"), y.alias("y"))
 
     tested = stored(against("pivot").unionByName(against("central")).distinct(), "line-tested")
     match = F.expr(f"100 * shared >= {percent} * together")
-    answers = stored(compared(tested, tokens_for(tested)), "line-compared")
-    done = stored(answers.filter(match).select(F.col("x").alias("cid")).distinct(), "line-matched")
+    answers = answers_for(tested)
+    done = stored(answers.filter(match).select(F.col("x").alias("rank")).distinct(), "line-matched")
 
-    known = answers.select(F.col("x").alias("cid"), F.col("y").alias("p"), (1 - F.col("shared") / F.col("together")).alias("far"))
+    known = answers.select(F.col("x").alias("rank"), F.col("y").alias("p"), (1 - F.col("shared") / F.col("together")).alias("far"))
     rows = stored(
-        members.select("sig", "cid", "first", "n", "pos", pivot("cid").alias("p"))
-        .join(known, ["cid", "p"], "left")
-        .filter(F.col("cid") != F.col("p")),
+        members.select("sig", "rank", "n", "pos", pivot("rank").alias("p"))
+        .join(known, ["rank", "p"], "left")
+        .filter(F.col("rank") != F.col("p")),
         "line-rest",
     )
-    open_rows = rows.join(done, "cid", "left_anti").select(*(F.col(c).alias(f"x_{c}") for c in rows.columns))
+    open_rows = rows.join(done, "rank", "left_anti").select(*(F.col(c).alias(f"x_{c}") for c in rows.columns))
     near = F.abs(F.col("x_far") - F.col("far")) <= 1 - percent / 100 + 1e-9
     rest = stored(
         open_rows.join(rows, open_rows["x_sig"] == rows["sig"])
-        .filter((F.col("first") < F.col("x_first")) & F.coalesce(near, F.lit(True)))
+        .filter((F.col("rank") < F.col("x_rank")) & F.coalesce(near, F.lit(True)))
         .filter(may_match(F.col("x_n"), F.col("x_pos"), F.col("n"), F.col("pos"), percent))
-        .select(F.col("x_cid").alias("x"), F.col("cid").alias("y"))
+        .select(F.col("x_rank").alias("x"), F.col("rank").alias("y"))
         .distinct(),
         "line-pairs",
     )
-    more = compared(rest, tokens_for(rest)).filter(match).select(F.col("x").alias("cid"))
+    more = answers_for(rest).filter(match).select(F.col("x").alias("rank"))
     return stored(done.unionByName(more).distinct(), "line-later")
 
 
@@ -187,15 +221,20 @@ def dedup_lines(docs: DataFrame, percent: int = 80, carry: tuple[str, ...] = ())
     rows = with_row(docs)
     crowd = crowding(rows)
     found = lines_of(rows, crowd).select(*LINE, "cid", F.size("toks").alias("n"), signatures(percent).alias("sigs"))
-    lines = stored(found, "lines")
-    places = lines.select(*LINE, "cid")
-    first = F.min(F.struct(*LINE)).alias("first")
-    classes = stored(lines.filter("cid is not null").groupBy("cid").agg(first, F.min("n").alias("n")), "line-classes")
-    members = list_members(lines, classes)
-    release(spark)
-    later = later_matches(members, lambda pairs: tokens_of(rows, classes, pairs, crowd), percent).withColumn("later", F.lit(True))
+    lines_at, sets_at, shared_at, lists_at = (scratch(spark, n) for n in ("lines", "line-sets", "line-shared", "line-lists"))
+    lines = stored(found, "lines", lines_at)
+    sets = stored(line_classes(lines), "line-sets", sets_at)
+    places = stored(lines.select(*LINE, "cid"), "line-places")
+    drop_scratch(spark, lines_at)
+    shared = stored(shared_signatures(sets), "line-shared", shared_at)
+    classes = stored(ranked(sets), "line-classes")
+    drop_scratch(spark, sets_at)
+    members = stored(list_members(shared, classes), "line-lists", lists_at)
+    drop_scratch(spark, shared_at)
+    later = later_matches(members, lambda pairs: answers_of(rows, classes, pairs), percent).withColumn("later", F.lit(True))
+    drop_scratch(spark, lists_at)
     release(spark)
-    marked = places.join(classes.join(later, "cid", "left"), "cid", "left").select(
+    marked = places.join(classes.join(later, "rank", "left"), "cid", "left").select(
         *LINE, (F.col("later").isNotNull() | F.coalesce(F.struct(*LINE) > F.col("first"), F.lit(False))).alias("gone")
     )
     flags = F.transform(F.sort_array(F.collect_set(F.struct("line_no", "gone"))), lambda s: s["gone"])

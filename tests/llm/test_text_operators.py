@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -12,6 +13,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from conftest import odd_rows, words
+from pyspark.sql import functions as F
 
 from aislewise.llm import decontam as D
 from aislewise.llm import jaccardjoin as J
@@ -21,6 +23,8 @@ from aislewise.llm import packing as P
 from aislewise.llm import repeats as R
 from aislewise.llm import rules as Q
 from aislewise.llm.bpe import encoder
+from aislewise.llm.common import stored
+from aislewise.session import checkpoint_dir
 
 LEAST = -(1 << 63)
 
@@ -67,6 +71,38 @@ def test_packing_prefers_lexical_neighbours():
         assert len({d % 3 for d, _, _, s, _ in pieces if s == sequence}) == 1
 
 
+def test_long_documents_ask_for_neighbours_once():
+    """A document of many windows fills them alone; only its last one asks who is near."""
+
+    class Counted(P.Shard):
+        asked = 0
+
+        def scores(self, seed):
+            self.asked += 1
+            return super().scores(seed)
+
+    terms = [np.arange(40, dtype=np.uint64)] * 3
+    shard = Counted(terms)
+    pieces = P.pack([3050, 100, 150], shard, 300)
+    assert sum(p[2] for p in pieces) == 3300 and len({p[3] for p in pieces}) == 11
+    assert shard.asked <= 2
+
+
+def test_ids_are_stored_once(spark, odd):
+    before = scratch_tables(spark)
+    P.pack_documents(odd, public_tokenizers.path("byte_bpe_50k.json"), 1).count()
+    assert sum("ids" in c for c in columns_of(spark, scratch_tables(spark) - before)) == 1
+
+
+def test_shards_hold_as_many_tokens(spark):
+    """Long documents beside each other and many documents of one place do not make a shard large."""
+    near = "case when id % 3 = 0 then (7 << 20) | (xxhash64(id) & 1048575) when id % 50 = 1 then id else xxhash64(id) end as near"
+    ids = spark.range(3000).selectExpr("id as doc_id", "encode(string(id), 'utf-8') as ids", near, "if(id % 50 = 1, 20000, 1000) as n")
+    got = P.sharded(ids, 6).join(ids.select("doc_id", "n"), "doc_id").groupBy("shard").sum("n").toPandas()["sum(n)"]
+    total = 60 * 20000 + 2940 * 1000
+    assert got.sum() == total and got.max() < 1.5 * total / 6
+
+
 def test_scores_equal_whole_bm25():
     """Every shared term of the seed counts, common and rare, with statistics of a larger table."""
     rng = np.random.default_rng(8)
@@ -212,6 +248,28 @@ def test_chains_of_near_copies_join(spark):
 # -- lines ------------------------------------------------------------------------------------------
 
 
+def scratch_tables(spark) -> set[str]:
+    folder = checkpoint_dir(spark).removeprefix("file://")
+    return {os.path.join(folder, d) for d in os.listdir(folder)} if os.path.isdir(folder) else set()
+
+
+def columns_of(spark, tables: set[str]) -> list[list[str]]:
+    return [spark.read.parquet(t).columns for t in tables]
+
+
+def test_repeated_lines_list_their_signatures_once(spark):
+    """A line that many documents have is one class with one set of signatures, and no table of signatures stays."""
+    near = words(71, 30)
+    df = spark.createDataFrame([(k, f"{words(70, 30)}\n{near if k else near + ' x'}\n{words(k, 20, 'de')}") for k in range(50)], "doc_id long, text string")
+    rows = N.with_row(df)
+    lines = N.lines_of(rows, N.crowding(rows)).select(*N.LINE, "cid", F.size("toks").alias("n"), N.signatures(80).alias("sigs"))
+    shared = N.shared_signatures(stored(N.line_classes(lines), "test-sets"))
+    assert 0 < shared.groupBy("sig").count().agg(F.max("count")).first()[0] <= 3
+    before = scratch_tables(spark)
+    N.dedup_lines(df).count()
+    assert not any({"sigs", "central"} & set(c) for c in columns_of(spark, scratch_tables(spark) - before))
+
+
 def brute_lines(spark, rows, percent):
     hashed = N.with_row(spark.createDataFrame(rows, "doc_id long, text string")).distinct().collect()
     lines = sorted((r.doc_id, r.row, k, line) for r in hashed for k, line in enumerate(r.text.split("\n")))
