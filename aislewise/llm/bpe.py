@@ -3,7 +3,8 @@
 A piece starts where the file's own rules always start a new token: before a single space that
 follows a character other than white space ("byte" files), or after any white space ("word" files,
 which drop it).  So ids of pieces, joined, are the ids of the text.  Pieces not seen yet go to the
-library many at a time; a worker keeps up to PIECES of them.
+library many at a time; a worker keeps up to PIECES of them.  Texts of "byte" files are cut by Arrow,
+which also finds a call's distinct pieces and looks them up among up to KEPT of earlier calls.
 """
 
 from __future__ import annotations
@@ -13,11 +14,15 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 PIECES = 900_000
+KEPT, KEPT_BYTES = 1_000_000, 32 << 20
 _CONTROL = "\x1c\x1d\x1e\x1f\x85"  # white space to Python or to the file's rules, but not to both
 _RUNS = [chr(c) + " " for c in (*range(9, 14), 32, 160, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 _JOINED = 200
+_GROUPS = 64  # groups of _JOINED pieces that are encoded in one call
 _LONG = 400  # longer pieces are encoded alone and not kept
 
 
@@ -42,6 +47,8 @@ class Encoder:
         self.mark = self.whole("0").tobytes() if self.words else b""
         self.cache: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
+        self.kept = pa.array([], pa.large_string())
+        self.kept_ids, self.kept_sizes = np.empty(0, self.dtype), np.empty(0, np.int64)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype)
@@ -83,6 +90,74 @@ class Encoder:
 
     def encode(self, many: list[str]) -> list[bytes]:
         """Ids of each text as little-endian integers of ``dtype``."""
+        if self.words:
+            return self._encode_each(many)
+        plain = [not any(c in text for c in _CONTROL) and not any(r in text for r in _RUNS) for text in many]
+        split = iter(self._encode_split([t for t, p in zip(many, plain, strict=True) if p]))
+        each = iter(self._encode_each([t for t, p in zip(many, plain, strict=True) if not p]))
+        return [next(split if p else each) for p in plain]
+
+    def _encode_split(self, many: list[str]) -> list[bytes]:
+        """Of texts that are cut at every space."""
+        cut = [text.partition(" ") for text in many]
+        pieces = pc.split_pattern(pa.array([rest if space else None for _, space, rest in cut], pa.large_string()), " ")
+        coded = pieces.flatten().dictionary_encode()
+        known = pc.index_in(coded.dictionary, self.kept)
+        new = known.is_null().to_numpy(zero_copy_only=False)
+        fresh = coded.dictionary.filter(pa.array(new))
+        fresh_ids, fresh_sizes = self._encode_distinct(fresh)
+        ids, sizes = np.concatenate((self.kept_ids, fresh_ids)), np.concatenate((self.kept_sizes, fresh_sizes))
+        entry = known.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        entry[new] = len(self.kept) + np.arange(len(fresh))
+        room = min(KEPT - len(self.kept), len(fresh))
+        if room > 0 and self.kept.nbytes + fresh.nbytes <= KEPT_BYTES:
+            self.kept = pa.concat_arrays([self.kept, fresh.slice(0, room)])
+            self.kept_sizes = sizes[: len(self.kept)]
+            self.kept_ids = ids[: self.kept_sizes.sum()]
+        piece = entry[coded.indices.to_numpy(zero_copy_only=False)]
+        counts = sizes[piece]
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        flat = ids[np.repeat((np.cumsum(sizes) - sizes)[piece] - ends[:-1], counts) + np.arange(ends[-1])]
+        pieces_of = pc.fill_null(pc.list_value_length(pieces), 0).to_numpy(zero_copy_only=False)
+        edges = ends[np.concatenate(([0], np.cumsum(pieces_of)))].tolist()
+        return [self._first(c[0]) + flat[a:b].tobytes() for c, a, b in zip(cut, edges, edges[1:], strict=False)]
+
+    def _encode_distinct(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces, each after a space, one after the other, and how many each has."""
+        edges = np.append(np.arange(0, len(pieces), _JOINED), len(pieces))
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pieces), pa.scalar(" ", pa.large_string()))
+        ids, sizes = [np.empty(0, self.dtype)], [np.empty(0, np.int64)]
+        for g in range(0, len(joined), _GROUPS):
+            encoded = self.tok.encode_batch_fast([" " + t for t in joined.slice(g, _GROUPS).to_pylist()], add_special_tokens=False)
+            for k, e in enumerate(encoded, g):
+                found = np.array(e.ids, self.dtype)
+                starts = np.flatnonzero(self.opens[found])
+                if len(starts) == edges[k + 1] - edges[k]:
+                    ids.append(found)
+                    sizes.append(np.diff(starts, append=len(found)))
+                else:  # a rule of the file that this cut does not know
+                    alone = [self.whole(" " + p) for p in pieces.slice(edges[k], edges[k + 1] - edges[k]).to_pylist()]
+                    ids += alone
+                    sizes.append(np.array([len(a) for a in alone], np.int64))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _first(self, piece: str) -> bytes:
+        """Ids of a text's first piece, which no space precedes."""
+        if not piece:
+            return b""
+        head = self.first.get(piece)
+        if head is None:
+            head = self.whole(piece).tobytes()
+            if len(self.first) < PIECES // 10 and len(piece) <= _LONG:
+                self.first[piece] = head
+        return head
+
+    def _keep(self, fresh: dict[str, bytes]) -> None:
+        room = PIECES - len(self.cache)
+        if room > 0 and fresh:
+            self.cache.update((w, fresh[w]) for w in list(fresh)[:room] if len(w) <= _LONG)
+
+    def _encode_each(self, many: list[str]) -> list[bytes]:
         split: list[list[str] | None] = []
         for text in many:
             split.append(None if any(c in text for c in _CONTROL) else self._pieces(text))
@@ -100,15 +175,6 @@ class Encoder:
                 continue
             if f and None in f:
                 f = [fresh[w] if i is None else i for w, i in zip(p if self.words else p[1:], f, strict=True)]
-            head = b""
-            if not self.words and p[0]:
-                head = self.first.get(p[0])
-                if head is None:
-                    head = self.whole(p[0]).tobytes()
-                    if len(self.first) < PIECES // 10 and len(p[0]) <= _LONG:
-                        self.first[p[0]] = head
-            out.append(head + b"".join(f))
-        room = PIECES - len(self.cache)
-        if room > 0 and fresh:
-            self.cache.update((w, fresh[w]) for w in list(fresh)[:room] if len(w) <= _LONG)
+            out.append((b"" if self.words else self._first(p[0])) + b"".join(f))
+        self._keep(fresh)
         return out

@@ -29,19 +29,38 @@ WINDOW = 2048
 SHARD_TOKENS = 4 << 20
 CUT_TOKENS = 1024
 TIE_BITS = 20  # low bits of a document's place among the shards that tell documents of one smallest hash apart
-COMMON = 8  # terms that more than one in so many documents of a shard have are held as dense rows
+GROUP_TOKENS = 1 << 16
+ENCODE_BYTES = 16 << 20  # texts that are encoded together
+COMMON = 32  # terms that more than one in so many documents of a shard have are held as dense rows
+DENSE = 8 << 20  # numbers in all dense rows, and in the scores of a shard whose seeds are worked out together, at most
 K1, B = 1.2, 0.75
 
 
 def word_terms(ids: np.ndarray, opens: np.ndarray) -> np.ndarray:
     """One hash per word of a token sequence; a word starts at each token that carries its space."""
-    if not len(ids):
-        return np.empty(0, U64)
-    starts = np.flatnonzero(opens[ids])
-    if not len(starts) or starts[0] != 0:
-        starts = np.concatenate(([0], starts))
-    place = np.arange(len(ids)) - np.repeat(starts, np.diff(np.concatenate((starts, [len(ids)]))))
-    return np.add.reduceat(mix(ids.astype(U64) + U64(1) + (place.astype(U64) << U64(32))), starts)
+    return terms_of([ids], opens)[0]
+
+
+def terms_of(many: list[np.ndarray], opens: np.ndarray) -> list[np.ndarray]:
+    """One hash per word of each token sequence; about GROUP_TOKENS of them are hashed together."""
+    out: list[np.ndarray] = []
+    ends = np.cumsum([len(ids) for ids in many])
+    while len(out) < len(many):
+        first = len(out)
+        base = ends[first - 1] if first else 0
+        stop = max(first + 1, int(np.searchsorted(ends, base + GROUP_TOKENS, "right")))
+        flat, edges = np.concatenate(many[first:stop]), np.concatenate(([0], ends[first:stop] - base))
+        begins = opens[flat]
+        begins[edges[:-1][np.diff(edges) > 0]] = True
+        starts = np.flatnonzero(begins)
+        if len(starts):
+            place = np.arange(len(flat), dtype=U64) - np.repeat(starts.astype(U64), np.diff(starts, append=len(flat)))
+            terms = np.add.reduceat(mix(flat + U64(1) + (place << U64(32))), starts)
+        else:
+            terms = np.empty(0, U64)
+        at = np.searchsorted(starts, edges).tolist()
+        out += [terms[i:j] for i, j in zip(at, at[1:], strict=False)]
+    return out
 
 
 def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
@@ -52,9 +71,9 @@ def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         tok = encoder(path)
         end = np.array([end_id], tok.dtype).tobytes()
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", ENCODE_BYTES):
                 ids = [i + end for i in tok.encode(texts(batch.column("text")))]
-                terms = [word_terms(np.frombuffer(i, tok.dtype)[:-1], tok.opens) for i in ids]
+                terms = terms_of([np.frombuffer(i, tok.dtype)[:-1] for i in ids], tok.opens)
                 yield record(
                     {
                         "doc_id": (batch.column("doc_id"), pa.int64()),
@@ -91,7 +110,7 @@ def shard_terms(documents: DataFrame, path: str) -> DataFrame:
 
     def run(key: tuple, shard: pa.Table) -> pa.Table:
         tok = encoder(path)
-        seen = [np.unique(word_terms(np.frombuffer(i, tok.dtype)[:-1], tok.opens)) for i in shard.column("ids").to_pylist()]
+        seen = [np.unique(t) for t in terms_of([np.frombuffer(i, tok.dtype)[:-1] for i in shard.column("ids").to_pylist()], tok.opens)]
         terms, df = np.unique(np.concatenate(seen), return_counts=True)
         number = np.full(len(terms), key[0].as_py(), np.int64)
         return pa.table({"shard": number, "term": signed(terms), "df": df.astype(np.int64)})
@@ -122,9 +141,14 @@ class Shard:
         self.n = len(terms)
         owner = np.repeat(np.arange(self.n), [len(t) for t in terms])
         flat = np.concatenate(terms) if terms else np.empty(0, U64)
-        self.vocab, term = np.unique(flat, return_inverse=True)
-        pair, count = np.unique(term * max(1, self.n) + owner, return_counts=True)
-        self.term, self.doc = pair // max(1, self.n), pair % max(1, self.n)
+        order = np.argsort(flat, kind="stable")  # by term, then document
+        flat, doc = flat[order], owner[order]
+        opens = np.diff(flat, prepend=~flat[:1]) != 0
+        term = np.cumsum(opens) - 1
+        self.vocab = flat[opens]
+        firsts = np.flatnonzero(opens | (np.diff(doc, prepend=-1) != 0))
+        count = np.diff(firsts, append=len(flat))
+        self.term, self.doc = term[firsts], doc[firsts]
         length = np.bincount(owner, minlength=self.n).astype(np.float64)
         df = np.bincount(self.term, minlength=len(self.vocab))
         total, mean, wide = self.n, length.mean() if self.n else 1.0, df
@@ -137,29 +161,42 @@ class Shard:
         norm = K1 * (1 - B + B * length / max(1.0, mean))
         self.weight = idf[self.term] * count * (K1 + 1) / (count + norm[self.doc])
         self.starts = np.concatenate(([0], np.cumsum(df)))
-        common = np.flatnonzero((df > 1) & (df * COMMON > self.n))
+        self.joint = self.n * self.n <= DENSE
+        common = np.flatnonzero((df > 1) & (df * (COMMON if self.joint else COMMON // 4) > self.n))
+        common = common[np.argsort(-df[common], kind="stable")][: DENSE // max(1, self.n)]
         self.row = np.full(len(self.vocab), -1)
         self.row[common] = np.arange(len(common))
         self.dense = np.zeros((len(common), self.n), np.float32)
         inside = self.row[self.term] >= 0
         self.dense[self.row[self.term[inside]], self.doc[inside]] = self.weight[inside]
+        self.known = np.empty((0, self.n), np.float32)
         shared = np.flatnonzero(df[self.term] > 1)
         order = shared[np.argsort(self.doc[shared], kind="stable")]
         self.query_terms = self.term[order]
         self.query_starts = np.searchsorted(self.doc[order], np.arange(self.n + 1))
 
+    def common_scores(self, seed: int, rows: np.ndarray) -> np.ndarray:
+        """What the dense ``rows`` of a seed add to the scores.  Few documents have one product for all their seeds."""
+        if self.joint:
+            if not len(self.known):
+                self.known = (self.dense > 0).astype(np.float32).T @ self.dense
+            return self.known[seed].astype(np.float64)
+        out = np.zeros(self.n)
+        for r in rows.tolist():
+            out += self.dense[r]
+        return out
+
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of all documents for all terms of the seed that another document has."""
         terms = self.query_terms[self.query_starts[seed] : self.query_starts[seed + 1]]
         row = self.row[terms]
-        out = np.zeros(self.n)
-        for r in row[row >= 0].tolist():
-            out += self.dense[r]
-        spans = [slice(self.starts[t], self.starts[t + 1]) for t in terms[row < 0].tolist()]
-        if not spans:
+        out = self.common_scores(seed, row[row >= 0])
+        terms = terms[row < 0]
+        if not len(terms):
             return out
-        at = np.concatenate([self.doc[s] for s in spans])
-        return out + np.bincount(at, np.concatenate([self.weight[s] for s in spans]), self.n)
+        first, size = self.starts[terms], self.starts[terms + 1] - self.starts[terms]
+        at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return out + np.bincount(self.doc[at], self.weight[at], self.n)
 
 
 def pack(lengths: list[int], shard: Shard, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
@@ -247,7 +284,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int, window: int = WINDOW
             key=lambda r: (r[1] is not None, r[1] or 0, len(r[0]), r[0].tobytes()),
         )
         held, keys = [r[0] for r in rows], [r[1] for r in rows]
-        terms = [word_terms(i[:-1], tok.opens) for i in held]
+        terms = terms_of([i[:-1] for i in held], tok.opens)
         near = [int(t.min().view(np.int64)) if len(t) else 0 for t in terms]
         order = sorted(range(len(held)), key=near.__getitem__)
         held, keys, terms = ([c[k] for k in order] for c in (held, keys, terms))

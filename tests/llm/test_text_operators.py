@@ -22,7 +22,7 @@ from aislewise.llm import linededup as N
 from aislewise.llm import packing as P
 from aislewise.llm import repeats as R
 from aislewise.llm import rules as Q
-from aislewise.llm.bpe import encoder
+from aislewise.llm.bpe import Encoder, encoder
 from aislewise.llm.common import stored
 from aislewise.session import checkpoint_dir
 
@@ -121,6 +121,42 @@ def test_scores_equal_whole_bm25():
         assert np.allclose(shard.scores(seed), want, rtol=1e-4)
 
 
+def test_scores_of_many_documents_equal_those_of_few(monkeypatch):
+    """One product for all seeds of a small shard, row by row in a large one."""
+    rng = np.random.default_rng(9)
+    terms = [(rng.zipf(1.3, rng.integers(0, 90)) % 5000).astype(np.uint64) for _ in range(120)]
+    small = P.Shard(terms)
+    monkeypatch.setattr(P, "DENSE", 120 * 120 - 1)
+    large = P.Shard(terms)
+    assert small.joint and not large.joint and len(small.dense) > len(large.dense) > 0
+    for seed in range(120):
+        assert np.allclose(small.scores(seed), large.scores(seed), rtol=1e-4, atol=1e-4)
+
+
+def test_terms_of_many_equal_those_of_each():
+    rng = np.random.default_rng(10)
+    opens = rng.random(500) < 0.4
+    many = [rng.integers(0, 500, n).astype(np.uint16) for n in (0, 1, 3, 0, 0, 70000, 900, 0, 40000, 40000, 5, 0)]
+    got = P.terms_of(many, opens)
+    assert len(got) == len(many) and P.terms_of([], opens) == []
+    for ids, terms in zip(many, got, strict=True):
+        word = np.cumsum(opens[ids] | (np.arange(len(ids)) == 0)) - 1
+        want = [P.mix(ids[word == w] + P.U64(1) + (np.arange((word == w).sum(), dtype=P.U64) << P.U64(32))).sum() for w in range(min(40, word.max(initial=-1) + 1))]
+        assert terms[:40].tolist() == want and len(terms) == word.max(initial=-1) + 1
+
+
+def test_distinct_pieces_are_encoded_once(monkeypatch):
+    tok = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    asked, plain = [], Encoder._encode_distinct
+    monkeypatch.setattr(Encoder, "_encode_distinct", lambda self, p: asked.extend(p.to_pylist()) or plain(self, p))
+    texts = [f"{words(k % 7, 60)} tail{k % 3}" for k in range(40)] + ["", "one", "x ", "y" * 900 + " " + "z" * 900]
+    want = [tok.whole(t).tobytes() for t in texts]
+    assert tok.encode(texts) == want and len(asked) == len(set(asked)) > 0
+    assert tok.encode(texts) == want and len(asked) == len(set(asked))
+    monkeypatch.setattr("aislewise.llm.bpe.KEPT_BYTES", 0)
+    assert Encoder(public_tokenizers.path("byte_bpe_50k.json")).encode(texts) == want
+
+
 def test_shards_know_the_frequencies_of_the_whole_table(odd):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok = encoder(path)
