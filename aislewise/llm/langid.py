@@ -27,6 +27,7 @@ DOCS_PER_LABEL = 250  # whole documents of each language that the model is fitte
 BITS = 16  # features are hashed to 2**BITS weights a language
 LETTERS = 32  # n-grams are taken from so many letters of a word; affixes from all
 SEGMENT = 32
+LABEL_BYTES = 1 << 20  # texts that are labelled together; a byte takes some 60 bytes of memory meanwhile
 WORDS_KEPT = 300_000  # whose emissions a worker remembers
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -261,6 +262,16 @@ def label(model: Crf | None, post: np.ndarray) -> tuple[str, float, int]:
     return model.labels[int(share.argmax())], min(1.0, float(share.max())), int(np.count_nonzero(np.diff(post.argmax(1))))
 
 
+def labels_of(model: Crf | None, column: pa.Array) -> tuple[list[int], list[tuple[str, float, int]]]:
+    """Number of words and ``label`` of each text, LABEL_BYTES of text at a time."""
+    counts, labels = [], []
+    for part in slices(pa.RecordBatch.from_arrays([column], ["text"]), "text", LABEL_BYTES):
+        split = [words_of(t) for t in texts(part.column("text"))]
+        counts += map(len, split)
+        labels += [label(model, post) for post in (model.posteriors(split) if model else [()] * len(split))]
+    return counts, labels
+
+
 LABELLED = "doc_id long, lang_pred string, score double, n_words long, n_switches long"
 
 
@@ -276,14 +287,13 @@ def label_languages(docs: DataFrame, model: Crf | None) -> DataFrame:
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text", 4 << 20):
-                split = [words_of(t) for t in texts(batch.column("text"))]
-                labels = [label(model, post) for post in (model.posteriors(split) if model else [()] * len(split))]
+                counts, labels = labels_of(model, batch.column("text"))
                 yield record(
                     {
                         "doc_id": (batch.column("doc_id"), pa.int64()),
                         "lang_pred": ([x[0] for x in labels], pa.string()),
                         "score": ([x[1] for x in labels], pa.float64()),
-                        "n_words": ([len(s) for s in split], pa.int64()),
+                        "n_words": (counts, pa.int64()),
                         "n_switches": ([x[2] for x in labels], pa.int64()),
                     }
                 )
@@ -295,7 +305,6 @@ def keep_languages(docs: DataFrame, model: Crf | None, least: float) -> DataFram
     """The rows whose text has a language with a mean probability of ``least`` or more; all columns stay."""
 
     def keep(batch):
-        split = [words_of(t) for t in texts(batch.column("text"))]
-        return [label(model, post)[1] >= least for post in (model.posteriors(split) if model else [()] * len(split))]
+        return [score >= least for _, score, _ in labels_of(model, batch.column("text"))[1]]
 
     return keep_rows(docs, keep)

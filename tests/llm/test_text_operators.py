@@ -6,11 +6,13 @@ import hashlib
 import os
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from conftest import odd_rows, words
 from pyspark.sql import functions as F
@@ -482,6 +484,20 @@ def test_language_rows(odd, empty):
     assert L.label_languages(empty, model).count() == 0
 
 
+def test_labelling_holds_little_at_once():
+    """A batch of 6 MB, of as many different words as texts can have, needs less than 20 times a part of it."""
+    rng = random.Random(11)
+    model = L.fit_crf([(words(k, 150, lang), lang) for lang in ("en", "fr", "de") for k in range(30)])
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(3000)) for _ in range(300)]
+    tracemalloc.start()
+    counts, labels = L.labels_of(model, pa.array(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert counts == [3000] * 300 and len(labels) == 300
+    assert peak < 330 << 20
+    assert labels[:5] == [L.label(model, post) for post in model.posteriors([L.words_of(t) for t in texts[:5]])]
+
+
 def test_held_out_languages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = L.label_languages(docs, L.learn_languages(docs)).join(docs.select("doc_id", "lang"), "doc_id")
