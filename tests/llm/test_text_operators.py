@@ -308,6 +308,19 @@ def test_repeated_lines_list_their_signatures_once(spark):
     assert not any({"sigs", "central"} & set(c) for c in columns_of(spark, scratch_tables(spark) - before))
 
 
+def shuffle_files(spark) -> int:
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return sum(f.startswith("shuffle_") for d in folders for _, _, files in os.walk(str(d)) for f in files)
+
+
+def test_a_stored_step_leaves_no_shuffle_files(spark):
+    before = shuffle_files(spark)
+    step = spark.range(5000).withColumn("k", F.col("id") % 700).groupBy("k").agg(F.collect_list("id").alias("ids"))
+    out = stored(step, "test-step")
+    assert shuffle_files(spark) <= before  # though ``step`` is still referenced
+    assert out.count() == 700
+
+
 def brute_lines(spark, rows, percent):
     hashed = N.with_row(spark.createDataFrame(rows, "doc_id long, text string")).distinct().collect()
     lines = sorted((r.doc_id, r.row, k, line) for r in hashed for k, line in enumerate(r.text.split("\n")))
