@@ -114,6 +114,41 @@ def test_stored_tracks_take_little_room(spark):
     assert sum(len(t) for _, t in tracks) >= 2 * sum(len(r.text) for r in df.collect())
 
 
+def test_packed_tracks_are_lossless():
+    """Any tracks come back bit by bit, of odd length, empty, clipped, of few values or many, and each alone."""
+    rng = np.random.default_rng(4)
+    loud = np.repeat(np.array([-32768, 32767, -32768], np.int16), 301)
+    noise = rng.integers(-32768, 32768, 5001).astype(np.int16)
+    tone = T.resample((9000 * np.sin(np.arange(4000) / 7)).astype(np.int16), 8000, 16000)
+    for tracks in ([tone, noise], [loud], [np.empty(0, np.int16), loud[:1], tone[:2]], [np.zeros(9, np.int16)], [tone[:300]]):
+        for file, want in zip(T.pack_tracks(tracks, 16000), tracks, strict=True):
+            rate, got = T.unpack_track(file)
+            assert rate == 16000 and got.dtype == np.int16 and np.array_equal(got, want)
+    assert len(T.pack_tracks([tone], 16000)[0]) < 0.8 * tone.nbytes
+    with pytest.raises(ValueError):
+        T.unpack_track(T.wav(T.PCM, tone.tobytes(), 16000))
+
+
+def test_stored_tracks_are_whole_without_their_media(spark, odd):
+    """The query's table holds every track: it comes back from its own bytes when all media and the resampler are gone."""
+    table = T.store_tracks(odd, 8000, 16000)
+    want = {}
+    for _, text, _ in odd_rows():
+        payload = T.payload_of((text or "").encode())
+        codec = T.CODECS[zlib.crc32(payload) % len(T.CODECS)]
+        want[T.wav(codec, payload)] = T.resample(T.to_pcm([(codec, 8000, payload)])[0], 8000, 16000)
+    rows = table.collect()
+    assert len(rows) == len(odd_rows()) and {bytes(r.media) for r in rows} == set(want)
+    for r in rows:
+        rate, got = T.unpack_track(bytes(r.track))
+        assert rate == 16000 and np.array_equal(got, want[bytes(r.media)])
+        assert b"data" not in r.track[:64] and len(got) <= len(r.track)  # no core in it, and a byte a sample at least
+    noise = T.media_digests(table.withColumn("media", F.lit(T.wav(T.MULAW, b"other" * 64)))).toPandas()
+    same = T.media_digests(table).toPandas()
+    cut = lambda d: sorted(f.split("/", 1)[1] for f in d.feature)
+    assert cut(noise) == cut(same)
+
+
 def test_loser_tree_merges_in_order():
     rng = random.Random(5)
     for k in (0, 1, 2, 3, 7, 16):
