@@ -10,13 +10,18 @@ shared by chance, so lists of lines per pair stay short, except for real groups
 * equal sets are one class, which only its first line represents;
 * each class is compared with the earliest of its list, and with the most central one before it; what
   matches is a later match and done;
-* the others are compared with the earlier classes of their lists, save where the distances from the
-  list's earliest class already exclude it (Jaccard distance is a metric).
+* the others are compared with the earlier classes of their lists.
+
+Before any words are fetched, sketches are compared: a word flips one of 64 bits of its line's sketch, so
+sketches differ in no more bits than the sets in words.  Unrelated lines that share a pair by chance, whose
+number grows with the square of the corpus, end there.  Signatures, texts and pairs go through the joins slice
+by slice, so the disk they need at once is a fixed share of theirs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -27,6 +32,8 @@ from aislewise.llm.common import drop_scratch, release, scratch, stored
 NO_ID = -(1 << 63)  # stands for a null id, so that such rows join
 BUCKETS = 8192  # counts of words are kept for so many buckets, whatever the corpus
 LINE = ["doc_id", "row", "line_no"]  # a line's place; in this order lines are earlier or later
+SLICES = 4  # parts, at most, in which signatures and texts are shuffled, one after the other
+SLICE_CLASSES = 100_000  # sets of words for which another part is worth its jobs
 PLACE_BITS = 16  # a signature's place in its line travels in so many low bits of it; later places count as the last
 
 
@@ -94,54 +101,72 @@ def may_match(n: Column, i: Column, m: Column, j: Column, percent: int) -> Colum
     return sizes & (i <= 2 * (n - o) + (m - o)) & (j <= 2 * (m - o) + (n - o))
 
 
+def sketch() -> Column:
+    """64 bits of a line's ``toks``, of which each word flips one."""
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(63).cast("int"))
+    return F.aggregate("toks", F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(bit(w)))
+
+
+def may_be_close(n: Column, s: Column, m: Column, t: Column, percent: int) -> Column:
+    """Whether sets of these sizes and sketches may match: each differing bit is a word that one of them lacks."""
+    return F.bit_count(s.bitwiseXOR(t)) <= n + m - 2 * needed(n, m, percent)
+
+
 def line_classes(lines: DataFrame) -> DataFrame:
-    """(cid, first, n, sigs, num) of each set of words: its first line, size, signatures, and a short number."""
+    """(cid, first, num, ...) of each set of words: its first line, a short number, and what its lines have in common."""
     first = F.min(F.struct(*LINE)).alias("first")
-    sets = lines.filter("cid is not null").groupBy("cid")
-    return sets.agg(first, F.min("n").alias("n"), F.first("sigs").alias("sigs")).withColumn("num", F.monotonically_increasing_id())
+    common = [F.first(c).alias(c) for c in lines.columns if c not in (*LINE, "cid")]
+    return lines.filter("cid is not null").groupBy("cid").agg(first, *common).withColumn("num", F.monotonically_increasing_id())
 
 
 def ranked(classes: DataFrame) -> DataFrame:
-    """(num, cid, first, n, rank): classes numbered in the order of their first lines, which no two share.  The
-    numbers stand for the places in all lists."""
-    return classes.select("num", "cid", "first", "n").orderBy("first").withColumn("rank", F.monotonically_increasing_id())
+    """``classes`` numbered by ``rank`` in the order of their first lines, which no two share, instead of ``num``.
+    The numbers stand for the places in all lists."""
+    return classes.drop("num").orderBy("first").withColumn("rank", F.monotonically_increasing_id())
 
 
-def shared_signatures(classes: DataFrame) -> DataFrame:
-    """(sig, num, pos): the signatures that two classes or more have, each class once.
+def shared_signatures(classes: DataFrame, part: int = 0, parts: int = 1) -> DataFrame:
+    """(sig, pos, ...): the signatures that two classes or more have, each class once, with its number, size and
+    sketch; only those of one part of ``parts``.
 
-    Most signatures have one class only.  They are shuffled and sorted once, as two numbers a row; a place
-    beyond the bits it travels in counts as earlier than it is, which only lets more pairs be compared.
+    Most signatures have one class only.  They are shuffled and sorted once; a place beyond the bits it
+    travels in counts as earlier than it is, which only lets more pairs be compared.
     """
+    carried = [c for c in classes.columns if c not in ("cid", "first", "sigs")]
     place = F.least(F.col("pos"), F.lit((1 << PLACE_BITS) - 1)).cast("long")
     packed = F.shiftleft("sig", PLACE_BITS).bitwiseOR(place).alias("packed")
-    posted = classes.select("num", F.posexplode("sigs").alias("pos", "sig")).select(packed, "num")
+    posted = classes.select(*carried, F.posexplode("sigs").alias("pos", "sig"))
+    if parts > 1:
+        posted = posted.filter(F.pmod("sig", F.lit(parts)) == part)
     sig = F.shiftrightunsigned("packed", PLACE_BITS)
-    dealt = posted.repartition(sig).withColumn("sig", sig)
+    dealt = posted.select(packed, *carried).repartition(sig).withColumn("sig", sig)
     many = dealt.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("sig"))).filter("many > 1")
-    return many.select("sig", "num", F.col("packed").bitwiseAND((1 << PLACE_BITS) - 1).cast("int").alias("pos"))
+    return many.select("sig", F.col("packed").bitwiseAND((1 << PLACE_BITS) - 1).cast("int").alias("pos"), *carried)
 
 
-def list_members(shared: DataFrame, classes: DataFrame) -> DataFrame:
-    """(sig, rank, pos, n, pivot, central): classes of every list that holds two or more, each with its
-    rank, its size, the list's earliest class, and of those before it the one that has the pair
-    earliest in its order: with the fewest rare words of its own, it is what near copies are copies of.
+def list_members(shared: DataFrame, percent: int) -> DataFrame:
+    """(sig, rank, pos, n, sketch, early, middle): classes of every list that holds two or more, each with two
+    classes before it, where it may match them: the list's earliest, and the one that has the pair earliest
+    in its order: with the fewest rare words of its own, it is what near copies are copies of.
 
     A list streams through its window, which spills.
     """
-    placed = shared.join(classes.select("num", "rank", "n"), "num").drop("num")
-    earlier = Window.partitionBy("sig").orderBy("rank")
-    upto = earlier.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = earlier.rowsBetween(Window.unboundedPreceding, -1)
-    return placed.withColumn("pivot", F.first(F.struct("rank", "n", "pos")).over(upto)).withColumn(
-        "central", F.min(F.struct("pos", "rank", "n")).over(before)
+    before = Window.partitionBy("sig").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    placed = shared.withColumn("one", F.first(F.struct("rank", "n", "pos", "sketch")).over(before)).withColumn(
+        "two", F.min(F.struct("pos", "rank", "n", "sketch")).over(before)
     )
 
+    def where(other: str) -> Column:
+        n, pos, bits = (F.col(f"{other}.{c}") for c in ("n", "pos", "sketch"))
+        open_pair = may_match(F.col("n"), F.col("pos"), n, pos, percent) & may_be_close(F.col("n"), F.col("sketch"), n, bits, percent)
+        return F.when(open_pair, F.col(f"{other}.rank"))
 
-def tokens_of(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(rank, toks) of the classes in pairs (x, y): word hashes of their first lines; other lines are not cut into words."""
-    wanted = pairs.select(F.col("x").alias("rank")).union(pairs.select("y")).distinct()
-    places = classes.join(wanted, "rank").select("rank", "first.*")
+    return placed.select("sig", "rank", "pos", "n", "sketch", where("one").alias("early"), where("two").alias("middle"))
+
+
+def tokens_of(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """(rank, toks) of the lines at ``places`` (rank, doc_id, row, line_no): their word hashes; other lines are not
+    cut into words."""
     by_text = places.groupBy("doc_id", "row").agg(F.collect_list(F.struct("line_no", "rank")).alias("asked"))
     split = F.split("text", "\n").alias("split")
     asked = rows.join(by_text, ["doc_id", "row"]).select("doc_id", "row", split, F.explode("asked").alias("a"))
@@ -159,46 +184,52 @@ def compared(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     )
 
 
-def answers_of(rows: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``compared`` of the pairs, written; the words of their lines are let go again."""
-    spark, path = rows.sparkSession, scratch(rows.sparkSession, "line-tokens")
-    tokens = stored(tokens_of(rows, classes, pairs), "line-tokens", path)
-    answers = stored(compared(pairs, tokens), "line-compared")
-    drop_scratch(spark, path)
-    return answers
-
+def together(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
 
-def later_matches(members: DataFrame, answers_for: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """(rank,) of classes whose first line matches an earlier line; ``answers_for`` pairs compares them."""
-    pivot = lambda c: F.col(f"pivot.{c}")
 
-    def against(other: str) -> DataFrame:
-        n, pos, y = (F.col(f"{other}.{c}") for c in ("n", "pos", "rank"))
-        pairs = members.filter(F.col("rank") != y).filter(may_match(F.col("n"), F.col("pos"), n, pos, percent))
-        return pairs.select(F.col("rank").alias("x"), y.alias("y"))
+def answers_of(rows: DataFrame, classes: DataFrame, pairs: DataFrame, parts: int, most: int) -> DataFrame:
+    """``compared`` of the pairs, written; the words of their lines are let go again.
 
-    tested = stored(against("pivot").unionByName(against("central")).distinct(), "line-tested")
+    Texts are shuffled in ``parts``.  ``most`` pairs or so, by hash of x, take their words along at once.
+    """
+    spark = rows.sparkSession
+    wanted = pairs.select(F.col("x").alias("rank")).union(pairs.select("y")).distinct()
+    places = stored(classes.join(wanted, "rank").select("rank", "first.*"), "line-asked")
+    paths = [scratch(spark, "line-tokens") for _ in range(parts)]
+    of = lambda t, k: t.filter(F.pmod("row", F.lit(parts)) == k)
+    tokens = together([stored(tokens_of(of(rows, k), of(places, k)), "line-tokens", path) for k, path in enumerate(paths)])
+    rounds = max(1, -(-pairs.count() // most))
+    turn = F.pmod(F.xxhash64("x"), F.lit(rounds))
+    answers = [stored(compared(pairs.filter(turn == k), tokens), "line-compared") for k in range(rounds)]
+    for path in paths:
+        drop_scratch(spark, path)
+    return together(answers)
+
+
+def later_matches(lists: list[DataFrame], answers_for: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """(rank,) of classes whose first line matches an earlier line, from the ``list_members`` of each slice of
+    signatures; ``answers_for`` pairs compares them."""
+    against = lambda c: [m.filter(f"{c} is not null").select(F.col("rank").alias("x"), F.col(c).alias("y")) for m in lists]
+    tested = stored(together(against("early") + against("middle")).distinct(), "line-tested")
     match = F.expr(f"100 * shared >= {percent} * together")
     answers = answers_for(tested)
     done = stored(answers.filter(match).select(F.col("x").alias("rank")).distinct(), "line-matched")
 
-    known = answers.select(F.col("x").alias("rank"), F.col("y").alias("p"), (1 - F.col("shared") / F.col("together")).alias("far"))
-    rows = stored(
-        members.select("sig", "rank", "n", "pos", pivot("rank").alias("p"))
-        .join(known, ["rank", "p"], "left")
-        .filter(F.col("rank") != F.col("p")),
-        "line-rest",
-    )
-    open_rows = rows.join(done, "rank", "left_anti").select(*(F.col(c).alias(f"x_{c}") for c in rows.columns))
-    near = F.abs(F.col("x_far") - F.col("far")) <= 1 - percent / 100 + 1e-9
-    rest = stored(
-        open_rows.join(rows, open_rows["x_sig"] == rows["sig"])
-        .filter((F.col("rank") < F.col("x_rank")) & F.coalesce(near, F.lit(True)))
-        .filter(may_match(F.col("x_n"), F.col("x_pos"), F.col("n"), F.col("pos"), percent))
-        .select(F.col("x_rank").alias("x"), F.col("rank").alias("y"))
-        .distinct(),
-        "line-pairs",
-    )
+    def candidates(members: DataFrame) -> DataFrame:
+        rows = members.select("sig", "rank", "pos", "n", "sketch")
+        open_rows = rows.join(done, "rank", "left_anti").select(*(F.col(c).alias(f"x_{c}") for c in rows.columns))
+        return (
+            open_rows.join(rows, open_rows["x_sig"] == rows["sig"])
+            .filter(F.col("rank") < F.col("x_rank"))
+            .filter(may_match(F.col("x_n"), F.col("x_pos"), F.col("n"), F.col("pos"), percent))
+            .filter(may_be_close(F.col("x_n"), F.col("x_sketch"), F.col("n"), F.col("sketch"), percent))
+            .select(F.col("x_rank").alias("x"), F.col("rank").alias("y"))
+            .distinct()
+        )
+
+    found = together([stored(candidates(m), "line-pairs") for m in lists]).distinct()
+    rest = stored(found.join(answers.select("x", "y"), ["x", "y"], "left_anti"), "line-rest")
     more = answers_for(rest).filter(match).select(F.col("x").alias("rank"))
     return stored(done.unionByName(more).distinct(), "line-later")
 
@@ -220,19 +251,24 @@ def dedup_lines(docs: DataFrame, percent: int = 80, carry: tuple[str, ...] = ())
     spark = docs.sparkSession
     rows = with_row(docs)
     crowd = crowding(rows)
-    found = lines_of(rows, crowd).select(*LINE, "cid", F.size("toks").alias("n"), signatures(percent).alias("sigs"))
-    lines_at, sets_at, shared_at, lists_at = (scratch(spark, n) for n in ("lines", "line-sets", "line-shared", "line-lists"))
+    size = F.size("toks").alias("n")
+    found = lines_of(rows, crowd).select(*LINE, "cid", size, sketch().alias("sketch"), signatures(percent).alias("sigs"))
+    lines_at, sets_at, ranks_at = (scratch(spark, n) for n in ("lines", "line-sets", "line-ranks"))
     lines = stored(found, "lines", lines_at)
     sets = stored(line_classes(lines), "line-sets", sets_at)
     places = stored(lines.select(*LINE, "cid"), "line-places")
     drop_scratch(spark, lines_at)
-    shared = stored(shared_signatures(sets), "line-shared", shared_at)
-    classes = stored(ranked(sets), "line-classes")
+    ranks = stored(ranked(sets), "line-ranks", ranks_at)
     drop_scratch(spark, sets_at)
-    members = stored(list_members(shared, classes), "line-lists", lists_at)
-    drop_scratch(spark, shared_at)
-    later = later_matches(members, lambda pairs: answers_of(rows, classes, pairs), percent).withColumn("later", F.lit(True))
-    drop_scratch(spark, lists_at)
+    classes = stored(ranks.select("rank", "cid", "first"), "line-classes")
+    n = classes.count()
+    parts, most = min(SLICES, 1 + n // SLICE_CLASSES), max(SLICE_CLASSES, n // SLICES)
+    lists_at = [scratch(spark, "line-lists") for _ in range(parts)]
+    lists = [stored(list_members(shared_signatures(ranks, k, parts), percent), "line-lists", at) for k, at in enumerate(lists_at)]
+    drop_scratch(spark, ranks_at)
+    later = later_matches(lists, lambda pairs: answers_of(rows, classes, pairs, parts, most), percent).withColumn("later", F.lit(True))
+    for at in lists_at:
+        drop_scratch(spark, at)
     release(spark)
     marked = places.join(classes.join(later, "rank", "left"), "cid", "left").select(
         *LINE, (F.col("later").isNotNull() | F.coalesce(F.struct(*LINE) > F.col("first"), F.lit(False))).alias("gone")

@@ -371,6 +371,42 @@ def test_line_dedup_equals_brute_force(spark, odd, empty):
     assert N.dedup_lines(empty).count() == 0
 
 
+def steps_of(monkeypatch) -> list[tuple[str, int]]:
+    """Name and rows of each step that line dedup stores from now on."""
+    steps = []
+
+    def noted(df, name, *args, **options):
+        out = stored(df, name, *args, **options)
+        steps.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(N, "stored", noted)
+    return steps
+
+
+def test_unrelated_lines_with_a_common_pair_are_not_compared(spark, monkeypatch):
+    """Lines that share their two rarest words and little else: listing their pairs would grow with their square."""
+    rng = random.Random(21)
+    lines = [" ".join([f"w{k}" for k in rng.sample(range(100), 30)] + ["gluea", "glueb"] * (i < 40)) for i in range(300)]
+    steps = steps_of(monkeypatch)
+    rows = [(k, "\n".join(lines[k::30])) for k in range(30)]
+    got = N.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert got.n_removed.sum() == 0
+    assert sum(n for name, n in steps if name in ("line-tested", "line-pairs", "line-rest")) < 40
+
+
+def test_line_dedup_in_slices_and_rounds_equals_brute_force(spark, monkeypatch):
+    """Signatures and texts in several slices, pairs compared in several rounds."""
+    monkeypatch.setattr(N, "SLICE_CLASSES", 20)
+    steps = steps_of(monkeypatch)
+    rows = line_rows()
+    got = N.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    have = multiset((own(r.doc_id), r.n_lines, r.n_removed, r.text) for r in got.itertuples())
+    assert have == brute_lines(spark, rows, 80)
+    names = Counter(name for name, _ in steps)
+    assert names["line-lists"] == 4 and names["line-compared"] > 2
+
+
 def test_line_dedup_runs_no_python(spark, tmp_path):
     df = N.dedup_lines(spark.createDataFrame(line_rows(), "doc_id long, text string"))
     assert not re.search("Python|Arrow|Pandas", df._jdf.queryExecution().toString().replace("Scan ExistingRDD", ""))
