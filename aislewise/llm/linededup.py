@@ -12,8 +12,8 @@ shared by chance, so lists of lines per pair stay short, except for real groups
   matches is a later match and done;
 * the others are compared with the earlier classes of their lists.
 
-Before any words are fetched, sketches are compared: a word flips one of 64 bits of its line's sketch, so
-sketches differ in no more bits than the sets in words.  Unrelated lines that share a pair by chance, whose
+Before any words are fetched, sketches are compared: a word flips one of 64 bits of its line's sketch (of 128 if
+the line is long), so sketches differ in no more bits than the sets in words.  Unrelated lines that share a pair by chance, whose
 number grows with the square of the corpus, end there.  Signatures, texts and pairs go through the joins slice
 by slice, so the disk they need at once is a fixed share of theirs.
 """
@@ -34,6 +34,7 @@ BUCKETS = 8192  # counts of words are kept for so many buckets, whatever the cor
 LINE = ["doc_id", "row", "line_no"]  # a line's place; in this order lines are earlier or later
 SLICES = 4  # parts, at most, in which signatures and texts are shuffled, one after the other
 SLICE_CLASSES = 100_000  # sets of words for which another part is worth its jobs
+LONG = 64  # words from which a line's sketch has 128 bits
 PLACE_BITS = 16  # a signature's place in its line travels in so many low bits of it; later places count as the last
 
 
@@ -101,15 +102,25 @@ def may_match(n: Column, i: Column, m: Column, j: Column, percent: int) -> Colum
     return sizes & (i <= 2 * (n - o) + (m - o)) & (j <= 2 * (m - o) + (n - o))
 
 
-def sketch() -> Column:
-    """64 bits of a line's ``toks``, of which each word flips one."""
+def sketch() -> list[Column]:
+    """(lo, hi): 128 bits of a line's ``toks``, of which each word flips one.  Short lines have both halves folded
+    into the first."""
+    half = lambda w: w.bitwiseAND(64) != 0
     bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(63).cast("int"))
-    return F.aggregate("toks", F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(bit(w)))
+    long, none = F.size("toks") >= LONG, F.lit(0).cast("long")
+    lo = F.aggregate("toks", none, lambda bits, w: F.when(long & half(w), bits).otherwise(bits.bitwiseXOR(bit(w))))
+    hi = F.aggregate("toks", none, lambda bits, w: F.when(half(w), bits.bitwiseXOR(bit(w))).otherwise(bits))
+    return [lo.alias("lo"), F.when(long, hi).otherwise(none).alias("hi")]
 
 
-def may_be_close(n: Column, s: Column, m: Column, t: Column, percent: int) -> Column:
-    """Whether sets of these sizes and sketches may match: each differing bit is a word that one of them lacks."""
-    return F.bit_count(s.bitwiseXOR(t)) <= n + m - 2 * needed(n, m, percent)
+def may_be_close(x: Callable[[str], Column], y: Callable[[str], Column], percent: int) -> Column:
+    """Whether sets x and y of sizes ``n`` and sketches (``lo``, ``hi``) may match: each differing bit is a word that
+    one of them lacks."""
+    n, m = x("n"), y("n")
+    lo, hi = x("lo").bitwiseXOR(y("lo")), x("hi").bitwiseXOR(y("hi"))
+    both = F.bit_count(lo) + F.bit_count(hi)
+    differ = F.when((n >= LONG) & (m >= LONG), both).otherwise(F.bit_count(lo.bitwiseXOR(hi)))
+    return differ <= n + m - 2 * needed(n, m, percent)
 
 
 def line_classes(lines: DataFrame) -> DataFrame:
@@ -145,23 +156,23 @@ def shared_signatures(classes: DataFrame, part: int = 0, parts: int = 1) -> Data
 
 
 def list_members(shared: DataFrame, percent: int) -> DataFrame:
-    """(sig, rank, pos, n, sketch, early, middle): classes of every list that holds two or more, each with two
+    """(sig, rank, pos, n, lo, hi, early, middle): classes of every list that holds two or more, each with two
     classes before it, where it may match them: the list's earliest, and the one that has the pair earliest
     in its order: with the fewest rare words of its own, it is what near copies are copies of.
 
     A list streams through its window, which spills.
     """
     before = Window.partitionBy("sig").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    placed = shared.withColumn("one", F.first(F.struct("rank", "n", "pos", "sketch")).over(before)).withColumn(
-        "two", F.min(F.struct("pos", "rank", "n", "sketch")).over(before)
+    placed = shared.withColumn("one", F.first(F.struct("rank", "n", "pos", "lo", "hi")).over(before)).withColumn(
+        "two", F.min(F.struct("pos", "rank", "n", "lo", "hi")).over(before)
     )
 
     def where(other: str) -> Column:
-        n, pos, bits = (F.col(f"{other}.{c}") for c in ("n", "pos", "sketch"))
-        open_pair = may_match(F.col("n"), F.col("pos"), n, pos, percent) & may_be_close(F.col("n"), F.col("sketch"), n, bits, percent)
-        return F.when(open_pair, F.col(f"{other}.rank"))
+        of = lambda c: F.col(f"{other}.{c}")
+        open_pair = may_match(F.col("n"), F.col("pos"), of("n"), of("pos"), percent) & may_be_close(F.col, of, percent)
+        return F.when(open_pair, of("rank"))
 
-    return placed.select("sig", "rank", "pos", "n", "sketch", where("one").alias("early"), where("two").alias("middle"))
+    return placed.select("sig", "rank", "pos", "n", "lo", "hi", where("one").alias("early"), where("two").alias("middle"))
 
 
 def tokens_of(rows: DataFrame, places: DataFrame) -> DataFrame:
@@ -217,13 +228,13 @@ def later_matches(lists: list[DataFrame], answers_for: Callable[[DataFrame], Dat
     done = stored(answers.filter(match).select(F.col("x").alias("rank")).distinct(), "line-matched")
 
     def candidates(members: DataFrame) -> DataFrame:
-        rows = members.select("sig", "rank", "pos", "n", "sketch")
+        rows = members.select("sig", "rank", "pos", "n", "lo", "hi")
         open_rows = rows.join(done, "rank", "left_anti").select(*(F.col(c).alias(f"x_{c}") for c in rows.columns))
         return (
             open_rows.join(rows, open_rows["x_sig"] == rows["sig"])
             .filter(F.col("rank") < F.col("x_rank"))
             .filter(may_match(F.col("x_n"), F.col("x_pos"), F.col("n"), F.col("pos"), percent))
-            .filter(may_be_close(F.col("x_n"), F.col("x_sketch"), F.col("n"), F.col("sketch"), percent))
+            .filter(may_be_close(lambda c: F.col(f"x_{c}"), F.col, percent))
             .select(F.col("x_rank").alias("x"), F.col("rank").alias("y"))
             .distinct()
         )
@@ -252,7 +263,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80, carry: tuple[str, ...] = ())
     rows = with_row(docs)
     crowd = crowding(rows)
     size = F.size("toks").alias("n")
-    found = lines_of(rows, crowd).select(*LINE, "cid", size, sketch().alias("sketch"), signatures(percent).alias("sigs"))
+    found = lines_of(rows, crowd).select(*LINE, "cid", size, *sketch(), signatures(percent).alias("sigs"))
     lines_at, sets_at, ranks_at = (scratch(spark, n) for n in ("lines", "line-sets", "line-ranks"))
     lines = stored(found, "lines", lines_at)
     sets = stored(line_classes(lines), "line-sets", sets_at)

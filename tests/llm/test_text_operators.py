@@ -395,6 +395,32 @@ def test_unrelated_lines_with_a_common_pair_are_not_compared(spark, monkeypatch)
     assert sum(n for name, n in steps if name in ("line-tested", "line-pairs", "line-rest")) < 40
 
 
+def test_unrelated_long_lines_with_a_common_pair_are_not_compared(spark, monkeypatch):
+    """As above with 150 words a line, where 64 bits would leave most pairs."""
+    rng = random.Random(22)
+    lines = [" ".join([f"w{k}" for k in rng.sample(range(700), 150)] + ["gluea", "glueb"] * (i < 30)) for i in range(240)]
+    steps = steps_of(monkeypatch)
+    rows = [(k, "\n".join(lines[k::30])) for k in range(30)]
+    got = N.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert got.n_removed.sum() == 0
+    assert sum(n for name, n in steps if name in ("line-tested", "line-pairs", "line-rest")) < 30
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_words(spark):
+    rng = random.Random(23)
+    rows = []
+    for k in range(400):
+        x = set(rng.sample(range(10_000), rng.choice((3, 20, 62, 66, 130, 300))))
+        drop = rng.sample(sorted(x), rng.randrange(1 + len(x) // 5))
+        y = (x - set(drop)) | set(rng.sample(range(10_000), rng.randrange(1 + len(x) // 7)))
+        rows.append((k, sorted(x), sorted(y), 100 * len(x & y) >= 80 * len(x | y)))
+    df = spark.createDataFrame(rows, "k long, x array<long>, y array<long>, match boolean")
+    side = lambda c: df.select("k", F.transform(c, lambda w: F.xxhash64(w)).alias("toks")).select("k", F.size("toks").alias("n"), *N.sketch())
+    both = df.join(side("x"), "k").join(side("y").select("k", *(F.col(c).alias(f"y_{c}") for c in ("n", "lo", "hi"))), "k")
+    found = both.select("match", N.may_be_close(F.col, lambda c: F.col(f"y_{c}"), 80).alias("close")).collect()
+    assert sum(r.match for r in found) > 50 and all(r.close for r in found if r.match)
+
+
 def test_line_dedup_in_slices_and_rounds_equals_brute_force(spark, monkeypatch):
     """Signatures and texts in several slices, pairs compared in several rounds."""
     monkeypatch.setattr(N, "SLICE_CLASSES", 20)
